@@ -156,3 +156,21 @@ def lists(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
     off = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, type=kind))
+
+
+def bitmap(df: DataFrame, column: str, bits: int):
+    """A broadcast bit set of 2**bits bits with the bit of each hash in a long column set.
+
+    Its size is fixed by the parameter, whatever the number of rows; a set bit may stand for several hashes, so callers
+    use it only to leave out what surely is not there. At most 2**(bits - 6) rows reach the driver.
+    """
+    at = F.col(column).bitwiseAND((1 << bits) - 1)
+    words = df.select(F.shiftright(at, 6).alias("w"), at.alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return df.sparkSession.sparkContext.broadcast(out)
+
+
+def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(len(bits) * 64 - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .line_dedup import op5_line_dedup
 from .pii import op6_pii
+from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
