@@ -174,3 +174,25 @@ def bitmap(df: DataFrame, column: str, bits: int):
 def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h & np.uint64(len(bits) * 64 - 1)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def split_by(df: DataFrame, column: str, bits) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash in a long column may be in the bit set, and those whose hash surely is not."""
+
+    def part(yes: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                h = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield batch.filter(pa.array(has_bit(bits.value, h) == yes))
+
+        return df.mapInArrow(run, df.schema)
+
+    return part(True), part(False)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", bits: int = 25) -> DataFrame:
+    """docs less those whose key is in gone; only rows that may go are shuffled. A null key stays."""
+    gone = gone.select(key).filter(F.col(key).isNotNull()).distinct()
+    some = bitmap(gone.select(F.xxhash64(key).alias("h")), "h", bits)
+    touched, rest = split_by(docs.withColumn("_key_hash", F.xxhash64(key)), "_key_hash", some)
+    return touched.join(gone, key, "left_anti").select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LINE, _SPACE, bitmap, gram_hashes, has_bit, materialize, mix, pieces, signed, slices, span_hashes
+from .common import _LINE, _SPACE, bitmap, gram_hashes, has_bit, materialize, mix, pieces, signed, slices, span_hashes, split_by
 
 LAST = (1 << 63) - 1
 
@@ -91,17 +91,9 @@ def mark_repeats(docs: DataFrame, unit: str, k: int, w: int, within: bool, bits:
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("_h", F.xxhash64("_doc"))
 
-    def holds(yes: bool) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = batch.column("_h").to_numpy(zero_copy_only=False).view(np.uint64)
-                yield batch.filter(pa.array(has_bit(some.value, h) == yes))
-
-        return run
-
-    shape = keyed.schema
-    touched = keyed.mapInArrow(holds(True), shape).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "gone")
-    clean = keyed.mapInArrow(holds(False), shape).select("doc_id", "text", F.lit(None).cast("array<struct<h:bigint,spare:int>>").alias("gone"))
+    touched, clean = split_by(keyed, "_h", some)
+    touched = touched.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "gone")
+    clean = clean.select("doc_id", "text", F.lit(None).cast("array<struct<h:bigint,spare:int>>").alias("gone"))
     return touched.unionByName(clean).mapInArrow(finish, schema)
 
 
