@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from .langid import op2_language_id
 from .line_dedup import op5_line_dedup
 from .ngram_join import op4_ngram_join
 from .packing import op3_best_fit_packing
 from .pii import op6_pii
+from .quality import op9_quality
 from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {}
