@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call works on; a single longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send rows of whole texts to Python in batches of this size, unless the session has a setting of its own.
+
+    Spark's default of 10,000 rows takes tens of megabytes a batch, several times over, in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Unset: a new temporary folder in local mode, an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -176,20 +186,43 @@ def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def split_by(df: DataFrame, column: str, bits) -> tuple[DataFrame, DataFrame]:
-    """The rows whose hash in a long column may be in the bit set, and those whose hash surely is not."""
+def split_by(df: DataFrame, column: str, bits, deflate: str = "") -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash in a long column may be in the bit set, and those whose hash surely is not.
+
+    The string column deflate of the first ones, which go to a shuffle, becomes compressed bytes; inflated() undoes it.
+    """
 
     def part(yes: bool) -> DataFrame:
         def run(batches):
+            import zstandard
+
+            press = zstandard.ZstdCompressor(level=1).compress
             for batch in batches:
                 h = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
-                yield batch.filter(pa.array(has_bit(bits.value, h) == yes))
+                batch = batch.filter(pa.array(has_bit(bits.value, h) == yes))
+                if yes and deflate:
+                    small = pa.array([None if x is None else press(x.encode()) for x in batch.column(deflate).to_pylist()], pa.binary())
+                    batch = batch.set_column(batch.schema.get_field_index(deflate), deflate, small)
+                yield batch
 
-        return df.mapInArrow(run, df.schema)
+        schema = df.withColumn(deflate, F.lit(None).cast("binary")).schema if yes and deflate else df.schema
+        return df.mapInArrow(run, schema)
 
     return part(True), part(False)
 
 
+def inflated(batches, column: str):
+    """Batches whose compressed string column is text again, at most 1000 rows each."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 1000):
+            batch = whole.slice(lo, 1000)
+            text = pa.array([None if x is None else press(x).decode() for x in batch.column(column).to_pylist()], pa.string())
+            yield batch.set_column(batch.schema.get_field_index(column), column, text)
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", bits: int = 25) -> DataFrame:
     """docs less those whose key is in gone; only rows that may go are shuffled. A null key stays."""
     gone = gone.select(key).filter(F.col(key).isNotNull()).distinct()

@@ -8,12 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 from .winnow import cover, mark_repeats
 
 #: Lines of a gram and grams in a window: every repeated run of 2 + 2 - 1 = 3 lines is found.
 GRAM, WINDOW = 2, 2
-BITS = 27
+#: Bits of the set of repeated grams: 4 MB on each worker.
+BITS = 25
 
 
 def remove_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, bits: int = BITS) -> DataFrame:
@@ -40,5 +41,6 @@ def remove_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDO
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those removed, and the SHA-256 of what is kept."""
+    text_batches(spark)
     kept = remove_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, gram_hashes, has_bit, lists, materialize, mix, signed, slices, table, words_of
+from .common import bitmap, gram_hashes, has_bit, lists, materialize, mix, signed, slices, table, text_batches, words_of
 from .components import components
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9995, 6
@@ -191,4 +191,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, held_out, lists, mix, pieces, slices, span_hashes, table
+from .common import gram_hashes, held_out, lists, mix, pieces, slices, span_hashes, table, text_batches
 
 #: log2 of the number of features; labelled rows that a fit takes at most; score from which a row is of quality 1.
 FEATURE_BITS, FIT_ROWS, ACCEPT = 18, 6000, 0.7
@@ -164,6 +164,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= ACCEPT).cast("int").alias("predicted"))

@@ -8,7 +8,7 @@ from itertools import compress
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, text_batches
 from .winnow import cover, mark_repeats
 
 #: Words of a seed and seeds in a window: 5 + 9 - 1 = 13 words are the shortest repeat.
@@ -38,5 +38,6 @@ def remove_repeated_words(docs: DataFrame, seed: int = SEED, seeds: int = SEEDS,
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     kept = remove_repeated_words(table(spark, sf_dir, "documents"))
     return kept.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) as kept_sha256")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LINE, _SPACE, bitmap, gram_hashes, has_bit, materialize, mix, pieces, signed, slices, span_hashes, split_by
+from .common import _LINE, _SPACE, bitmap, gram_hashes, has_bit, inflated, materialize, mix, pieces, signed, slices, span_hashes, split_by
 
 LAST = (1 << 63) - 1
 
@@ -55,7 +55,7 @@ def _fingerprints(unit: str, k: int, w: int) -> Callable:
     return run
 
 
-def _extended(unit: str, k: int, w: int, twice) -> Callable:
+def _extended(unit: str, k: int, w: int, twice, within: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -67,34 +67,39 @@ def _extended(unit: str, k: int, w: int, twice) -> Callable:
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
                 first_order = np.argsort(first)
                 first, n = first[first_order], n[first_order]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(whole[first])), pa.array(ids[lo + row[first]]), pa.array(place[first].astype(np.int32)), pa.array(n > 1)], ["h", "doc", "place", "again"])
+                columns = {"h": pa.array(signed(whole[first])), "doc": pa.array(ids[lo + row[first]])}
+                if within:
+                    columns |= {"place": pa.array(place[first].astype(np.int32)), "again": pa.array(n > 1)}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
 def mark_repeats(docs: DataFrame, unit: str, k: int, w: int, within: bool, bits: int, finish: Callable, schema: str) -> DataFrame:
-    """docs: doc_id long, text string. finish(batches of doc_id, text, gone) makes the result's rows with that schema.
+    """docs: doc_id long, text string. finish(batches of doc_id, text, gone, spare) makes the result's rows with that schema.
 
-    gone lists (window hash, place to spare or -1) of the windows that an earlier document holds or, if within, that
+    gone lists the hashes and spare the places to spare, or -1 (none if not within), of the windows that an earlier document holds or, if within, that
     stand earlier in the same one. A null doc_id comes after all others. Rows with equal doc_ids do not count as each
     other's earlier holders.
     """
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
     prints = docs.select("text").mapInArrow(_fingerprints(unit, k, w), "h long, n long")
     twice = bitmap(prints.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "h", bits)
-    found = materialize(keyed.mapInArrow(_extended(unit, k, w, twice), "h long, doc long, place int, again boolean"), f"{unit}-windows")
-    shared = "least.doc < last" + (" or again" if within else "")
-    first = found.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("last"), F.bool_or("again").alias("again")).filter(shared).select("h", "least")
-    later = "doc > least.doc" + (" or (again and doc = least.doc)" if within else "")
-    gone = found.join(first, "h").filter(later).select("doc", "h", F.expr("if(doc > least.doc, -1, least.place)").alias("spare"))
-    gone = materialize(gone.groupBy("doc").agg(F.collect_list(F.struct("h", "spare")).alias("gone")), f"{unit}-gone")
+    found = materialize(keyed.mapInArrow(_extended(unit, k, w, twice, within), "h long, doc long" + ", place int, again boolean" * within), f"{unit}-windows")
+    if within:
+        first = found.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("last"), F.bool_or("again").alias("again")).filter("least.doc < last or again").select("h", "least")
+        gone = found.join(first, "h").filter("doc > least.doc or (again and doc = least.doc)").select("doc", "h", F.expr("if(doc > least.doc, -1, least.place)").alias("spare"))
+        gone = gone.groupBy("doc").agg(F.collect_list(F.struct("h", "spare")).alias("both")).select("doc", F.col("both.h").alias("gone"), F.col("both.spare").alias("spare"))
+    else:
+        first = found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least < last").select("h", "least")
+        gone = found.join(first, "h").filter("doc > least").groupBy("doc").agg(F.collect_list("h").alias("gone")).withColumn("spare", F.lit(None).cast("array<int>"))
+    gone = materialize(gone, f"{unit}-gone")
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("_h", F.xxhash64("_doc"))
-
-    touched, clean = split_by(keyed, "_h", some)
-    touched = touched.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "gone")
-    clean = clean.select("doc_id", "text", F.lit(None).cast("array<struct<h:bigint,spare:int>>").alias("gone"))
-    return touched.unionByName(clean).mapInArrow(finish, schema)
+    touched, clean = split_by(keyed, "_h", some, deflate="text")
+    touched = touched.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "gone", "spare")
+    clean = clean.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("gone"), F.lit(None).cast("array<int>").alias("spare"))
+    return touched.mapInArrow(lambda batches: finish(inflated(batches, "text")), schema).unionByName(clean.mapInArrow(finish, schema))
 
 
 def cover(batch: pa.RecordBatch, unit: str, k: int, w: int) -> Iterator[tuple]:
@@ -103,8 +108,8 @@ def cover(batch: pa.RecordBatch, unit: str, k: int, w: int) -> Iterator[tuple]:
     lengths = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     begin = np.zeros(len(gone) + 1, dtype=np.int64)
     np.cumsum(lengths, out=begin[1:])
-    flat = gone.flatten()
-    hashes, spare = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+    hashes = gone.flatten().to_numpy(zero_copy_only=False)
+    spare = batch.column("spare").flatten().to_numpy(zero_copy_only=False) if batch.column("spare").null_count < len(gone) else np.full(len(hashes), -1)
     for lo, hi, data, off in slices(batch.column("text")):
         whole, _, _, row, place, starts, ends, at = windows(data, off, unit, k, w)
         split = np.searchsorted(row, np.arange(hi - lo + 1))
