@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontam import op10_decontamination
 from .langid import op2_language_id
 from .line_dedup import op5_line_dedup
 from .ngram_join import op4_ngram_join
 from .packing import op3_best_fit_packing
 from .pii import op6_pii
 from .quality import op9_quality
+from .secrets import op8_secrets
 from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
@@ -17,6 +19,8 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
