@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op1_multi_index_hashing
 from .decontam import op10_decontamination
 from .langid import op2_language_id
 from .line_dedup import op5_line_dedup
@@ -13,6 +14,7 @@ from .secrets import op8_secrets
 from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_join": op4_ngram_join,
