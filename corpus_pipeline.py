@@ -1,18 +1,73 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: quality, line dedup, near duplicates, benchmark decontamination, packing.
+
+Each stage takes what its predecessor kept and returns the columns of documents, but for the last, which packs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termgrid.llm.common import materialize, table, text_batches, without
+from termgrid.llm.decontam import without_contaminated
+from termgrid.llm.line_dedup import remove_repeated_lines
+from termgrid.llm.ngram_join import near_duplicates
+from termgrid.llm.packing import pack_documents
+from termgrid.llm.quality import ACCEPT, fit_quality, score_quality
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not accept go."""
+    text_batches(spark)
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs.select(*COLUMNS), model).filter(F.col("quality_score") >= ACCEPT).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and with them documents of which nothing else is left.
+
+    n_chars follows the text. A document that loses nothing stays as it is, an empty one too.
+    """
+    text_batches(spark)
+    kept = remove_repeated_lines(docs, carry=("lang", "source", "n_chars")).filter((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept").cast("long"))
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays; of its repeated rows, one."""
+    text_batches(spark)
+    found = materialize(near_duplicates(docs).filter("n_links > 0"), "near-duplicates")
+    once = without(docs, found)
+    # without() leaves rows of no id, and all rows of an id go together: the group's first comes back once
+    first = found.filter("doc_id = class_id").select("doc_id").distinct()
+    back = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*COLUMNS).unionByName(back.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of what is left, packed into sequences."""
+    text_batches(spark)
+    return pack_documents(docs)
 
-from termgrid.llm.common import table
 
-STAGES: list = []
-#: Learned models and iterative grouping have no SQL form; tests/llm compare with brute force.
+STAGES = [("quality", quality), ("line dedup", line_dedup), ("near duplicates", near_duplicate_groups), ("decontamination", decontamination), ("packing", packing)]
+#: A learned model, 64-bit fingerprints and a genetic search have no SQL form; tests/llm compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each result written to the shared folder as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, text_batches
 from .winnow import cover, mark_repeats
@@ -17,14 +18,14 @@ GRAM, WINDOW = 2, 2
 BITS = 25
 
 
-def remove_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, bits: int = BITS) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept: each text without the lines that a later copy of a run covers.
+def remove_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept, and the columns named in carry: each text without the lines that a later copy of a run covers.
 
     A line is a non-empty run without newlines, unchanged. Runs are of gram + window - 1 lines or more; of equal runs
     the first by (doc_id, place) stays, and the lines of later ones go, overlapping ones included. Kept lines are joined
     by one newline, so empty lines go too where something is removed; a text that loses nothing is returned as it is. A
     null text has no lines and kept is null; a null doc_id comes after all others; repeated rows do not remove each
-    other. Other columns are left out.
+    other. Other columns are left out unless carried.
     """
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,9 +35,12 @@ def remove_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDO
                 if covered.any():
                     raw = b"\n".join(raw[a:b] for a, b, gone in zip(starts, ends, covered, strict=True) if not gone)
                 rows.append((doc, len(starts), int(covered.sum()), None if none else raw.decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_lines", "n_removed", "kept"])
+            made = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *[batch.column(c) for c in carry]], [*names, *carry])
 
-    return mark_repeats(docs.select("doc_id", "text"), "line", gram, window, True, bits, finish, "doc_id long, n_lines long, n_removed long, kept string")
+    names = ["doc_id", "n_lines", "n_removed", "kept"]
+    schema = T.StructType([T.StructField(n, T.StringType() if n == "kept" else T.LongType()) for n in names] + [docs.schema[c] for c in carry])
+    return mark_repeats(docs.select("doc_id", "text", *carry), "line", gram, window, True, bits, finish, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,8 +75,8 @@ def _extended(unit: str, k: int, w: int, twice, within: bool) -> Callable:
     return run
 
 
-def mark_repeats(docs: DataFrame, unit: str, k: int, w: int, within: bool, bits: int, finish: Callable, schema: str) -> DataFrame:
-    """docs: doc_id long, text string. finish(batches of doc_id, text, gone, spare) makes the result's rows with that schema.
+def mark_repeats(docs: DataFrame, unit: str, k: int, w: int, within: bool, bits: int, finish: Callable, schema) -> DataFrame:
+    """docs: doc_id long, text string. finish(batches of docs with gone and spare) makes the result's rows with that schema.
 
     gone lists the hashes and spare the places to spare, or -1 (none if not within), of the windows that an earlier document holds or, if within, that
     stand earlier in the same one. A null doc_id comes after all others. Rows with equal doc_ids do not count as each
@@ -97,8 +97,8 @@ def mark_repeats(docs: DataFrame, unit: str, k: int, w: int, within: bool, bits:
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("_h", F.xxhash64("_doc"))
     touched, clean = split_by(keyed, "_h", some, deflate="text")
-    touched = touched.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select("doc_id", "text", "gone", "spare")
-    clean = clean.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("gone"), F.lit(None).cast("array<int>").alias("spare"))
+    touched = touched.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*docs.columns, "gone", "spare")
+    clean = clean.select(*docs.columns, F.lit(None).cast("array<bigint>").alias("gone"), F.lit(None).cast("array<int>").alias("spare"))
     return touched.mapInArrow(lambda batches: finish(inflated(batches, "text")), schema).unionByName(clean.mapInArrow(finish, schema))
 
 
