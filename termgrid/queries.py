@@ -40,7 +40,9 @@ def spread_panel_of(spark: SparkSession, d: str) -> DataFrame:
     return panel.build_spread(roles.domestic(spark, d), roles.offshore(spark, d), roles.fx(spark, d))
 
 
-W = R.over("series", "dt")
+def W():
+    """The window of a series; needs a session, so it is made when asked for."""
+    return R.over("series", "dt")
 FRAME = "OVER (PARTITION BY series ORDER BY dt ROWS BETWEEN {0} PRECEDING AND CURRENT ROW)"
 
 
@@ -184,13 +186,13 @@ def within_contract_forward(spark, d):
 
 @query("SELECT series, dt, round(level, 6) AS level, " + ", ".join(f"round(lag({c}, {k}) OVER (PARTITION BY series ORDER BY dt), 6) AS {c}_lag{k}" for c in ("level", "volume") for k in (1, 2)) + ", round(ln(level) - lag(ln(level)) OVER (PARTITION BY series ORDER BY dt), 6) AS level_ret FROM daily")
 def add_lags(spark, d):
-    df = features.log_returns(features.add_lags(roles.daily(spark, d), ("level", "volume"), W, 2), ("level",), W)
+    df = features.log_returns(features.add_lags(roles.daily(spark, d), ("level", "volume"), W(), 2), ("level",), W())
     return rounded(df.select("series", "dt", "level", "level_lag1", "level_lag2", "volume_lag1", "volume_lag2", "level_ret"))
 
 
 @query("+ m AS (SELECT series, dt, level, " + roll_sql("avg", "level", 20) + " AS ma FROM daily), t AS (SELECT *, level - ma AS dist FROM m) SELECT series, dt, round(ma, 6) AS level_ma_20, round(" + z_sql("dist", 60) + ", 6) AS level_ma_dist_z_20 FROM t")
 def ma_distance_z(spark, d):
-    return rounded(features.ma_distance(roles.daily(spark, d), "level", W, (20,), 60).select("series", "dt", "level_ma_20", "level_ma_dist_z_20"))
+    return rounded(features.ma_distance(roles.daily(spark, d), "level", W(), (20,), 60).select("series", "dt", "level_ma_20", "level_ma_dist_z_20"))
 
 
 def _ewm_sql(x: str, span: int) -> str:
@@ -204,17 +206,17 @@ def _ewm_sql(x: str, span: int) -> str:
 
 @query("+ m AS (SELECT series, dt, level, " + roll_sql("avg", "level", 10) + " - " + roll_sql("avg", "level", 40) + " AS c, " + _ewm_sql("level", 12) + " - " + _ewm_sql("level", 26) + " AS macd, CASE WHEN coalesce(level > " + roll_sql("avg", "level", 20) + ", false) THEN 1.0 ELSE 0.0 END AS ab FROM daily) SELECT series, dt, round(" + z_sql("c", 60) + ", 5) AS ma_cross_z, round(" + z_sql("macd", 60) + ", 5) AS macd_z, round(" + roll_sql("avg", "ab", 20) + ", 6) AS above_ma FROM m")
 def ma_cross_macd_above(spark, d):
-    return rounded(features.ma_momentum(roles.daily(spark, d), "level", W, 10, 40, 20, 60).select("series", "dt", "ma_cross_z", "macd_z", "above_ma"), ma_cross_z=5, macd_z=5)
+    return rounded(features.ma_momentum(roles.daily(spark, d), "level", W(), 10, 40, 20, 60).select("series", "dt", "ma_cross_z", "macd_z", "above_ma"), ma_cross_z=5, macd_z=5)
 
 
 @query("+ c AS (SELECT series, dt, level - lag(level) OVER (PARTITION BY series ORDER BY dt) AS dd FROM daily), v AS (SELECT series, dt, round(" + roll_sql("stddev_samp", "dd", 20) + ", 9) AS v20 FROM c), a AS (SELECT series, dt, v20, list(v20) FILTER (v20 IS NOT NULL) " + FRAME.format(251) + " AS a FROM v) SELECT series, dt, round(v20, 6) AS vol_20, round(CASE WHEN v20 IS NOT NULL AND len(a) >= 252 THEN (len(list_filter(a, lambda x: x < v20)) + (len(list_filter(a, lambda x: x = v20)) + 1) / 2) / len(a) END, 6) AS vol_rank FROM a")
 def vol_regime_rank(spark, d):
-    return rounded(features.vol_regime(roles.daily(spark, d), "level", W, (20,), 252).select("series", "dt", "vol_20", "vol_rank"))
+    return rounded(features.vol_regime(roles.daily(spark, d), "level", W(), (20,), 252).select("series", "dt", "vol_20", "vol_rank"))
 
 
 @query("SELECT series, dt, round(volume / nullif(" + roll_sql("avg", "volume", 20) + ", 0), 6) AS volume_ratio, round(" + roll_sql("avg", "volume", 5) + " / nullif(" + roll_sql("avg", "volume", 20) + ", 0), 6) AS volume_trend, round(" + roll_sql("avg", "volume", 20) + ", 6) AS volume_ma_20, round(" + z_sql("volume", 20) + ", 6) AS volume_z_20 FROM daily")
 def volume_ratio_trend(spark, d):
-    df = features.volume_features(features.volume_ratios(roles.daily(spark, d), "volume", W), "volume", W)
+    df = features.volume_features(features.volume_ratios(roles.daily(spark, d), "volume", W()), "volume", W())
     return rounded(df.select("series", "dt", "volume_ratio", "volume_trend", "volume_ma_20", "volume_z_20"))
 
 
@@ -230,7 +232,7 @@ def time_features(spark, d):
 
 @query("+ s AS (SELECT series, dt, level, level - lag(level) OVER (PARTITION BY series ORDER BY dt) AS dd FROM daily), v AS (SELECT *, " + roll_sql("stddev_samp", "dd", 20) + " AS sd FROM s) SELECT series, dt, " + ", ".join(f"lead(level, {h}) OVER w - level AS target_raw_{h}_d, round((lead(level, {h}) OVER w - level) / (CASE WHEN sd > 1e-12 THEN sd END * sqrt({h})), 6) AS target_{h}_d" for h in (1, 5, 20)) + " FROM v WINDOW w AS (PARTITION BY series ORDER BY dt)")
 def forward_targets(spark, d):
-    return rounded(features.forward_targets(roles.daily(spark, d), "level", W, (1, 5, 20)).select("series", "dt", *[f"target_{r}{h}_d" for h in (1, 5, 20) for r in ("raw_", "")]), *[f"target_raw_{h}_d" for h in (1, 5, 20)])
+    return rounded(features.forward_targets(roles.daily(spark, d), "level", W(), (1, 5, 20)).select("series", "dt", *[f"target_{r}{h}_d" for h in (1, 5, 20) for r in ("raw_", "")]), *[f"target_raw_{h}_d" for h in (1, 5, 20)])
 
 
 _CHANGES = "+ c AS (SELECT series, dt, x, y, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM both_legs WINDOW w AS (PARTITION BY series ORDER BY dt))"
@@ -243,22 +245,22 @@ def _pair_sql(expr: str, n: int, both: str = "dx") -> str:
 
 @query(_CHANGES + ", b AS (SELECT series, dt, dx, dy, " + _pair_sql("covar_samp(dx, dy) @ / nullif(var_samp(dy) @, 0)", 120) + " AS b, row_number() OVER (PARTITION BY series ORDER BY dt) - 1 AS rn FROM c), z AS (SELECT *, last_value(CASE WHEN rn % 5 = 0 THEN b END IGNORE NULLS) OVER (PARTITION BY series ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS beta FROM b), h AS (SELECT *, dx - lag(beta) OVER (PARTITION BY series ORDER BY dt) * dy AS hc FROM z) SELECT series, dt, round(beta, 6) AS beta, round(hc, 6) AS hedged_change, round(CASE WHEN hc IS NOT NULL THEN sum(hc) OVER (PARTITION BY series ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, 4) AS hedged FROM h")
 def hedged_spread(spark, d):
-    return rounded(features.hedged_spread(roles.both_legs(spark, d), "x", "y", W).select("series", "dt", "beta", "hedged_change", "hedged"), hedged=4)
+    return rounded(features.hedged_spread(roles.both_legs(spark, d), "x", "y", W()).select("series", "dt", "beta", "hedged_change", "hedged"), hedged=4)
 
 
 @query("SELECT series, dt, round(" + _pair_sql("covar_samp(x, y) @ / nullif(var_samp(y) @, 0)", 120, "x") + ", 6) AS beta FROM both_legs")
 def hedge_ratio(spark, d):
-    return rounded(roles.both_legs(spark, d).select("series", "dt", features.hedge_ratio("x", "y", W, 120).alias("beta")))
+    return rounded(roles.both_legs(spark, d).select("series", "dt", features.hedge_ratio("x", "y", W(), 120).alias("beta")))
 
 
 @query("+ c AS (SELECT series, dt, level, lag(level) OVER w AS l, level - lag(level) OVER w AS dd, level - lag(level, 5) OVER w AS k FROM daily WINDOW w AS (PARTITION BY series ORDER BY dt)), b AS (SELECT *, covar_samp(l, dd) " + FRAME.format(58) + " / nullif(var_pop(CASE WHEN dd IS NOT NULL THEN l END) " + FRAME.format(58) + ", 0) AS b, count(level) " + FRAME.format(59) + " AS n FROM c) SELECT series, dt, round(CASE WHEN n >= 60 AND b < 0 AND b > -1 THEN -ln(2) / ln(1 + b) END, 5) AS half_life, round(" + roll_sql("var_samp", "k", 60) + " / (nullif(" + roll_sql("var_samp", "dd", 60) + ", 0) * 5), 6) AS variance_ratio FROM b")
 def ou_half_life_variance_ratio(spark, d):
-    return rounded(features.spread_state(roles.daily(spark, d), "level", W).select("series", "dt", "half_life", "variance_ratio"), half_life=5)
+    return rounded(features.spread_state(roles.daily(spark, d), "level", W()).select("series", "dt", "half_life", "variance_ratio"), half_life=5)
 
 
 @query(_CHANGES + " SELECT series, dt, round(" + _pair_sql("corr(dx, dy) @", 60) + ", 6) AS leg_corr, round(" + roll_sql("stddev_samp", "dx", 60) + " / nullif(" + roll_sql("stddev_samp", "dy", 60) + ", 0), 6) AS relative_vol FROM c")
 def cross_leg_corr(spark, d):
-    return rounded(features.cross_legs(roles.both_legs(spark, d), "x", "y", W).select("series", "dt", "leg_corr", "relative_vol"))
+    return rounded(features.cross_legs(roles.both_legs(spark, d), "x", "y", W()).select("series", "dt", "leg_corr", "relative_vol"))
 
 
 # ---------------------------------------------------------------- profiles
@@ -277,7 +279,7 @@ def monthly_pivot(spark, d):
 
 @query("+ r AS (SELECT series, dt, ln(level) - lag(ln(level)) OVER (PARTITION BY series ORDER BY dt) AS ret FROM daily) SELECT CAST(year(dt) AS INTEGER) AS year, count(ret) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS std, round(CASE WHEN count(ret) > 2 THEN skewness(ret) END, 5) AS skew, round(CASE WHEN count(ret) > 3 THEN kurtosis(ret) END, 4) AS kurt FROM r WHERE series = 'lineitem' GROUP BY 1")
 def year_moments(spark, d):
-    r = features.log_returns(roles.daily(spark, d), ("level",), W).filter("series = 'lineitem'").withColumn("year", F.year("dt"))
+    r = features.log_returns(roles.daily(spark, d), ("level",), W()).filter("series = 'lineitem'").withColumn("year", F.year("dt"))
     return rounded(profile.moments(r, "year", "level_ret"), skew=5, kurt=4)
 
 
@@ -298,7 +300,7 @@ def date_steps(spark, d):
 
 @query("+ r AS (SELECT series, dt, ln(level) - lag(ln(level)) OVER (PARTITION BY series ORDER BY dt) AS ret FROM daily) SELECT series, dt + CAST((12 - isodow(dt)) % 7 AS INTEGER) AS week_end, round(sum(ret), 6) AS level_ret FROM r GROUP BY 1, 2 HAVING sum(ret) IS NOT NULL")
 def weekly_returns(spark, d):
-    return rounded(profile.weekly(features.log_returns(roles.daily(spark, d), ("level",), W), "series", "dt", "level_ret"))
+    return rounded(profile.weekly(features.log_returns(roles.daily(spark, d), ("level",), W()), "series", "dt", "level_ret"))
 
 
 @query("+ c AS (SELECT series, dt, x, CASE WHEN dt IN (SELECT dt FROM both_legs WHERE y > x) THEN NULL ELSE x END AS v, row_number() OVER (PARTITION BY series ORDER BY dt) AS r FROM both_legs), n AS (SELECT series, count(*) AS n, count(*) - count(v) AS n_gaps FROM c GROUP BY 1), e AS (SELECT series, r FROM c WHERE v IS NULL UNION ALL SELECT series, 0 FROM n UNION ALL SELECT series, n + 1 FROM n), d AS (SELECT series, r - lag(r) OVER (PARTITION BY series ORDER BY r) AS d FROM e) SELECT n.series, n, n_gaps, max(d) AS longest_clean, round(n_gaps / n, 6) AS gap_share FROM n JOIN d ON n.series = d.series GROUP BY ALL")
@@ -326,7 +328,7 @@ _LABEL = "CASE WHEN level > avg(level) OVER (PARTITION BY series ORDER BY dt ROW
 
 
 def _labelled(spark, d):
-    return roles.daily(spark, d).withColumn("state", F.when(F.col("level") > F.avg("level").over(R.last_rows(W, 20)), "high").otherwise("low"))
+    return roles.daily(spark, d).withColumn("state", F.when(F.col("level") > F.avg("level").over(R.last_rows(W(), 20)), "high").otherwise("low"))
 
 
 @query("+ l AS (SELECT series, dt, " + _LABEL + " AS state FROM daily), c AS (SELECT *, coalesce(CAST(state <> lag(state) OVER (PARTITION BY series ORDER BY dt) AS INTEGER), 0) AS ch FROM l), s AS (SELECT *, sum(ch) OVER (PARTITION BY series ORDER BY dt ROWS UNBOUNDED PRECEDING) AS spell FROM c), p AS (SELECT series, spell, state, count(*) AS length FROM s GROUP BY 1, 2, 3), t AS (SELECT series, sum(length) AS t, (count(*) - 1) / nullif(sum(length) - 1, 0) AS switch_rate FROM p GROUP BY 1) SELECT p.series, state, count(*) AS n_spells, round(avg(length), 6) AS mean_length, round(median(length), 6) AS median_length, max(length) AS max_length, round(any_value(switch_rate), 6) AS switch_rate, round(sum(length) / any_value(t), 6) AS occupancy FROM p JOIN t ON p.series = t.series GROUP BY 1, 2")
@@ -343,8 +345,8 @@ _FIVE = {c: 5 for c in ("level_mean", "fwd_mean", "fwd_sd", "t_adj", "p10", "p90
 
 
 def _forward(spark, d):
-    df = roles.daily(spark, d).filter("series = 'lineitem'").withColumn("ch", F.coalesce(F.col("level") - F.lag("level").over(W), F.lit(0.0)))
-    return df.withColumns({"month": F.month("dt"), "fwd": R.forward_sum(F.col("ch"), W, 20)})
+    df = roles.daily(spark, d).filter("series = 'lineitem'").withColumn("ch", F.coalesce(F.col("level") - F.lag("level").over(W()), F.lit(0.0)))
+    return df.withColumns({"month": F.month("dt"), "fwd": R.forward_sum(F.col("ch"), W(), 20)})
 
 
 @query(_FWD + _response_sql("month", "f"))
@@ -361,7 +363,7 @@ def _rank_sql(frame: str, least: int) -> str:
 
 
 def _buckets(spark, d, n, least):
-    df = _forward(spark, d).withColumn("rk", F.round(R.pct_rank(F.round("level", 9), W, n, least), 9))
+    df = _forward(spark, d).withColumn("rk", F.round(R.pct_rank(F.round("level", 9), W(), n, least), 9))
     return rounded(profile.conditional_response(profile.quantile_buckets(df, "rk", 5), "bucket", "level", "ch", "fwd", 20, 100), **_FIVE)
 
 
@@ -377,7 +379,7 @@ def expanding_quintiles(spark, d):
 
 @query("+ l AS (SELECT series, dt, " + _LABEL + " AS state, coalesce(ln(level) - lag(ln(level)) OVER (PARTITION BY series ORDER BY dt), 0) / 100 AS ret FROM daily), e AS (SELECT *, exp(sum(ret) OVER (PARTITION BY series, state ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS eq FROM l), g AS (SELECT *, eq / max(eq) OVER (PARTITION BY series, state ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e), t AS (SELECT series, state, count(*) AS n, avg(ret) * 252 AS ann_ret, stddev_samp(ret) * sqrt(252) AS ann_vol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, skewness(ret) AS skew, kurtosis(ret) AS kurt, min(dd) AS max_drawdown FROM g GROUP BY 1, 2) SELECT series, state, n, round(ann_ret, 5) AS ann_ret, round(ann_vol, 5) AS ann_vol, round(sharpe, 5) AS sharpe, round(hit_rate, 6) AS hit_rate, round(skew, 4) AS skew, round(kurt, 4) AS kurt, round(max_drawdown, 5) AS max_drawdown, round(n / sum(n) OVER (PARTITION BY series), 6) AS share FROM t")
 def profile_by_state(spark, d):
-    df = _labelled(spark, d).withColumn("ret", F.coalesce(F.log("level") - F.lag(F.log("level")).over(W), F.lit(0.0)) / 100)
+    df = _labelled(spark, d).withColumn("ret", F.coalesce(F.log("level") - F.lag(F.log("level")).over(W()), F.lit(0.0)) / 100)
     return rounded(profile.regime_profile(df, "state", "ret", "dt", "series"), ann_ret=5, ann_vol=5, sharpe=5, skew=4, kurt=4, max_drawdown=5)
 
 
@@ -388,7 +390,7 @@ _SCREEN = "+ c0 AS (SELECT series, dt, level, volume, level - lag(level) OVER (P
 
 def _screened(spark, d):
     df = roles.daily(spark, d).filter("series = 'lineitem'")
-    return df.withColumns({"lz": R.zscore(F.col("level"), W, 20), "vz": R.zscore(F.col("volume"), W, 20), **{f"t{h}": F.lead("level", h).over(W) - F.col("level") for h in (1, 5)}})
+    return df.withColumns({"lz": R.zscore(F.col("level"), W(), 20), "vz": R.zscore(F.col("volume"), W(), 20), **{f"t{h}": F.lead("level", h).over(W()) - F.col("level") for h in (1, 5)}})
 
 
 @query(_SCREEN + " SELECT feature, target, round(corr(rx, ry), 6) AS ic, count(*) AS n FROM rk GROUP BY 1, 2")
@@ -441,8 +443,8 @@ _PNL = "+ s AS (SELECT series, dt, level, ln(level) - lag(ln(level)) OVER (PARTI
 
 
 def _traded(spark, d):
-    df = features.log_returns(roles.daily(spark, d), ("level",), W).withColumn("sig", R.zscore(F.col("level"), W, 20))
-    return df.withColumn("fwd", F.lead("level_ret", 1).over(W) / 50)
+    df = features.log_returns(roles.daily(spark, d), ("level",), W()).withColumn("sig", R.zscore(F.col("level"), W(), 20))
+    return df.withColumn("fwd", F.lead("level_ret", 1).over(W()) / 50)
 
 
 @query(_PNL + ", e AS (SELECT *, product(1 + pnl) OVER w AS eq FROM p WINDOW w AS (PARTITION BY series, o ORDER BY dt ROWS UNBOUNDED PRECEDING)), g AS (SELECT *, eq / max(eq) OVER (PARTITION BY series, o ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e), t AS (SELECT series, o, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(pnl) AS ev, product(1 + pnl) - 1 AS total, min(dd) AS max_drawdown, avg(pnl) / stddev_samp(pnl) * sqrt(50.4) AS sharpe, avg(pnl) / sqrt(avg(power(least(pnl, 0), 2))) * sqrt(50.4) AS sortino, avg(pnl) / stddev_samp(pnl) * sqrt(count(*)) AS t FROM g GROUP BY 1, 2) SELECT series, count(*) AS n_offsets, round(avg(n), 4) AS n, round(avg(win_rate), 6) AS win_rate, round(avg(ev), 6) AS ev, round(avg(total), 5) AS total, round(avg(max_drawdown), 5) AS max_drawdown, round(avg(sharpe), 5) AS sharpe, round(avg(sortino), 5) AS sortino, round(avg(t), 5) AS t, round(min(sharpe), 5) AS sharpe_min, round(max(sharpe), 5) AS sharpe_max FROM t GROUP BY 1")
