@@ -48,6 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in no more partitions than the cluster runs tasks, for a small result of a stage that follows a shuffle."""
+    return df.coalesce(max(8, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -186,10 +191,11 @@ def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def split_by(df: DataFrame, column: str, bits, deflate: str = "") -> tuple[DataFrame, DataFrame]:
+def split_by(df: DataFrame, column: str, bits, deflate: str = "", rest=None, schema=None) -> tuple[DataFrame, DataFrame]:
     """The rows whose hash in a long column may be in the bit set, and those whose hash surely is not.
 
     The string column deflate of the first ones, which go to a shuffle, becomes compressed bytes; inflated() undoes it.
+    rest turns the batches of the second ones into rows of schema in the same pass, and so in the same worker.
     """
 
     def part(yes: bool) -> DataFrame:
@@ -205,8 +211,9 @@ def split_by(df: DataFrame, column: str, bits, deflate: str = "") -> tuple[DataF
                     batch = batch.set_column(batch.schema.get_field_index(deflate), deflate, small)
                 yield batch
 
-        schema = df.withColumn(deflate, F.lit(None).cast("binary")).schema if yes and deflate else df.schema
-        return df.mapInArrow(run, schema)
+        if rest and not yes:
+            return df.mapInArrow(lambda batches: rest(run(batches)), schema)
+        return df.mapInArrow(run, df.withColumn(deflate, F.lit(None).cast("binary")).schema if yes and deflate else df.schema)
 
     return part(True), part(False)
 

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import few_files, materialize, table
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold differs in 9.6 of 64 bits on average, with a deviation of 2.9.
@@ -76,18 +76,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, simi
     """
     blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
     items = benchmark.select("item_id", "text").filter(~blank).distinct().select("item_id", shingle_array(F.col("text"), words).alias("s"))
-    items = materialize(items.select("item_id", "s", F.size("s").alias("n"), simhash("s").alias("print"), F.xxhash64("item_id", "s").alias("item")).distinct(), "items")
+    items = materialize(items.select("item_id", "s", F.size("s").alias("n"), simhash("s").alias("print"), F.xxhash64("item_id", "s").alias("item")).distinct().transform(few_files), "items")
     seeds = items.select(F.col("n").alias("n"), F.posexplode("s").alias("q", "h")).distinct()
     docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
     spots = docs.select("doc", shingle_array(F.col("text"), words).alias("s")).select("doc", F.size("s").alias("m"), F.posexplode_outer("s").alias("p", "h"))
     seeds = F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("m") - F.col("n")))
-    laid = materialize(spots.join(seeds, "h").select("doc", "n", start.alias("start")).distinct(), "windows")
+    laid = materialize(spots.join(seeds, "h").select("doc", "n", start.alias("start")).distinct().transform(few_files), "windows")
     ids = laid.select("doc").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     held = docs.join(ids, "doc", "left_semi").select("doc", shingle_array(F.col("text"), words).alias("s"))
     windows = held.join(laid, "doc").withColumn("w", F.slice("s", F.col("start") + 1, F.col("n"))).select("doc", "n", "start", "w")
-    windows = materialize(windows.select("doc", "start", "n", "w", simhash("w").alias("print"), F.monotonically_increasing_id().alias("id")), "prints")
+    windows = materialize(few_files(windows).select("doc", "start", "n", "w", simhash("w").alias("print"), F.monotonically_increasing_id().alias("id")), "prints")
     met = windows.select("id", "n", F.col("print").alias("p"), F.explode(block_values("print", radius, blocks, False)).alias("b")).select("id", "n", "p", "b.*")
     index = items.select("item", "n", F.col("print").alias("q"), F.explode(block_values("print", radius, blocks, True)).alias("b")).select("item", "n", "q", "b.*")
     near = met.join(index, ["n", "block", "value"]).filter(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius).select("id", "item").distinct()
@@ -96,12 +96,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, simi
     common = mine.join(counts, ["item", "h"], "left").groupBy("id", "item").agg(F.sum(F.least("k", F.coalesce("c", F.lit(0)))).alias("common"), F.sum("k").alias("total"))
     scored = common.join(items.select("item", "item_id", F.col("n").alias("size")), "item").withColumn("similarity", F.col("common") / (F.col("total") + F.col("size") - F.col("common"))).filter(F.col("similarity") >= similarity)
     best = scored.join(windows.select("id", "doc", "start", F.size("w").alias("len")), "id").groupBy("doc", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "len")).alias("best"))
-    return best.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "item_id", (-F.col("best.back")).alias("start"), (F.col("best.len") + words - 1).alias("n_words"), F.col("best.similarity").alias("similarity"))
+    return few_files(best).select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "item_id", (-F.col("best.back")).alias("start"), (F.col("best.len") + words - 1).alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs less those that hold an item; rows without an id stay unless such a row holds one."""
-    gone = materialize(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    gone = materialize(contaminated(docs, benchmark).select("doc_id").distinct().transform(few_files), "contaminated")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
