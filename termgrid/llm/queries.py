@@ -25,4 +25,47 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # every window of 13 words, the least document that holds it, and the words that later ones lose
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM spot),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (k) WHERE doc_id > m),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t, count(*) AS n FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    # every window of 3 lines and its first place; a text that loses nothing is hashed as it is
+    "op5_line_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], chr(10)) AS k FROM spot),
+first AS (SELECT k, min((doc_id, i)) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM win JOIN first USING (k) WHERE (doc_id, i) > m),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, chr(10) ORDER BY word.p) AS t, count(*) AS n FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_lines, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(CASE WHEN len(w) = coalesce(n, 0) THEN text ELSE coalesce(t, '') END) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    # all pairs with a common n-gram; what links reach, by closure
+    "op4_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS k FROM spot),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM g a JOIN g b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM common JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 5 * m >= 4 * (cx.n + cy.n - m)),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT e.x, reach.r FROM reach JOIN e ON e.y = reach.doc_id),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY 1)
+SELECT reach.doc_id, min(r) AS class_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links FROM reach LEFT JOIN n ON n.x = reach.doc_id GROUP BY 1""",
+    # windows wherever a shared n-gram says that an item would begin, without fingerprints
+    "op10_decontamination": r"""
+WITH t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') FROM benchmark),
+spot AS (SELECT side, id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS p FROM t WHERE len(w) > 0),
+g AS (SELECT side, id, p, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p + 1:p + 5], ' ') END AS k, greatest(len(w) - 4, 1) AS n FROM spot),
+near AS (SELECT DISTINCT a.id AS doc_id, b.id AS item_id, greatest(0, least(a.p - b.p, a.n - b.n)) AS s, b.n, least(a.n, b.n) AS len FROM g a JOIN g b ON a.side = 'd' AND b.side = 'i' AND a.k = b.k),
+mine AS (SELECT doc_id, item_id, s, near.n, len, k, count(*) AS c FROM near JOIN g ON g.side = 'd' AND g.id = doc_id AND g.p >= s AND g.p < s + near.n GROUP BY ALL),
+own AS (SELECT id AS item_id, k, count(*) AS c FROM g WHERE side = 'i' GROUP BY 1, 2),
+sim AS (SELECT doc_id, item_id, s, n, len, sum(least(mine.c, coalesce(own.c, 0))) AS m, sum(mine.c) AS total FROM mine LEFT JOIN own USING (item_id, k) GROUP BY 1, 2, 3, 4, 5),
+best AS (SELECT doc_id, item_id, max((m / (total + n - m), -s, len)) AS b FROM sim WHERE m / (total + n - m) >= 0.8 GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(-b[2] AS INTEGER) AS start, CAST(b[3] + 4 AS INTEGER) AS n_words, CAST(b[1] AS DOUBLE) AS similarity FROM best""",
+}
