@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, held_out, lists, mix, pieces, slices, span_hashes, table, text_batches
+from .common import bounded_sample, gram_hashes, held_out, lists, mix, pieces, slices, span_hashes, table, text_batches
 
 #: log2 of the number of features; labelled rows that a fit takes at most; score from which a row is of quality 1.
-FEATURE_BITS, FIT_ROWS, ACCEPT = 18, 6000, 0.7
+FEATURE_BITS, FIT_ROWS, ACCEPT = 18, 4000, 0.7
 _COST, _EPOCHS, _SMOOTH = 1.0, 8, 1.0
 
 
@@ -53,7 +53,7 @@ def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray,
 def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float, epochs: int, size: int) -> np.ndarray:
     """Weights, the bias last, of an L2 support vector machine with hinge loss. Rows are scaled to length 1."""
     rng = np.random.default_rng(0)
-    x = [scale[r] for r in rows]
+    x = [scale[r].astype(np.float32) for r in rows]
     x = [v / max(np.sqrt(v @ v), 1e-12) for v in x]
     w, a, q = np.zeros(size + 1), np.zeros(len(rows)), np.array([v @ v + 1 for v in x])
     for _ in range(epochs):
@@ -133,7 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bi
     Rows without an id, a label or a document do not count; of an id's labels the mean decides, a tie for 1.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = bounded_sample(known, F.xxhash64("doc_id"), fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -96,10 +96,14 @@ def mark_repeats(docs: DataFrame, unit: str, k: int, w: int, within: bool, bits:
     gone = materialize(gone, f"{unit}-gone")
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("_h", F.xxhash64("_doc"))
-    touched, clean = split_by(keyed, "_h", some, deflate="text")
+
+    def nothing_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("gone", pa.nulls(batch.num_rows, pa.list_(pa.int64()))).append_column("spare", pa.nulls(batch.num_rows, pa.list_(pa.int32())))
+
+    touched, clean = split_by(keyed, "_h", some, "text", lambda batches: finish(nothing_gone(batches)), schema)
     touched = touched.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*docs.columns, "gone", "spare")
-    clean = clean.select(*docs.columns, F.lit(None).cast("array<bigint>").alias("gone"), F.lit(None).cast("array<int>").alias("spare"))
-    return touched.mapInArrow(lambda batches: finish(inflated(batches, "text")), schema).unionByName(clean.mapInArrow(finish, schema))
+    return touched.mapInArrow(lambda batches: finish(inflated(batches, "text")), schema).unionByName(clean)
 
 
 def cover(batch: pa.RecordBatch, unit: str, k: int, w: int) -> Iterator[tuple]:
