@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
 #: Rows that the rotations are learned on; bits of a code; substrings of it.
 SAMPLE, BITS, PARTS = 4000, 128, 16
@@ -138,7 +138,7 @@ def search(rows: DataFrame, queries: DataFrame, id_column: str = "vec_id", vecto
     clean = lambda df: usable(df.filter(F.col(id_column).isNotNull()), vector).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows, queries = clean(rows), clean(queries)
     none = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    picked = bounded_sample(rows, F.xxhash64("id"), sample).toArrow()
     if not picked.num_rows:
         return none
     vectors = picked["v"].to_pylist()
