@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call works on; a single longer text is taken alone.
-SLICE_BYTES = 1 << 20
-_M64 = (1 << 64) - 1
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)

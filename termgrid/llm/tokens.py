@@ -15,7 +15,7 @@ import numpy as np
 from .common import _BASE, _BASE_INV, _power, mix
 
 #: Code points of one call, and words a worker keeps before it starts afresh.
-CALL, KEEP = 1 << 20, 1_500_000
+CALL, KEEP = 1 << 19, 1_500_000
 _LETTER, _DIGIT, _BLANK, _SIGN = 0, 1, 2, 3
 _tables: dict[str, Words] = {}
 
