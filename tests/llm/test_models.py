@@ -192,3 +192,23 @@ def test_entry_registers_one_query_for_each_operator():
 
     names = e.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_language_models_keep_every_n_gram(spark):
+    from termgrid.llm.langid import TableModel, fit_languages, identify
+
+    rng = random.Random(8)
+    big = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(40)]
+    rows = [(t, "big") for t in big] + [("qrst uvwx yzqr", "few"), ("12 34", "none"), (None, "big"), ("text", None)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate([*big, "qrst uvwx", "uvwx yzqr", "zzz kkk", "", "42", None, "Ω≈ç" * 2000])] + [(1, big[1])], "doc_id long, text string")
+    small, tables = fit_languages(train), fit_languages(train, max_grams=100)
+    assert isinstance(tables, TableModel) and tables.languages == small.languages == ["big", "few"]
+    assert tables.mean == pytest.approx(small.mean, abs=1e-6) and tables.pass_mark == pytest.approx(small.pass_mark, abs=1e-5)
+    key = lambda r: (r.doc_id, r.lang_pred)
+    want, got = (sorted(identify(asked, m).collect(), key=key) for m in (small, tables))
+    assert len(got) == len(want) == 48
+    for a, b in zip(got, want):
+        assert (a.doc_id, a.text, a.lang_pred, a.lang_rejected) == (b.doc_id, b.text, b.lang_pred, b.lang_rejected)
+        assert (a.lang_score, a.lang_entropy) == (pytest.approx(b.lang_score, abs=1e-4), pytest.approx(b.lang_entropy, abs=1e-5))
+    assert {r.lang_pred for r in got if r.doc_id in (40, 41)} == {"few"}
