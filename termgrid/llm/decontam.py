@@ -1,7 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, weighted shingles decide.
 
-DataFrame functions only. A window can reach the similarity only if it shares a shingle with its item, so windows are
-laid where a shared shingle says the item would begin. Their fingerprints meet the items' in blocks: within the radius
+DataFrame functions only. A window can reach the similarity only if enough of its places hold shingles of an item of its
+size. Moved one place on from a place that holds none, it loses nothing, so the best one begins at such a place or is the
+text's last: windows are laid there wherever the places are enough, and where a shared shingle says the item would begin.
+Shingles may thus stand in any order. The windows' fingerprints meet the items' in blocks: within the radius
 some block differs in at most radius / blocks bits, and items are indexed under all such values of each block. Every
 fingerprint within the radius is thus met; the exact similarity of the shingles, weighted by their counts, decides.
 """
@@ -66,12 +68,30 @@ def _block(value: Column, b: int, masks: Column) -> Column:
     return F.transform(masks, lambda m: F.struct(F.lit(b).alias("block"), value.bitwiseXOR(m).alias("value")))
 
 
+def dense_starts(places: Column, m: Column, n: Column, similarity: float) -> Column:
+    """Starts of windows of n of a text's m shingles that may reach the similarity, from the sorted places of items' shingles.
+
+    c common of w and n shingles have the similarity c / (w + n - c). Some best window begins at one of the places or is the last.
+    """
+    need = F.ceil(F.lit(similarity) / (1 + similarity) * (F.least(m, n) + n) - 1e-9).cast("int")
+    last = F.greatest(F.lit(0), m - n)
+
+    def starts(x: Column) -> Column:
+        size = F.size(x.ps)
+        full = F.filter(F.sequence(F.lit(0), size - x.need), lambda j: (F.get(x.ps, j) < x.last) & (F.get(x.ps, j + x.need - 1) < F.get(x.ps, j) + x.n))
+        end = F.when(F.get(x.ps, size - x.need) >= x.last, F.array(x.last)).otherwise(F.array().cast("array<int>"))
+        return F.when(size >= x.need, F.concat(F.transform(full, lambda j: F.get(x.ps, j)), end)).otherwise(F.array().cast("array<int>"))
+
+    return bound(F.struct(places.alias("ps"), F.greatest(need, F.lit(1)).alias("need"), last.alias("last"), n.alias("n")), starts)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: for each document and item of benchmark that some window matches, the best one.
 
     docs: doc_id long, text; benchmark: item_id, text. A window has as many words as its item (the whole text, if that is
     shorter); start counts words from 0. The similarity is the sum of the lesser counts of the two sides' word n-grams
-    over that of the greater ones. Windows begin where a shared n-gram says that the item would; ties go to the least start. Null and blank texts match nothing. Repeated rows and
+    over that of the greater ones, the greatest that any window reaches. Of equal ones those count first that begin where a
+    shared n-gram says that the item would, then the least start. Null and blank texts match nothing. Repeated rows and
     rows with equal ids are answered by one row; a null doc_id is an id of its own. Other columns are left out.
     """
     blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
@@ -82,12 +102,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, simi
     spots = docs.select("doc", shingle_array(F.col("text"), words).alias("s")).select("doc", F.size("s").alias("m"), F.posexplode_outer("s").alias("p", "h"))
     seeds = F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("m") - F.col("n")))
-    laid = materialize(spots.join(seeds, "h").select("doc", "n", start.alias("start")).distinct().transform(few_files), "windows")
+    # both lists of places are shorter than the longest text
+    hits = spots.join(seeds, "h").groupBy("doc", "m", "n").agg(F.collect_set("p").alias("ps"), F.collect_set(start).alias("aligned"))
+    begins = hits.select("doc", "m", "n", "aligned", dense_starts(F.array_sort("ps"), F.col("m"), F.col("n"), similarity).alias("dense"))
+    lay = lambda starts, aligned: F.transform(starts, lambda x: F.struct(x.alias("start"), F.lit(aligned).alias("aligned")))
+    begins = begins.select("doc", "m", "n", F.explode(F.concat(lay(F.col("aligned"), 1), lay(F.array_except("dense", "aligned"), 0))).alias("at"))
+    laid = materialize(few_files(begins).select("doc", "m", "n", "at.*"), "windows")
     ids = laid.select("doc").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     held = docs.join(ids, "doc", "left_semi").select("doc", shingle_array(F.col("text"), words).alias("s"))
-    windows = held.join(laid, "doc").withColumn("w", F.slice("s", F.col("start") + 1, F.col("n"))).select("doc", "n", "start", "w")
-    windows = materialize(few_files(windows).select("doc", "start", "n", "w", simhash("w").alias("print"), F.monotonically_increasing_id().alias("id")), "prints")
+    windows = held.withColumn("m", F.size("s")).join(laid, ["doc", "m"]).withColumn("w", F.slice("s", F.col("start") + 1, F.col("n"))).select("doc", "n", "start", "aligned", "w")
+    windows = materialize(few_files(windows).select("doc", "start", "aligned", "n", "w", simhash("w").alias("print"), F.monotonically_increasing_id().alias("id")), "prints")
     met = windows.select("id", "n", F.col("print").alias("p"), F.explode(block_values("print", radius, blocks, False)).alias("b")).select("id", "n", "p", "b.*")
     index = items.select("item", "n", F.col("print").alias("q"), F.explode(block_values("print", radius, blocks, True)).alias("b")).select("item", "n", "q", "b.*")
     near = met.join(index, ["n", "block", "value"]).filter(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius).select("id", "item").distinct()
@@ -95,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, simi
     mine = windows.select("id", F.explode("w").alias("h")).join(near, "id").groupBy("id", "item", "h").agg(F.count("*").alias("k"))
     common = mine.join(counts, ["item", "h"], "left").groupBy("id", "item").agg(F.sum(F.least("k", F.coalesce("c", F.lit(0)))).alias("common"), F.sum("k").alias("total"))
     scored = common.join(items.select("item", "item_id", F.col("n").alias("size")), "item").withColumn("similarity", F.col("common") / (F.col("total") + F.col("size") - F.col("common"))).filter(F.col("similarity") >= similarity)
-    best = scored.join(windows.select("id", "doc", "start", F.size("w").alias("len")), "id").groupBy("doc", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "len")).alias("best"))
+    best = scored.join(windows.select("id", "doc", "start", "aligned", F.size("w").alias("len")), "id").groupBy("doc", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"), "len")).alias("best"))
     return few_files(best).select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "item_id", (-F.col("best.back")).alias("start"), (F.col("best.len") + words - 1).alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 

@@ -231,6 +231,35 @@ def test_contamination_matches_all_aligned_windows(spark):
     assert kept == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_contamination_finds_reordered_items(spark):
+    from termgrid.llm.decontam import contaminated
+
+    rng = random.Random(12)
+    items = [(k, words(rng, n, 900)) for k, n in enumerate((60, 60, 90, 61))]
+    part = [t.split() for _, t in items]
+    around = lambda x: words(rng, 25, 900) + " " + " ".join(x) + " " + words(rng, 30, 900)
+    docs = [(0, around(part[0][30:] + part[0][:30])), (1, around(part[1][12:] + part[1][:12])), (2, around(part[2])), (3, " ".join(part[3][20:] + part[3][:20]))]
+    docs += [(4, around(part[2][45:] + part[2][:45]) + " " + " ".join(part[0][5:])), (5, around(part[0][:30])), (None, around(part[1][50:] + part[1][:50])), (None, around(part[0]))]
+
+    def grams(t):
+        w = t.split()
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = {}
+    for i, t in docs:
+        s = grams(t)
+        for j, u in items:
+            g = grams(u)
+            for a in range(max(0, len(s) - len(g)) + 1):  # every window
+                w = s[a : a + len(g)]
+                c = sum((Counter(w) & Counter(g)).values())
+                if c / (len(w) + len(g) - c) >= 0.8:
+                    want[i, j] = max(want.get((i, j), 0), c / (len(w) + len(g) - c))
+    rows = contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in rows}
+    assert got == pytest.approx(want) and {(0, 0), (1, 1), (2, 2), (3, 3), (4, 2), (4, 0), (None, 0), (None, 1)} == want.keys()
+
+
 def test_empty_tables(spark):
     from termgrid.llm.decontam import contaminated
     from termgrid.llm.langid import fit_languages, identify
