@@ -547,7 +547,7 @@ def feature_diagnostics(spark, d):
 
 @query()
 def gmm_select(spark, d):
-    return rounded(regimes.select_components(spark, _regime_features(spark, d), "dt", _COLUMNS, (1, 2, 3), ("full", "diag")))
+    return rounded(regimes.select_components(spark, _regime_features(spark, d), "dt", _COLUMNS, tuple(range(1, 9)), ("full", "diag", "tied", "spherical")))
 
 
 @query()
@@ -557,7 +557,7 @@ def fit_regimes(spark, d):
 
 @query()
 def label_stability(spark, d):
-    return rounded(regimes.label_stability(spark, _regime_features(spark, d), "dt", _COLUMNS, 2, seeds=3, samples=3))
+    return rounded(regimes.label_stability(spark, _regime_features(spark, d), "dt", _COLUMNS, 2, seeds=15, samples=25))
 
 
 @query()

@@ -55,3 +55,8 @@ def test_entry_has_rows(spark):
 @pytest.mark.parametrize("name", ["adf_by_contract", "autoregression", "hac_regression", "regime_features", "split_stability"])
 def test_fitted_queries_have_rows(spark, name):
     assert Q.QUERIES[name](spark, SF.replace("0.001", "0.01")).count() > 0
+
+
+@pytest.mark.parametrize(("name", "rows"), [("gmm_select", 8 * 4), ("label_stability", 15 + 25)])
+def test_fits_are_as_many_as_in_the_reference(spark, name, rows):
+    assert Q.QUERIES[name](spark, SF.replace("0.001", "0.01")).count() == rows
