@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a randomness battery with length-aware control of false discoveries.
 
-DataFrame functions only. A candidate is a long token of letters and digits. Its encoding is inferred from its signs,
+DataFrame functions only. A candidate is a long token with a letter. Its encoding is inferred from its signs,
 and three tests ask whether it is a uniform draw from that alphabet: chi-squared of the signs' counts, runs above and
 below the middle of the alphabet, serial correlation of neighbours. Their squared deviations add up to one p-value,
 uniform for random strings and near 0 for words. In each class of encoding and length the p-values above a half tell how
@@ -20,56 +20,71 @@ _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["'
 #: kind -> pattern; hex and access take their least length into the pattern, which matches the same runs.
 KINDS = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{14,}+", "hex": r"[0-9a-f]{16,}+"}
 _SIGNS = "A-Za-z0-9+/_-"
-RANDOM = rf"(?:\G|(?<![{_SIGNS}]))(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{_SIGNS}]{{20,}}+={{0,2}}"
+#: A token of 20 signs or more with a letter; digits alone are numbers, not secrets.
+RANDOM = rf"(?:\G|(?<![{_SIGNS}]))(?=[0-9+/_-]*+[A-Za-z])[{_SIGNS}]{{20,}}+={{0,2}}"
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: encoding -> signs in order; the first that fits is taken.
 ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "HEX": "0123456789ABCDEF",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "hex": _DIGITS + "abcdef",
+    "HEX": _DIGITS + "ABCDEF",
+    "lower26": _LOWER,
+    "UPPER26": _UPPER,
+    "base32": _UPPER + "234567",
+    "lower36": _DIGITS + _LOWER,
+    "alpha52": _UPPER + _LOWER,
+    "base62": _UPPER + _LOWER + _DIGITS,
+    "base64": _UPPER + _LOWER + _DIGITS + "+/",
+    "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
-#: Share of false discoveries; the cut of a class with too few candidates for an estimate; the fewest that allow one.
-RATE, DEFAULT_CUT, FEW = 0.1, 0.05, 40
+#: Share of false discoveries; candidates that every class is taken to hold besides its own, half of them random.
+RATE, PRIOR = 0.1, 40
 _BINS = 40
 #: Lengths at which a class begins.
 LENGTHS = (20, 24, 32, 48, 96)
 
 
 def battery(value: Column) -> Column:
-    """Struct (encoding, n, chi, runs, serial, p) of a token; null if no alphabet fits."""
-    bare = F.regexp_replace(value, "=+$", "")
-    encoding = F.lit(None).cast("string")
-    for name, signs in reversed(ALPHABETS.items()):
-        cls = signs.replace("-", r"\-")
-        encoding = F.when(bare.rlike(rf"^[{cls}]+\z"), F.lit(name)).otherwise(encoding)
-    signs = F.lit("")
-    for name, alphabet in ALPHABETS.items():
-        signs = F.when(encoding == name, F.lit(alphabet)).otherwise(signs)
+    """Struct (encoding, n, chi, runs, serial, p) of a token; null if no alphabet fits.
+
+    The token is cut into signs once and each step is bound to a name, so the work is that of sorting its signs.
+    """
+
+    def encoded(bare: Column) -> Column:
+        encoding = F.lit(None).cast("string")
+        for name, signs in reversed(ALPHABETS.items()):
+            cls = signs.replace("-", r"\-")
+            encoding = F.when(bare.rlike(rf"^[{cls}]+\z"), F.lit(name)).otherwise(encoding)
+        return F.struct(bare.alias("bare"), encoding.alias("encoding"))
+
+    def valued(t: Column) -> Column:
+        signs = F.lit("")
+        for name, alphabet in ALPHABETS.items():
+            signs = F.when(t.encoding == name, F.lit(alphabet)).otherwise(signs)
+        values = lambda s: F.transform(F.split(t.bare, ""), lambda c: (F.position(c, s) - 1).cast("double"))
+        x = bound(signs, lambda s: F.struct(t.encoding.alias("encoding"), F.length(s).cast("double").alias("a"), values(s).alias("v")))
+        return F.when(t.encoding.isNotNull() & (F.length(t.bare) >= LENGTHS[0]), bound(bound(x, tests), joined))
 
     def tests(x: Column) -> Column:
-        n, a, v = F.size(x.v).cast("double"), F.length(x.signs).cast("double"), x.v
-        pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, d: s + F.pow(F.size(F.filter(v, lambda y: y == d)).cast("double"), F.lit(2.0)))
+        n, a, v = F.size(x.v).cast("double"), x.a, x.v
+        pairs = lambda: F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        # each sign adds what the square of its count grows by
+        met = lambda z, y: F.struct(y.alias("last"), F.when(z["last"] == y, z.run + 2).otherwise(1.0).alias("run"), (z.total + F.when(z["last"] == y, z.run + 2).otherwise(1.0)).alias("total"))
+        squares = F.aggregate(F.array_sort(v), F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total")), met, lambda z: z.total)
         chi = (a / n * squares - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
         high = lambda y: y * 2 >= a
-        runs = F.aggregate(pairs, F.lit(1.0), lambda s, y: s + F.when(high(y.p) != high(y.q), 1.0).otherwise(0.0))
+        runs = F.aggregate(pairs(), F.lit(1.0), lambda s, y: s + F.when(high(y.p) != high(y.q), 1.0).otherwise(0.0))
         middle, spread = (a - 1) / 2, (a * a - 1) / 12
-        serial = F.aggregate(pairs, F.lit(0.0), lambda s, y: s + (y.p - middle) * (y.q - middle)) / spread / F.sqrt(n - 1)
+        serial = F.aggregate(pairs(), F.lit(0.0), lambda s, y: s + (y.p - middle) * (y.q - middle)) / spread / F.sqrt(n - 1)
         return F.struct(x.encoding.alias("encoding"), F.size(v).alias("n"), chi.alias("chi"), ((runs - (n + 1) / 2) / (F.sqrt(n - 1) / 2)).alias("runs"), serial.alias("serial"))
 
     def joined(t: Column) -> Column:
-        # only an excess of repeats speaks against chance; chi-squared of 3 to a normal deviate by its cube root
-        q = F.pow(F.greatest(t.chi, F.lit(0.0)), F.lit(2.0)) + t.runs * t.runs + t.serial * t.serial
+        # chi-squared of 3 to a normal deviate by its cube root
+        q = t.chi * t.chi + t.runs * t.runs + t.serial * t.serial
         z = (F.pow(q / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / (2 / 27) ** 0.5
         p = 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
         return F.struct(t.encoding.alias("encoding"), t.n.alias("n"), t.chi.alias("chi"), t.runs.alias("runs"), t.serial.alias("serial"), p.alias("p"))
 
-    values = F.transform(F.sequence(F.lit(1), F.length(bare)), lambda i: (F.position(F.substr(bare, i, F.lit(1)), signs) - 1).cast("double"))
-    x = F.struct(encoding.alias("encoding"), signs.alias("signs"), values.alias("v"))
-    return F.when(encoding.isNotNull() & (F.length(bare) >= LENGTHS[0]), bound(bound(x, tests), joined))
+    return bound(bound(F.regexp_replace(value, "=+$", ""), encoded), valued)
 
 
 def length_class(n: Column) -> Column:
@@ -79,26 +94,21 @@ def length_class(n: Column) -> Column:
     return out
 
 
-def cuts(candidates: DataFrame, rate: float = RATE) -> dict[tuple[str, int], float]:
-    """The least p by (encoding, class of length), from all candidates (encoding, n, p).
+def cuts(candidates: DataFrame, rate: float = RATE, prior: float = PRIOR) -> dict[tuple[str, int], float]:
+    """The least p by (encoding, class of length), from all candidates (encoding, n, p), by one rule at every size.
 
-    At most seven encodings, five classes and 40 bins of p reach the driver.
+    A class also counts prior candidates, one half random and the other no secrets with the least p: they stand for what is not
+    known of a small class and weigh nothing in a large one. At most ten encodings, five classes and 40 bins of p reach the driver.
     """
     bins = candidates.groupBy("encoding", length_class(F.col("n")).alias("k"), F.least(F.floor(F.col("p") * _BINS), F.lit(_BINS - 1)).cast("int").alias("b")).count().collect()
-    seen: dict[tuple[str, int], list[int]] = {}
+    seen: dict[tuple[str, int], list[float]] = {}
     for r in bins:
-        seen.setdefault((r["encoding"], r["k"]), [0] * _BINS)[r["b"]] = r["count"]
+        seen.setdefault((r["encoding"], r["k"]), [prior / 2 / _BINS + (prior / 2 if b == 0 else 0) for b in range(_BINS)])[r["b"]] += r["count"]
     out = {}
     for key, n in seen.items():
         random = 2 * sum(n[_BINS // 2 :])
-        out[key] = DEFAULT_CUT
-        if sum(n) >= FEW:
-            out[key] = 1.0
-            for b in range(1, _BINS):
-                taken, true = sum(n[b:]), random * (1 - b / _BINS)
-                if taken and max(0.0, taken - true) <= rate * taken:
-                    out[key] = b / _BINS
-                    break
+        meets = (b for b in range(1, _BINS) if sum(n[b:]) - random * (1 - b / _BINS) <= rate * sum(n[b:]))
+        out[key] = next(meets, _BINS) / _BINS
     return out
 
 
@@ -110,7 +120,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rate:
     to the shared folder once, as the cuts of the random tokens depend on all of them.
     """
     out = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    signs = {"assign": F.col("_text").rlike("[:=]"), "access": F.contains("_text", F.lit("AKIA")), "hex": F.lit(True), "random": F.col("_text").rlike("[0-9]")}
+    signs = {"assign": F.col("_text").rlike("[:=]"), "access": F.contains("_text", F.lit("AKIA")), "hex": F.lit(True), "random": F.col("_text").rlike(f"[{_SIGNS}]{{20}}")}
     for k, (kind, pattern) in enumerate((KINDS | {"random": RANDOM}).items()):
         out = located(out, "_text", pattern, signs[kind], f"_{kind}")
         out = out.withColumn(f"_{kind}", _passed(F.col(f"_{kind}"), k, kind, pattern))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, h string, n string, w string, pii string, gone string, lang string, source string, n_chars long"
 
@@ -281,6 +281,48 @@ def test_empty_tables(spark):
 
 
 def test_digest_of_no_spans(spark):
-    from termgrid.llm.pii import span_text
+    from termgrid.llm.pii import find_pii, span_text
 
-    assert spark.range(1).selectExpr("array() as a").selectExpr("sha2('', 256) as x").first().x == hashlib.sha256(b"").hexdigest() and span_text is not None
+    one = find_pii(frame(spark, [(1, "nothing here")])).select(span_text(F.col("pii")).alias("x")).first()
+    assert one.x == ""
+
+
+def _random_strings(rng, signs, n, times):
+    return ["".join(rng.choice(signs) for _ in range(n)) for _ in range(times)]
+
+
+def test_random_tokens_have_uniform_p_by_encoding_and_length(spark):
+    from termgrid.llm.secrets import ALPHABETS, battery
+
+    rng, times = random.Random(21), 400
+    rows = [(name, n, t) for name in ("hex", "base32", "lower26", "base62", "base64url") for n in (20, 40, 200) for t in _random_strings(rng, ALPHABETS[name], n, times)]
+    df = spark.createDataFrame(rows, "name string, n int, t string").withColumn("b", battery(F.col("t")))
+    for r in df.groupBy("name", "n").agg(*[F.avg((F.col("b.p") >= c).cast("double")).alias(f"p{k}") for k, c in enumerate((0.1, 0.5, 0.9))]).collect():
+        assert 0.84 <= r.p0 <= 0.96 and 0.4 <= r.p1 <= 0.64 and r.p2 <= 0.2, r
+
+
+def test_few_of_the_found_tokens_are_not_random(spark):
+    from termgrid.llm.secrets import ALPHABETS, RATE, find_secrets
+
+    rng = random.Random(22)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(200)]
+    real = _random_strings(rng, ALPHABETS["lower36"], 40, 150) + _random_strings(rng, ALPHABETS["lower26"], 40, 40)
+    fake = []
+    while len(fake) < 600:
+        t = "".join(rng.choice(vocabulary) + rng.choice(("", "", "1", "2019")) for _ in range(9))[:40]
+        fake.append(t)
+    for scale in (1, 12):  # the same rule for many and for few
+        some = [(k, f"x {t} y") for k, t in enumerate(real[::scale] + fake[::scale])]
+        got = {r.doc_id for r in find_secrets(frame(spark, some)).collect() if any(x.kind == "random" for x in r.secrets)}
+        n = len(real[::scale])
+        false = sum(k >= n for k in got)
+        assert sum(k < n for k in got) >= 0.75 * n and false <= 2 * RATE * len(got) + 2, (scale, len(got), false)
+
+
+def test_secrets_of_a_very_long_token(spark):
+    from termgrid.llm.secrets import ALPHABETS, find_secrets
+
+    token = "".join(random.Random(23).choices(ALPHABETS["base62"], k=1 << 20))
+    r = find_secrets(frame(spark, [(1, "key " + token + " end"), (2, "a" * (1 << 20))])).orderBy("doc_id").collect()
+    assert [(x.start, x.end) for x in r[0].secrets if x.kind == "random"] == [(4, 4 + len(token))]
+    assert not [x for x in r[1].secrets if x.kind == "random"]
