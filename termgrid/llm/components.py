@@ -27,12 +27,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     e = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
     nodes = None
-    print_ = lambda t: t.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first()
+    fingerprint = lambda t: t.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first()
     while True:
         # large-star leaves pairs with a > b again; small-star needs them so
         large = star(e, False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         e = materialize(star(large, True), "edges")
-        seen = print_(e)
+        seen = fingerprint(e)
         if seen == nodes:
             break
         nodes = seen

@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: MinHash bands propose, full n-gram sets decide.
+"""N-gram Jaccard join: MinHash banding proposes, full n-gram sets decide.
 
-Texts with equal sets form one class and go on as one. Bands are shuffled on their hash; each bucket links its members
-to its least one, so a bucket of any size makes one pair a member. Connected buckets form groups, within which every
-pair is verified on the full sets: small groups share a task, large ones are cut into blocks and each pair of blocks is
-a task of its own. Pairs are counted, not written.
+Texts with equal sets form one class and go on as one. Bands are shuffled on their hash; a bucket is the classes that share
+one. A pair is looked at in the bucket of the first band that it shares, so once. Two passes deal the buckets out alike: the
+first one, over bands alone, finds which members have such a pair in a bucket, the second ships the full sets of those there
+and verifies. Small buckets share a task; large ones are cut into blocks, and each pair of blocks is a task of its own.
+Links are counted in the task, not written; classes are the connected components of verified links.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, gram_hashes, has_bit, lists, materialize, mix, signed, slices, table, text_batches, words_of
+from .common import bitmap, gram_hashes, has_bit, lists, materialize, mix, signed, slices, split_by, table, text_batches, words_of
 from .components import components
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9995, 6
-#: Members of a block of a large group; candidates that share a task otherwise.
+#: Members of a block of a large bucket; members of small ones that share a task.
 BLOCK = 512
-_SEED = 20240607
+#: Stands for a null doc_id, which is never the least of a class.
+_NO_ID = (1 << 63) - 1
+_SEED, _K1, _K2 = 20240607, 0x51ED270B, 0x2545F491
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -62,8 +65,8 @@ def _signatures(words: int, bands: int, rows: int):
                 sets = list(shingles(data, off, words))
                 size = np.array([len(s) for s in sets])
                 full = np.flatnonzero(size)
-                k1 = np.array([_set_hash(s, 0x51ED270B) for s in sets], dtype=np.uint64)
-                k2 = np.array([_set_hash(s, 0x2545F491) for s in sets], dtype=np.uint64)
+                k1 = np.array([_set_hash(s, _K1) for s in sets], dtype=np.uint64)
+                k2 = np.array([_set_hash(s, _K2) for s in sets], dtype=np.uint64)
                 out = np.zeros((len(sets), bands), dtype=np.uint64)
                 if len(full):
                     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
@@ -85,14 +88,29 @@ def _sets_of(words: int, wanted):
             batch = batch.filter(pa.array(has_bit(wanted.value, h)))
             for _, _, data, off in slices(pc.utf8_lower(batch.column("text"))):
                 sets = list(shingles(data, off, words))
-                k1 = np.array([_set_hash(s, 0x51ED270B) for s in sets], dtype=np.uint64)
-                k2 = np.array([_set_hash(s, 0x2545F491) for s in sets], dtype=np.uint64)
+                k1 = np.array([_set_hash(s, _K1) for s in sets], dtype=np.uint64)
+                k2 = np.array([_set_hash(s, _K2) for s in sets], dtype=np.uint64)
                 flat = np.concatenate([*sets, np.empty(0, dtype=np.uint64)])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(k1)), pa.array(signed(k2)), lists(signed(flat), np.array([len(s) for s in sets]))], ["k1", "k2", "set"])
 
     return run
 
 
+def _with_keys(words: int):
+    """Rows with _k1 and _k2, null for a text without n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for _, _, data, off in slices(pc.utf8_lower(batch.column("text"))) for s in shingles(data, off, words)]
+            none = pa.array([not len(s) for s in sets], pa.bool_())
+            for name, salt in (("_k1", _K1), ("_k2", _K2)):
+                key = pa.array(signed(np.array([_set_hash(s, salt) for s in sets], dtype=np.uint64)))
+                batch = batch.append_column(name, pc.if_else(none, pa.scalar(None, pa.int64()), key))
+            yield batch
+
+    return run
+
+
 def _linked(flat: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs of the sets, given one after another, reach the similarity."""
     n = len(size)
@@ -125,32 +143,66 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _first_shared(bands: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs of members of a bucket of this band share none before it."""
+    out = ~np.eye(len(bands), dtype=bool)
+    for c in range(band):
+        if not out.any():
+            break
+        out &= bands[:, c, None] != bands[None, :, c]
+    return out
+
+
+def _buckets(t: pa.Table, across: bool):
+    """Of each bucket in a task with two members or more: rows in order of their node, and the pairs to look at."""
+    hash_, d, k, block, number = (t[c].to_numpy() for c in ("hash", "d", "k", "block", "band"))
+    bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(d), -1) if len(d) else np.empty((0, 1), dtype=np.int64)
+    order = np.lexsort((k, d, hash_, number))
+    edge = np.flatnonzero((np.diff(hash_[order]) != 0) | (np.diff(number[order]) != 0)) + 1
+    for rows in np.split(order, edge):
+        rows = rows[np.concatenate(([True], (d[rows][1:] != d[rows][:-1]) | (k[rows][1:] != k[rows][:-1])))]  # a repeated row comes once
+        if len(rows) < 2:
+            continue
+        pairs = _first_shared(bands[rows], int(number[rows[0]]))
+        if across:
+            pairs &= block[rows][:, None] != block[rows][None, :]
+        if pairs.any():
+            yield rows, pairs
+
+
+def _needed(key: tuple, t: pa.Table) -> pa.Table:
+    """The members that have a pair to look at."""
+    out = [rows[pairs.any(axis=1)] for rows, pairs in _buckets(t, key[1].as_py() != key[2].as_py())]
+    return t.take(pa.array(np.concatenate([*out, np.empty(0, dtype=np.int64)]).astype(np.int64))).select(["band", "hash", "d", "k", "k2", "copies", "bands"])
+
+
 def _verify(similarity: float):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        group, node, block, copies = (t[c].to_numpy() for c in ("group", "node", "block", "copies"))
+        d, k, copies = (t[c].to_numpy() for c in ("d", "k", "copies"))
         sets = t["set"].combine_chunks()
-        begin = sets.offsets.to_numpy()
-        values = sets.values.to_numpy()
-        out = []
-        order = np.lexsort((node, group))
-        edge = np.flatnonzero(np.diff(group[order])) + 1
-        for rows in np.split(order, edge):
-            if len(rows) < 2:
-                continue
-            rows = rows[np.concatenate(([True], node[rows][1:] != node[rows][:-1]))]  # a repeated row comes once
+        begin, values, out = sets.offsets.to_numpy(), sets.values.to_numpy(), []
+        for rows, pairs in _buckets(t, key[1].as_py() != key[2].as_py()):
             size = begin[rows + 1] - begin[rows]
-            linked = _linked(np.concatenate([values[begin[r] : begin[r + 1]] for r in rows]), size, similarity)
-            if i != j:
-                linked &= block[rows][:, None] != block[rows][None, :]
-            root = _roots(linked)
-            out.append((node[rows], linked @ copies[rows], node[rows][root]))
-        a, b, c = (np.concatenate([x[k] for x in out]) if out else np.empty(0, dtype=np.int64) for k in range(3))
-        return pa.table({"node": pa.array(a), "links": pa.array(b.astype(np.int64)), "root": pa.array(c)})
+            linked = pairs & _linked(np.concatenate([values[begin[r] : begin[r + 1]] for r in rows]), size, similarity)
+            some = np.flatnonzero(linked.any(axis=1))
+            root = rows[_roots(linked)[some]]
+            out.append((d[rows[some]], k[rows[some]], (linked @ copies[rows])[some], d[root], k[root]))
+        return pa.table({n: pa.array((np.concatenate([x[c] for x in out]) if out else np.empty(0)).astype(np.int64)) for c, n in enumerate(("d", "k", "links", "rd", "rk"))})
 
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (band, hash, k, ...) with g, i, j, the task of each, and block: one row for each pair of blocks that a member is in."""
+    sizes = materialize(members.groupBy("band", "hash").agg(F.count("*").alias("n")), "bucket-sizes")
+    few = max(1, math.ceil((sizes.agg(F.sum("n")).first()[0] or 0) / BLOCK))
+    placed = members.join(sizes, ["band", "hash"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("d", "k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.col("blocks") > 1
+    task = F.when(alone, F.xxhash64("band", "hash")).otherwise(F.pmod(F.xxhash64("hash"), F.lit(few)))
+    return placed.select("*", task.alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("n", "blocks", "other")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, bits: int = 25) -> DataFrame:
     """doc_id, class_id, n_links for each row of docs (doc_id long, text string).
 
@@ -160,34 +212,58 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     fewer words is one n-gram; a null or empty one links to nothing and is its own class. A repeated row counts as a
     copy. A null doc_id links like any other and is never the least. Other columns are left out.
     """
-    spark = docs.sparkSession
+    keys, final = linked_classes(docs, words, similarity, recall, rows, bits)
+    rest = keys.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return keys.filter("size > 0").join(final, ["k1", "k2"]).select("doc_id", "class_id", "n_links").unionByName(rest)
+
+
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, bits: int = 25) -> DataFrame:
+    """docs with one row of each class of near_duplicates: the least by doc_id, a null one last, then by the other columns in order.
+
+    It is decided for each row by its text's set, so repeated or missing doc_ids take no other text with them. Only rows that may
+    have a link are shuffled, and they are combined by their sets before. Columns must be orderable; names _k1, _k2, _h are replaced.
+    """
+    keys, final = linked_classes(docs, words, similarity, recall, rows, bits)
+    final = final.filter("n_links > 0")
+    linked_ids = keys.join(final, ["k1", "k2"], "left_semi").select(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))).alias("h"))
+    names = [c for c in docs.columns if c not in ("_k1", "_k2", "_h")]
+    hashed = docs.select(*names, F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_h"))
+    touched, clean = split_by(hashed, "_h", bitmap(linked_ids, "h", bits))
+    keyed = touched.mapInArrow(_with_keys(words), hashed.selectExpr("*", "cast(null as long) as _k1", "cast(null as long) as _k2").schema)
+    # a set without links belongs to one row, so nothing but linked rows is combined here
+    row = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_d"), *names)
+    once = keyed.filter("_k1 is not null").groupBy("_k1", "_k2").agg(F.min(row).alias("row"))
+    gone = final.filter("not first").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    once = once.join(gone, ["_k1", "_k2"], "left_anti").select(*[F.col("row")[c].alias(c) for c in names])
+    return once.unionByName(keyed.filter("_k1 is null").select(*names)).unionByName(clean.select(*names))
+
+
+def linked_classes(docs: DataFrame, words: int, similarity: float, recall: float, rows: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, size and k1, k2, which name its set of n-grams; and of each set k1, k2, class_id, n_links, first: whether
+    the class of links begins with it."""
     bands = bands_for(similarity, recall, rows)
     signed_ = materialize(docs.select("doc_id", "text").mapInArrow(_signatures(words, bands, rows), "doc_id long, k1 long, k2 long, size int, bands array<long>"), "signatures")
     filled = signed_.filter("size > 0")
-    classes = materialize(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "classes")
-    met = classes.select(F.col("k1").alias("node"), F.explode("bands").alias("band"))
-    hubs = met.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("band", "hub")
-    groups = materialize(components(met.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b")), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    total = groups.count()
-    few = max(1, math.ceil(total / BLOCK))
-    members = classes.select(F.col("k1").alias("node"), "k1", "k2", "doc_id", "copies").join(groups.join(sizes, "root"), "node")
-    members = materialize(members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "members")
-    wanted = bitmap(members.select(F.xxhash64("doc_id").alias("h")), "h", bits)
-    sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets_of(words, wanted), "k1 long, k2 long, set array<long>")
-    placed = members.join(sets, ["k1", "k2"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(few))).otherwise(F.col("root")).alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("root").alias("group"), "node", "block", "copies", "set")
-    placed = placed.withColumn("i", F.when(F.col("g") == F.col("group"), F.col("i")).otherwise(F.lit(0)))
-    links = materialize(placed.groupBy("g", "i", "j").applyInArrow(_verify(similarity), "node long, links long, root long"), "links")
-    true = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    by_class = classes.select("k1", "k2", "doc_id", "copies").join(counted.withColumnRenamed("node", "k1"), "k1", "left").join(true.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-    by_class = materialize(by_class, "linked")
-    least = by_class.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    final = by_class.join(least, "root").select("k1", "k2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rest = signed_.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return filled.select("doc_id", "k1", "k2").join(final, ["k1", "k2"]).select("doc_id", "class_id", "n_links").unionByName(rest)
+    classes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    classes = materialize(classes.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.col("k1").alias("k"), "k2", "copies", "bands"), "classes")
+    met = classes.select("d", "k", F.posexplode("bands").alias("band", "hash"))
+    several = met.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("band", "hash")
+    members = met.join(several, ["band", "hash"]).groupBy("d", "k").agg(F.collect_list(F.struct("band", "hash")).alias("at"))  # at most one for each band
+    members = materialize(members.join(classes, ["d", "k"]).select("d", "k", "k2", "copies", "bands", F.inline("at")), "bucket-members")
+    schema = "band int, hash long, d long, k long, k2 long, copies long, bands array<long>"
+    needed = materialize(_dealt(members).groupBy("g", "i", "j").applyInArrow(_needed, schema).dropDuplicates(["band", "hash", "d", "k"]), "bucket-pairs")
+    wanted = bitmap(needed.select(F.xxhash64("d").alias("h")), "h", bits)
+    sets = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))).alias("h"), "text").mapInArrow(_sets_of(words, wanted), "k long, k2 long, set array<long>").dropDuplicates(["k", "k2"])
+    placed = _dealt(needed).join(sets, ["k", "k2"])
+    links = materialize(placed.groupBy("g", "i", "j").applyInArrow(_verify(similarity), "d long, k long, links long, rd long, rk long"), "links")
+    wanted.destroy()  # no later plan reads it
+    node = lambda a, b: F.struct(F.col(a).alias("d"), F.col(b).alias("k"))  # noqa: E731  ordered as the ids are
+    roots = components(links.select(node("d", "k").alias("a"), node("rd", "rk").alias("b"))).select("node.d", "node.k", F.col("root.d").alias("rd"), F.col("root.k").alias("rk"))
+    counted = links.groupBy("d", "k").agg(F.sum("links").alias("links"))
+    final = classes.select("d", "k", "k2", "copies").join(counted, ["d", "k"], "left").join(roots, ["d", "k"], "left")
+    first, links_ = F.coalesce("rd", "d"), F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+    out = final.select(F.col("k").alias("k1"), "k2", F.when(first != _NO_ID, first).alias("class_id"), links_.alias("n_links"), F.coalesce((F.col("rd") == F.col("d")) & (F.col("rk") == F.col("k")), F.lit(True)).alias("first"))
+    return signed_.select("doc_id", "k1", "k2", "size"), materialize(out, "linked")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

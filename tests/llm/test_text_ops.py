@@ -122,6 +122,22 @@ def test_near_duplicates_match_all_pairs(spark, rows, monkeypatch):
     want = Counter((i, min((x for x in least[find(k)] if x is not None), default=None), links[k]) for k, (i, _) in enumerate(all_rows))
     got = Counter(tuple(r) for r in ngram_join.near_duplicates(frame(spark, all_rows)).collect())
     assert got == want and max(links) > 5
+    docs, stay = frame(spark, all_rows), {}
+    for k, (i, text) in enumerate(all_rows):  # one row of each class, whatever its id
+        row = (i is None, i, text) if sets[k] else (k,)
+        stay[find(k)] = min(stay.get(find(k), row), row)
+    kept = [(r.doc_id, r.text) for r in ngram_join.without_near_duplicates(docs).collect()]
+    assert Counter(kept) == Counter((v[1], v[2]) if len(v) > 1 else all_rows[v[0]] for v in stay.values())
+
+
+def test_rows_of_equal_or_no_id_are_kept_apart(spark):
+    from termgrid.llm.ngram_join import without_near_duplicates
+
+    rng = random.Random(14)
+    a, b, c = (words(rng, 60, 900) for _ in range(3))
+    docs = frame(spark, [(1, a), (2, a + " x"), (2, b), (1, c), (None, b + " y"), (None, words(rng, 50, 900)), (None, ""), (2, None)])
+    got = sorted(((r.doc_id, (r.text or "")[-9:]) for r in without_near_duplicates(docs).collect()), key=str)
+    assert len(got) == 6 and Counter(i for i, _ in got) == {1: 2, 2: 2, None: 2}
 
 
 def test_bands_reach_the_recall():
