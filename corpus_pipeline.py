@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgrid.llm.common import materialize, table, text_batches, without
+from termgrid.llm.common import materialize, table, text_batches
 from termgrid.llm.decontam import without_contaminated
 from termgrid.llm.line_dedup import remove_repeated_lines
-from termgrid.llm.ngram_join import near_duplicates
+from termgrid.llm.ngram_join import without_near_duplicates
 from termgrid.llm.packing import pack_documents
 from termgrid.llm.quality import ACCEPT, fit_quality, score_quality
 
@@ -37,14 +37,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; of its repeated rows, one."""
+    """Of each group of near duplicates one row stays, that with the least id; rows are told apart by their texts, not their ids."""
     text_batches(spark)
-    found = materialize(near_duplicates(docs).filter("n_links > 0"), "near-duplicates")
-    once = without(docs, found)
-    # without() leaves rows of no id, and all rows of an id go together: the group's first comes back once
-    first = found.filter("doc_id = class_id").select("doc_id").distinct()
-    back = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*COLUMNS).unionByName(back.select(*COLUMNS))
+    return without_near_duplicates(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
