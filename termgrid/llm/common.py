@@ -204,11 +204,12 @@ def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def split_by(df: DataFrame, column: str, bits, deflate: str = "", rest=None, schema=None) -> tuple[DataFrame, DataFrame]:
+def split_by(df: DataFrame, column: str, bits, deflate: str = "", rest=None, schema=None, edit=None) -> tuple[DataFrame, DataFrame]:
     """The rows whose hash in a long column may be in the bit set, and those whose hash surely is not.
 
     The string column deflate of the first ones, which go to a shuffle, becomes compressed bytes; inflated() undoes it.
-    rest turns the batches of the second ones into rows of schema in the same pass, and so in the same worker.
+    rest turns the batches of the second ones into rows of schema in the same pass, and so in the same worker; edit changes
+    those of the first ones.
     """
 
     def part(yes: bool) -> DataFrame:
@@ -219,6 +220,7 @@ def split_by(df: DataFrame, column: str, bits, deflate: str = "", rest=None, sch
             for batch in batches:
                 h = batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
                 batch = batch.filter(pa.array(has_bit(bits.value, h) == yes))
+                batch = edit(batch) if yes and edit else batch
                 if yes and deflate:
                     small = pa.array([None if x is None else press(x.encode()) for x in batch.column(deflate).to_pylist()], pa.binary())
                     batch = batch.set_column(batch.schema.get_field_index(deflate), deflate, small)
@@ -241,11 +243,3 @@ def inflated(batches, column: str):
             batch = whole.slice(lo, 1000)
             text = pa.array([None if x is None else press(x).decode() for x in batch.column(column).to_pylist()], pa.string())
             yield batch.set_column(batch.schema.get_field_index(column), column, text)
-
-
-def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", bits: int = 25) -> DataFrame:
-    """docs less those whose key is in gone; only rows that may go are shuffled. A null key stays."""
-    gone = gone.select(key).filter(F.col(key).isNotNull()).distinct()
-    some = bitmap(gone.select(F.xxhash64(key).alias("h")), "h", bits)
-    touched, rest = split_by(docs.withColumn("_key_hash", F.xxhash64(key)), "_key_hash", some)
-    return touched.join(gone, key, "left_anti").select(*docs.columns).unionByName(rest.select(*docs.columns))

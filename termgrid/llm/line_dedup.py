@@ -10,28 +10,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, text_batches
-from .winnow import cover, mark_repeats
+from .winnow import Family, cover, mark_repeats
 
-#: Lines of a gram and grams in a window: every repeated run of 2 + 2 - 1 = 3 lines is found.
-GRAM, WINDOW = 2, 2
+#: Words from which one line, or two, count as a run.
+LONG = 50
+#: Every repeated run of 2 + 2 - 1 = 3 lines is found, and every repeated line or pair of lines of as many words.
+RUNS = (Family(2, 2), Family(2, 1, LONG), Family(1, 1, LONG))
 #: Bits of the set of repeated grams: 4 MB on each worker.
 BITS = 25
 
 
-def remove_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, runs: tuple[Family, ...] = RUNS, bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, kept, and the columns named in carry: each text without the lines that a later copy of a run covers.
 
-    A line is a non-empty run without newlines, unchanged. Runs are of gram + window - 1 lines or more; of equal runs
+    A line is a non-empty run without newlines, unchanged. A run is of three lines or more, or of one or two that hold LONG
+    words (between ASCII white space) together; of equal runs
     the first by (doc_id, place) stays, and the lines of later ones go, overlapping ones included. Kept lines are joined
     by one newline, so empty lines go too where something is removed; a text that loses nothing is returned as it is. A
-    null text has no lines and kept is null; a null doc_id comes after all others; repeated rows do not remove each
-    other. Other columns are left out unless carried.
+    null text has no lines and kept is null; a null doc_id comes after all others; repeated rows, and others of one id, do not
+    remove each other. Other columns are left out unless carried.
     """
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, null = [], batch.column("text").is_null().to_pylist()
-            for (doc, raw, starts, ends, covered), none in zip(cover(batch, "line", gram, window), null, strict=True):
+            for (doc, raw, starts, ends, covered), none in zip(cover(batch, "line", runs), null, strict=True):
                 if covered.any():
                     raw = b"\n".join(raw[a:b] for a, b, gone in zip(starts, ends, covered, strict=True) if not gone)
                 rows.append((doc, len(starts), int(covered.sum()), None if none else raw.decode()))
@@ -40,7 +43,7 @@ def remove_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDO
 
     names = ["doc_id", "n_lines", "n_removed", "kept"]
     schema = T.StructType([T.StructField(n, T.StringType() if n == "kept" else T.LongType()) for n in names] + [docs.schema[c] for c in carry])
-    return mark_repeats(docs.select("doc_id", "text", *carry), "line", gram, window, True, bits, finish, schema)
+    return mark_repeats(docs.select("doc_id", "text", *carry), "line", runs, True, bits, finish, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

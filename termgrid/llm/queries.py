@@ -36,13 +36,14 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN fir
 word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
 kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t, count(*) AS n FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
-    # every window of 3 lines and its first place; a text that loses nothing is hashed as it is
+    # every window of 3 lines, and of 1 or 2 that hold 50 words, and its first place; a text that loses nothing is hashed as it is
     "op5_line_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS w FROM documents),
-spot AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
-win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], chr(10)) AS k FROM spot),
-first AS (SELECT k, min((doc_id, i)) AS m FROM win GROUP BY k),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM win JOIN first USING (k) WHERE (doc_id, i) > m),
+size AS (SELECT unnest([1, 2, 3]) AS g),
+spot AS (SELECT doc_id, w, g, unnest(range(1, len(w) - g + 2)) AS i FROM d, size),
+win AS (SELECT doc_id, i, g, array_to_string(w[i:i + g - 1], chr(10)) AS k FROM spot WHERE g = 3 OR len(regexp_extract_all(array_to_string(w[i:i + g - 1], chr(10)), '[^\x20\x09-\x0D]+')) >= 50),
+first AS (SELECT k, g, min((doc_id, i)) AS m FROM win GROUP BY k, g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + g)) AS p FROM win JOIN first USING (k, g) WHERE (doc_id, i) > m),
 word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
 kept AS (SELECT word.doc_id, string_agg(x, chr(10) ORDER BY word.p) AS t, count(*) AS n FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_lines, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(CASE WHEN len(w) = coalesce(n, 0) THEN text ELSE coalesce(t, '') END) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",

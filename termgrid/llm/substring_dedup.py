@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, text_batches
-from .winnow import cover, mark_repeats
+from .winnow import Family, cover, mark_repeats
 
 #: Words of a seed and seeds in a window: 5 + 9 - 1 = 13 words are the shortest repeat.
 SEED, SEEDS = 5, 9
@@ -26,15 +26,17 @@ def remove_repeated_words(docs: DataFrame, seed: int = SEED, seeds: int = SEEDS,
     are left out. Windows are compared by 64-bit hashes.
     """
 
+    families = (Family(seed, seeds),)
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, raw, starts, _, covered in cover(batch, "word", seed, seeds):
+            for doc, raw, starts, _, covered in cover(batch, "word", families):
                 words = raw.split()
                 rows.append((doc, len(starts), int(covered.sum()), b" ".join(compress(words, ~covered) if covered.any() else words).decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return mark_repeats(docs.select("doc_id", "text"), "word", seed, seeds, False, bits, finish, "doc_id long, n_words long, n_removed long, kept string")
+    return mark_repeats(docs.select("doc_id", "text"), "word", families, False, bits, finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ windows always share one. Three passes follow, none of which pairs the members o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,52 +23,89 @@ from pyspark.sql import functions as F
 from .common import _LINE, _SPACE, bitmap, gram_hashes, has_bit, inflated, materialize, mix, pieces, signed, slices, span_hashes, split_by
 
 LAST = (1 << 63) - 1
-
-
-def windows(data: np.ndarray, off: np.ndarray, unit: str, k: int, w: int):
-    """Of all windows of a slice: hash, fingerprint, its unit, row, place in the row; and for the units: starts, ends, row offsets."""
-    starts, ends, row = pieces(data, off, _LINE if unit == "line" else _SPACE)
-    at = np.searchsorted(row, np.arange(len(off)))
-    g = k + w - 1
-    if len(starts) < g:
-        none = np.empty(0, dtype=np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none, none, starts, ends, at
-    h = span_hashes(data, starts, ends)
-    grams, whole, n = gram_hashes(h, k), gram_hashes(h, g), len(starts) - g + 1
-    least, unit_at = grams[:n].copy(), np.arange(n)
-    for j in range(1, w):  # of equal hashes the first counts
-        less = np.flatnonzero(grams[j : n + j] < least)
-        least[less], unit_at[less] = grams[less + j], less + j
-    ok = np.flatnonzero(row[:n] == row[g - 1 :])
-    return whole[ok], least[ok], unit_at[ok], row[ok], ok - at[row[ok]], starts, ends, at
-
-
-def _fingerprints(unit: str, k: int, w: int) -> Callable:
+#: log2 of the bits of the set of ids that several rows share.
+_SHARED_BITS = 22
+
+
+@dataclass(frozen=True)
+class Family:
+    """Windows of gram + window - 1 units; with least_words, only those that hold as many words."""
+
+    gram: int
+    window: int
+    least_words: int = 0
+
+    @property
+    def units(self) -> int:
+        return self.gram + self.window - 1
+
+
+class Windows:
+    """All windows of a slice: hash, fingerprint, its unit, row, place in the row, units; and of the units starts, ends, row offsets."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, unit: str, families: tuple[Family, ...]):
+        self.starts, self.ends, row = pieces(data, off, _LINE if unit == "line" else _SPACE)
+        self.at = np.searchsorted(row, np.arange(len(off)))
+        h = span_hashes(data, self.starts, self.ends)
+        words = np.searchsorted(pieces(data, off)[0], np.stack([self.starts, self.ends])) if any(f.least_words for f in families) else None
+        parts = [self._family(f, h, row, words, k) for k, f in enumerate(families)]
+        self.whole, self.least, self.unit_at, self.row, self.place, self.size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(families) > 1:
+            order = np.argsort(self.row, kind="stable")
+            self.whole, self.least, self.unit_at, self.row, self.place, self.size = (x[order] for x in (self.whole, self.least, self.unit_at, self.row, self.place, self.size))
+
+    def _family(self, f: Family, h: np.ndarray, row: np.ndarray, words, number: int) -> tuple:
+        g, n = f.units, len(h) - f.units + 1
+        if n < 1:
+            none = np.empty(0, dtype=np.int64)
+            return none.view(np.uint64), none.view(np.uint64), none, none, none, none
+        grams, whole = gram_hashes(h, f.gram), gram_hashes(h, g)
+        least, unit_at = grams[:n].copy(), np.arange(n)
+        for j in range(1, f.window):  # of equal hashes the first counts
+            less = np.flatnonzero(grams[j : n + j] < least)
+            least[less], unit_at[less] = grams[less + j], less + j
+        ok = row[:n] == row[g - 1 :]
+        if f.least_words:
+            ok &= words[1][g - 1 :] - words[0][:n] >= f.least_words
+        ok = np.flatnonzero(ok)
+        salt = np.uint64(number * 0x2127599BF4325C37 & LAST)
+        return whole[ok] ^ salt, least[ok] ^ salt, unit_at[ok], row[ok], ok - self.at[row[ok]], np.full(len(ok), g)
+
+
+def _fingerprints(unit: str, families: tuple[Family, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, off in slices(batch.column(0)):
-                _, least, unit_at, *_ = windows(data, off, unit, k, w)
-                first = np.ones(len(least), dtype=bool)  # neighbours mostly share theirs
-                first[1:] = unit_at[1:] != unit_at[:-1]
-                h, n = np.unique(least[first], return_counts=True)
+                w = Windows(data, off, unit, families)
+                first = np.ones(len(w.least), dtype=bool)  # neighbours mostly share theirs
+                first[1:] = (w.unit_at[1:] != w.unit_at[:-1]) | (w.least[1:] != w.least[:-1])
+                h, n = np.unique(w.least[first], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], ["h", "n"])
 
     return run
 
 
-def _extended(unit: str, k: int, w: int, twice, within: bool) -> Callable:
+def _told_apart(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
+    """The batch with _row set to 0 where the id belongs to one row only."""
+    several = has_bit(shared.value, batch.column("_h").to_numpy(zero_copy_only=False).view(np.uint64))
+    row = np.where(several, batch.column("_row").to_numpy(zero_copy_only=False), 0)
+    return batch.set_column(batch.schema.get_field_index("_row"), "_row", pa.array(row))
+
+
+def _extended(unit: str, families: tuple[Family, ...], twice, shared, within: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, off in slices(batch.column(1)):
-                whole, least, _, row, place, *_ = windows(data, off, unit, k, w)
-                got = has_bit(twice.value, least)
-                whole, row, place = whole[got], row[got], place[got]
+            batch = _told_apart(batch, shared)
+            ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_row"))
+            for lo, _, data, off in slices(batch.column("text")):
+                w = Windows(data, off, unit, families)
+                got = has_bit(twice.value, w.least)
+                whole, row, place = w.whole[got], w.row[got], w.place[got]
                 key = mix(whole + row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
-                first_order = np.argsort(first)
-                first, n = first[first_order], n[first_order]
-                columns = {"h": pa.array(signed(whole[first])), "doc": pa.array(ids[lo + row[first]])}
+                order = np.argsort(first)
+                first, n = first[order], n[order]
+                columns = {"h": pa.array(signed(whole[first])), "doc": pa.array(ids[lo + row[first]]), "row": pa.array(rows[lo + row[first]])}
                 if within:
                     columns |= {"place": pa.array(place[first].astype(np.int32)), "again": pa.array(n > 1)}
                 yield pa.RecordBatch.from_pydict(columns)
@@ -75,38 +113,41 @@ def _extended(unit: str, k: int, w: int, twice, within: bool) -> Callable:
     return run
 
 
-def mark_repeats(docs: DataFrame, unit: str, k: int, w: int, within: bool, bits: int, finish: Callable, schema) -> DataFrame:
+def mark_repeats(docs: DataFrame, unit: str, families: tuple[Family, ...], within: bool, bits: int, finish: Callable, schema) -> DataFrame:
     """docs: doc_id long, text string. finish(batches of docs with gone and spare) makes the result's rows with that schema.
 
     gone lists the hashes and spare the places to spare, or -1 (none if not within), of the windows that an earlier document holds or, if within, that
     stand earlier in the same one. A null doc_id comes after all others. Rows with equal doc_ids do not count as each
-    other's earlier holders.
+    other's earlier holders; they and rows without an id are told apart by a hash of their texts, so no list is longer than
+    one text. Columns named _doc, _row and _h are replaced.
     """
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
-    prints = docs.select("text").mapInArrow(_fingerprints(unit, k, w), "h long, n long")
+    names = [c for c in docs.columns if c not in ("_doc", "_row", "_h")]
+    keyed = docs.select(*names, F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_row"), F.xxhash64(F.coalesce("doc_id", F.lit(LAST))).alias("_h"))
+    shared = bitmap(keyed.groupBy("_doc").agg(F.count("*").alias("n"), F.first("_h").alias("_h")).filter(f"n > 1 or _doc = {LAST}"), "_h", _SHARED_BITS)
+    prints = docs.select("text").mapInArrow(_fingerprints(unit, families), "h long, n long")
     twice = bitmap(prints.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "h", bits)
-    found = materialize(keyed.mapInArrow(_extended(unit, k, w, twice, within), "h long, doc long" + ", place int, again boolean" * within), f"{unit}-windows")
+    found = materialize(keyed.select("_doc", "_row", "_h", "text").mapInArrow(_extended(unit, families, twice, shared, within), "h long, doc long, row long" + ", place int, again boolean" * within), f"{unit}-windows")
+    twice.destroy()  # no later plan reads it
     if within:
         first = found.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("last"), F.bool_or("again").alias("again")).filter("least.doc < last or again").select("h", "least")
-        gone = found.join(first, "h").filter("doc > least.doc or (again and doc = least.doc)").select("doc", "h", F.expr("if(doc > least.doc, -1, least.place)").alias("spare"))
-        gone = gone.groupBy("doc").agg(F.collect_list(F.struct("h", "spare")).alias("both")).select("doc", F.col("both.h").alias("gone"), F.col("both.spare").alias("spare"))
+        gone = found.join(first, "h").filter("doc > least.doc or again").select("doc", "row", "h", F.expr("if(doc > least.doc, -1, place)").alias("spare"))
+        gone = gone.groupBy("doc", "row").agg(F.collect_set(F.struct("h", "spare")).alias("both")).select("doc", "row", F.col("both.h").alias("gone"), F.col("both.spare").alias("spare"))
     else:
         first = found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least < last").select("h", "least")
-        gone = found.join(first, "h").filter("doc > least").groupBy("doc").agg(F.collect_list("h").alias("gone")).withColumn("spare", F.lit(None).cast("array<int>"))
+        gone = found.join(first, "h").filter("doc > least").groupBy("doc", "row").agg(F.collect_set("h").alias("gone")).withColumn("spare", F.lit(None).cast("array<int>"))
     gone = materialize(gone, f"{unit}-gone")
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
-    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("_h", F.xxhash64("_doc"))
 
     def nothing_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("gone", pa.nulls(batch.num_rows, pa.list_(pa.int64()))).append_column("spare", pa.nulls(batch.num_rows, pa.list_(pa.int32())))
 
-    touched, clean = split_by(keyed, "_h", some, "text", lambda batches: finish(nothing_gone(batches)), schema)
-    touched = touched.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*docs.columns, "gone", "spare")
+    touched, clean = split_by(keyed, "_h", some, "text", lambda batches: finish(nothing_gone(batches)), schema, lambda batch: _told_apart(batch, shared))
+    touched = touched.join(gone.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left").select(*names, "gone", "spare")
     return touched.mapInArrow(lambda batches: finish(inflated(batches, "text")), schema).unionByName(clean)
 
 
-def cover(batch: pa.RecordBatch, unit: str, k: int, w: int) -> Iterator[tuple]:
+def cover(batch: pa.RecordBatch, unit: str, families: tuple[Family, ...]) -> Iterator[tuple]:
     """For each row: doc_id, its bytes, starts and ends of its units, and which of them are covered by a window that is gone."""
     ids, gone = batch.column("doc_id").to_pylist(), batch.column("gone")
     lengths = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -115,21 +156,21 @@ def cover(batch: pa.RecordBatch, unit: str, k: int, w: int) -> Iterator[tuple]:
     hashes = gone.flatten().to_numpy(zero_copy_only=False)
     spare = batch.column("spare").flatten().to_numpy(zero_copy_only=False) if batch.column("spare").null_count < len(gone) else np.full(len(hashes), -1)
     for lo, hi, data, off in slices(batch.column("text")):
-        whole, _, _, row, place, starts, ends, at = windows(data, off, unit, k, w)
-        split = np.searchsorted(row, np.arange(hi - lo + 1))
+        w = Windows(data, off, unit, families)
+        split = np.searchsorted(w.row, np.arange(hi - lo + 1))
         for i in range(hi - lo):
-            n = at[i + 1] - at[i]
+            n = w.at[i + 1] - w.at[i]
             covered = np.zeros(n, dtype=bool)
             a, b = begin[lo + i], begin[lo + i + 1]
             if a < b:
                 order = np.argsort(hashes[a:b])
                 known, keep = hashes[a:b][order], spare[a:b][order]
-                mine = signed(whole[split[i] : split[i + 1]])
+                mine = signed(w.whole[split[i] : split[i + 1]])
                 spot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                p = place[split[i] : split[i + 1]]
-                p = p[(known[spot] == mine) & (keep[spot] != p)]
+                p, g = w.place[split[i] : split[i + 1]], w.size[split[i] : split[i + 1]]
+                on = (known[spot] == mine) & (keep[spot] != p)
                 edge = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(edge, p, 1)
-                np.add.at(edge, p + k + w - 1, -1)
+                np.add.at(edge, p[on], 1)
+                np.add.at(edge, p[on] + g[on], -1)
                 covered = np.cumsum(edge[:-1]) > 0
-            yield ids[lo + i], data[off[i] : off[i + 1]].tobytes(), starts[at[i] : at[i + 1]] - off[i], ends[at[i] : at[i + 1]] - off[i], covered
+            yield ids[lo + i], data[off[i] : off[i + 1]].tobytes(), w.starts[w.at[i] : w.at[i + 1]] - off[i], w.ends[w.at[i] : w.at[i + 1]] - off[i], covered

@@ -67,22 +67,26 @@ def test_line_dedup_keeps_the_first_run(spark, rows):
     from termgrid.llm.line_dedup import remove_repeated_lines
 
     units = lambda t: [x for x in (t or "").split("\n") if x]
+    rng = random.Random(6)
+    long, short = words(rng, 60, 900), words(rng, 30, 900)
+    rows = rows + [(70, "a\n" + long), (71, long), (72, "b\n" + long + "\nc"), (73, short + "\n" + short), (74, short), (75, short + "\n" + short + "\nd"), (None, long), (None, "e\n" + long), (76, long + "\n" + long)]
+    runs = lambda u: ((s, g) for g in (1, 2, 3) for s in range(len(u) - g + 1) if g == 3 or sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in u[s : s + g]) >= 50)
+    at = lambda i, s: (float("inf") if i is None else i, s)
     first = {}
     for i, t in rows:
         u = units(t)
-        for s in range(len(u) - 2):
-            key, at = tuple(u[s : s + 3]), (float("inf") if i is None else i, s)
-            first[key] = min(first.get(key, at), at)
+        for s, g in runs(u):
+            first[tuple(u[s : s + g])] = min(first.get(tuple(u[s : s + g]), at(i, s)), at(i, s))
     want = Counter()
     for i, t in rows:
         u = units(t)
         gone = [False] * len(u)
-        for s in range(len(u) - 2):
-            if first[tuple(u[s : s + 3])] < (float("inf") if i is None else i, s):
-                gone[s : s + 3] = [True] * 3
+        for s, g in runs(u):
+            if first[tuple(u[s : s + g])] < at(i, s):
+                gone[s : s + g] = [True] * g
         want[i, len(u), sum(gone), "\n".join(x for x, g in zip(u, gone) if not g) if any(gone) else t] += 1
     got = Counter(tuple(r) for r in remove_repeated_lines(frame(spark, rows), bits=16).collect())
-    assert got == want and sum(k[2] > 0 for k in want) > 1
+    assert got == want and sum(k[2] > 0 for k in want) > 6
 
 
 def shingle_set(t, n=5):
