@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from .tokens import words_for
 
 CAPACITY, END = 4096, 1
 #: Pieces of a shard, islands, rounds between which elites migrate, generations of a round, solutions of an island.
-SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4000, 2, 2, 4, 4
+SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4000, 2, 2, 24, 6
 #: A sequence filled less than this is opened and packed again.
 WELL_FILLED = 0.99
 
@@ -88,18 +89,49 @@ def best_fit(items: list[int], length: list[int], bins: list[list[int]], capacit
         mask |= 1 << (r - n)
 
 
+def exchange(displaced: list[int], length: list[int], bins: list[list[int]], capacity: int) -> list[int]:
+    """Swap an item of a sequence for the longest displaced one that fits in its place; returns what is displaced after."""
+    displaced = sorted(displaced, key=lambda i: length[i])
+    sizes = [length[i] for i in displaced]
+    for inside in bins:
+        room = capacity - sum(length[i] for i in inside)
+        for k, i in enumerate(inside):
+            at = bisect_right(sizes, length[i] + room) - 1
+            if at < 0 or sizes[at] <= length[i]:
+                continue
+            room -= sizes[at] - length[i]
+            inside[k] = displaced.pop(at)
+            sizes.pop(at)
+            back = bisect_right(sizes, length[i])
+            displaced.insert(back, i)
+            sizes.insert(back, length[i])
+            if not room:
+                break
+    return displaced
+
+
 def crossover(one: list[list[int]], other: list[list[int]], length: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """one, with half of the well-filled sequences of other injected whole."""
-    good = [b for b in other if sum(length[i] for i in b) >= WELL_FILLED * capacity] or other
+    """one, with half of the well-filled sequences of other injected whole.
+
+    Sequences that then hold a piece twice go, and so does a tenth of the others, the worst filled ones; their pieces take the places of
+    shorter ones where they fill a sequence better, and what is displaced in the end is packed by best fit.
+    """
+    fill = lambda b: sum(length[i] for i in b)
+    order = sorted(other, key=fill, reverse=True)
+    good = [b for b in order if fill(b) >= WELL_FILLED * capacity] or order[: max(1, len(order) // 2)]
     injected = rng.sample(good, max(1, len(good) // 2))
     inside = {i for b in injected for i in b}
-    child, displaced = [list(b) for b in injected], []
+    whole, displaced = [], []
     for b in one:
         if inside.isdisjoint(b):
-            child.append(list(b))
+            whole.append(list(b))
         else:
             displaced += [i for i in b if i not in inside]
-    best_fit(displaced, length, child, capacity)
+    whole.sort(key=lambda b: fill(b) + rng.random(), reverse=True)
+    while whole and len(whole) > 0.9 * (len(one) - len(injected)):
+        displaced += whole.pop()
+    child = [list(b) for b in injected] + whole
+    best_fit(exchange(displaced, length, child, capacity), length, child, capacity)
     return child
 
 
@@ -108,18 +140,22 @@ def fitness(bins: list[list[int]], length: list[int], capacity: int) -> tuple[in
     return len(bins), -sum((sum(length[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def _turns(length: list[int], rng: random.Random) -> list[list[int]]:
+    """The items in random parts, to be packed one after another."""
+    order = rng.sample(range(len(length)), len(length))
+    step = max(1, len(order) // rng.choice((2, 4, 8, 16)))
+    return [order[k : k + step] for k in range(0, len(order), step)]
+
+
 def evolve(length: list[int], capacity: int, seeds: list[list[list[int]]], generations: int, population: int, rng: random.Random) -> list[list[int]]:
     least = -(-sum(length) // capacity)
     people = list(seeds)
     while len(people) < population:
         if any(len(p) == least for p in people):
             break
-        order, bins = sorted(range(len(length)), key=lambda i: -length[i] * (1 + 0.2 * rng.random() * bool(people))), []
-        if people:  # a perturbed order: the first part by best fit alone, the rest after it
-            best_fit(order[: len(order) // 2], length, bins, capacity)
-            best_fit(order[len(order) // 2 :], length, bins, capacity)
-        else:
-            best_fit(order, length, bins, capacity)
+        bins: list[list[int]] = []
+        for part in _turns(length, rng) if people else [list(range(len(length)))]:  # best fit alone first, then perturbed orders
+            best_fit(part, length, bins, capacity)
         people.append(bins)
     people.sort(key=lambda p: fitness(p, length, capacity))
     for _ in range(generations):
@@ -172,7 +208,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts (pid long, unique, length long from 1 to capacity) -> pid, sequence_id.
 
     Needs no order and no size of the whole: shards of SHARD pieces are packed apart, then what fills badly is dealt
-    again, until it fits into one shard.
+    again, until it fits into one shard. Where the lengths allow of no good fill, the better half stays each time.
     """
     done = parts.filter(F.col("length") >= capacity).select("pid", F.col("pid").alias("sequence_id"))
     rest = parts.filter(F.col("length") < capacity).select("pid", "length")
@@ -185,8 +221,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         done = done.unionByName(packed.join(ill, "bin", "left_anti").select("pid", F.col("bin").alias("sequence_id")))
         rest = materialize(packed.join(ill, "bin", "left_semi").select("pid", "length"), "ill-filled")
         before, n = n, rest.count()
-        if n > 0.9 * before:  # opening them again would not end
-            return done.unionByName(packed.join(ill, "bin", "left_semi").select("pid", F.col("bin").alias("sequence_id")))
+        if n > before // 2:  # most cannot be filled well: only the worse half is opened again
+            fills = packed.join(ill, "bin", "left_semi").groupBy("bin").agg(F.sum("length").alias("fill"), F.count("*").alias("n"))
+            middle = fills.agg(F.percentile_approx("fill", 0.5, F.lit(1000))).first()[0]
+            worse = materialize(fills.filter(F.col("fill") < middle).select("bin"), "worse")
+            done = done.unionByName(packed.join(ill, "bin", "left_semi").join(worse, "bin", "left_anti").select("pid", F.col("bin").alias("sequence_id")))
+            rest = materialize(packed.join(worse, "bin", "left_semi").select("pid", "length"), "ill-filled")
+            n = rest.count()
     return done
 
 

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, gram_hashes, held_out, lists, mix, pieces, slices, span_hashes, table, text_batches
+from .common import bounded_sample, gram_hashes, held_out, lists, materialize, mix, pieces, slices, span_hashes, table, text_batches
 
-#: log2 of the number of features; labelled rows that a fit takes at most; score from which a row is of quality 1.
-FEATURE_BITS, FIT_ROWS, ACCEPT = 18, 4000, 0.7
+#: log2 of the number of features; labelled rows, and distinct features of all of them, that a fit takes at most: 16 MB in the
+#: driver, and as much again for their values; score from which a row is of quality 1.
+FEATURE_BITS, FIT_ROWS, FIT_FEATURES, ACCEPT = 18, 4000, 4_000_000, 0.7
 _COST, _EPOCHS, _SMOOTH = 1.0, 8, 1.0
 
 
@@ -127,10 +128,11 @@ def learn(rows: list[np.ndarray], y: np.ndarray, bits: int = FEATURE_BITS) -> Qu
     return QualityModel(bits, ratio * w[:-1], ratio * ratio, float(w[-1]), slope, shift)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: int = FEATURE_BITS) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bits: int = FEATURE_BITS, fit_features: int = FIT_FEATURES) -> QualityModel:
     """A model from at most fit_rows labelled rows, the first by a hash of doc_id; none of them is held out.
 
-    Rows without an id, a label or a document do not count; of an id's labels the mean decides, a tie for 1.
+    Of those the first count that have fit_features features together. Whole texts are read. Rows without an id, a label or a
+    document do not count; of an id's labels the mean decides, a tie for 1; of repeated rows of an id one counts.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     sample = bounded_sample(known, F.xxhash64("doc_id"), fit_rows)
@@ -141,17 +143,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, bi
                 f, n = features(data, off, bits)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("good").slice(lo, hi - lo), lists(f.astype(np.int32), n)], ["doc_id", "good", "f"])
 
-    # at most fit_rows rows of two small columns are broadcast, and their features come to the driver
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, good boolean, f array<int>").toArrow().sort_by("doc_id")
-    f = got["f"].combine_chunks() if got.num_rows else None
-    if isinstance(f, pa.ChunkedArray):
-        f = f.chunk(0)
-    rows = [] if f is None else np.split(f.flatten().to_numpy(), np.cumsum(f.value_lengths().to_numpy())[:-1])
-    return learn(rows, np.where(got["good"].to_numpy(zero_copy_only=False).astype(bool), 1.0, -1.0) if got.num_rows else np.empty(0), bits)
+    # at most fit_rows rows of two small columns are broadcast
+    listed = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, good boolean, f array<int>")
+    listed = materialize(listed.withColumn("at", F.xxhash64("doc_id")), "quality-features")
+    sizes = listed.select("at", F.size("f").alias("n")).toArrow().sort_by("at")
+    most = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), fit_features, side="right"))
+    if most < sizes.num_rows:
+        listed = listed.filter(F.col("at") < sizes["at"][most].as_py())
+    got = listed.select("doc_id", "good", "f").toArrow().sort_by("doc_id")
+    rows = [part for chunk in got["f"].chunks for part in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])] if got.num_rows else []
+    return learn(rows, np.where(got["good"].to_numpy().astype(bool), 1.0, -1.0) if got.num_rows else np.empty(0), bits)
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with quality_score (0 to 1) added; every row and whole text. A null text is scored as an empty one."""
+    """docs with quality_score (0 to 1) added, in place of a column of that name; every row and whole text.
+
+    A null text is scored as an empty one, each repeated row as the others.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.drop("quality_score").withColumn("quality_score", F.lit(0.0)).schema
 

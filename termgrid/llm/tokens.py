@@ -1,12 +1,13 @@
 """Token ids of whole texts, by distinct words.
 
-The tokenizer's own steps are followed on arrays: normalise, cut into letter runs, single digits and runs of other signs,
+Where a tokenizer file defines the steps below, they are followed on arrays: normalise, cut into letter runs, single digits and runs of other signs,
 and look each distinct word up. Words not seen before by a worker go to the tokenizers library, so each is encoded about
-once; texts that hold special-token strings go there whole.
+once; texts that hold special-token strings go there whole, and so does every text of a file that defines other steps.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 
@@ -16,6 +17,15 @@ from .common import _BASE, _BASE_INV, _power, mix
 
 #: Code points of one call, and words a worker keeps before it starts afresh.
 CALL, KEEP = 1 << 19, 1_500_000
+#: The steps that are followed here, as tokenizer files state them; fixed values.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _LETTER, _DIGIT, _BLANK, _SIGN = 0, 1, 2, 3
 _tables: dict[str, Words] = {}
 
@@ -41,6 +51,10 @@ class Words:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.full = Tokenizer.from_file(path)
+        stated = json.loads(self.full.to_str())
+        self.by_words = stated["normalizer"] == _NORMALIZER and stated["pre_tokenizer"] == _SPLITTER and stated["model"].get("end_of_word_suffix") == "</w>"
+        if not self.by_words:
+            return
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.plain = Tokenizer(self.full.model)
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -76,6 +90,8 @@ class Words:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, by as few calls as the limit on code points allows."""
+        if not self.by_words:
+            return [np.array(e.ids, dtype=np.uint32) for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
         out: list[np.ndarray] = []
         ready, size = [], 0
         for text in texts:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -38,16 +39,54 @@ def test_language_edges(spark):
     assert got[6].lang_rejected and got[1].lang_score == 0 and got[7].lang_pred in ("en", "de")
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_is_that_of_dictionaries():
+    from collections import Counter
+
     from termgrid.llm.langid import keys_of, kneser_ney
 
-    texts = ["abracadabra alakazam", "banana bandana"]
-    keys, n = np.unique(keys_of(texts)[0], return_counts=True)
-    model = kneser_ney(["x"], [keys], [n.astype(float)])
-    context = keys_of(["aba"])[0][-2] & ~np.uint64(0xFFFF)
-    letters = sorted({c for t in texts for c in t} | {" "})
-    total = model.share(np.array([context | np.uint64(ord(c)) for c in letters], dtype=np.uint64), 4).sum()
-    assert 0.9 < total <= 1 + 1e-6
+    texts = ["abracadabra alakazam", "banana  bandana!", "ab", "3 cab 7 a", "42", "", " ana cada "]
+
+    def grams(text):
+        t = re.sub(r"[^a-z]+", " ", text).lstrip(" ")
+        s = "   " + t + ("" if t.endswith(" ") else " ")
+        return [s[i - 3 : i + 1] for i in range(3, len(s))] if re.search("[a-z]", t) else []
+
+    tables = {4: Counter(g for t in texts for g in grams(t))}
+    letters = {g[-1] for g in tables[4]}
+    for n in (3, 2, 1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+
+    def p(g):
+        if not g:
+            return 1 / (len(letters) + 1)
+        table = tables[len(g)]
+        one, two = (sum(c == k for c in table.values()) for k in (1, 2))
+        d = min(max(one / (one + 2 * two), 0.1), 0.9) if one else 0.5
+        mine = {x: c for x, c in table.items() if x[:-1] == g[:-1]}
+        if not mine:
+            return p(g[1:])
+        return max(mine.get(g, 0) - d, 0) / sum(mine.values()) + d * len(mine) / sum(mine.values()) * p(g[1:])
+
+    got, n = keys_of(texts)
+    assert [int(x) for x in n] == [len(grams(t)) for t in texts]
+    keys, counts = np.unique(got, return_counts=True)
+    model = kneser_ney(["x"], [keys], [counts.astype(float)])
+    asked = [a + b + c + d for a in "ab z" for b in "na q" for c in "an z" for d in "abnz "]
+    code = lambda g: sum(ord(ch) << 16 * (3 - i) for i, ch in enumerate(g))
+    share = model.share(np.array([code(g) for g in asked], dtype=np.uint64), 4)[:, 0]
+    assert share == pytest.approx([p(g) for g in asked], abs=1e-6)
+    total = model.share(np.array([code("aba" + c) for c in sorted(letters)], dtype=np.uint64), 4).sum()
+    assert total + p("aba#") == pytest.approx(1, abs=1e-6)
+
+
+def test_few_texts_of_a_known_language_are_rejected(spark):
+    from termgrid.llm.common import held_out
+    from termgrid.llm.langid import PASS, fit_languages, identify
+
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang").filter("lang is not null and text is not null")
+    found = identify(docs.filter(held_out()), fit_languages(docs.filter(~held_out())))
+    r = found.filter("lang_pred = lang").selectExpr("count(*) as n", "avg(cast(lang_rejected as double)) as share").first()
+    assert r.n > 1000 and r.share <= 3 * (1 - PASS)
 
 
 def test_quality_of_held_out_texts(spark):
@@ -61,6 +100,87 @@ def test_quality_of_held_out_texts(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held) > 50
 
 
+def test_quality_scores_are_those_of_dictionaries(spark):
+    """Features by name, ratios, dual descent and the curve in plain Python, on a few hundred rows."""
+    from termgrid.llm.quality import _COST, _EPOCHS, fit_quality, platt, score_quality
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").filter("length(text) < 1500").collect()]
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").collect()}
+
+    def named(text):
+        w = [x.encode() for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+        shape, coarse, out = [], [], set()
+        for i, x in enumerate(w):
+            up, low, digit, wide = (sum(a <= c <= b for c in x) for a, b in ((65, 90), (97, 122), (48, 57), (128, 255)))
+            last = x[-1] if x[-1] < 128 and not chr(x[-1]).isalnum() else 0
+            again = (i > 0 and w[i - 1] == x, i > 1 and w[i - 2] == x)
+            flags = (up > 0, up > 1 and not low, digit > 0, digit == len(x), up + low + digit + wide == 0, again, last)
+            shape.append((*flags, min(len(x), 12)))
+            coarse.append(flags)
+        for name, units, longest in (("w", w, 2), ("s", shape, 1), ("c", coarse, 3)):
+            for k in range(1, longest + 1):
+                out |= {(name, k, *units[i : i + k]) for i in range(len(units) - k + 1)}
+        return out
+
+    texts = dict(docs)
+    known = sorted(i for i in label if i in texts and zlib.crc32(str(i).encode()) % 4 != 2)
+    feats, y = [sorted(named(texts[i]), key=str) for i in known], [1 if label[i] else -1 for i in known]
+    vocabulary = {f for x in feats for f in x}
+
+    def fit(chosen):
+        count = {c: dict.fromkeys(vocabulary, 1.0) for c in (1, -1)}
+        for i in chosen:
+            for f in feats[i]:
+                count[y[i]][f] += 1
+        size = {c: sum(v.values()) + (1 << 22) - len(vocabulary) for c, v in count.items()}
+        ratio = {f: math.log(count[1][f] / size[1]) - math.log(count[-1][f] / size[-1]) for f in vocabulary}
+        rng, w, bias, a = np.random.default_rng(0), dict.fromkeys(vocabulary, 0.0), 0.0, [0.0] * len(chosen)
+        x = []
+        for i in chosen:
+            norm = max(math.sqrt(sum(ratio[f] ** 2 for f in feats[i])), 1e-12)
+            x.append([(f, ratio[f] / norm) for f in feats[i]])
+        for _ in range(_EPOCHS):
+            for j in rng.permutation(len(chosen)):
+                g = y[chosen[j]] * (sum(w[f] * v for f, v in x[j]) + bias) - 1
+                new = min(max(a[j] - g / (sum(v * v for _, v in x[j]) + 1), 0.0), _COST)
+                for f, v in x[j]:
+                    w[f] += (new - a[j]) * y[chosen[j]] * v
+                bias += (new - a[j]) * y[chosen[j]]
+                a[j] = new
+        return ratio, w, bias
+
+    def margin(model, names):
+        ratio, w, bias = model
+        names = [f for f in names if f in vocabulary]
+        return sum(ratio[f] * w[f] for f in names) / max(math.sqrt(sum(ratio[f] ** 2 for f in names)), 1e-6) + bias
+
+    part, tried = [i for i in range(len(y)) if i % 5], list(range(0, len(y), 5))
+    first = fit(part)
+    slope, shift = platt(np.array([margin(first, feats[i]) for i in tried]), np.array([y[i] for i in tried]))
+    final = fit(list(range(len(y))))
+    asked = spark.createDataFrame(docs[:200] + [(-1, None)], "doc_id long, text string")
+    model = fit_quality(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(label.items()), "doc_id long, quality int"), bits=22)
+    got = {r.doc_id: r.quality_score for r in score_quality(asked, model).collect()}
+    # unseen features weigh nothing in the margin but do have a ratio, that of the classes' sizes
+    want = {i: 1 / (1 + math.exp(-(slope * margin(final, named(t)) + shift))) for i, t in docs[:200] if named(t) <= vocabulary}
+    assert len(want) > 50 and max(abs(got[i] - want[i]) for i in want) < 0.03
+
+
+def test_bytes_of_the_quality_fit_are_bounded(spark):
+    from termgrid.llm import quality
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(200))) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    seen = []
+    learn = quality.learn
+    quality.learn = lambda rows, y, bits: seen.append(sum(map(len, rows))) or learn(rows, y, bits)
+    try:
+        quality.fit_quality(docs, labels, fit_features=5000)
+    finally:
+        quality.learn = learn
+    assert 2000 < seen[0] <= 5000
+
+
 def test_hinge_loss_optimum():
     from termgrid.llm.quality import dual_coordinate_descent
 
@@ -87,6 +207,42 @@ def test_tokens_are_the_tokenizers_own():
     assert [x.tolist() for x in words_for(tokenizer_path()).ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizer_files_are_used_as_they_are():
+    from tokenizers import Tokenizer
+
+    from termgrid.llm.packing import tokenizer_path
+    from termgrid.llm.tokens import Words
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts, whole = ["It's 42 ways,\n  Σ é!", "", "plain words"], Tokenizer.from_file(path)
+    words = Words(path)
+    assert not words.by_words and [x.tolist() for x in words.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_genetic_search_saves_sequences():
+    """Lengths where best fit alone misses the bound: triples of a third each, made by cutting full sequences."""
+    from termgrid.llm.packing import best_fit, evolve
+
+    rng, length = random.Random(5), []
+    for _ in range(120):
+        a = rng.randrange(260, 480)
+        b = rng.randrange(260, 1000 - a - 230)
+        length += [a, b, 1000 - a - b]
+    plain: list[list[int]] = []
+    best_fit(list(range(len(length))), length, plain, 1000)
+    found = evolve(length, 1000, [], 60, 6, random.Random(1))
+    assert sorted(i for b in found for i in b) == list(range(len(length)))
+    assert 120 <= len(found) < len(plain)
+
+
+def test_lengths_that_fill_no_sequence_well(spark):
+    from termgrid.llm import packing
+
+    rows = [(k, 1800 if k % 2 else 2200) for k in range(9000)]
+    got = packing.pack(spark.createDataFrame(rows, "pid long, length long"), 4096).toPandas()
+    assert len(got) == got.pid.nunique() == 9000 and got.sequence_id.nunique() <= 4500 + 3
+
+
 def test_packing_holds_every_piece_once(spark):
     from termgrid.llm.packing import pack_documents, token_pieces, tokenizer_path
 
