@@ -1,9 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, weighted shingles decide.
 
-DataFrame functions only. A window can reach the similarity only if enough of its places hold shingles of an item of its
-size. Moved one place on from a place that holds none, it loses nothing, so the best one begins at such a place or is the
-text's last: windows are laid there wherever the places are enough, and where a shared shingle says the item would begin.
-Shingles may thus stand in any order. The windows' fingerprints meet the items' in blocks: within the radius
+DataFrame functions only. Every window of as many words as an item stands for judgement; those are left unprinted that provably
+cannot reach the similarity, because too few of their places hold a shingle of any item of that size. Moved one place on from a
+place that holds none, a window loses nothing, so the last best one begins at such a place or is the text's last. The windows'
+fingerprints name the items: within the radius
 some block differs in at most radius / blocks bits, and items are indexed under all such values of each block. Every
 fingerprint within the radius is thus met; the exact similarity of the shingles, weighted by their counts, decides.
 """
@@ -20,8 +20,10 @@ from .common import few_files, materialize, table
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold differs in 9.6 of 64 bits on average, with a deviation of 2.9.
 RADIUS, BLOCKS = 20, 8
-#: Rows up to which the benchmark's shingles, or the ids of documents that hold one, are broadcast; else both sides are shuffled.
+#: Rows of two or three numbers up to which a side is broadcast, some 5 MB; else both sides are shuffled, less what a bit set of
+#: 2**SET_BITS bits leaves out, and the keys are salted.
 BROADCAST_ROWS = 200_000
+SET_BITS, SALTS = 26, 16
 _NO_ID = -(1 << 63)
 
 
@@ -85,34 +87,46 @@ def dense_starts(places: Column, m: Column, n: Column, similarity: float) -> Col
     return bound(F.struct(places.alias("ps"), F.greatest(need, F.lit(1)).alias("need"), last.alias("last"), n.alias("n")), starts)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def may_hold(df: DataFrame, key: Column, keys: DataFrame, bits: int = SET_BITS) -> DataFrame:
+    """df less rows whose key (a long hash) surely is not in keys (one such column): a bit set of fixed size is broadcast."""
+    at = lambda h: F.pmod(h, F.lit(1 << bits)) + 1  # noqa: E731  bitmap functions count from 1
+    h = at(F.col(keys.columns[0]))
+    parts = keys.groupBy(F.bitmap_bucket_number(h).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("_bits"))
+    place = F.bitmap_bit_position(at(key))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    both = df.withColumn("_bucket", F.bitmap_bucket_number(at(key))).join(F.broadcast(parts), "_bucket")
+    return both.filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: for each document and item of benchmark that some window matches, the best one.
 
     docs: doc_id long, text; benchmark: item_id, text. A window has as many words as its item (the whole text, if that is
     shorter); start counts words from 0. The similarity is the sum of the lesser counts of the two sides' word n-grams
-    over that of the greater ones, the greatest that any window reaches. Of equal ones those count first that begin where a
-    shared n-gram says that the item would, then the least start. Null and blank texts match nothing. Repeated rows and
-    rows with equal ids are answered by one row; a null doc_id is an id of its own. Other columns are left out.
+    over that of the greater ones, the greatest that any window reaches; of equal ones the last counts. Null and blank texts match
+    nothing. Repeated rows and rows with equal ids are answered by one row, those without an id too. Other columns are left out.
     """
     blank = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
     items = benchmark.select("item_id", "text").filter(~blank).distinct().select("item_id", shingle_array(F.col("text"), words).alias("s"))
     items = materialize(items.select("item_id", "s", F.size("s").alias("n"), simhash("s").alias("print"), F.xxhash64("item_id", "s").alias("item")).distinct().transform(few_files), "items")
-    seeds = items.select(F.col("n").alias("n"), F.posexplode("s").alias("q", "h")).distinct()
-    docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    spots = docs.select("doc", shingle_array(F.col("text"), words).alias("s")).select("doc", F.size("s").alias("m"), F.posexplode_outer("s").alias("p", "h"))
-    seeds = F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("m") - F.col("n")))
-    # both lists of places are shorter than the longest text
-    hits = spots.join(seeds, "h").groupBy("doc", "m", "n").agg(F.collect_set("p").alias("ps"), F.collect_set(start).alias("aligned"))
-    begins = hits.select("doc", "m", "n", "aligned", dense_starts(F.array_sort("ps"), F.col("m"), F.col("n"), similarity).alias("dense"))
-    lay = lambda starts, aligned: F.transform(starts, lambda x: F.struct(x.alias("start"), F.lit(aligned).alias("aligned")))
-    begins = begins.select("doc", "m", "n", F.explode(F.concat(lay(F.col("aligned"), 1), lay(F.array_except("dense", "aligned"), 0))).alias("at"))
-    laid = materialize(few_files(begins).select("doc", "m", "n", "at.*"), "windows")
-    ids = laid.select("doc").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    held = docs.join(ids, "doc", "left_semi").select("doc", shingle_array(F.col("text"), words).alias("s"))
-    windows = held.withColumn("m", F.size("s")).join(laid, ["doc", "m"]).withColumn("w", F.slice("s", F.col("start") + 1, F.col("n"))).select("doc", "n", "start", "aligned", "w")
-    windows = materialize(few_files(windows).select("doc", "start", "aligned", "n", "w", simhash("w").alias("print"), F.monotonically_increasing_id().alias("id")), "prints")
+    seeds = items.select("n", F.explode("s").alias("h")).distinct()
+    # rows of one id are told apart by their text, so that places of two texts never mix
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("row"), "text")
+    spots = docs.select("doc", "row", shingle_array(F.col("text"), words).alias("s")).select("doc", "row", F.size("s").alias("m"), F.posexplode("s").alias("p", "h"))
+    if seeds.count() <= broadcast_rows:
+        shared = spots.join(F.broadcast(seeds), "h")
+    else:
+        spots = may_hold(spots, F.col("h"), seeds.select("h")).withColumn("salt", F.col("p") % SALTS)
+        shared = spots.join(seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
+    hits = shared.groupBy("doc", "row", "m", "n").agg(F.collect_set("p").alias("ps"))  # fewer places than the text has words
+    laid = hits.select("doc", "row", "m", "n", F.explode(dense_starts(F.array_sort("ps"), F.col("m"), F.col("n"), similarity)).alias("start"))
+    laid = materialize(few_files(laid), "windows")
+    ids = laid.select("doc", "row").distinct()
+    some = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    held = docs if some is not ids else may_hold(docs, F.xxhash64("doc", "row"), ids.select(F.xxhash64("doc", "row").alias("h")))
+    held = held.join(some, ["doc", "row"], "left_semi").dropDuplicates(["doc", "row"]).select("doc", "row", shingle_array(F.col("text"), words).alias("s"))
+    windows = held.join(laid, ["doc", "row"]).select("doc", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("w"))
+    windows = materialize(windows.select("doc", "start", "n", "w", simhash("w").alias("print"), F.monotonically_increasing_id().alias("id")), "prints")
     met = windows.select("id", "n", F.col("print").alias("p"), F.explode(block_values("print", radius, blocks, False)).alias("b")).select("id", "n", "p", "b.*")
     index = items.select("item", "n", F.col("print").alias("q"), F.explode(block_values("print", radius, blocks, True)).alias("b")).select("item", "n", "q", "b.*")
     near = met.join(index, ["n", "block", "value"]).filter(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius).select("id", "item").distinct()
@@ -120,8 +134,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, simi
     mine = windows.select("id", F.explode("w").alias("h")).join(near, "id").groupBy("id", "item", "h").agg(F.count("*").alias("k"))
     common = mine.join(counts, ["item", "h"], "left").groupBy("id", "item").agg(F.sum(F.least("k", F.coalesce("c", F.lit(0)))).alias("common"), F.sum("k").alias("total"))
     scored = common.join(items.select("item", "item_id", F.col("n").alias("size")), "item").withColumn("similarity", F.col("common") / (F.col("total") + F.col("size") - F.col("common"))).filter(F.col("similarity") >= similarity)
-    best = scored.join(windows.select("id", "doc", "start", "aligned", F.size("w").alias("len")), "id").groupBy("doc", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"), "len")).alias("best"))
-    return few_files(best).select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "item_id", (-F.col("best.back")).alias("start"), (F.col("best.len") + words - 1).alias("n_words"), F.col("best.similarity").alias("similarity"))
+    best = scored.join(windows.select("id", "doc", "start", F.size("w").alias("len")), "id").groupBy("doc", "item_id").agg(F.max(F.struct("similarity", "start", "len")).alias("best"))
+    return few_files(best).select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "item_id", "best.start", (F.col("best.len") + words - 1).alias("n_words"), "best.similarity")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

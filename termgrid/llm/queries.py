@@ -58,15 +58,16 @@ e AS (SELECT x, y FROM common JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id
 reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT e.x, reach.r FROM reach JOIN e ON e.y = reach.doc_id),
 n AS (SELECT x, count(*) AS n FROM e GROUP BY 1)
 SELECT reach.doc_id, min(r) AS class_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links FROM reach LEFT JOIN n ON n.x = reach.doc_id GROUP BY 1""",
-    # windows wherever a shared n-gram says that an item would begin, without fingerprints
+    # every window that shares an n-gram with an item of its size, without fingerprints
     "op10_decontamination": r"""
 WITH t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') FROM benchmark),
 spot AS (SELECT side, id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS p FROM t WHERE len(w) > 0),
 g AS (SELECT side, id, p, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p + 1:p + 5], ' ') END AS k, greatest(len(w) - 4, 1) AS n FROM spot),
-near AS (SELECT DISTINCT a.id AS doc_id, b.id AS item_id, greatest(0, least(a.p - b.p, a.n - b.n)) AS s, b.n, least(a.n, b.n) AS len FROM g a JOIN g b ON a.side = 'd' AND b.side = 'i' AND a.k = b.k),
-mine AS (SELECT doc_id, item_id, s, near.n, len, k, count(*) AS c FROM near JOIN g ON g.side = 'd' AND g.id = doc_id AND g.p >= s AND g.p < s + near.n GROUP BY ALL),
-own AS (SELECT id AS item_id, k, count(*) AS c FROM g WHERE side = 'i' GROUP BY 1, 2),
-sim AS (SELECT doc_id, item_id, s, n, len, sum(least(mine.c, coalesce(own.c, 0))) AS m, sum(mine.c) AS total FROM mine LEFT JOIN own USING (item_id, k) GROUP BY 1, 2, 3, 4, 5),
-best AS (SELECT doc_id, item_id, max((m / (total + n - m), -s, len)) AS b FROM sim WHERE m / (total + n - m) >= 0.8 GROUP BY 1, 2)
-SELECT doc_id, item_id, CAST(-b[2] AS INTEGER) AS start, CAST(b[3] + 4 AS INTEGER) AS n_words, CAST(b[1] AS DOUBLE) AS similarity FROM best""",
+own AS (SELECT id AS item_id, k, n, count(*) AS c FROM g WHERE side = 'i' GROUP BY 1, 2, 3),
+hit AS (SELECT g.id AS doc_id, item_id, p, g.n AS m, own.n, g.k, c FROM g JOIN own ON g.k = own.k WHERE side = 'd'),
+win AS (SELECT DISTINCT doc_id, item_id, m, n, unnest(range(greatest(0, p - n + 1), least(p, greatest(0, m - n)) + 1)) AS s FROM hit),
+mine AS (SELECT win.doc_id, win.item_id, win.m, win.n, s, k, least(count(*), any_value(c)) AS c FROM win JOIN hit ON win.doc_id = hit.doc_id AND win.item_id = hit.item_id AND p >= s AND p < s + win.n GROUP BY 1, 2, 3, 4, 5, 6),
+sim AS (SELECT doc_id, item_id, s, n, least(m, n) AS len, sum(c) AS common FROM mine GROUP BY 1, 2, 3, 4, 5),
+best AS (SELECT doc_id, item_id, max((common / (len + n - common), s, len)) AS b FROM sim WHERE common / (len + n - common) >= 0.8 GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(b[2] AS INTEGER) AS start, CAST(b[3] + 4 AS INTEGER) AS n_words, CAST(b[1] AS DOUBLE) AS similarity FROM best""",
 }
