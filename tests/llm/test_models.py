@@ -302,12 +302,49 @@ def test_probing_finds_every_code_in_the_radius():
     from termgrid.llm.ann import indexed, probe
 
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 256, (400, 16), dtype=np.uint8)
+    codes = rng.integers(0, 1 << 16, (400, 8), dtype=np.uint16)
     codes[1] = codes[0]
     codes[2, 3] = codes[0, 3] ^ 5
-    for radius in (0, 2, 20, 50):
+    for k in range(20):  # some near ones, differing in 3 * k bits
+        flip = np.zeros(128, dtype=np.uint8)
+        flip[rng.choice(128, 3 * k, replace=False)] = 1
+        codes[10 + k] = codes[0] ^ np.packbits(flip).view(np.uint16)
+    for radius in (0, 2, 13, 20, 50, 127, 128):
         want = np.flatnonzero(np.bitwise_count(codes ^ codes[0]).sum(axis=1, dtype=int) <= radius)
-        assert (probe(codes, codes[0], indexed(codes), radius) == want).all()
+        assert (probe(codes, codes[0], indexed(codes), radius) == want).all() and len(want) > 1
+
+
+def test_probes_touch_few_rows_where_vectors_have_neighbours():
+    """Vectors in groups: the index reads a small share of the rows and finds nine tenths of the true neighbours."""
+    from termgrid.llm.ann import indexed, learn_codes, probe, probed
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(400, 64))
+    x = centres[rng.integers(0, 400, 20000)] + rng.normal(size=(20000, 64)) * 0.35
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = learn_codes(x[:4000], neighbours=4)  # a fifth of the rows, so a fifth of 20
+    codes = model.encode(x)
+    index, touched, hit = indexed(codes), 0, 0
+    for q in range(0, 20000, 400):
+        touched += len(probed(codes[q], index, len(codes), model.radius))
+        rows = probe(codes, codes[q], index, model.radius)
+        best = np.argsort(-(x @ x[q]))[1:21]
+        hit += len(set(best) & set(rows[np.argsort(-(x[rows] @ x[q]))][:21]))
+    assert touched <= 0.2 * 50 * len(x) and hit >= 0.9 * 20 * 50
+
+
+def test_several_shards_and_wider_radii(spark, monkeypatch):
+    from termgrid.llm import ann
+
+    monkeypatch.setattr(ann, "SHARD", 90)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 8)).astype(np.float32)
+    v[7] = -v[:300].mean(axis=0) * 50  # far from all: nothing lies in its radius
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.search(df, df.filter("vec_id % 7 = 0"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == set(range(0, 300, 7)) and all(sorted(x)[-1][0] == 5 and len(x) == 5 for x in got.values())
 
 
 def test_neighbours_edges(spark):
