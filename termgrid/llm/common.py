@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call works on; a single longer text is taken alone.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Send rows of whole texts to Python in batches of this size, unless the session has a setting of its own.
 
     Spark's default of 10,000 rows takes tens of megabytes a batch, several times over, in each worker.
@@ -204,12 +204,12 @@ def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def split_by(df: DataFrame, column: str, bits, deflate: str = "", rest=None, schema=None, edit=None) -> tuple[DataFrame, DataFrame]:
+def split_by(df: DataFrame, column: str, bits, deflate: str = "", rest=None, schema=None, edit=None, edited=None) -> tuple[DataFrame, DataFrame]:
     """The rows whose hash in a long column may be in the bit set, and those whose hash surely is not.
 
     The string column deflate of the first ones, which go to a shuffle, becomes compressed bytes; inflated() undoes it.
     rest turns the batches of the second ones into rows of schema in the same pass, and so in the same worker; edit changes
-    those of the first ones.
+    those of the first ones, to rows of the schema edited if that differs.
     """
 
     def part(yes: bool) -> DataFrame:
@@ -228,7 +228,7 @@ def split_by(df: DataFrame, column: str, bits, deflate: str = "", rest=None, sch
 
         if rest and not yes:
             return df.mapInArrow(lambda batches: rest(run(batches)), schema)
-        return df.mapInArrow(run, df.withColumn(deflate, F.lit(None).cast("binary")).schema if yes and deflate else df.schema)
+        return df.mapInArrow(run, df.withColumn(deflate, F.lit(None).cast("binary")).schema if yes and deflate else edited if yes and edited else df.schema)
 
     return part(True), part(False)
 

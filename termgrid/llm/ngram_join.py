@@ -96,19 +96,14 @@ def _sets_of(words: int, wanted):
     return run
 
 
-def _with_keys(words: int):
-    """Rows with _k1 and _k2, null for a text without n-grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for _, _, data, off in slices(pc.utf8_lower(batch.column("text"))) for s in shingles(data, off, words)]
-            none = pa.array([not len(s) for s in sets], pa.bool_())
-            for name, salt in (("_k1", _K1), ("_k2", _K2)):
-                key = pa.array(signed(np.array([_set_hash(s, salt) for s in sets], dtype=np.uint64)))
-                batch = batch.append_column(name, pc.if_else(none, pa.scalar(None, pa.int64()), key))
-            yield batch
-
-    return run
+def _with_keys(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
+    """The batch with _k1 and _k2, null for a text without n-grams."""
+    sets = [s for _, _, data, off in slices(pc.utf8_lower(batch.column("text"))) for s in shingles(data, off, words)]
+    none = pa.array([not len(s) for s in sets], pa.bool_())
+    for name, salt in (("_k1", _K1), ("_k2", _K2)):
+        key = pa.array(signed(np.array([_set_hash(s, salt) for s in sets], dtype=np.uint64)))
+        batch = batch.append_column(name, pc.if_else(none, pa.scalar(None, pa.int64()), key))
+    return batch
 
 
 def _linked(flat: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
@@ -228,8 +223,8 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: flo
     linked_ids = keys.join(final, ["k1", "k2"], "left_semi").select(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))).alias("h"))
     names = [c for c in docs.columns if c not in ("_k1", "_k2", "_h")]
     hashed = docs.select(*names, F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))).alias("_h"))
-    touched, clean = split_by(hashed, "_h", bitmap(linked_ids, "h", bits))
-    keyed = touched.mapInArrow(_with_keys(words), hashed.selectExpr("*", "cast(null as long) as _k1", "cast(null as long) as _k2").schema)
+    with_keys = hashed.selectExpr("*", "cast(null as long) as _k1", "cast(null as long) as _k2").schema
+    keyed, clean = split_by(hashed, "_h", bitmap(linked_ids, "h", bits), edit=lambda batch: _with_keys(batch, words), edited=with_keys)
     # a set without links belongs to one row, so nothing but linked rows is combined here
     row = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_d"), *names)
     once = keyed.filter("_k1 is not null").groupBy("_k1", "_k2").agg(F.min(row).alias("row"))

@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
 from .common import _BASE, _BASE_INV, _power, mix
 
 #: Code points of one call, and words a worker keeps before it starts afresh.
-CALL, KEEP = 1 << 19, 1_500_000
+CALL, KEEP = 1 << 17, 500_000
 #: The steps that are followed here, as tokenizer files state them; fixed values.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLITTER = {
@@ -50,11 +51,12 @@ class Words:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         stated = json.loads(self.full.to_str())
         self.by_words = stated["normalizer"] == _NORMALIZER and stated["pre_tokenizer"] == _SPLITTER and stated["model"].get("end_of_word_suffix") == "</w>"
         if not self.by_words:
             return
+        del stated
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.plain = Tokenizer(self.full.model)
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -62,8 +64,15 @@ class Words:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.kind = _classes()
+        del self.full  # read again where a text needs it
         self.clear()
 
+    @cached_property
+    def full(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def clear(self) -> None:
         self.keys, self.begin, self.count = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.flat, self.used = np.empty(1 << 16, dtype=np.uint32), 0
