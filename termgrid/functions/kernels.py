@@ -102,7 +102,7 @@ def gmm(x: np.ndarray, k: int, kind: str = "full", seed: int = 0, starts: int =
             top = joint.max(axis=1, keepdims=True)
             total = top[:, 0] + np.log(np.exp(joint - top).sum(axis=1))
             r = np.exp(joint - total[:, None])
-            if total.sum() - before < 1e-4 * len(x) * 1e-2:
+            if total.sum() - before < 1e-4 * len(x):
                 break
             before = total.sum()
         if best is None or total.sum() > best["loglik"]:

@@ -8,8 +8,11 @@ share one exchange and one sort.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
 
-from pyspark.sql import Column, Window, WindowSpec
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: A standard deviation below this is that of a constant.
@@ -67,6 +70,27 @@ def pct_rank(x: Column, w: WindowSpec, n: int | None, min_rows: int | None = Non
     return F.when(x.isNotNull() & (F.size(a) >= (n if min_rows is None else min_rows)), (below + (same + 1) / 2) / F.size(a))
 
 
+def expanding_rank(df: DataFrame, series: str, order: str, x: str, out: str, min_rows: int) -> DataFrame:
+    """df with the average-tie rank of each value among the series' values so far, as a share; a series is one task's group.
+
+    The values so far are kept sorted, so a row costs a search and a move, where collecting them for each row would cost the square.
+    """
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(order).reset_index(drop=True)
+        seen, rank = [], []
+        for v in t[x].to_numpy(dtype=float, na_value=np.nan):
+            if v != v:
+                rank.append(None)
+                continue
+            insort(seen, v)
+            low, high = bisect_left(seen, v), bisect_right(seen, v)
+            rank.append((low + (high - low + 1) / 2) / len(seen) if len(seen) >= min_rows else None)
+        return t.assign(**{out: pd.Series(rank, dtype=float)})
+
+    return df.groupBy(series).applyInPandas(run, df.withColumn(out, F.lit(None).cast("double")).schema)
+
+
 def ewm_mean(x: Column, w: WindowSpec, span: int) -> Column:
     """Exponentially weighted mean with weights (1 - a)**age over their sum, a = 2 / (span + 1), as far back as weights count."""
     keep = 1 - 2 / (span + 1)

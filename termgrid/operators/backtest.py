@@ -51,6 +51,17 @@ def sharpe(df: DataFrame, key: str, ret: str, periods: int = 252) -> DataFrame:
     return df.groupBy(key).agg(F.avg(ret).alias("mean"), sd.alias("std"), F.when(p > 0, F.pow(p, periods / F.count(ret)) - 1).alias("annual_return"), (sd * math.sqrt(periods)).alias("annual_vol"), F.coalesce(F.avg(ret) / F.nullif(sd, F.lit(0.0)) * math.sqrt(periods), F.lit(0.0)).alias("sharpe"))
 
 
+def sharpe_summary(df: DataFrame, ret: str, periods: int = 252, risk_free: float = 0.0) -> DataFrame:
+    """One row: sharpe (null for a constant), mean_period, std_period, ann_return, ann_vol, n of the excess over the risk-free rate.
+
+    The query fails if no row has a value.
+    """
+    x = F.col(ret) - risk_free / periods
+    mean, sd = F.avg(x), F.stddev_samp(x)
+    n = F.when(F.count(x) > 0, F.count(x)).otherwise(F.raise_error(F.lit(f"{ret} has no values")).cast("long"))
+    return df.agg((mean / F.when(sd > 0, sd) * math.sqrt(periods)).alias("sharpe"), mean.alias("mean_period"), sd.alias("std_period"), (mean * periods).alias("ann_return"), (sd * math.sqrt(periods)).alias("ann_vol"), n.alias("n"))
+
+
 def simple_returns(df: DataFrame, pnl: str, notional: str | None = None, log_returns: bool = False, out: str = "ret") -> DataFrame:
     x = F.col(pnl)
     return df.withColumn(out, F.expm1(x) if log_returns else R.ratio(x, F.col(notional)) if notional else x)

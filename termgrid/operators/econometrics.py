@@ -71,7 +71,30 @@ def ljung_box(df: DataFrame, series: str, order: str, x: str, lags: tuple[int, .
 
 def ljung_box_p(q: DataFrame) -> DataFrame:
     """q with its upper tail; a few rows a series."""
-    return q.withColumn("p", F.udf(lambda v, k: None if v is None else chi2_sf(v, k), "double")("q", "lags"))
+    p = F.pandas_udf(lambda v, k: pd.Series([None if x != x else chi2_sf(x, int(n)) for x, n in zip(v, k, strict=True)], dtype=float), "double")
+    return q.withColumn("p", p("q", "lags"))
+
+
+def white_noise(df: DataFrame, series: str, order: str, x: str, lags: tuple[int, ...] = (5, 10, 20), plot_lags: int = 60) -> DataFrame:
+    """Per series and lags: q and p of the values and of their squares, whether all p of the values exceed 5 %, the band of the
+    autocorrelations, how many of the first plot_lags (at most half of the rows) lie outside it and how many would by chance."""
+    both = df.withColumn("_x2", F.col(x) * F.col(x))
+    level = ljung_box_p(ljung_box(both, series, order, x, lags))
+    squared = ljung_box_p(ljung_box(both, series, order, "_x2", lags)).select(series, "lags", F.col("q").alias("q_squared"), F.col("p").alias("p_squared"))
+    rho = autocorrelation(df, series, order, x, plot_lags).filter(F.col("lag") <= F.floor(F.col("n") / 2))
+    band = 1.96 / F.sqrt(F.col("n").cast("double"))
+    outside = rho.groupBy(series).agg(F.first(band).alias("band"), F.sum((F.abs("rho") > band).cast("long")).alias("n_outside"), (F.count("*") * 0.05).alias("expected_outside"))
+    return level.join(squared, [series, "lags"]).join(outside, series).withColumn("white_noise", F.min("p").over(Window.partitionBy(series)) > 0.05)
+
+
+def correlogram(df: DataFrame, series: str, order: str, x: str, lags: int = 60) -> DataFrame:
+    """series, lag, rho, partial: autocorrelations and, by the Levinson recursion over a series' few lags, partial ones."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("lag")
+        return t[[series, "lag", "rho"]].assign(partial=partial_autocorrelation(t["rho"].tolist()))
+
+    return autocorrelation(df, series, order, x, lags).groupBy(series).applyInPandas(run, f"{series} string, lag int, rho double, partial double")
 
 
 def partial_autocorrelation(rho: list[float]) -> list[float]:

@@ -98,3 +98,30 @@ def cross_legs(df: DataFrame, x: str, y: str, w: WindowSpec, n: int = 60) -> Dat
     """Rolling correlation of two legs' changes and the ratio of their deviations."""
     df = df.withColumns({"_dx": F.col(x) - F.lag(x).over(w), "_dy": F.col(y) - F.lag(y).over(w)})
     return df.withColumns({"leg_corr": R.pair(F.corr, F.col("_dx"), F.col("_dy"), w, n), "relative_vol": R.rolling(F.stddev_samp, F.col("_dx"), w, n) / F.nullif(R.rolling(F.stddev_samp, F.col("_dy"), w, n), F.lit(0.0))}).drop("_dx", "_dy")
+
+
+def frozen_hedge_ratio(df: DataFrame, x: str, y: str, w: WindowSpec, n: int = 120, every: int = 5) -> DataFrame:
+    """hedge_ratio: the slope of the levels, held between rebalances."""
+    return df.withColumn("_h", hedge_ratio(x, y, w, n)).withColumn("hedge_ratio", R.rebalanced(F.col("_h"), w, every)).drop("_h")
+
+
+def beta_stability(df: DataFrame, x: str, y: str, w: WindowSpec, fast: int = 60, slow: int = 120, n: int = 60) -> DataFrame:
+    """beta_std: the deviation of the slow slope over n rows; beta_gap: the fast slope of the changes less the slow one."""
+    df = df.withColumns({"_dx": F.col(x) - F.lag(x).over(w), "_dy": F.col(y) - F.lag(y).over(w)})
+    df = df.withColumns({"_f": hedge_ratio("_dx", "_dy", w, fast), "_s": hedge_ratio("_dx", "_dy", w, slow)})
+    return df.withColumns({"beta_std": R.rolling(F.stddev_samp, F.col("_s"), w, n), "beta_gap": F.col("_f") - F.col("_s")}).drop("_dx", "_dy", "_f", "_s")
+
+
+def within_expiry(df: DataFrame, x: str, volume: str, z_window: int = 120, vol_window: int = 60, ratio: int = 20, short: int = 5, long: int = 20) -> DataFrame:
+    """<x>_z, <x>_vol (deviation of the changes), volume_ratio and volume_trend, all windows within contract and expiry."""
+    w = R.over(["contract", "expiry"], "dt")
+    df = df.withColumn("_d", F.col(x) - F.lag(x).over(w))
+    df = df.withColumns({f"{x}_z": R.zscore(F.col(x), w, z_window), f"{x}_vol": R.rolling(F.stddev_samp, F.col("_d"), w, vol_window)}).drop("_d")
+    return volume_ratios(df, volume, w, ratio, short, long)
+
+
+def prepare_arb(df: DataFrame, w: WindowSpec, level: str, gap: str, legs: tuple[str, ...]) -> DataFrame:
+    """arb_level, arb_change and the legs on one mask: on rows where the column gap is missing changes and legs count 0."""
+    open_ = F.col(gap).isNull()
+    masked = lambda c: F.coalesce(F.when(~open_, c), F.lit(0.0))
+    return df.withColumns({"arb_level": F.col(level), "arb_change": masked(F.col(level) - F.lag(level).over(w)), **{leg: masked(F.col(leg)) for leg in legs}, "is_gap": open_})

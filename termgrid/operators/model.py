@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,30 +14,71 @@ from pyspark.sql import functions as F
 from .backtest import walk_forward_folds
 from .screen import rank_ic
 
+#: What a model is made of unless told otherwise.
+DEFAULTS = {"maxIter": 300, "maxDepth": 3, "stepSize": 0.03, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 0}
+
+
+def make_model(kind: str = "regressor", **params):
+    """Boosted trees over columns x and y, as a regressor or a classifier (of y in 0 and 1)."""
+    makers = {"regressor": GBTRegressor, "classifier": GBTClassifier}
+    if kind not in makers:
+        raise ValueError(f"the kind is one of {sorted(makers)}")
+    return makers[kind](featuresCol="x", labelCol="y", **(DEFAULTS | params))
+
+
+def param_grid(options: dict[str, list]) -> list[dict]:
+    """All combinations of the options' values, the last name varying fastest."""
+    return [dict(zip(options, values, strict=True)) for values in product(*options.values())]
+
+
+def _predicted(model, kind: str, rows: DataFrame) -> DataFrame:
+    """rows with pred: the value, or the probability of class 1."""
+    out = model.transform(rows)
+    return out.withColumn("pred", vector_to_array("probability")[1] if kind == "classifier" else F.col("prediction"))
 
-def walk_forward(df: DataFrame, order: str, features: tuple[str, ...], target: str, n_splits: int = 3, test_size: int | None = None, embargo: int = 5, trees: int = 20, depth: int = 3, rate: float = 0.1, min_train: int = 250) -> DataFrame:
-    """fold, order, y, pred: predictions of each fold by trees fit on the rows before it, less the embargo.
 
-    Rows with a missing feature or target are left out first. The fits run one after another, each one distributed.
+def score(predictions: DataFrame, order: str, key: str = "fold") -> DataFrame:
+    """key, ic, n: rank correlation of predictions with what followed; null where either is constant."""
+    return rank_ic(predictions, key, order, ("pred",), ("y",)).select(key, F.when(~F.isnan("ic"), F.col("ic")).alias("ic"), "n")
+
+
+def choose_params(rows: DataFrame, order: str, train_end: int, grid: list[dict], kind: str = "regressor", validation_fraction: float = 0.2, embargo: int = 5) -> dict:
+    """Of the grid the first with the best rank correlation on the tail of the rows before train_end; the first of all where none has one."""
+    tail = int(train_end * validation_fraction)
+    before, after = rows.filter(F.col("row") < train_end - tail - embargo), rows.filter((F.col("row") >= train_end - tail) & (F.col("row") < train_end))
+    tried = None
+    for k, params in enumerate(grid):
+        one = _predicted(make_model(kind, **params).fit(before), kind, after).select(F.lit(k).alias("k"), order, "y", "pred")
+        tried = one if tried is None else tried.unionByName(one)
+    best = score(tried, order, "k").filter("ic is not null").orderBy(F.desc("ic"), "k").first()
+    return grid[best["k"]] if best else grid[0]
+
+
+def run_walk_forward(df: DataFrame, order: str, features: tuple[str, ...], target: str, n_splits: int = 6, embargo: int = 5, kind: str = "regressor", grid: list[dict] | None = None, validation_fraction: float = 0.2, min_test_start: int = 0, min_train: int = 250, **params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictions (fold, order, y, pred), the table of folds, and one row of summary.
+
+    A fold is fit on the rows before it, less the embargo, and is a tenth of the rows long; with a grid its parameters are chosen on the
+    tail of its training rows. The folds' table holds dates, sizes, ic, parameters and importances. The fits run one after another, each one
+    distributed. Rows with a missing feature or target are left out first.
     """
-    full = df.select(order, *features, F.col(target).alias("y")).na.drop()
-    rows = VectorAssembler(inputCols=list(features), outputCol="x").transform(full).withColumn("row", F.row_number().over(Window.partitionBy(F.lit("all")).orderBy(order)) - 1).persist()
-    n = rows.count()
-    out = None
-    for fold, train_end, start, end in walk_forward_folds(n, n_splits, test_size or n // 10, embargo, min_train=min_train):
-        model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=0).fit(rows.filter(F.col("row") < train_end))
-        got = model.transform(rows.filter((F.col("row") >= start) & (F.col("row") < end))).select(F.lit(fold).alias("fold"), order, "y", F.col("prediction").alias("pred"))
+    spark = df.sparkSession
+    full = df.select(order, *features, F.col(target).cast("double").alias("y")).na.drop()
+    # one sample in the order of time: trading days, by row number
+    rows = VectorAssembler(inputCols=list(features), outputCol="x").transform(full).withColumn("row", F.row_number().over(Window.partitionBy(F.lit(target)).orderBy(order)) - 1).persist()
+    n, out, table = rows.count(), None, []
+    for fold, train_end, start, end in walk_forward_folds(n, n_splits, n // 10, embargo, min_test_start, min_train):
+        chosen = choose_params(rows, order, train_end, grid, kind, validation_fraction, embargo) if grid else params
+        model = make_model(kind, **chosen).fit(rows.filter(F.col("row") < train_end))
+        got = _predicted(model, kind, rows.filter((F.col("row") >= start) & (F.col("row") < end))).select(F.lit(fold).alias("fold"), order, "y", "pred")
         out = got if out is None else out.unionByName(got)
+        table.append((fold, train_end, start, end, {k: str(v) for k, v in chosen.items()}, {f: float(v) for f, v in zip(features, model.featureImportances.toArray(), strict=True)}))
     if out is None:
         raise ValueError("no fold has enough rows to train on")
-    return out
-
-
-def score(predictions: DataFrame, order: str) -> DataFrame:
-    """Rank correlation of predictions with what followed, by fold."""
-    wide = predictions.withColumn("feature_", F.concat(F.lit("fold"), F.col("fold").cast("string")))
-    parts = [rank_ic(wide.filter(F.col("fold") == r["fold"]).select("feature_", order, "pred", "y"), "feature_", order, ("pred",), ("y",)).withColumn("fold", F.lit(r["fold"])) for r in predictions.select("fold").distinct().collect()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("fold", "ic", "n")
+    folds = spark.createDataFrame(table, "fold int, n_train long, test_start_row int, test_end_row int, params map<string, string>, importances map<string, double>")
+    at = lambda a, b: F.col("row") == (F.col(a) - b)
+    edges = F.broadcast(folds).join(rows.select("row", order), at("n_train", 1) | at("test_start_row", 0) | at("test_end_row", 1))
+    pick = lambda a, b, c: F.max(F.when(at(a, b), F.col(order))).alias(c)
+    dates = edges.groupBy("fold").agg(pick("n_train", 1, "train_end"), pick("test_start_row", 0, "test_start"), pick("test_end_row", 1, "test_end"))
+    folds = folds.join(dates, "fold").join(score(out, order).select("fold", F.col("ic").alias("oos_ic"), F.col("n").alias("n_test")), "fold", "left").drop("test_start_row", "test_end_row")
+    summary = folds.agg(F.avg("oos_ic").alias("mean_oos_ic"), F.count_if(F.col("oos_ic") > 0).alias("folds_positive"), F.count("*").alias("n_folds"), F.stddev_samp("oos_ic").alias("ic_std"))
+    return out, folds, summary

@@ -19,6 +19,59 @@ def positive_legs(df: DataFrame, *legs: str) -> DataFrame:
     return df
 
 
+def legs_dropped(df: DataFrame, *legs: str) -> DataFrame:
+    """One row: rows, those that positive_legs drops, and for each leg how many lack it or have it at or below 0."""
+    bad = lambda leg: F.coalesce(~(F.col(leg) > 0) | F.isnan(leg), F.lit(True))
+    any_ = bad(legs[0])
+    for leg in legs[1:]:
+        any_ = any_ | bad(leg)
+    return df.agg(F.count("*").alias("n"), F.count_if(any_).alias("n_dropped"), *[F.count_if(bad(leg)).alias(f"n_{leg}") for leg in legs])
+
+
+def zero_to_null(df: DataFrame, *columns: str) -> DataFrame:
+    """0 stands for a missing value."""
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(0).cast(dict(df.dtypes)[c])) for c in columns})
+
+
+def usd_per_tonne(cents_per_bushel: Column) -> Column:
+    return cents_per_bushel * CENTS_PER_BUSHEL_TO_USD_PER_TONNE
+
+
+def select_contracts(panel: DataFrame, start_year: int = 2013, months: tuple[int, ...] = (3, 7, 12), least_oi: float = 3000) -> DataFrame:
+    """Rows of expiries from a year on, in some delivery months, with enough open interest."""
+    first = F.to_date(F.concat("expiry", F.lit("-01")))
+    return panel.filter((F.year(first) >= start_year) & F.month(first).isin(*months) & (F.col("oi") >= least_oi))
+
+
+def date_slice(df: DataFrame, dt: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows between two dates, both included; a date may be a year or a month, which stands for all of it."""
+    if first:
+        df = df.filter(F.col(dt) >= F.to_date(F.lit(first + "-01-01"[: 10 - len(first)] if len(first) < 10 else first)))
+    if last:
+        start = F.to_date(F.lit(last + "-01-01"[: 10 - len(last)] if len(last) < 10 else last))
+        months = {4: 12, 7: 1}.get(len(last))
+        df = df.filter(F.col(dt) < (F.add_months(start, months) if months else F.date_add(start, 1)))
+    return df
+
+
+def rows_before(df: DataFrame, series: str, dt: str, dates: list[str]) -> DataFrame:
+    """series, date, position: how many rows of a series lie before each date; dates are few."""
+    at = F.array(*[F.struct(F.lit(d).cast("date").alias("date"), F.count_if(F.col(dt) < F.lit(d).cast("date")).alias("position")) for d in dates])
+    return df.groupBy(series).agg(at.alias("_a")).select(series, F.inline("_a"))
+
+
+def hourly_bars_to_snap(bars: DataFrame, cutoff_hour: int = 11, reference_hour: int = 10, max_staleness_hours: float = 30) -> DataFrame:
+    """instrument, symbol, expiry, dt, usd_per_tonne, staleness_hours from hourly bars (instrument, symbol, ts, close in cents a bushel).
+
+    Single contracts only; a symbol's expiry follows from its last print, and the query fails where no year fits.
+    """
+    single = outright_symbols(bars)
+    expiry = single.groupBy("instrument", "symbol").agg(F.max("ts").alias("_last")).select("instrument", "symbol", resolve_expiry(F.col("symbol"), F.col("_last"), required=True).alias("expiry"))
+    keyed = single.join(expiry, ["instrument", "symbol"]).withColumn("_key", F.struct("instrument", "symbol", "expiry"))
+    snap = snap_before(keyed, "_key", "ts", "close", cutoff_hour, reference_hour, max_staleness_hours)
+    return snap.select("_key.*", "dt", usd_per_tonne(F.col("close")).alias("usd_per_tonne"), "staleness_hours")
+
+
 def build_spread(domestic: DataFrame, offshore: DataFrame, fx: DataFrame) -> DataFrame:
     """The spread panel: domestic (contract, dt, expiry, price, ...) with offshore (dt, expiry, cbot) and fx (dt, rate).
 
@@ -45,12 +98,16 @@ def outright_symbols(df: DataFrame, symbol: str = "symbol") -> DataFrame:
     return df.filter(F.col(symbol).rlike(rf"^ZC([{''.join(MONTH_CODES)}])(\d)$"))
 
 
-def resolve_expiry(symbol: Column, last_seen: Column, first_year: int = 2000, last_year: int = 2060) -> Column:
-    """yyyy-MM of a symbol with a one-digit year: the earliest delivery month at or after the month of its last print."""
+def resolve_expiry(symbol: Column, last_seen: Column, first_year: int = 2000, last_year: int = 2060, required: bool = False) -> Column:
+    """yyyy-MM of a symbol with a one-digit year: the earliest delivery month at or after the month of its last print.
+
+    Where no year fits: null, or an error at run time if required.
+    """
     month = F.create_map(*[F.lit(x) for kv in MONTH_CODES.items() for x in kv])[F.substring(symbol, 3, 1)]
     digit = F.substring(symbol, 4, 1).cast("int")
     fits = F.filter(F.sequence(F.lit(first_year), F.lit(last_year)), lambda y: (y % 10 == digit) & (y * 12 + month >= F.year(last_seen) * 12 + F.month(last_seen)))
-    return F.when(F.size(fits) > 0, F.concat_ws("-", F.array_min(fits).cast("string"), F.lpad(month.cast("string"), 2, "0")))
+    none = F.raise_error(F.concat(F.lit("no delivery year fits "), symbol)).cast("string") if required else F.lit(None).cast("string")
+    return F.when(F.size(fits) > 0, F.concat_ws("-", F.array_min(fits).cast("string"), F.lpad(month.cast("string"), 2, "0"))).otherwise(none)
 
 
 def snap_before(df: DataFrame, key: str, ts: str, value: str, cutoff_hour: int = 11, reference_hour: int = 10, max_staleness_hours: float = 30) -> DataFrame:

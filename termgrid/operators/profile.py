@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
@@ -20,17 +20,17 @@ def sample_kurtosis(x: str) -> Column:
     return F.when(n > 3, ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)))
 
 
-def moments(df: DataFrame, key: str | Column, x: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), sample_skew(x).alias("skew"), sample_kurtosis(x).alias("kurt"))
+def moments(df: DataFrame, key: list[str], x: str) -> DataFrame:
+    return df.groupBy(*key).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), sample_skew(x).alias("skew"), sample_kurtosis(x).alias("kurt"))
 
 
 def distribution(df: DataFrame, key: Column, x: str) -> DataFrame:
     return df.groupBy(key.alias("bucket")).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.count(x).alias("n"))
 
 
-def month_by_year(df: DataFrame, dt: str, x: str, years: list[int]) -> DataFrame:
-    """Mean by month, a column for each year."""
-    return df.groupBy(F.month(dt).alias("month")).agg(*[F.avg(F.when(F.year(dt) == y, F.col(x))).alias(f"y{y}") for y in years])
+def year_by_month(df: DataFrame, series: str, dt: str, x: str) -> DataFrame:
+    """Mean by series and year, a column for each month."""
+    return df.groupBy(series, F.year(dt).alias("year")).agg(*[F.avg(F.when(F.month(dt) == m, F.col(x))).alias(f"m{m}") for m in range(1, 13)])
 
 
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -91,11 +91,11 @@ def gap_report(df: DataFrame, series: str, dt: str, x: str) -> DataFrame:
     return n.join(longest, series).withColumn("gap_share", F.col("n_gaps") / F.col("n"))
 
 
-def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
-    """bin (from 0) and n: equal widths between the least and the greatest value, which belongs to the last bin."""
-    ends = df.agg(F.min(x).alias("_a"), F.max(x).alias("_b"))
+def histogram(df: DataFrame, x: str, bins: int, series: str) -> DataFrame:
+    """series, bin (from 0) and n: equal widths between a series' least and greatest value, which belongs to the last bin."""
+    ends = df.groupBy(series).agg(F.min(x).alias("_a"), F.max(x).alias("_b"))
     b = F.least(F.floor((F.col(x) - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * bins), F.lit(bins - 1))
-    return df.join(F.broadcast(ends), F.col(x).between(F.col("_a"), F.col("_b"))).groupBy(F.coalesce(b, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return df.filter(F.col(x).isNotNull()).join(ends, series).groupBy(series, F.coalesce(b, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def ohlcv_wide(df: DataFrame, dt: str, name: str, names: list[str], fields: tuple[str, ...]) -> DataFrame:
@@ -107,16 +107,16 @@ def quantile_buckets(df: DataFrame, x: str, n: int, by: str | None = None) -> Da
     """df with bucket Q1..Qn of x by linearly interpolated edges, right-closed, the least value included; ties stay together."""
     shares = F.array(*[F.lit(k / n) for k in range(1, n)])
     edges = df.groupBy(*([by] if by else [])).agg(F.percentile(x, shares).alias("_e"))
-    df = df.join(F.broadcast(edges), by) if by else df.join(F.broadcast(edges), F.size("_e") == n - 1, "left")
+    df = df.join(edges, by) if by else df.join(F.broadcast(edges), F.size("_e") == n - 1, "left")
     place = F.size(F.filter("_e", lambda e: e < F.col(x))) + 1
     return df.withColumn("bucket", F.when(F.col(x).isNotNull(), F.concat(F.lit("Q"), place.cast("string")))).drop("_e")
 
 
-def conditional_response(df: DataFrame, key: str, level: str, change: str, forward: str, horizon: int, threshold: float) -> DataFrame:
+def conditional_response(df: DataFrame, key: list[str], level: str, change: str, forward: str, horizon: int, threshold: float) -> DataFrame:
     """Per key: mean level, forward mean, deviation, overlap-adjusted t, 10th and 90th percentile, shares beyond the threshold."""
     f = F.col(forward)
     n, sd = F.count(f), F.stddev_samp(f)
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+    return df.na.drop(subset=key).groupBy(*key).agg(
         F.count("*").alias("n"), F.avg(level).alias("level_mean"), F.corr(level, change).alias("level_change_corr"), F.avg(f).alias("fwd_mean"), sd.alias("fwd_sd"),
         (F.avg(f) / F.nullif(sd, F.lit(0.0)) * F.sqrt(n.cast("double")) / F.sqrt(F.lit(float(horizon)))).alias("t_adj"),
         F.percentile(f, F.lit(0.1)).alias("p10"), F.percentile(f, F.lit(0.9)).alias("p90"), F.avg((f > threshold).cast("double")).alias("share_above"), F.avg((f < -threshold).cast("double")).alias("share_below"), F.max(f).alias("fwd_max"), F.min(f).alias("fwd_min"),
@@ -130,3 +130,72 @@ def regime_profile(df: DataFrame, label: str, ret: str, dt: str, series: str, pe
     out = df.groupBy(series, label).agg(F.count("*").alias("n"), (F.avg(ret) * periods).alias("ann_ret"), (F.stddev_samp(ret) * periods**0.5).alias("ann_vol"), (F.avg(ret) / F.nullif(F.stddev_samp(ret), F.lit(0.0)) * periods**0.5).alias("sharpe"), F.avg((F.col(ret) > 0).cast("double")).alias("hit_rate"), sample_skew(ret).alias("skew"), sample_kurtosis(ret).alias("kurt"), F.min("_dd").alias("max_drawdown"))
     total = out.groupBy(series).agg(F.sum("n").alias("_t"))
     return out.join(total, series).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
+
+
+def leg_response(df: DataFrame, key: list[str], change: str, one: str, other: str, periods: int = 252) -> DataFrame:
+    """Per key: rows, both legs' annual drift in per cent, and the three correlations of the change and the legs."""
+    drift = lambda leg: (F.avg(leg) * periods * 100).alias(f"{leg}_ann_pct")
+    return df.groupBy(*key).agg(F.count("*").alias("n"), drift(one), drift(other), F.corr(change, one).alias(f"corr_change_{one}"), F.corr(change, other).alias(f"corr_change_{other}"), F.corr(one, other).alias("corr_legs"))
+
+
+def forward_by_label(df: DataFrame, series: str, dt: str, label: str, ret: str, horizons: tuple[int, ...] = (1, 5, 10, 20), features: tuple[str, ...] = ()) -> DataFrame:
+    """Per series and label: mean and t of the sum of the next h rows from this one on, for each h, and the features' means."""
+    w = R.over(series, dt)
+    df = df.withColumns({f"_f{h}": R.forward_sum(F.col(ret), w, h) for h in horizons})
+    t = lambda c: F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)) * F.sqrt(F.count(c).cast("double"))
+    return df.groupBy(series, label).agg(F.count("*").alias("n"), *[x for h in horizons for x in (F.avg(f"_f{h}").alias(f"fwd_{h}_mean"), t(f"_f{h}").alias(f"fwd_{h}_t"))], *[F.avg(c).alias(f"mean_{c}") for c in features])
+
+
+def occupancy(df: DataFrame, series: str, dt: str, label: str) -> DataFrame:
+    """series, unit, value, label, n, share: how the labels divide each calendar month and each year."""
+    unit = F.explode(F.array(F.struct(F.lit("month").alias("unit"), F.month(dt).alias("value")), F.struct(F.lit("year").alias("unit"), F.year(dt).alias("value"))))
+    n = df.select(series, label, unit.alias("u")).groupBy(series, "u.unit", "u.value", label).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(series, "unit", "value")))
+
+
+def describe(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """Per key and column: n, mean, std, min, quartiles, max."""
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).alias("max")) for c in columns])
+    out = df.groupBy(key).agg(parts.alias("_p")).select(key, F.inline("_p"))
+    return out.select(key, "column", "n", "mean", "std", "min", *[F.col("q")[k].alias(f"q{q}") for k, q in enumerate((25, 50, 75))], "max")
+
+
+def group_medians(df: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.median(c).alias(f"{c}_median") for c in columns])
+
+
+def spread_by_key(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Per key: rows, deviation and range of a column."""
+    return df.groupBy(*keys).agg(F.count(x).alias("n"), F.stddev_samp(x).alias(f"{x}_std"), (F.max(x) - F.min(x)).alias(f"{x}_range"))
+
+
+def build_report(df: DataFrame, key: str, dt: str, x: str, flag: Column) -> DataFrame:
+    """One row: rows, keys, first and last date, median, flagged rows."""
+    return df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_keys"), F.min(dt).alias("first_dt"), F.max(dt).alias("last_dt"), F.median(x).alias("median"), F.count_if(flag).alias("n_flagged"))
+
+
+def holding_periods(df: DataFrame, series: str, dt: str, x: str, periods: tuple[int, ...], names: list[str]) -> DataFrame:
+    """period, then a column for each series: the mean return over so many rows ahead."""
+    w = R.over(series, dt)
+    long = df.withColumns({f"_{h}": R.ratio(F.lead(x, h).over(w), F.col(x)) - 1 for h in periods}).select(series, F.explode(F.array(*[F.struct(F.lit(h).alias("period"), F.col(f"_{h}").alias("r")) for h in periods])).alias("p"))
+    return long.groupBy("p.period").pivot(series, names).agg(F.avg("p.r"))
+
+
+def prepare_returns(df: DataFrame, series: str, dt: str, x: str) -> DataFrame:
+    """series, dt, the value with a missing one as 0, and is_gap."""
+    return df.select(series, dt, F.coalesce(F.col(x), F.lit(0.0)).alias(x), F.col(x).isNull().alias("is_gap"))
+
+
+def gap_dates(df: DataFrame, series: str, dt: str, x: str) -> DataFrame:
+    return df.filter(F.col(x).isNull()).select(series, dt)
+
+
+def flattened(df: DataFrame, dt: str, name: str, names: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """ohlcv_wide of some fields, without dates that lack any."""
+    return ohlcv_wide(df, dt, name, names, fields).na.drop()
+
+
+def worst_pair(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Of pairs (a, b, rho) that with the largest absolute correlation, ties to the first by name; one for each of the keys."""
+    best = pairs.filter("a <> b and rho is not null").groupBy(*(keys or [])).agg(F.min_by(F.struct("a", "b", "rho"), F.struct(-F.abs(F.round("rho", 9)), "a", "b")).alias("w"))
+    return best.select(*(keys or []), "w.a", "w.b", "w.rho")

@@ -13,19 +13,40 @@ from ..functions.kernels import adjusted_rand, assign, gmm, kmeans, n_params, si
 FEATURES = ("log_vol", "vol_ratio", "trend_z", "var_ratio", "level_pctl", "leg_corr")
 
 
-def regime_features(df: DataFrame, series: str, order: str, level: str, leg: str, vol: int = 63, short: int = 21, trend: int = 63, rank: int = 756, vr_lag: int = 5) -> DataFrame:
-    """The six features, rows with a missing one left out. Missing changes count 0, so a gap does not void its windows."""
+#: Features that are made on demand.
+OPTIONAL = ("oi_trend", "drawdown_z")
+
+
+def regime_features(df: DataFrame, series: str, order: str, level: str, leg: str, vol: int = 63, short: int = 21, trend: int = 63, rank: int = 756, vr_lag: int = 5, include: tuple[str, ...] = FEATURES, oi: str | None = None, year: int = 252, high: int = 126, rolling_z_vol: bool = False) -> DataFrame:
+    """The named features, rows with a missing one left out. Missing changes count 0, so a gap does not void its windows.
+
+    oi_trend: z-score over a year of the change of log open interest (column oi, 0 counts as missing) over short rows. drawdown_z:
+    the cumulated change below its highest of high rows, in deviations. rolling_z_vol: log_vol as its own z-score over a year.
+    """
+    unknown = sorted(set(include) - {*FEATURES, *OPTIONAL})
+    if unknown:
+        raise ValueError(f"unknown regime features: {unknown}")
     w = R.over(series, order)
     zero = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
     d = df.withColumns({"_d": zero(level), "_e": zero(leg)})
     d = d.withColumn("_c", F.sum("_d").over(R.expanding(w))).withColumn("_k", F.col("_c") - F.lag("_c", vr_lag).over(w))
+    if "oi_trend" in include:
+        log_oi = R.ln(F.col(oi))
+        d = d.withColumn("_o", log_oi - F.lag(log_oi, short).over(w))
     sd, fast = R.rolling_std(F.col("_d"), w, vol), R.rolling_std(F.col("_d"), w, short)
-    out = {
-        "log_vol": R.ln(sd), "vol_ratio": R.ratio(fast, sd), "trend_z": R.rolling(F.sum, F.col("_d"), w, trend) / (sd * float(np.sqrt(trend))),
-        "var_ratio": R.rolling(F.var_samp, F.col("_k"), w, vol) / (R.rolling(F.var_samp, F.col("_d"), w, vol) * vr_lag), "level_pctl": R.pct_rank(F.round(level, 9), w, rank, rank // 3), "leg_corr": R.pair(F.corr, F.col("_d"), F.col("_e"), w, vol),
-    }
-    d = d.withColumns(out).select(series, order, *FEATURES)
-    for c in FEATURES:
+    d = d.withColumn("_v", R.ln(sd * float(np.sqrt(year))))
+    made = {
+        "log_vol": lambda: R.zscore(F.col("_v"), w, year) if rolling_z_vol else F.col("_v"),
+        "vol_ratio": lambda: R.ln(R.ratio(fast, sd)),
+        "trend_z": lambda: R.rolling(F.sum, F.col("_d"), w, trend) / (sd * float(np.sqrt(trend))),
+        "var_ratio": lambda: R.rolling(F.var_samp, F.col("_k"), w, vol) / (R.rolling(F.var_samp, F.col("_d"), w, vol) * vr_lag),
+        "level_pctl": lambda: R.pct_rank(F.round(level, 9), w, rank, rank // 3),
+        "leg_corr": lambda: R.pair(F.corr, F.col("_d"), F.col("_e"), w, vol),
+        "oi_trend": lambda: R.zscore(F.col("_o"), w, year),
+        "drawdown_z": lambda: (F.col("_c") - R.rolling(F.max, F.col("_c"), w, high)) / (sd * float(np.sqrt(vol))),
+    }
+    d = d.withColumns({c: made[c]() for c in include}).select(series, order, *include)
+    for c in include:
         d = d.filter(F.col(c).isNotNull() & (F.abs(c) < float("inf")))
     return d
 
@@ -52,15 +73,22 @@ def inflation_factors(matrix: list[tuple[str, str, float]], columns: tuple[str,
 
 
 def effective_size(df: DataFrame, series: str, order: str, x: str, max_lag: int = 500) -> DataFrame:
-    """series, n, tau, n_eff: rows over 1 + 2 * the autocorrelations before the first that is not positive."""
-    w = R.over(series, order)
-    d = df.filter(F.col(x).isNotNull()).select(series, F.row_number().over(w).alias("r"), (F.col(x) - F.avg(x).over(Window.partitionBy(series))).alias("e"))
-    n = d.groupBy(series).agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("v"))
-    later = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_lag - 1)))).select(series, (F.col("r") + F.col("k")).alias("r"), "k", F.col("e").alias("f"))
-    rho = later.join(d, [series, "r"]).groupBy(series, "k").agg(F.sum(F.col("e") * F.col("f")).alias("c")).join(n, series).filter("k < n - 1").withColumn("rho", F.round(F.col("c") / F.nullif(F.col("v"), F.lit(0.0)), 9))
-    stop = rho.filter("rho <= 0").groupBy(series).agg(F.min("k").alias("stop"))
-    tau = rho.join(stop, series, "left").filter("stop is null or k < stop").groupBy(series).agg((1 + 2 * F.sum("rho")).alias("t"))
-    return n.join(tau, series, "left").select(series, "n", F.coalesce("t", F.lit(1.0)).alias("tau"), (F.col("n") / F.coalesce("t", F.lit(1.0))).alias("n_eff"))
+    """series, n, tau, n_eff: rows over 1 + 2 * the autocorrelations before the first that is not positive.
+
+    The autocorrelations of a series, one task's group, come from one transform and are rounded to 9 decimals.
+    """
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        e = t.sort_values(order)[x].to_numpy(dtype=float)
+        e, n = e - e.mean(), len(e)
+        lags = max(0, min(max_lag - 1, n - 2))
+        power = np.abs(np.fft.rfft(e, 2 * n)) ** 2
+        rho = np.round(np.fft.irfft(power)[1 : lags + 1] / (e @ e), 9) if e @ e > 0 else np.zeros(0)
+        stop = np.flatnonzero(rho <= 0)
+        tau = 1 + 2 * float(rho[: stop[0] if len(stop) else None].sum())
+        return pd.DataFrame({series: [t[series].iloc[0]], "n": n, "tau": tau, "n_eff": n / tau})
+
+    return df.filter(F.col(x).isNotNull()).select(series, order, x).groupBy(series).applyInPandas(run, f"{series} string, n long, tau double, n_eff double")
 
 
 def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -74,6 +102,26 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select("n", F.coalesce((F.col("s") - expected) / F.nullif(top - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
 
+def compare_labels(df: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """Of two labelings: one row with n, their agreement and adjusted Rand index; and the confusion as a, b, n and share of a."""
+    from .profile import crosstab
+
+    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    same = both.agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
+    return adjusted_rand_index(both, a, b).join(same), crosstab(both, a, b)
+
+
+def diagnostics(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """column, vif, worst_with, worst_rho: variance inflation and the pair of the largest absolute correlation, for a few columns."""
+    pairs = [tuple(r) for r in correlation_matrix(df, columns).collect()]
+    vif = inflation_factors(pairs, columns)
+    rows = []
+    for c in columns:
+        mine = [(b if a == c else a, rho) for a, b, rho in pairs if c in (a, b) and rho is not None]
+        rows.append((c, vif[c], *max(mine, key=lambda x: (abs(round(x[1], 9)), x[0]), default=(None, None))))
+    return df.sparkSession.createDataFrame(rows, "column string, vif double, worst_with string, worst_rho double")
+
+
 def confidence(df: DataFrame, posteriors: list[str], threshold: float = 0.8) -> DataFrame:
     """One row: mean and median of the largest posterior, the share above the threshold, mean entropy over its maximum."""
     top = F.greatest(*posteriors)
@@ -119,14 +167,94 @@ def _ordered(label: np.ndarray, x: np.ndarray, column: int) -> np.ndarray:
     return np.array([rank[a] for a in label])
 
 
-def fit_regimes(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full") -> DataFrame:
-    """order, regime, top: each row's regime, numbered by the rising mean of the first column, and its posterior."""
+def _ordered_fit(x: np.ndarray, k: int, kind: str, column: int, seed: int = 0, starts: int = 3) -> dict:
+    """A mixture whose components are numbered by the rising centre of one column."""
+    f = gmm(x, k, kind, seed, starts)
+    order = np.argsort(f["means"][:, column], kind="stable")
+    return {"means": f["means"][order], "weights": f["weights"][order], "post": f["post"][:, order]}
+
+
+def fit_regimes(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full", order_by: str | None = None) -> DataFrame:
+    """order, regime, top, p0 to p<k-1>: each row's regime, numbered by the rising centre of order_by (the first column), its
+    largest posterior and all of them."""
+    at = columns.index(order_by or columns[0])
 
     def run(x, task, dates):
-        f = gmm(x, int(task["k"]), task["kind"])
-        return pd.DataFrame({order: dates.to_numpy(), "regime": _ordered(f["post"].argmax(axis=1), x, 0), "top": f["post"].max(axis=1)})
+        f = _ordered_fit(x, k, kind, at)
+        out = pd.DataFrame({order: dates.to_numpy(), "regime": f["post"].argmax(axis=1), "top": f["post"].max(axis=1)})
+        return out.assign(**{f"p{j}": f["post"][:, j] for j in range(k)})
+
+    return _per_task(spark, features, order, columns, [{"k": k, "kind": kind}], f"{order} date, regime int, top double" + "".join(f", p{j} double" for j in range(k)), run)
+
+
+def regime_centres(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full", order_by: str | None = None) -> DataFrame:
+    """regime, weight and the centre of each column in its deviations, of the fit that fit_regimes makes."""
+    at = columns.index(order_by or columns[0])
+
+    def run(x, task, dates):
+        f = _ordered_fit(x, k, kind, at)
+        return pd.DataFrame({"regime": range(k), "weight": f["weights"], **{c: f["means"][:, j] for j, c in enumerate(columns)}})
+
+    return _per_task(spark, features, order, columns, [{"k": k}], "regime int, weight double" + "".join(f", {c} double" for c in columns), run)
+
 
-    return _per_task(spark, features, order, columns, [{"k": k, "kind": kind}], f"{order} date, regime int, top double", run)
+def stability_summary(draws: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """way, n, mean, least, median and 10th percentile of the agreement of label_stability's draws."""
+    return draws.groupBy(*keys, "way").agg(F.count("*").alias("n"), F.avg("ari").alias("mean_ari"), F.min("ari").alias("min_ari"), F.median("ari").alias("median_ari"), F.percentile("ari", F.lit(0.1)).alias("p10_ari"))
+
+
+def reliability_battery(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], ks: tuple[int, ...] = (2, 3, 4, 5), kind: str = "full", seeds: int = 15, samples: int = 25, block: int = 63, share: float = 0.8, threshold: float = 0.8) -> DataFrame:
+    """One row for each k: silhouette, share_confident, seed_ari (mean), block_ari (median), xalgo_ari (least), run lengths, switch_rate.
+
+    Six perturbations of a k share a task and its reference fit; their results are combined by one aggregate.
+    """
+    draws = [("seed", i) for i in range(1, seeds + 1)] + [("block", i) for i in range(1, samples + 1)]
+    tasks, names = [{"k": k, "first": i} for k in ks for i in range(0, len(draws), 6)], ["k", "way", "value", "silhouette", "share_confident", "median_run", "mean_run", "switch_rate"]
+
+    def run(x, task, _):
+        k, first, rows = int(task["k"]), int(task["first"]), []
+        f = gmm(x, k, kind)
+        label, blocks = f["post"].argmax(axis=1), np.arange(-(-len(x) // block))
+        for way, draw in draws[first : first + 6]:
+            if way == "seed":
+                ari = adjusted_rand(label, gmm(x, k, kind, seed=draw)["post"].argmax(axis=1))
+            else:
+                chosen = np.random.default_rng(draw).choice(blocks, max(1, int(len(blocks) * share)), replace=False)
+                some = np.flatnonzero(np.isin(np.arange(len(x)) // block, chosen))
+                ari = adjusted_rand(label[some], assign(gmm(x[some], k, kind), x[some]))
+            rows.append((k, way, ari, *[None] * 5))
+        if not first:
+            others = [label, kmeans(x, k, np.random.default_rng(0)), ward(x, k)]
+            least = min(adjusted_rand(others[i], others[j]) for i in range(3) for j in range(i))
+            runs = np.diff(np.concatenate(([0], np.flatnonzero(np.diff(label)) + 1, [len(label)])))
+            rows.append((k, "fit", least, silhouette(x, label), float((f["post"].max(axis=1) >= threshold).mean()), float(np.median(runs)), float(runs.mean()), (len(runs) - 1) / max(len(label) - 1, 1)))
+        return pd.DataFrame(rows, columns=names)
+
+    each = _per_task(spark, features, order, columns, tasks, "k int, way string, value double, silhouette double, share_confident double, median_run double, mean_run double, switch_rate double", run)
+    of = lambda way: F.when(F.col("way") == way, F.col("value"))
+    return each.groupBy("k").agg(F.max("silhouette").alias("silhouette"), F.max("share_confident").alias("share_confident"), F.avg(of("seed")).alias("seed_ari"), F.median(of("block")).alias("block_ari"), F.min(of("fit")).alias("xalgo_ari"), F.max("median_run").alias("median_run"), F.max("mean_run").alias("mean_run"), F.max("switch_rate").alias("switch_rate"))
+
+
+#: name -> settings of regime_features: the full set, three features, the same with short windows, two, and prices only.
+SWEEP = {
+    "six, 63 rows": {},
+    "three, 63 rows": {"include": ("log_vol", "var_ratio", "level_pctl")},
+    "three, 21 rows": {"include": ("log_vol", "var_ratio", "level_pctl"), "vol": 21, "trend": 21, "short": 10, "rank": 252},
+    "two, 21 rows": {"include": ("log_vol", "level_pctl"), "vol": 21, "trend": 21, "short": 10, "rank": 252},
+    "prices, 42 rows": {"include": ("log_vol", "vol_ratio", "trend_z", "var_ratio"), "vol": 42, "trend": 42, "short": 15},
+}
+
+
+def configuration_sweep(spark: SparkSession, df: DataFrame, series: str, order: str, level: str, leg: str, configurations: dict[str, dict] | None = None, ks: tuple[int, ...] = (2, 3, 4), seeds: int = 6, samples: int = 12) -> DataFrame:
+    """configuration, d (columns), n_rows, then reliability_battery's columns, for each configuration of features and each k."""
+    out = None
+    for name, settings in (configurations or SWEEP).items():
+        made = regime_features(df, series, order, level, leg, **settings)
+        columns = settings.get("include", FEATURES)
+        one = reliability_battery(spark, made, order, columns, ks, seeds=seeds, samples=samples)
+        one = one.select(F.lit(name).alias("configuration"), F.lit(len(columns)).alias("d"), "*").join(made.agg(F.count("*").alias("n_rows")))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def label_stability(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full", seeds: int = 5, samples: int = 5, block: int = 63, share: float = 0.8) -> DataFrame:
@@ -158,19 +286,18 @@ def algorithm_agreement(spark: SparkSession, features: DataFrame, order: str, co
     return _per_task(spark, features, order, columns, [{"k": k}], "a string, b string, ari double", run)
 
 
-def split_stability(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, folds: int = 3) -> DataFrame:
-    """fold, regime, drift: largest distance of a fold's centre from the full fit's, in deviations of the sample."""
+def split_stability(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, folds: int = 3, order_by: str | None = None) -> DataFrame:
+    """regime, then for each column the deviation of its centre over the folds, each fit apart, in deviations of the sample, and max_drift."""
+    at = columns.index(order_by or columns[0])
 
     def run(x, task, _):
-        def centres(z):
-            m = gmm(z, k)["means"]
-            return m[np.argsort(m[:, 0])]
-
         part = np.array_split(np.arange(len(x)), folds)[int(task["fold"])]
-        drift = np.abs(centres(x[part]) - centres(x)).max(axis=1)
-        return pd.DataFrame({"fold": int(task["fold"]), "regime": range(k), "drift": drift})
+        m = _ordered_fit(x[part], k, "full", at)["means"]
+        return pd.DataFrame({"fold": int(task["fold"]), "regime": range(k), **{c: m[:, j] for j, c in enumerate(columns)}})
 
-    return _per_task(spark, features, order, columns, [{"fold": i} for i in range(folds)], "fold int, regime int, drift double", run)
+    centres = _per_task(spark, features, order, columns, [{"fold": i} for i in range(folds)], "fold int, regime int" + "".join(f", {c} double" for c in columns), run)
+    drift = centres.groupBy("regime").agg(*[F.stddev_samp(c).alias(c) for c in columns])
+    return drift.withColumn("max_drift", F.greatest(*columns) if len(columns) > 1 else F.col(columns[0]))
 
 
 def walk_forward_labels(features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full", lookback: int = 756, every: int = 63) -> DataFrame:

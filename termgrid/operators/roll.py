@@ -5,6 +5,8 @@ A difference across a roll is a calendar spread, not a market move, so every lag
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +29,25 @@ def roll_spine(panel: DataFrame, months: tuple[int, ...] = (), exit_day: int = 2
     """contract, dt, expiry, expiry_month, oi: the expiry with the largest lagged open interest, never an earlier one than held.
 
     Ties go to the later expiry. If the held expiry is not eligible on a date, any may be chosen. The state runs through
-    the dates of a contract by a fold over its days, of which there are as many as trading days.
+    the dates of a contract, of which there are as many as trading days: one contract is one task's group.
     """
     ok = eligible(panel, months, exit_day)
-    item = F.struct("oi_lag", "expiry", "expiry_month", "oi")
-    days = ok.groupBy("contract", "dt").agg((F.array_sort(F.collect_list(item)) if monotonic else F.array(F.max(item))).alias("c"))
     if not monotonic:
-        return days.select("contract", "dt", *[F.col("c")[0][x].alias(x) for x in ("expiry", "expiry_month", "oi")])
-    lists = days.groupBy("contract").agg(F.array_sort(F.collect_list(F.struct("dt", "c"))).alias("days"))
-
-    def step(z, d):
-        held = F.exists(d.c, lambda x: x.expiry == z.held)
-        pick = F.element_at(F.filter(d.c, lambda x: ~held | (x.expiry >= z.held)), -1)
-        row = F.struct(d.dt.alias("dt"), pick.expiry.alias("expiry"), pick.expiry_month.alias("expiry_month"), pick.oi.alias("oi"))
-        return F.struct(pick.expiry.alias("held"), F.concat(z.out, F.array(row)).alias("out"))
-
-    start = F.struct(F.lit("").alias("held"), F.expr("cast(array() as array<struct<dt: date, expiry: string, expiry_month: int, oi: double>>)").alias("out"))
-    return lists.select("contract", F.inline(F.aggregate("days", start, step).out))
+        best = ok.groupBy("contract", "dt").agg(F.max(F.struct("oi_lag", "expiry", "expiry_month", "oi")).alias("c"))
+        return best.select("contract", "dt", *[F.col("c")[x].alias(x) for x in ("expiry", "expiry_month", "oi")])
+
+    def hold(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["dt", "oi_lag", "expiry"])
+        held, rows = "", []
+        for _, day in t.groupby("dt", sort=True):
+            expiry = day["expiry"].to_numpy()
+            fits = np.flatnonzero(expiry >= held) if held in expiry else np.arange(len(expiry))
+            rows.append(day.index[fits[-1]])
+            held = expiry[fits[-1]]
+        return t.loc[rows, ["contract", "dt", "expiry", "expiry_month", "oi"]]
+
+    chosen = ok.select("contract", "dt", "expiry", "expiry_month", "oi", "oi_lag")
+    return chosen.groupBy("contract").applyInPandas(hold, "contract string, dt date, expiry string, expiry_month int, oi double")
 
 
 def within_contract_returns(panel: DataFrame, price: str, keys: tuple[str, ...] = ("contract", "expiry")) -> DataFrame:

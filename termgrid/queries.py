@@ -272,15 +272,17 @@ def intraday_distribution(spark, d):
     return rounded(profile.distribution(e, F.hour("ts").cast("string"), "value").unionByName(profile.distribution(e, F.date_format("ts", "EEEE"), "value")))
 
 
-@query("SELECT CAST(month(dt) AS INTEGER) AS month, " + ", ".join(f"round(avg(level) FILTER (year(dt) = {y}), 5) AS y{y}" for y in range(1992, 1999)) + " FROM daily WHERE series = 'lineitem' GROUP BY 1")
+@query("SELECT series, CAST(year(dt) AS INTEGER) AS year, " + ", ".join(f"round(avg(level) FILTER (month(dt) = {m}), 5) AS m{m}" for m in range(1, 13)) + " FROM daily GROUP BY 1, 2")
 def monthly_pivot(spark, d):
-    return rounded(profile.month_by_year(roles.daily(spark, d).filter("series = 'lineitem'"), "dt", "level", list(range(1992, 1999))), **{f"y{y}": 5 for y in range(1992, 1999)})
+    """Years are rows and months columns, so no year is left out."""
+    out = profile.year_by_month(roles.daily(spark, d), "series", "dt", "level")
+    return rounded(out, **{f"m{m}": 5 for m in range(1, 13)})
 
 
-@query("+ r AS (SELECT series, dt, ln(level) - lag(ln(level)) OVER (PARTITION BY series ORDER BY dt) AS ret FROM daily) SELECT CAST(year(dt) AS INTEGER) AS year, count(ret) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS std, round(CASE WHEN count(ret) > 2 THEN skewness(ret) END, 5) AS skew, round(CASE WHEN count(ret) > 3 THEN kurtosis(ret) END, 4) AS kurt FROM r WHERE series = 'lineitem' GROUP BY 1")
+@query("+ r AS (SELECT series, dt, ln(level) - lag(ln(level)) OVER (PARTITION BY series ORDER BY dt) AS ret FROM daily) SELECT series, CAST(year(dt) AS INTEGER) AS year, count(ret) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS std, round(CASE WHEN count(ret) > 2 THEN skewness(ret) END, 5) AS skew, round(CASE WHEN count(ret) > 3 THEN kurtosis(ret) END, 4) AS kurt FROM r GROUP BY 1, 2")
 def year_moments(spark, d):
-    r = features.log_returns(roles.daily(spark, d), ("level",), W()).filter("series = 'lineitem'").withColumn("year", F.year("dt"))
-    return rounded(profile.moments(r, "year", "level_ret"), skew=5, kurt=4)
+    r = features.log_returns(roles.daily(spark, d), ("level",), W()).withColumn("year", F.year("dt"))
+    return rounded(profile.moments(r, ["series", "year"], "level_ret"), skew=5, kurt=4)
 
 
 @query("+ n AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, n, round(n / sum(n) OVER (PARTITION BY l_returnflag), 6) AS share FROM n")
@@ -309,9 +311,9 @@ def gap_report(spark, d):
     return rounded(profile.gap_report(df, "series", "dt", "v"))
 
 
-@query("+ b AS (SELECT series, level, min(level) OVER () AS a, max(level) OVER () AS z FROM daily WHERE series = 'orders') SELECT CAST(least(floor((level - a) / (z - a) * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY 1")
+@query("+ b AS (SELECT series, level, min(level) OVER w AS a, max(level) OVER w AS z FROM daily WINDOW w AS (PARTITION BY series)) SELECT series, CAST(least(floor((level - a) / (z - a) * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY 1, 2")
 def histogram(spark, d):
-    return profile.histogram(roles.daily(spark, d).filter("series = 'orders'"), "level", 20)
+    return profile.histogram(roles.daily(spark, d), "level", 20, "series")
 
 
 _TYPES = ("click", "error", "purchase", "signup", "view")
@@ -337,44 +339,43 @@ def spells(spark, d):
 
 
 def _response_sql(key: str, table: str) -> str:
-    return f"SELECT {key}, count(*) AS n, round(avg(level), 5) AS level_mean, round(corr(level, ch), 6) AS level_change_corr, round(avg(fwd), 5) AS fwd_mean, round(stddev_samp(fwd), 5) AS fwd_sd, round(avg(fwd) / nullif(stddev_samp(fwd), 0) * sqrt(count(fwd)) / sqrt(20), 5) AS t_adj, round(quantile_cont(fwd, 0.1), 5) AS p10, round(quantile_cont(fwd, 0.9), 5) AS p90, round(avg(CASE WHEN fwd > 100 THEN 1.0 WHEN fwd IS NOT NULL THEN 0.0 END), 6) AS share_above, round(avg(CASE WHEN fwd < -100 THEN 1.0 WHEN fwd IS NOT NULL THEN 0.0 END), 6) AS share_below, round(max(fwd), 5) AS fwd_max, round(min(fwd), 5) AS fwd_min FROM {table} WHERE {key} IS NOT NULL GROUP BY 1"
+    return f"SELECT series, {key}, count(*) AS n, round(avg(level), 5) AS level_mean, round(corr(level, ch), 6) AS level_change_corr, round(avg(fwd), 5) AS fwd_mean, round(stddev_samp(fwd), 5) AS fwd_sd, round(avg(fwd) / nullif(stddev_samp(fwd), 0) * sqrt(count(fwd)) / sqrt(20), 5) AS t_adj, round(quantile_cont(fwd, 0.1), 5) AS p10, round(quantile_cont(fwd, 0.9), 5) AS p90, round(avg(CASE WHEN fwd > 100 THEN 1.0 WHEN fwd IS NOT NULL THEN 0.0 END), 6) AS share_above, round(avg(CASE WHEN fwd < -100 THEN 1.0 WHEN fwd IS NOT NULL THEN 0.0 END), 6) AS share_below, round(max(fwd), 5) AS fwd_max, round(min(fwd), 5) AS fwd_min FROM {table} WHERE {key} IS NOT NULL GROUP BY 1, 2"
 
 
-_FWD = "+ c AS (SELECT series, dt, level, coalesce(level - lag(level) OVER (PARTITION BY series ORDER BY dt), 0) AS ch FROM daily WHERE series = 'lineitem'), f AS (SELECT *, CAST(month(dt) AS INTEGER) AS month, CASE WHEN count(ch) OVER w >= 20 THEN sum(ch) OVER w END AS fwd FROM c WINDOW w AS (PARTITION BY series ORDER BY dt ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))"
+_FWD = "+ c AS (SELECT series, dt, level, coalesce(level - lag(level) OVER (PARTITION BY series ORDER BY dt), 0) AS ch FROM daily), f AS (SELECT *, CAST(month(dt) AS INTEGER) AS month, CASE WHEN count(ch) OVER w >= 20 THEN sum(ch) OVER w END AS fwd FROM c WINDOW w AS (PARTITION BY series ORDER BY dt ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))"
 _FIVE = {c: 5 for c in ("level_mean", "fwd_mean", "fwd_sd", "t_adj", "p10", "p90", "fwd_max", "fwd_min")}
 
 
 def _forward(spark, d):
-    df = roles.daily(spark, d).filter("series = 'lineitem'").withColumn("ch", F.coalesce(F.col("level") - F.lag("level").over(W()), F.lit(0.0)))
+    df = roles.daily(spark, d).withColumn("ch", F.coalesce(F.col("level") - F.lag("level").over(W()), F.lit(0.0)))
     return df.withColumns({"month": F.month("dt"), "fwd": R.forward_sum(F.col("ch"), W(), 20)})
 
 
 @query(_FWD + _response_sql("month", "f"))
 def conditional_response_month(spark, d):
-    return rounded(profile.conditional_response(_forward(spark, d), "month", "level", "ch", "fwd", 20, 100), **_FIVE)
+    return rounded(profile.conditional_response(_forward(spark, d), ["series", "month"], "level", "ch", "fwd", 20, 100), **_FIVE)
 
 
 def _bucket_sql(rank: str) -> str:
-    return rank + ", e AS (SELECT quantile_cont(rk, [0.2, 0.4, 0.6, 0.8]) AS e FROM r), q AS (SELECT r.*, CASE WHEN rk IS NOT NULL THEN 'Q' || CAST(len(list_filter(e, lambda x: x < rk)) + 1 AS VARCHAR) END AS bucket FROM r, e) " + _response_sql("bucket", "q")
+    return rank + ", e AS (SELECT series, quantile_cont(rk, [0.2, 0.4, 0.6, 0.8]) AS e FROM r GROUP BY 1), q AS (SELECT r.*, CASE WHEN rk IS NOT NULL THEN 'Q' || CAST(len(list_filter(e, lambda x: x < rk)) + 1 AS VARCHAR) END AS bucket FROM r JOIN e ON r.series = e.series) " + _response_sql("bucket", "q")
 
 
 def _rank_sql(frame: str, least: int) -> str:
     return _FWD + ", a AS (SELECT *, round(level, 9) AS lv, list(round(level, 9)) " + frame + " AS a FROM f), r AS (SELECT *, CASE WHEN len(a) >= " + str(least) + " THEN round((len(list_filter(a, lambda x: x < lv)) + (len(list_filter(a, lambda x: x = lv)) + 1) / 2) / len(a), 9) END AS rk FROM a)"
 
 
-def _buckets(spark, d, n, least):
-    df = _forward(spark, d).withColumn("rk", F.round(R.pct_rank(F.round("level", 9), W(), n, least), 9))
-    return rounded(profile.conditional_response(profile.quantile_buckets(df, "rk", 5), "bucket", "level", "ch", "fwd", 20, 100), **_FIVE)
+def _buckets(ranked):
+    return rounded(profile.conditional_response(profile.quantile_buckets(ranked.withColumn("rk", F.round("rk", 9)), "rk", 5, "series"), ["series", "bucket"], "level", "ch", "fwd", 20, 100), **_FIVE)
 
 
 @query(_bucket_sql(_rank_sql(FRAME.format(251), 84)))
 def level_quintiles(spark, d):
-    return _buckets(spark, d, 252, 84)
+    return _buckets(_forward(spark, d).withColumn("rk", R.pct_rank(F.round("level", 9), W(), 252, 84)))
 
 
 @query(_bucket_sql(_rank_sql(FRAME.format("UNBOUNDED"), 252)))
 def expanding_quintiles(spark, d):
-    return _buckets(spark, d, None, 252)
+    return _buckets(R.expanding_rank(_forward(spark, d).withColumn("lv", F.round("level", 9)), "series", "dt", "lv", "rk", 252))
 
 
 @query("+ l AS (SELECT series, dt, " + _LABEL + " AS state, coalesce(ln(level) - lag(ln(level)) OVER (PARTITION BY series ORDER BY dt), 0) / 100 AS ret FROM daily), e AS (SELECT *, exp(sum(ret) OVER (PARTITION BY series, state ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS eq FROM l), g AS (SELECT *, eq / max(eq) OVER (PARTITION BY series, state ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e), t AS (SELECT series, state, count(*) AS n, avg(ret) * 252 AS ann_ret, stddev_samp(ret) * sqrt(252) AS ann_vol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, skewness(ret) AS skew, kurtosis(ret) AS kurt, min(dd) AS max_drawdown FROM g GROUP BY 1, 2) SELECT series, state, n, round(ann_ret, 5) AS ann_ret, round(ann_vol, 5) AS ann_vol, round(sharpe, 5) AS sharpe, round(hit_rate, 6) AS hit_rate, round(skew, 4) AS skew, round(kurt, 4) AS kurt, round(max_drawdown, 5) AS max_drawdown, round(n / sum(n) OVER (PARTITION BY series), 6) AS share FROM t")
@@ -385,45 +386,44 @@ def profile_by_state(spark, d):
 
 # ---------------------------------------------------------------- screen
 
-_SCREEN = "+ c0 AS (SELECT series, dt, level, volume, level - lag(level) OVER (PARTITION BY series ORDER BY dt) AS dd FROM daily WHERE series = 'lineitem'), c AS (SELECT series, dt, " + z_sql("level", 20) + " AS lz, " + z_sql("volume", 20) + " AS vz, lead(level, 1) OVER (PARTITION BY series ORDER BY dt) - level AS t1, lead(level, 5) OVER (PARTITION BY series ORDER BY dt) - level AS t5 FROM c0), pr AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{t}' AS target, dt, round({f}, 9) AS x, round({t}, 9) AS y FROM c WHERE {f} IS NOT NULL AND {t} IS NOT NULL" for f in ("lz", "vz") for t in ("t1", "t5")) + "), rk AS (SELECT feature, target, dt, rank() OVER (PARTITION BY feature, target ORDER BY x) + (count(*) OVER (PARTITION BY feature, target, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature, target ORDER BY y) + (count(*) OVER (PARTITION BY feature, target, y) - 1) / 2 AS ry FROM pr)"
+_SCREEN = "+ c0 AS (SELECT series, dt, level, volume, level - lag(level) OVER (PARTITION BY series ORDER BY dt) AS dd FROM daily), c AS (SELECT series, dt, " + z_sql("level", 20) + " AS lz, " + z_sql("volume", 20) + " AS vz, lead(level, 1) OVER (PARTITION BY series ORDER BY dt) - level AS t1, lead(level, 5) OVER (PARTITION BY series ORDER BY dt) - level AS t5 FROM c0), pr AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{t}' AS target, series, dt, round({f}, 9) AS x, round({t}, 9) AS y FROM c WHERE {f} IS NOT NULL AND {t} IS NOT NULL" for f in ("lz", "vz") for t in ("t1", "t5")) + "), rk AS (SELECT series, feature, target, dt, rank() OVER (PARTITION BY series, feature, target ORDER BY x) + (count(*) OVER (PARTITION BY series, feature, target, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY series, feature, target ORDER BY y) + (count(*) OVER (PARTITION BY series, feature, target, y) - 1) / 2 AS ry FROM pr)"
 
 
 def _screened(spark, d):
-    df = roles.daily(spark, d).filter("series = 'lineitem'")
-    return df.withColumns({"lz": R.zscore(F.col("level"), W(), 20), "vz": R.zscore(F.col("volume"), W(), 20), **{f"t{h}": F.lead("level", h).over(W()) - F.col("level") for h in (1, 5)}})
+    return roles.daily(spark, d).withColumns({"lz": R.zscore(F.col("level"), W(), 20), "vz": R.zscore(F.col("volume"), W(), 20), **{f"t{h}": F.lead("level", h).over(W()) - F.col("level") for h in (1, 5)}})
 
 
-@query(_SCREEN + " SELECT feature, target, round(corr(rx, ry), 6) AS ic, count(*) AS n FROM rk GROUP BY 1, 2")
+@query(_SCREEN + " SELECT series, feature, target, round(corr(rx, ry), 6) AS ic, count(*) AS n FROM rk GROUP BY 1, 2, 3")
 def rank_ic(spark, d):
     return rounded(screen.rank_ic(_screened(spark, d), "series", "dt", ("lz", "vz"), ("t1", "t5")))
 
 
-_NW = _SCREEN + ", z AS (SELECT feature, target, dt, (rx - avg(rx) OVER g) / stddev_samp(rx) OVER g AS zx, (ry - avg(ry) OVER g) / stddev_samp(ry) OVER g AS zy FROM rk WINDOW g AS (PARTITION BY feature, target)), b AS (SELECT *, sum(zx * zy) OVER g / sum(zx * zx) OVER g AS b FROM z WINDOW g AS (PARTITION BY feature, target)), u AS (SELECT *, (zy - b * zx) * zx AS u FROM b), l AS (SELECT *, " + ", ".join(f"lag(u, {k}) OVER o AS u{k}" for k in range(1, 6)) + " FROM u WINDOW o AS (PARTITION BY feature, target ORDER BY dt)), nw AS (SELECT feature, target, any_value(b) AS slope, any_value(b) / (sqrt(sum(u * u) + " + " + ".join(f"{2 * (1 - k / 6)!r} * sum(u * u{k})" for k in range(1, 6)) + ") / sum(zx * zx)) AS t, count(*) AS n FROM l GROUP BY 1, 2)"
+_NW = _SCREEN + ", z AS (SELECT series, feature, target, dt, (rx - avg(rx) OVER g) / stddev_samp(rx) OVER g AS zx, (ry - avg(ry) OVER g) / stddev_samp(ry) OVER g AS zy FROM rk WINDOW g AS (PARTITION BY series, feature, target)), b AS (SELECT *, sum(zx * zy) OVER g / sum(zx * zx) OVER g AS b FROM z WINDOW g AS (PARTITION BY series, feature, target)), u AS (SELECT *, (zy - b * zx) * zx AS u FROM b), l AS (SELECT *, " + ", ".join(f"lag(u, {k}) OVER o AS u{k}" for k in range(1, 6)) + " FROM u WINDOW o AS (PARTITION BY series, feature, target ORDER BY dt)), nw AS (SELECT series, feature, target, any_value(b) AS slope, any_value(b) / (sqrt(sum(u * u) + " + " + ".join(f"{2 * (1 - k / 6)!r} * sum(u * u{k})" for k in range(1, 6)) + ") / sum(zx * zx)) AS t, count(*) AS n FROM l GROUP BY 1, 2, 3)"
 
 
-@query(_NW + " SELECT feature, target, round(slope, 6) AS slope, round(t, 5) AS t, n FROM nw")
+@query(_NW + " SELECT series, feature, target, round(slope, 6) AS slope, round(t, 5) AS t, n FROM nw")
 def nw_t(spark, d):
     return rounded(screen.nw_t(_screened(spark, d), "series", "dt", ("lz", "vz"), ("t1", "t5"), 5), t=5)
 
 
-@query(_NW + f", s AS (SELECT feature, max((round(abs(t), 9), target))[2] AS target FROM nw GROUP BY 1) SELECT s.feature, s.target, round(nw.t, 5) AS t, abs(nw.t) >= {screen.bonferroni_bar(4)!r} AS survives FROM s JOIN nw ON s.feature = nw.feature AND s.target = nw.target")
+@query(_NW + f", s AS (SELECT series, feature, max((round(abs(t), 9), target))[2] AS target FROM nw GROUP BY 1, 2) SELECT s.series, s.feature, s.target, round(nw.t, 5) AS t, abs(nw.t) >= {screen.bonferroni_bar(4)!r} AS survives FROM s JOIN nw ON s.series = nw.series AND s.feature = nw.feature AND s.target = nw.target")
 def screen_survivors(spark, d):
     scores = screen.nw_t(_screened(spark, d), "series", "dt", ("lz", "vz"), ("t1", "t5"), 5)
-    return rounded(screen.best_horizon(scores, screen.bonferroni_bar(4)), t=5)
+    return rounded(screen.best_horizon(scores, "series", screen.bonferroni_bar(4)), t=5)
 
 
-@query(_NW + " SELECT target, CAST(count(*) FILTER (abs(t) >= 2) AS BIGINT) AS n_strong, round(avg(abs(t)), 5) AS mean_abs_t, round(max(abs(t)), 5) AS max_abs_t FROM nw GROUP BY 1")
+@query(_NW + " SELECT series, target, CAST(count(*) FILTER (abs(t) >= 2) AS BIGINT) AS n_strong, round(avg(abs(t)), 5) AS mean_abs_t, round(max(abs(t)), 5) AS max_abs_t FROM nw GROUP BY 1, 2")
 def screen_breadth(spark, d):
-    return rounded(screen.breadth(screen.nw_t(_screened(spark, d), "series", "dt", ("lz", "vz"), ("t1", "t5"), 5)), mean_abs_t=5, max_abs_t=5)
+    return rounded(screen.breadth(screen.nw_t(_screened(spark, d), "series", "dt", ("lz", "vz"), ("t1", "t5"), 5), "series"), mean_abs_t=5, max_abs_t=5)
 
 
-@query(_SCREEN + " SELECT feature, round(max(CASE WHEN target = 't1' THEN ic END), 6) AS t1, round(max(CASE WHEN target = 't5' THEN ic END), 6) AS t5 FROM (SELECT feature, target, corr(rx, ry) AS ic FROM rk GROUP BY 1, 2) GROUP BY 1")
+@query(_SCREEN + " SELECT series, feature, round(max(CASE WHEN target = 't1' THEN ic END), 6) AS t1, round(max(CASE WHEN target = 't5' THEN ic END), 6) AS t5 FROM (SELECT series, feature, target, corr(rx, ry) AS ic FROM rk GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def ic_decay(spark, d):
     ic = screen.rank_ic(_screened(spark, d), "series", "dt", ("lz", "vz"), ("t1", "t5"))
-    return rounded(ic.groupBy("feature").agg(*[F.max(F.when(F.col("target") == t, F.col("ic"))).alias(t) for t in ("t1", "t5")]))
+    return rounded(ic.groupBy("series", "feature").agg(*[F.max(F.when(F.col("target") == t, F.col("ic"))).alias(t) for t in ("t1", "t5")]))
 
 
-@query("+ p AS (SELECT round(x, 9) AS x, round(y, 9) AS y, round(volume, 9) AS volume FROM both_legs), " + ", ".join(f"{a}_{b} AS (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS rb FROM p)" for a in ("x", "y", "volume") for b in ("x", "y", "volume")) + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS rho FROM {a}_{b}" for a in ("x", "y", "volume") for b in ("x", "y", "volume")))
+@query("+ p AS (SELECT round(x, 9) AS x, round(y, 9) AS y, round(volume, 9) AS volume FROM both_legs), " + ", ".join(f"{a}_{b} AS (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS rb FROM p)" for a in ("x", "y", "volume") for b in ("x", "y", "volume")) + " " + " UNION ALL ".join(f"SELECT 'pair' AS series, '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS rho FROM {a}_{b}" for a in ("x", "y", "volume") for b in ("x", "y", "volume")))
 def feature_correlation(spark, d):
     return rounded(screen.feature_correlation(roles.both_legs(spark, d), "series", "dt", ("x", "y", "volume")))
 
@@ -431,10 +431,12 @@ def feature_correlation(spark, d):
 @query()
 def greedy_prune(spark, d):
     """Names that stay after the prune; the correlations of a few columns are gathered, not rows."""
-    df = _screened(spark, d)
-    t = {r["feature"]: r["t"] for r in screen.nw_t(df, "series", "dt", ("lz", "vz"), ("t1",), 5).collect()}
-    rho = {(r["a"], r["b"]): r["rho"] for r in screen.feature_correlation(df, "series", "dt", ("lz", "vz")).collect()}
-    return spark.createDataFrame([(n, k) for k, n in enumerate(screen.greedy_prune(t, rho))], "feature string, place int")
+    df, rows = _screened(spark, d), []
+    scores, pairs = screen.nw_t(df, "series", "dt", ("lz", "vz"), ("t1",), 5).collect(), screen.feature_correlation(df, "series", "dt", ("lz", "vz")).collect()
+    for name in sorted({r["series"] for r in scores}):
+        rho = {(r["a"], r["b"]): r["rho"] for r in pairs if r["series"] == name}
+        rows += [(name, n, k) for k, n in enumerate(screen.greedy_prune({r["feature"]: r["t"] for r in scores if r["series"] == name}, rho))]
+    return spark.createDataFrame(rows, "series string, feature string, place int")
 
 
 # ---------------------------------------------------------------- performance
@@ -477,9 +479,9 @@ def walk_forward_folds(spark, d):
 # ---------------------------------------------------------------- econometrics
 
 
-@query("SELECT expiry, round(regr_intercept(log_usd, log_cbot), 5) AS alpha, round(regr_slope(log_usd, log_cbot), 6) AS beta, round(regr_r2(log_usd, log_cbot), 6) AS r2, count(*) AS n FROM panel WHERE contract = 'A' GROUP BY 1 HAVING count(*) >= 10")
+@query("SELECT contract || ' ' || expiry AS key, round(regr_intercept(log_usd, log_cbot), 5) AS alpha, round(regr_slope(log_usd, log_cbot), 6) AS beta, round(regr_r2(log_usd, log_cbot), 6) AS r2, count(*) AS n FROM panel GROUP BY 1 HAVING count(*) >= 10")
 def engle_granger(spark, d):
-    return rounded(econometrics.engle_granger(spread_panel_of(spark, d).filter("contract = 'A'"), "expiry", "log_usd", "log_cbot", 10), alpha=5)
+    return rounded(econometrics.engle_granger(spread_panel_of(spark, d).withColumn("key", F.concat_ws(" ", "contract", "expiry")), "key", "log_usd", "log_cbot", 10), alpha=5)
 
 
 @query("+ e AS (SELECT regr_r2(log_usd, log_cbot) AS p FROM panel GROUP BY contract, expiry HAVING count(*) >= 10 AND regr_r2(log_usd, log_cbot) IS NOT NULL) SELECT count(p) AS n, round(sum(-2 * ln(greatest(p, 1e-10))), 4) AS stat FROM e")
@@ -493,9 +495,9 @@ def ljung_box_q(spark, d):
     return rounded(econometrics.ljung_box(roles.daily(spark, d), "series", "dt", "level", (5, 10)), q=4)
 
 
-@query("+ e AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY dt) AS r, level - avg(level) OVER (PARTITION BY series) AS e FROM daily), n AS (SELECT series, count(*) AS n, sum(e * e) AS v FROM e GROUP BY 1), rho AS (SELECT a.series, b.r - a.r AS k, round(sum(a.e * b.e) / any_value(n.v), 9) AS rho FROM e a JOIN e b ON a.series = b.series AND b.r > a.r AND b.r < a.r + 60 JOIN n ON n.series = a.series GROUP BY 1, 2), st AS (SELECT series, min(k) AS stop FROM rho WHERE rho <= 0 GROUP BY 1), t AS (SELECT rho.series, 1 + 2 * sum(rho) AS t FROM rho LEFT JOIN st ON rho.series = st.series WHERE stop IS NULL OR k < stop GROUP BY 1) SELECT n.series, n, round(coalesce(t, 1), 6) AS tau, round(n / coalesce(t, 1), 4) AS n_eff FROM n LEFT JOIN t ON n.series = t.series")
+@query("+ e AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY dt) AS r, level - avg(level) OVER (PARTITION BY series) AS e FROM daily), n AS (SELECT series, count(*) AS n, sum(e * e) AS v FROM e GROUP BY 1), rho AS (SELECT a.series, b.r - a.r AS k, round(sum(a.e * b.e) / any_value(n.v), 9) AS rho FROM e a JOIN e b ON a.series = b.series AND b.r > a.r AND b.r < a.r + 500 JOIN n ON n.series = a.series AND b.r - a.r < n.n - 1 GROUP BY 1, 2), st AS (SELECT series, min(k) AS stop FROM rho WHERE rho <= 0 GROUP BY 1), t AS (SELECT rho.series, 1 + 2 * sum(rho) AS t FROM rho LEFT JOIN st ON rho.series = st.series WHERE stop IS NULL OR k < stop GROUP BY 1) SELECT n.series, n, round(coalesce(t, 1), 6) AS tau, round(n / coalesce(t, 1), 4) AS n_eff FROM n LEFT JOIN t ON n.series = t.series")
 def effective_sample_size(spark, d):
-    return rounded(regimes.effective_size(roles.daily(spark, d), "series", "dt", "level", 60), n_eff=4)
+    return rounded(regimes.effective_size(roles.daily(spark, d), "series", "dt", "level"), n_eff=4)
 
 
 @query("WITH c AS (SELECT quality, toxic, count(*) AS c FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1, 2), s AS (SELECT sum(c * (c - 1) / 2) AS s, sum(c) AS n FROM c), r AS (SELECT sum(c * (c - 1) / 2) AS r FROM (SELECT sum(c) AS c FROM c GROUP BY quality)), k AS (SELECT sum(c * (c - 1) / 2) AS k FROM (SELECT sum(c) AS c FROM c GROUP BY toxic)) SELECT CAST(n AS BIGINT) AS n, round(coalesce((s - r * k / nullif(n * (n - 1) / 2, 0)) / nullif((r + k) / 2 - r * k / nullif(n * (n - 1) / 2, 0), 0), 1), 6) AS ari FROM s, r, k", roles_=False)
@@ -506,13 +508,13 @@ def adjusted_rand(spark, d):
 @query()
 def adf_by_contract(spark, d):
     p = spread_panel_of(spark, d).withColumn("key", F.concat_ws(" ", "contract", "expiry"))
-    return rounded(econometrics.adf_by_key(p, "key", "dt", "log_spread", 60))
+    return rounded(econometrics.adf_by_key(p, "key", "dt", "log_spread"))
 
 
 @query()
 def coint_by_contract(spark, d):
     p = spread_panel_of(spark, d).withColumn("key", F.concat_ws(" ", "contract", "expiry"))
-    return rounded(econometrics.coint_by_key(p, "key", "dt", "log_usd", "log_cbot", 60))
+    return rounded(econometrics.coint_by_key(p, "key", "dt", "log_usd", "log_cbot"))
 
 
 @query()
@@ -535,16 +537,6 @@ def _regime_features(spark, d):
 _COLUMNS = ("log_vol", "vol_ratio", "trend_z")
 
 
-@query()
-def regime_features(spark, d):
-    return rounded(_regime_features(spark, d))
-
-
-@query()
-def feature_diagnostics(spark, d):
-    return rounded(regimes.correlation_matrix(_regime_features(spark, d), regimes.FEATURES))
-
-
 @query()
 def gmm_select(spark, d):
     return rounded(regimes.select_components(spark, _regime_features(spark, d), "dt", _COLUMNS, tuple(range(1, 9)), ("full", "diag", "tied", "spherical")))
@@ -575,6 +567,4 @@ def walk_forward_labels(spark, d):
     return regimes.walk_forward_labels(_regime_features(spark, d), "dt", _COLUMNS, 2, lookback=504, every=126)
 
 
-@query()
-def gbt_walk_forward(spark, d):
-    return rounded(model.walk_forward(_screened(spark, d), "dt", ("lz", "vz"), "t5"))
+from . import queries_study  # noqa: E402, F401  registers the rest

@@ -21,15 +21,17 @@ def load_prices(spark: SparkSession, path: str, schema: str, date_column: str =
     return clean_nan(df.withColumn(date_column, F.to_date(date_column)))
 
 
-def union_drifting(frames: list[DataFrame], core: list[str] | None = None) -> DataFrame:
-    """Rows of all frames; columns that one lacks are null there. core names the columns to keep, all of which exist after."""
+def union_drifting(frames: list[DataFrame], core: list[str] | dict[str, str] | None = None) -> DataFrame:
+    """Rows of all frames; columns that one lacks are null there. core names the columns to keep, all of which exist after,
+    and, where it is a dictionary, their types."""
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if core is None:
         return out
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in core])
+    kinds = core if isinstance(core, dict) else {c: dict(out.dtypes).get(c, "string") for c in core}
+    return out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
 
 
-def load_workbook_rows(spark: SparkSession, paths: list[str], core: list[str], codes: dict[str, list[str]], keys: list[str]) -> DataFrame:
+def load_workbook_rows(spark: SparkSession, paths: list[str], core: list[str] | dict[str, str], codes: dict[str, list[str]], keys: list[str]) -> DataFrame:
     """Rows landed as CSV, one file a workbook, in order of preference: keep the first row of each key.
 
     codes maps a column to the values that are kept. Adds source_file and file_rank.
@@ -39,7 +41,8 @@ def load_workbook_rows(spark: SparkSession, paths: list[str], core: list[str], c
     frames = [spark.read.csv(p, header=True).withColumns({"source_file": F.element_at(F.split(F.input_file_name(), "/"), -1), "file_rank": F.lit(k)}) for k, p in enumerate(paths)]
     if not frames:
         raise FileNotFoundError("no workbook files")
-    df = union_drifting(frames, [*core, "source_file", "file_rank"])
+    kinds = core if isinstance(core, dict) else dict.fromkeys(core, "string")
+    df = union_drifting(frames, kinds | {"source_file": "string", "file_rank": "int"})
     for column, values in codes.items():
         df = df.filter(F.col(column).isin(*values))
     return keep_first(df, keys, ["file_rank"])
@@ -62,8 +65,10 @@ def load_layer(spark: SparkSession, root: str, product: str, name: str, layer: s
     return spark.read.parquet(f"{data_path(root, product, layer)}/{name}.parquet")
 
 
-def cached_layer(spark: SparkSession, root: str, product: str, name: str, build, layer: str = "processed") -> DataFrame:
-    """The stored table, or build()'s result stored first. Whether it is stale is the caller's to know."""
+def cached_layer(spark: SparkSession, root: str, product: str, name: str, build, layer: str = "processed", fingerprint: str | None = None) -> DataFrame:
+    """The stored table, or build()'s result stored first. A fingerprint of what it is made from names the table, so that another
+    one is built anew; without one, whether the table is stale is the caller's to know."""
+    name = f"{name}-{fingerprint}" if fingerprint else name
     from pyspark.errors import AnalysisException
 
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from termgrid.functions import kernels, special
 from termgrid.functions import rolling as R
+from termgrid.operators import backtest, model, panel, regimes, screen
+from termgrid.sources import io
+
 
 def W():
     """The window of a series; needs a session, so it is made when asked for."""
@@ -200,3 +204,56 @@ def test_rest_imports_without_the_optional_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_no_year_fits_is_an_error_if_required(spark):
+    df = spark.createDataFrame([("ZCH1", dt.datetime(2070, 1, 1))], "symbol string, seen timestamp")
+    assert df.select(panel.resolve_expiry(F.col("symbol"), F.col("seen"))).first()[0] is None
+    with pytest.raises(Exception, match="no delivery year"):
+        df.select(panel.resolve_expiry(F.col("symbol"), F.col("seen"), required=True)).collect()
+
+
+def test_names_and_grids():
+    assert screen.distinct_names(["b", "a"], ["a", "c"]) == ["b", "a", "c"] and screen.unused_names(["b", "a", "c"], ["a"]) == ["b", "c"]
+    assert model.param_grid({"a": [1, 2], "b": [3, 4]}) == [{"a": 1, "b": 3}, {"a": 1, "b": 4}, {"a": 2, "b": 3}, {"a": 2, "b": 4}]
+    with pytest.raises(ValueError, match="kind"):
+        model.make_model("forest")
+
+
+def test_models_are_made_as_asked(spark):
+    assert model.make_model("classifier", maxIter=7).getMaxIter() == 7 and model.make_model().getMaxIter() == 300
+
+
+def test_unknown_regime_features_are_refused(spark):
+    with pytest.raises(ValueError, match="nothing"):
+        regimes.regime_features(spark.range(1), "s", "t", "x", "y", include=("log_vol", "nothing"))
+
+
+def test_expanding_rank_is_that_of_pandas(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"s": "a", "t": range(200), "x": rng.integers(0, 30, 200).astype(float)})
+    pdf.loc[::9, "x"] = np.nan
+    got = R.expanding_rank(spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "s string, t int, x double"), "s", "t", "x", "r", 20).toPandas().sort_values("t")
+    want = pdf["x"].expanding(20).rank(pct=True).where(pdf["x"].notna())
+    assert np.allclose(got["r"].to_numpy(dtype=float), want, equal_nan=True)
+
+
+def test_p_values(spark):
+    ic = spark.createDataFrame([(0.5, 12), (0.0, 30), (None, 5)], "ic double, n long")
+    assert [None if r.p is None or r.p != r.p else round(r.p, 4) for r in screen.with_p(ic).collect()] == [0.0979, 1.0, None]
+    t = spark.createDataFrame([(1.959964,), (0.0,)], "t double")
+    assert [round(r.p, 4) for r in screen.with_normal_p(t).collect()] == [0.05, 1.0]
+
+
+def test_sharpe_of_nothing_is_an_error(spark):
+    empty = spark.createDataFrame([(None,)], "r double")
+    with pytest.raises(Exception, match="no values"):
+        backtest.sharpe_summary(empty, "r").collect()
+
+
+def test_a_fingerprint_names_the_table(spark, tmp_path):
+    made = []
+    build = lambda: made.append(1) or spark.range(len(made))
+    for f in ("a", "a", "b"):
+        io.cached_layer(spark, str(tmp_path), "p", "t", build, fingerprint=f).count()
+    assert len(made) == 2

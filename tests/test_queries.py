@@ -52,7 +52,7 @@ def test_entry_has_rows(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["adf_by_contract", "autoregression", "hac_regression", "regime_features", "split_stability"])
+@pytest.mark.parametrize("name", ["adf_by_contract", "autoregression", "hac_regression", "split_stability", "correlogram", "assignment_confidence", "regime_centres", "gbt_fold_table"])
 def test_fitted_queries_have_rows(spark, name):
     assert Q.QUERIES[name](spark, SF.replace("0.001", "0.01")).count() > 0
 
