@@ -126,8 +126,9 @@ def mark_repeats(docs: DataFrame, unit: str, families: tuple[Family, ...], withi
     shared = bitmap(keyed.groupBy("_doc").agg(F.count("*").alias("n"), F.first("_h").alias("_h")).filter(f"n > 1 or _doc = {LAST}"), "_h", _SHARED_BITS)
     prints = docs.select("text").mapInArrow(_fingerprints(unit, families), "h long, n long")
     twice = bitmap(prints.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "h", bits)
-    found = materialize(keyed.select("_doc", "_row", "_h", "text").mapInArrow(_extended(unit, families, twice, shared, within), "h long, doc long, row long" + ", place int, again boolean" * within), f"{unit}-windows")
-    twice.destroy()  # no later plan reads it
+    found = keyed.select("_doc", "_row", "_h", "text").mapInArrow(_extended(unit, families, twice, shared, within), "h long, doc long, row long" + ", place int, again boolean" * within)
+    if unit == "line":  # windows of words are more bytes than the texts, so those are read again instead
+        found = materialize(found, "line-windows")
     if within:
         first = found.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("last"), F.bool_or("again").alias("again")).filter("least.doc < last or again").select("h", "least")
         gone = found.join(first, "h").filter("doc > least.doc or again").select("doc", "row", "h", F.expr("if(doc > least.doc, -1, place)").alias("spare"))
@@ -136,6 +137,7 @@ def mark_repeats(docs: DataFrame, unit: str, families: tuple[Family, ...], withi
         first = found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least < last").select("h", "least")
         gone = found.join(first, "h").filter("doc > least").groupBy("doc", "row").agg(F.collect_set("h").alias("gone")).withColumn("spare", F.lit(None).cast("array<int>"))
     gone = materialize(gone, f"{unit}-gone")
+    twice.destroy()  # no later plan reads it
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
 
     def nothing_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
