@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
+#: For a second hash that does not depend on the first.
+OTHER_BASE = 0xC2B2AE3D27D4EB4F
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
@@ -107,11 +109,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """64-bit hash of data[start:end] for each span; equal contents have equal hashes wherever they stand."""
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_BASE_INV, len(data) + 1)[starts]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, len(data)), out=total[1:])
+    h = (total[ends] - total[starts]) * _power(pow(base, -1, 1 << 64), len(data) + 1)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
