@@ -23,7 +23,7 @@ def remove_repeated_words(docs: DataFrame, seed: int = SEED, seeds: int = SEEDS,
     A word goes if a window of seed + seeds - 1 consecutive words covers it whose word sequence also starts in a
     document with a smaller doc_id. Words are runs without ASCII white space. A null or empty text has no words; a null
     doc_id comes after all others; repeated rows get the same answer each and do not remove each other. Other columns
-    are left out. Windows are compared by 128-bit hashes.
+    are left out. Windows are compared by 96-bit hashes.
     """
 
     families = (Family(seed, seeds),)

@@ -1,14 +1,12 @@
 """Repeated runs of words or lines, by winnowed fingerprints.
 
 A run is a window of g = k + w - 1 units. Of the w k-grams in each window the least hash is its fingerprint, so equal
-windows always share one. Four passes follow, none of which pairs the members of a group:
+windows always share one. Three passes follow, none of which pairs the members of a group:
 
 1. count the fingerprints; those met once are out. What is left is kept as a bit set of fixed size.
-2. read the texts again and, from each fingerprint that is left, extend both ways to all windows that hold it; count these
-   in the same way. Only hashes and counts are shuffled, combined before.
-3. the windows met twice or more, by 128-bit hashes, and their documents: the first holder of each is a minimum, combined
-   before the shuffle.
-4. windows of later holders go back to their texts. Consecutive windows join up to maximal runs. A text is shuffled
+2. read the texts again and, from each fingerprint that is left, extend both ways to all windows that hold it; the
+   first holder of each window is a minimum by the window's 96-bit hash, combined before the shuffle.
+3. windows of later holders go back to their texts. Consecutive windows join up to maximal runs. A text is shuffled
    only if it has such a window.
 """
 
@@ -43,7 +41,7 @@ class Family:
 
 
 class Windows:
-    """All windows of a slice: hash, a second one if both, fingerprint, its unit, row, place in the row, units; and of the units
+    """All windows of a slice: hash, 32 bits of a second one if both, fingerprint, its unit, row, place in the row, units; and of the units
     starts, ends, row offsets. Without families only the units."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, unit: str, families: tuple[Family, ...], both: bool = False):
@@ -65,7 +63,7 @@ class Windows:
         g, n = f.units, len(h) - f.units + 1
         if n < 1:
             none = np.empty(0, dtype=np.int64)
-            return none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none, none, none, none
+            return none.view(np.uint64), none.astype(np.int32), none.view(np.uint64), none, none, none, none
         grams, whole = gram_hashes(h, f.gram), gram_hashes(h, g)
         second = whole if h2 is None else gram_hashes(h2, g)
         least, unit_at = grams[:n].copy(), np.arange(n)
@@ -77,23 +75,17 @@ class Windows:
             ok &= words[1][g - 1 :] - words[0][:n] >= f.least_words
         ok = np.flatnonzero(ok)
         salt = np.uint64(number * 0x2127599BF4325C37 & LAST)
-        return whole[ok] ^ salt, second[ok], least[ok] ^ salt, unit_at[ok], row[ok], ok - self.at[row[ok]], np.full(len(ok), g)
+        return whole[ok] ^ salt, (second[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32), least[ok] ^ salt, unit_at[ok], row[ok], ok - self.at[row[ok]], np.full(len(ok), g)
 
 
-def _counted(unit: str, families: tuple[Family, ...], twice=None) -> Callable:
-    """How often each fingerprint stands in a slice or, given the set of those met twice, each window that holds one of them."""
-
+def _fingerprints(unit: str, families: tuple[Family, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, off in slices(batch.column(0)):
                 w = Windows(data, off, unit, families)
-                if twice is None:
-                    first = np.ones(len(w.least), dtype=bool)  # neighbours mostly share theirs
-                    first[1:] = (w.unit_at[1:] != w.unit_at[:-1]) | (w.least[1:] != w.least[:-1])
-                    met = w.least[first]
-                else:
-                    met = w.whole[has_bit(twice.value, w.least)]
-                h, n = np.unique(met, return_counts=True)
+                first = np.ones(len(w.least), dtype=bool)  # neighbours mostly share theirs
+                first[1:] = (w.unit_at[1:] != w.unit_at[:-1]) | (w.least[1:] != w.least[:-1])
+                h, n = np.unique(w.least[first], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], ["h", "n"])
 
     return run
@@ -106,22 +98,20 @@ def _told_apart(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
     return batch.set_column(batch.schema.get_field_index("_row"), "_row", pa.array(row))
 
 
-def _holders(unit: str, families: tuple[Family, ...], twice, shared, within: bool) -> Callable:
-    """The windows met twice, once for each row that holds them."""
-
+def _extended(unit: str, families: tuple[Family, ...], twice, shared, within: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = _told_apart(batch, shared)
             ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_row"))
             for lo, _, data, off in slices(batch.column("text")):
                 w = Windows(data, off, unit, families, both=True)
-                got = has_bit(twice.value, w.whole)
+                got = has_bit(twice.value, w.least)
                 whole, second, row, place = w.whole[got], w.second[got], w.row[got], w.place[got]
                 key = mix(whole + row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
                 order = np.argsort(first)
                 first, n = first[order], n[order]
-                columns = {"h": pa.array(signed(whole[first])), "h2": pa.array(signed(second[first])), "doc": pa.array(ids[lo + row[first]]), "row": pa.array(rows[lo + row[first]])}
+                columns = {"h": pa.array(signed(whole[first])), "h2": pa.array(second[first]), "doc": pa.array(ids[lo + row[first]]), "row": pa.array(rows[lo + row[first]])}
                 if within:
                     columns |= {"place": pa.array(place[first].astype(np.int32)), "again": pa.array(n > 1)}
                 yield pa.RecordBatch.from_pydict(columns)
@@ -141,32 +131,28 @@ def mark_repeats(docs: DataFrame, unit: str, families: tuple[Family, ...], withi
     keyed = docs.select(*names, F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.xxhash64("text").alias("_row"), F.xxhash64(F.coalesce("doc_id", F.lit(LAST))).alias("_h"))
     shared = bitmap(keyed.groupBy("_doc").agg(F.count("*").alias("n"), F.first("_h").alias("_h")).filter(f"n > 1 or _doc = {LAST}"), "_h", _SHARED_BITS)
 
-    def met_twice(seeds=None):
-        counts = docs.select("text").mapInArrow(_counted(unit, families, seeds), "h long, n long")
-        return bitmap(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "h", bits)
-
-    seeds = met_twice()
-    twice = met_twice(seeds)
-    seeds.destroy()  # no later plan reads it
-    found = keyed.select("_doc", "_row", "_h", "text").mapInArrow(_holders(unit, families, twice, shared, within), "h long, h2 long, doc long, row long" + ", place int, again boolean" * within)
-    found = materialize(found, f"{unit}-windows")
-    twice.destroy()
+    prints = docs.select("text").mapInArrow(_fingerprints(unit, families), "h long, n long")
+    twice = bitmap(prints.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "h", bits)
+    found = keyed.select("_doc", "_row", "_h", "text").mapInArrow(_extended(unit, families, twice, shared, within), "h long, h2 int, doc long, row long" + ", place int, again boolean" * within)
+    if unit == "line":  # windows of words are more bytes than the texts, so those are read again instead
+        found = materialize(found, "line-windows")
     window = found.groupBy("h", "h2")
     if within:
         first = window.agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("last"), F.bool_or("again").alias("again")).filter("least.doc < last or again").select("h", "h2", "least")
         gone = found.join(first, ["h", "h2"]).filter("doc > least.doc or again").select("doc", "row", "h", "h2", F.expr("if(doc > least.doc, -1, place)").alias("spare"))
     else:
-        first = window.agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least < last").select("h", "h2", "least")
+        first = window.agg(F.min("doc").alias("least"))
         gone = found.join(first, ["h", "h2"]).filter("doc > least").select("doc", "row", "h", "h2", F.lit(-1).alias("spare"))
     gone = gone.groupBy("doc", "row").agg(F.collect_set(F.struct("h", "h2", "spare")).alias("all"))
     gone = materialize(gone.select("doc", "row", F.col("all.h").alias("gone"), F.col("all.h2").alias("gone2"), F.col("all.spare").alias("spare")), f"{unit}-gone")
+    twice.destroy()  # no later plan reads it
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
 
     def nothing_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in ("gone", "gone2"):
-                batch = batch.append_column(name, pa.nulls(batch.num_rows, pa.list_(pa.int64())))
-            yield batch.append_column("spare", pa.nulls(batch.num_rows, pa.list_(pa.int32())))
+            for name, kind in (("gone", pa.int64()), ("gone2", pa.int32()), ("spare", pa.int32())):
+                batch = batch.append_column(name, pa.nulls(batch.num_rows, pa.list_(kind)))
+            yield batch
 
     touched, clean = split_by(keyed, "_h", some, "text", lambda batches: finish(nothing_gone(batches)), schema, lambda batch: _told_apart(batch, shared))
     touched = touched.join(gone.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left").select(*names, "gone", "gone2", "spare")
@@ -194,7 +180,7 @@ def cover(batch: pa.RecordBatch, unit: str, families: tuple[Family, ...]) -> Ite
                 mine = signed(w.whole[split[i] : split[i + 1]])
                 spot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 p, g = w.place[split[i] : split[i + 1]], w.size[split[i] : split[i + 1]]
-                on = (known[spot] == mine) & (known2[spot] == signed(w.second[split[i] : split[i + 1]])) & (keep[spot] != p)
+                on = (known[spot] == mine) & (known2[spot] == w.second[split[i] : split[i + 1]]) & (keep[spot] != p)
                 edge = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(edge, p[on], 1)
                 np.add.at(edge, p[on] + g[on], -1)
