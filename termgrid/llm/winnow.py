@@ -122,7 +122,7 @@ def _extended(unit: str, families: tuple[Family, ...], twice, shared, within: bo
 def mark_repeats(docs: DataFrame, unit: str, families: tuple[Family, ...], within: bool, bits: int, finish: Callable, schema) -> DataFrame:
     """docs: doc_id long, text string. finish(batches of docs with gone and spare) makes the result's rows with that schema.
 
-    gone lists both hashes and spare the places to spare, or -1 (none if not within), of the windows that an earlier document holds or, if within, that
+    gone lists the hashes (64 bits, as they are looked up in one text alone) and spare the places to spare, or -1 (none if not within), of the windows that an earlier document holds or, if within, that
     stand earlier in the same one. A null doc_id comes after all others. Rows with equal doc_ids do not count as each
     other's earlier holders; they and rows without an id are told apart by a hash of their texts, so no list is longer than
     one text. Columns named _doc, _row and _h are replaced.
@@ -139,23 +139,21 @@ def mark_repeats(docs: DataFrame, unit: str, families: tuple[Family, ...], withi
     window = found.groupBy("h", "h2")
     if within:
         first = window.agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("last"), F.bool_or("again").alias("again")).filter("least.doc < last or again").select("h", "h2", "least")
-        gone = found.join(first, ["h", "h2"]).filter("doc > least.doc or again").select("doc", "row", "h", "h2", F.expr("if(doc > least.doc, -1, place)").alias("spare"))
+        gone = found.join(first, ["h", "h2"]).filter("doc > least.doc or again").select("doc", "row", "h", F.expr("if(doc > least.doc, -1, place)").alias("spare"))
+        gone = gone.groupBy("doc", "row").agg(F.collect_set(F.struct("h", "spare")).alias("both")).select("doc", "row", F.col("both.h").alias("gone"), F.col("both.spare").alias("spare"))
     else:
         first = window.agg(F.min("doc").alias("least"))
-        gone = found.join(first, ["h", "h2"]).filter("doc > least").select("doc", "row", "h", "h2", F.lit(-1).alias("spare"))
-    gone = gone.groupBy("doc", "row").agg(F.collect_set(F.struct("h", "h2", "spare")).alias("all"))
-    gone = materialize(gone.select("doc", "row", F.col("all.h").alias("gone"), F.col("all.h2").alias("gone2"), F.col("all.spare").alias("spare")), f"{unit}-gone")
+        gone = found.join(first, ["h", "h2"]).filter("doc > least").groupBy("doc", "row").agg(F.collect_set("h").alias("gone")).withColumn("spare", F.lit(None).cast("array<int>"))
+    gone = materialize(gone, f"{unit}-gone")
     twice.destroy()  # no later plan reads it
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
 
     def nothing_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, kind in (("gone", pa.int64()), ("gone2", pa.int32()), ("spare", pa.int32())):
-                batch = batch.append_column(name, pa.nulls(batch.num_rows, pa.list_(kind)))
-            yield batch
+            yield batch.append_column("gone", pa.nulls(batch.num_rows, pa.list_(pa.int64()))).append_column("spare", pa.nulls(batch.num_rows, pa.list_(pa.int32())))
 
     touched, clean = split_by(keyed, "_h", some, "text", lambda batches: finish(nothing_gone(batches)), schema, lambda batch: _told_apart(batch, shared))
-    touched = touched.join(gone.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left").select(*names, "gone", "gone2", "spare")
+    touched = touched.join(gone.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left").select(*names, "gone", "spare")
     return touched.mapInArrow(lambda batches: finish(inflated(batches, "text")), schema).unionByName(clean)
 
 
@@ -165,10 +163,11 @@ def cover(batch: pa.RecordBatch, unit: str, families: tuple[Family, ...]) -> Ite
     lengths = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     begin = np.zeros(len(gone) + 1, dtype=np.int64)
     np.cumsum(lengths, out=begin[1:])
-    hashes, seconds, spare = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("gone", "gone2", "spare"))
+    hashes = gone.flatten().to_numpy(zero_copy_only=False)
+    spare = batch.column("spare").flatten().to_numpy(zero_copy_only=False) if batch.column("spare").null_count < len(gone) else np.full(len(hashes), -1)
     for lo, hi, data, off in slices(batch.column("text")):
         some = begin[lo] < begin[hi]
-        w = Windows(data, off, unit, families if some else (), both=True)
+        w = Windows(data, off, unit, families if some else ())
         split = np.searchsorted(w.row, np.arange(hi - lo + 1)) if some else None
         for i in range(hi - lo):
             n = w.at[i + 1] - w.at[i]
@@ -176,11 +175,11 @@ def cover(batch: pa.RecordBatch, unit: str, families: tuple[Family, ...]) -> Ite
             a, b = begin[lo + i], begin[lo + i + 1]
             if a < b:
                 order = np.argsort(hashes[a:b])
-                known, known2, keep = hashes[a:b][order], seconds[a:b][order], spare[a:b][order]
+                known, keep = hashes[a:b][order], spare[a:b][order]
                 mine = signed(w.whole[split[i] : split[i + 1]])
                 spot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 p, g = w.place[split[i] : split[i + 1]], w.size[split[i] : split[i + 1]]
-                on = (known[spot] == mine) & (known2[spot] == w.second[split[i] : split[i + 1]]) & (keep[spot] != p)
+                on = (known[spot] == mine) & (keep[spot] != p)
                 edge = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(edge, p[on], 1)
                 np.add.at(edge, p[on] + g[on], -1)
