@@ -8,6 +8,10 @@ windows always share one. Three passes follow, none of which pairs the members o
    first holder of each window is a minimum by the window's 96-bit hash, combined before the shuffle.
 3. windows of later holders go back to their texts. Consecutive windows join up to maximal runs. A text is shuffled
    only if it has such a window.
+
+Windows of words are many times the texts, so step 2 first takes each stretch of windows around one fingerprint as a
+whole: copies share most of theirs. All windows of a stretch go from every holder but its first; only the first one's
+are compared window by window, as other stretches may hold some of them too.
 """
 
 from __future__ import annotations
@@ -78,6 +82,24 @@ class Windows:
         return whole[ok] ^ salt, (second[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32), least[ok] ^ salt, unit_at[ok], row[ok], ok - self.at[row[ok]], np.full(len(ok), g)
 
 
+def _stretches(whole: np.ndarray, second: np.ndarray, unit_at: np.ndarray) -> tuple:
+    """The stretches of consecutive windows of one fingerprint: first window, number of windows, hash and 32 bits of a second one."""
+    if not len(whole):
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none.view(np.uint64), none.astype(np.int32)
+    start = np.flatnonzero(np.append(True, unit_at[1:] != unit_at[:-1]))
+    n = np.diff(np.append(start, len(whole)))
+    step = (np.arange(len(whole)) - np.repeat(start, n)).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    h = np.add.reduceat(mix(whole + step), start)
+    h2 = np.add.reduceat(mix(second.view(np.uint32).astype(np.uint64) + step + np.uint64(1)), start)
+    return start, n, h, (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _once(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Places of the first of equal hashes in each row, in order."""
+    return np.sort(np.unique(mix(h + row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), return_index=True)[1])
+
+
 def _fingerprints(unit: str, families: tuple[Family, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +120,7 @@ def _told_apart(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
     return batch.set_column(batch.schema.get_field_index("_row"), "_row", pa.array(row))
 
 
-def _extended(unit: str, families: tuple[Family, ...], twice, shared, within: bool) -> Callable:
+def _extended(unit: str, families: tuple[Family, ...], twice, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = _told_apart(batch, shared)
@@ -111,19 +133,78 @@ def _extended(unit: str, families: tuple[Family, ...], twice, shared, within: bo
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
                 order = np.argsort(first)
                 first, n = first[order], n[order]
-                columns = {"h": pa.array(signed(whole[first])), "h2": pa.array(second[first]), "doc": pa.array(ids[lo + row[first]]), "row": pa.array(rows[lo + row[first]])}
-                if within:
-                    columns |= {"place": pa.array(place[first].astype(np.int32)), "again": pa.array(n > 1)}
-                yield pa.RecordBatch.from_pydict(columns)
+                columns = {"h": signed(whole[first]), "h2": second[first], "doc": ids[lo + row[first]], "row": rows[lo + row[first]], "place": place[first].astype(np.int32), "again": n > 1}
+                yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in columns.items()})
 
     return run
 
 
+def _anchored(unit: str, family: Family, twice, shared, stretch: bool, lead=None, wanted=None) -> Callable:
+    """Hash, 32 bits of a second one, doc and row of each stretch if stretch, and of each window of those in lead; with wanted, only hashes in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _told_apart(batch, shared)
+            ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_row"))
+            for lo, _, data, off in slices(batch.column("text")):
+                w = Windows(data, off, unit, (family,), both=True)
+                got = has_bit(twice.value, w.least)
+                whole, second, row = w.whole[got], w.second[got], w.row[got]
+                start, n, h, h2 = _stretches(whole, second, w.unit_at[got])
+                parts = [(h, h2, row[start])] if stretch else []
+                if lead:
+                    mine = np.repeat(has_bit(lead.value, h ^ ids[lo + row[start]].view(np.uint64)), n)
+                    parts.append((whole[mine], second[mine], row[mine]))
+                for h, h2, row in parts:
+                    if wanted:
+                        yes = has_bit(wanted.value, h)
+                        h, h2, row = h[yes], h2[yes], row[yes]
+                    at = _once(h, row)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(h2[at]), pa.array(ids[lo + row[at]]), pa.array(rows[lo + row[at]])], ["h", "h2", "doc", "row"])
+
+    return run
+
+
+def _gone_within(keyed: DataFrame, unit: str, families: tuple[Family, ...], twice, shared) -> DataFrame:
+    found = keyed.mapInArrow(_extended(unit, families, twice, shared), "h long, h2 int, doc long, row long, place int, again boolean")
+    found = materialize(found, f"{unit}-windows")
+    first = found.groupBy("h", "h2").agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("last"), F.bool_or("again").alias("again"))
+    first = first.filter("least.doc < last or again").select("h", "h2", "least")
+    gone = found.join(first, ["h", "h2"]).filter("doc > least.doc or again").select("doc", "row", "h", F.expr("if(doc > least.doc, -1, place)").alias("spare"))
+    gone = gone.groupBy("doc", "row").agg(F.collect_set(F.struct("h", "spare")).alias("both")).select("doc", "row", F.col("both.h").alias("gone"), F.col("both.spare").alias("spare"))
+    return materialize(gone, f"{unit}-gone")
+
+
+def _gone_across(keyed: DataFrame, unit: str, family: Family, twice, shared, bits: int) -> DataFrame:
+    """As _gone_within, without places to spare; gone lists hashes of stretches and of windows.
+
+    A window in a document is gone if the window, or its stretch, has a holder of a smaller id: every holder of a stretch
+    but the first loses all of it, and a first one loses the windows that have an earlier holder in another stretch.
+    """
+
+    def found(*args) -> DataFrame:
+        return keyed.mapInArrow(_anchored(unit, family, twice, shared, *args), "h long, h2 int, doc long, row long")
+
+    def first(holders: DataFrame) -> DataFrame:
+        return holders.groupBy("h", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("last"))
+
+    stretches = materialize(first(found(True)), f"{unit}-stretches")
+    lead = bitmap(stretches.select(F.col("h").bitwiseXOR(F.col("least")).alias("h")), "h", bits)
+    windows = materialize(first(found(False, lead)).filter("least < last"), f"{unit}-windows")
+    firsts = stretches.filter("least < last").unionByName(windows).select("h", "h2", "least")
+    wanted = bitmap(firsts, "h", bits)
+    gone = found(True, lead, wanted).join(firsts, ["h", "h2"]).filter("doc > least")
+    gone = materialize(gone.groupBy("doc", "row").agg(F.collect_set("h").alias("gone")), f"{unit}-gone")
+    lead.destroy()  # no later plan reads them
+    wanted.destroy()
+    return gone.withColumn("spare", F.lit(None).cast("array<int>"))
+
+
 def mark_repeats(docs: DataFrame, unit: str, families: tuple[Family, ...], within: bool, bits: int, finish: Callable, schema) -> DataFrame:
     """docs: doc_id long, text string. finish(batches of docs with gone and spare) makes the result's rows with that schema.
 
     gone lists the hashes (64 bits, as they are looked up in one text alone) and spare the places to spare, or -1 (none if not within), of the windows that an earlier document holds or, if within, that
-    stand earlier in the same one. A null doc_id comes after all others. Rows with equal doc_ids do not count as each
+    stand earlier in the same one. If not within, there is one family, and a hash may be that of a stretch of windows. A null doc_id comes after all others. Rows with equal doc_ids do not count as each
     other's earlier holders; they and rows without an id are told apart by a hash of their texts, so no list is longer than
     one text. Columns named _doc, _row and _h are replaced.
     """
@@ -133,18 +214,8 @@ def mark_repeats(docs: DataFrame, unit: str, families: tuple[Family, ...], withi
 
     prints = docs.select("text").mapInArrow(_fingerprints(unit, families), "h long, n long")
     twice = bitmap(prints.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "h", bits)
-    found = keyed.select("_doc", "_row", "_h", "text").mapInArrow(_extended(unit, families, twice, shared, within), "h long, h2 int, doc long, row long" + ", place int, again boolean" * within)
-    if unit == "line":  # windows of words are more bytes than the texts, so those are read again instead
-        found = materialize(found, "line-windows")
-    window = found.groupBy("h", "h2")
-    if within:
-        first = window.agg(F.min(F.struct("doc", "place")).alias("least"), F.max("doc").alias("last"), F.bool_or("again").alias("again")).filter("least.doc < last or again").select("h", "h2", "least")
-        gone = found.join(first, ["h", "h2"]).filter("doc > least.doc or again").select("doc", "row", "h", F.expr("if(doc > least.doc, -1, place)").alias("spare"))
-        gone = gone.groupBy("doc", "row").agg(F.collect_set(F.struct("h", "spare")).alias("both")).select("doc", "row", F.col("both.h").alias("gone"), F.col("both.spare").alias("spare"))
-    else:
-        first = window.agg(F.min("doc").alias("least"))
-        gone = found.join(first, ["h", "h2"]).filter("doc > least").groupBy("doc", "row").agg(F.collect_set("h").alias("gone")).withColumn("spare", F.lit(None).cast("array<int>"))
-    gone = materialize(gone, f"{unit}-gone")
+    told = keyed.select("_doc", "_row", "_h", "text")
+    gone = _gone_within(told, unit, families, twice, shared) if within else _gone_across(told, unit, *families, twice, shared, bits)
     twice.destroy()  # no later plan reads it
     some = bitmap(gone.select(F.xxhash64("doc").alias("h")), "h", min(bits, 25))
 
@@ -164,11 +235,15 @@ def cover(batch: pa.RecordBatch, unit: str, families: tuple[Family, ...]) -> Ite
     begin = np.zeros(len(gone) + 1, dtype=np.int64)
     np.cumsum(lengths, out=begin[1:])
     hashes = gone.flatten().to_numpy(zero_copy_only=False)
-    spare = batch.column("spare").flatten().to_numpy(zero_copy_only=False) if batch.column("spare").null_count < len(gone) else np.full(len(hashes), -1)
+    across = batch.column("spare").null_count == len(gone)
+    spare = np.full(len(hashes), -1) if across else batch.column("spare").flatten().to_numpy(zero_copy_only=False)
     for lo, hi, data, off in slices(batch.column("text")):
         some = begin[lo] < begin[hi]
         w = Windows(data, off, unit, families if some else ())
         split = np.searchsorted(w.row, np.arange(hi - lo + 1)) if some else None
+        if some and across:
+            _, n, h, _ = _stretches(w.whole, w.second, w.unit_at)
+            stretch = np.repeat(signed(h), n)
         for i in range(hi - lo):
             n = w.at[i + 1] - w.at[i]
             covered = np.zeros(n, dtype=bool)
@@ -180,6 +255,8 @@ def cover(batch: pa.RecordBatch, unit: str, families: tuple[Family, ...]) -> Ite
                 spot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 p, g = w.place[split[i] : split[i + 1]], w.size[split[i] : split[i + 1]]
                 on = (known[spot] == mine) & (keep[spot] != p)
+                if across:
+                    on |= np.isin(stretch[split[i] : split[i + 1]], known)
                 edge = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(edge, p[on], 1)
                 np.add.at(edge, p[on] + g[on], -1)
