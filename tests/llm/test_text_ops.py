@@ -63,6 +63,36 @@ def test_substring_dedup_is_exact(spark, rows):
     assert got == want and sum(k[2] > 0 for k in want) > 3
 
 
+def test_stretches_lose_windows_held_elsewhere(spark):
+    """Passages cut at random between other words, so windows stand in several stretches; the ids' order is not the texts'."""
+    from termgrid.llm.substring_dedup import remove_repeated_words
+
+    rng = random.Random(31)
+    passages = [words(rng, 60, 5000).split() for _ in range(4)]
+    texts = []
+    for _ in range(80):
+        u = []
+        for _ in range(rng.randrange(1, 4)):
+            a = rng.randrange(0, 45)
+            u += words(rng, rng.randrange(0, 12), 5000).split() + rng.choice(passages)[a : a + rng.randrange(10, 40)]
+        texts.append(" ".join(u))
+    texts += ["again " * 3000, "again " * 40, "again " * 12]
+    ids = rng.sample(range(1000), len(texts))
+    rows, want = list(zip(ids, texts)), {}
+    first = first_holders(rows, str.split, 13)
+    for i, t in rows:
+        u = t.split()
+        gone = [False] * len(u)
+        for k in range(len(u) - 12):
+            if first[tuple(u[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        want[i] = (len(u), sum(gone), " ".join(x for x, g in zip(u, gone) if not g))
+    for bits in (8, 16):  # full sets, then nearly empty ones
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeated_words(frame(spark, rows), bits=bits).collect()}
+        assert got == want
+    assert sum(0 < n < m for m, n, _ in want.values()) > 20
+
+
 def test_line_dedup_keeps_the_first_run(spark, rows):
     from termgrid.llm.line_dedup import remove_repeated_lines
 
