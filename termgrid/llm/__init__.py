@@ -1,4 +1,4 @@
-"""Training-data operators: ten large-scale text and vector jobs on Spark.
+"""Training-data operators: thirteen large-scale text and vector jobs on Spark.
 
 Nothing outside this subpackage imports it.
 """

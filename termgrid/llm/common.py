@@ -245,3 +245,16 @@ def inflated(batches, column: str):
             batch = whole.slice(lo, 1000)
             text = pa.array([None if x is None else press(x).decode() for x in batch.column(column).to_pylist()], pa.string())
             yield batch.set_column(batch.schema.get_field_index(column), column, text)
+
+
+def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], heads: int = 1000) -> DataFrame:
+    """The inner join of rows with keyed, which has one row a key, so that no task gets a large share of the rows by one key.
+
+    Keys that hold over 1 / heads of the rows are met by broadcast: there are at most heads such keys, whatever the size.
+    The others go by shuffle. Both inputs are read more than once, so they should be cheap to read.
+    """
+    total = rows.count()
+    hot = rows.groupBy(*keys).count().filter(F.col("count") * heads > total).select(*keys)
+    hot = materialize(keyed.join(F.broadcast(hot), keys, "left_semi"), "hot-keys")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(keyed, keys))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .ann import op1_multi_index_hashing
+from .collocations import op11_collocations
 from .decontam import op10_decontamination
+from .exact_dedup import op13_exact_dedup
+from .fill_in_middle import op12_fill_in_middle
 from .langid import op2_language_id
 from .line_dedup import op5_line_dedup
 from .ngram_join import op4_ngram_join
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     # every window of 13 words, the least document that holds it, and the words that later ones lose
@@ -70,4 +76,31 @@ mine AS (SELECT win.doc_id, win.item_id, win.m, win.n, s, k, least(count(*), any
 sim AS (SELECT doc_id, item_id, s, n, least(m, n) AS len, sum(c) AS common FROM mine GROUP BY 1, 2, 3, 4, 5),
 best AS (SELECT doc_id, item_id, max((common / (len + n - common), s, len)) AS b FROM sim WHERE common / (len + n - common) >= 0.8 GROUP BY 1, 2)
 SELECT doc_id, item_id, CAST(b[2] AS INTEGER) AS start, CAST(b[3] + 4 AS INTEGER) AS n_words, CAST(b[1] AS DOUBLE) AS similarity FROM best""",
+    # every phrase, both parts of every cut in 128 bits, and every longer phrase that contains it
+    "op11_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+size AS (SELECT unnest([1, 2, 3]) AS g),
+spot AS (SELECT lang, w, g, unnest(range(1, len(w) - g + 2)) AS i FROM p, size),
+f AS (SELECT lang, g, array_to_string(w[i:i + g - 1], ' ') AS phrase, count(*) AS f FROM spot GROUP BY 1, 2, 3),
+cut AS (SELECT lang, phrase, g, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, g)) AS k FROM f WHERE g > 1 AND f >= 10),
+score AS (SELECT c.lang, c.phrase, c.g, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+low AS (SELECT lang, phrase, g, a, min((score, k, l, r)) AS b FROM score GROUP BY 1, 2, 3, 4),
+taken AS (SELECT DISTINCT s.lang, s.phrase FROM low s JOIN (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part FROM f WHERE g = 3 AND f >= 10) u ON u.lang = s.lang AND u.part = s.phrase WHERE s.g = 2 AND 100 * u.f >= 50 * s.a),
+ranked AS (SELECT low.*, row_number() OVER (PARTITION BY lang ORDER BY b[1] DESC, a DESC, encode(phrase)) AS rank FROM low ANTI JOIN taken USING (lang, phrase))
+SELECT lang, rank, phrase, a, b[3] AS l, b[4] AS r, n, CAST(b[1] AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    # code points by DuckDB's own functions; the text is rebuilt from its three parts
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+v AS (SELECT doc_id, x, CAST(length(x) AS BIGINT) AS n, [CAST('0x' || h[8 * k + 1:8 * k + 8] AS BIGINT) for k in range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS i, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS j FROM v),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, substring(x, 1, i) AS p, substring(x, i + 1, j - i) AS m, substring(x, j + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars, sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256 FROM f""",
+    # equal rows with equal ids count as one row that stays
+    "op13_exact_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, row_number() OVER () AS i FROM documents),
+k AS (SELECT doc_id, i, length(x) AS n, sha256(regexp_replace(x, '[ 	-]', '', 'g')) AS h FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST, i) AS o FROM k)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, o = 1 AS kept, h AS text_sha256 FROM r WINDOW g AS (PARTITION BY h ORDER BY o)""",
 }
