@@ -7,6 +7,7 @@ and never loops over words in Python.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call works on; a single longer text is taken alone.
 SLICE_BYTES = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-#: For a second hash that does not depend on the first.
-OTHER_BASE = 0xC2B2AE3D27D4EB4F
+#: Odd multiplier of the n-gram hashes, and the keys of two independent kinds of hash; any odd numbers would do.
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+KEY, OTHER_KEY = 0x51_7C_C1_B7_27_22_0A_95, 0xC2_B2_AE_3D_27_D4_EB_4F
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
+#: Spans of more bytes are hashed one by one with BLAKE2; a slice holds few of them.
+_LONG = 128
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,17 +90,6 @@ def bounded_sample(df: DataFrame, key, rows: int) -> DataFrame:
 # ---------------------------------------------------------------- text kernels
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, SLICE_BYTES + 4096), np.uint64(base), dtype=np.uint64)
-        out[0] = 1
-        have = np.cumprod(out, dtype=np.uint64)
-        if n <= SLICE_BYTES + 4096:
-            _powers[base] = have
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit hashes."""
     h = h ^ (h >> np.uint64(30))
@@ -109,12 +100,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """64-bit hash of data[start:end] for each span; equal contents have equal hashes wherever they stand."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, len(data)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power(pow(base, -1, 1 << 64), len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _LENGTH)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEY) -> np.ndarray:
+    """64-bit hash of data[start:end] for each span; equal contents have equal hashes wherever they stand.
+
+    Eight bytes are mixed in at a time, each round a permutation of the state, so no arrangement of blocks cancels out.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * _LENGTH + np.uint64(key))
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    here = np.flatnonzero((size > 0) & (size <= _LONG))
+    done = 0
+    while len(here):
+        lane = eight[starts[here] + done] & _LANE[np.minimum(size[here] - done, 8)]
+        h[here] = mix((h[here] ^ lane) * _TIMES + np.uint64(key))
+        done += 8
+        here = here[size[here] > done]
+    for i in np.flatnonzero(size > _LONG):
+        made = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key.to_bytes(8, "little"))
+        h[i] = int.from_bytes(made.digest(), "little")
+    return h
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -123,7 +128,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     out = words[: len(words) - n + 1].copy()
     for j in range(1, n):
-        out *= np.uint64(_BASE | 1)
+        out *= _TIMES
         out += words[j : len(words) - n + 1 + j]
     return mix(out)
 

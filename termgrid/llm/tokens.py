@@ -13,11 +13,10 @@ import unicodedata
 from functools import cached_property
 
 import numpy as np
-
-from .common import _BASE, _BASE_INV, _power, mix
+import pyarrow as pa
 
 #: Code points of one call, and words a worker keeps before it starts afresh.
-CALL, KEEP = 1 << 17, 500_000
+CALL, KEEP = 1 << 17, 250_000
 #: The steps that are followed here, as tokenizer files state them; fixed values.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLITTER = {
@@ -45,7 +44,7 @@ def _classes() -> np.ndarray:
 
 
 class Words:
-    """The ids of the words met so far, by a hash of the word."""
+    """The ids of the words met so far, by the words themselves."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,10 +73,11 @@ class Words:
         return Tokenizer.from_file(self.path)
 
     def clear(self) -> None:
-        self.keys, self.begin, self.count = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.number: dict[str, int] = {}
+        self.begin, self.count = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self.flat, self.used = np.empty(1 << 16, dtype=np.uint32), 0
 
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         found, n = [], []
         for lo in range(0, len(words), 256):
             part = words[lo : lo + 256]
@@ -92,10 +92,11 @@ class Words:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        begin = self.used + np.cumsum(n) - n
+        self.begin = np.append(self.begin, self.used + np.cumsum(n) - n)
+        self.count = np.append(self.count, n)
         self.used += len(ids)
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, n)
+        for w in words:
+            self.number[w] = len(self.number)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, by as few calls as the limit on code points allows."""
@@ -118,7 +119,7 @@ class Words:
     def _call(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
-        if len(self.keys) > KEEP:
+        if len(self.number) > KEEP:
             self.clear()
         texts = [(t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).replace("Σ", "σ").lower() for t in texts]
         whole = "\n".join(texts) + "\n"
@@ -140,16 +141,16 @@ class Words:
         edges = np.flatnonzero(start | blank)
         first = np.flatnonzero(start[edges])
         starts, ends = edges[first], edges[first + 1]
-        total = np.zeros(len(c) + 1, dtype=np.uint64)
-        np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(c)), out=total[1:])
-        h = mix((total[ends] - total[starts]) * _power(_BASE_INV, len(c))[starts] + (ends - starts).astype(np.uint64))
-        keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[spot] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(new):
-            self.learn(keys[new], [whole[starts[i] : ends[i]] for i in where[new]])
-            spot = np.searchsorted(self.keys, keys)
-        spot = spot[inverse]
+        # each word and the gap behind it, as bytes that Arrow compares in full
+        edge = np.empty(2 * len(starts) + 1, dtype=np.int64)
+        edge[:-1:2], edge[1::2], edge[-1] = starts, ends, len(c)
+        spans = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(edge * 4), pa.py_buffer(c)])
+        coded = spans.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
+        words = [w.decode("utf-32-le", "surrogatepass") for w in coded.dictionary.to_pylist()]
+        new = [w for w in words if w not in self.number]
+        if new:
+            self.learn(new)
+        spot = np.array([self.number[w] for w in words], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.count[spot]
         stop = np.cumsum(n)
         flat = self.flat[np.repeat(self.begin[spot] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]

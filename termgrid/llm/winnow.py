@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LINE, _SPACE, OTHER_BASE, bitmap, gram_hashes, has_bit, inflated, materialize, mix, pieces, signed, slices, span_hashes, split_by
+from .common import _LINE, _SPACE, OTHER_KEY, bitmap, gram_hashes, has_bit, inflated, materialize, mix, pieces, signed, slices, span_hashes, split_by
 
 LAST = (1 << 63) - 1
 #: log2 of the bits of the set of ids that several rows share.
@@ -54,7 +54,7 @@ class Windows:
         if not families:
             return
         h = span_hashes(data, self.starts, self.ends)
-        h2 = span_hashes(data, self.starts, self.ends, OTHER_BASE) if both else None
+        h2 = span_hashes(data, self.starts, self.ends, OTHER_KEY) if both else None
         words = np.searchsorted(pieces(data, off)[0], np.stack([self.starts, self.ends])) if any(f.least_words for f in families) else None
         parts = [self._family(f, h, h2, row, words, k) for k, f in enumerate(families)]
         made = [np.concatenate(x) for x in zip(*parts, strict=True)]
