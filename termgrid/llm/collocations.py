@@ -1,47 +1,113 @@
-"""Phrase collocations: all n-grams as rows, counted by language, scored by their weakest cut, less the parts of longer ones."""
+"""Phrase collocations: n-grams as rows, counted by language, scored by their weakest cut, less the parts of longer ones.
+
+An n-gram can be frequent only if both (n-1)-grams in it are, so the texts are read once for each n, and only n-grams
+whose parts may have enough counts become rows: a bit set of fixed size leaves out what surely has not. Rows are counted within
+a slice of text, by the words themselves, then by hash aggregation on both sides of the shuffle.
+"""
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize, table
+from .common import bitmap, gram_hashes, has_bit, lookup, materialize, pieces, signed, slices, span_hashes, table, text_batches
 
-#: Signs that end a piece, besides the line ends 0A to 0D.
-MARKS = ".,;:!?\x0b\x0c\r"
 #: Words of a phrase, its least count, percent of a phrase's count from which a longer one takes its place, phrases a language.
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
+#: Bits of the set of frequent n-grams: 16 MB on each worker. Bytes of text that are counted at once.
+BITS, SLICE = 27, 1 << 22
 #: Counts below 10**15 keep every product within 38 digits; a corpus of 100 TB holds fewer words.
 _COUNT, SCALE = "decimal(15,0)", 1_000_000
-
-
-def _words(piece: Column) -> Column:
-    return F.array_remove(F.split(piece, " "), "")
-
-
-def _plain(docs: DataFrame) -> DataFrame:
-    """lang and text with small letters, newlines between pieces and blanks between words."""
-    text = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase + MARKS + "\t", ascii_lowercase + "\n" * len(MARKS) + " ")
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"))
-
-
-def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, phrase, f: how often each run of 1 to max_words words stands within a piece."""
-    words = _plain(docs).select("lang", F.explode(F.split("text", "\n")).alias("p")).select("lang", _words(F.col("p")).alias("w"))
-    runs = [F.col("w")]
-    for k in range(1, max_words):
-        left = F.greatest(F.size("w") - k, F.lit(0))
-        runs.append(F.zip_with(F.slice(runs[-1], F.lit(1), left), F.slice("w", F.lit(k + 1), left), lambda a, b: F.concat(a, F.lit(" "), b)))
-    grams = words.select("lang", F.explode(F.concat(*runs)).alias("phrase"))
-    return grams.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
-
-
-def word_totals(docs: DataFrame) -> DataFrame:
-    """lang, n: all word occurrences."""
-    flat = _plain(docs).select("lang", F.size(_words(F.translate("text", "\n", " "))).alias("n"))
-    return flat.groupBy("lang").agg(F.sum("n").cast("long").alias("n"))
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[ord("A") : ord("Z") + 1] += 32
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+_APART = _MARK.copy()
+_APART[[0x20, 0x09]] = True
+
+
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word among the distinct ones, which Arrow compares in full, and those."""
+    edge = np.empty(2 * len(starts) + 1, dtype=np.int64)
+    edge[:-1:2], edge[1::2], edge[-1] = starts, ends, len(data)
+    spans = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(edge), pa.py_buffer(data)])
+    coded = spans.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.large_string())
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    off = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = words.buffers()[2]
+    return span_hashes(np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.empty(0, dtype=np.uint8), off[:-1], off[1:])
+
+
+def _grams(n: int, parts) -> object:
+    """Rows (lang, phrase, h, f): the n-grams of a slice of texts of one language; with parts, a bit set, only those both of whose
+    (n-1)-grams are in it. A row without a phrase counts the words."""
+
+    def count(data: np.ndarray, off: np.ndarray) -> tuple:
+        data = _SMALL[data]
+        starts, ends, row = pieces(data, off, _APART)
+        if not len(starts):
+            return (pa.array([], pa.large_string()), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)), 0
+        piece = np.searchsorted(np.flatnonzero(_MARK[data]), starts)
+        joined = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+        word, words = _distinct(data, starts, ends)
+        hashes = _hashes(words)
+        ok = np.ones(max(len(word) - n + 1, 0), dtype=bool)
+        for j in range(n - 1):
+            ok &= joined[j : j + len(ok)]
+        if parts:
+            part = has_bit(parts.value, gram_hashes(hashes[word], n - 1))
+            ok &= part[: len(ok)] & part[1 : len(ok) + 1]
+        at = np.flatnonzero(ok)
+        key = word[at]
+        for j in range(1, n):
+            key = key * len(words) + word[at + j]
+            if j < n - 1:  # renumbered, so that the next product stays small
+                key = np.unique(key, return_inverse=True)[1]
+        _, first, f = np.unique(key, return_index=True, return_counts=True)
+        of = [word[at[first] + j] for j in range(n)]
+        phrase = pc.binary_join_element_wise(*[words.take(pa.array(w)) for w in of], pa.scalar(" ", pa.large_string())) if n > 1 else words.take(pa.array(of[0]))
+        h = gram_hashes(np.stack([hashes[w] for w in of], axis=1).reshape(-1), n)[::n]
+        return (phrase, h, f), len(starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "phrase", "h", "f"]
+        for batch in batches:
+            lang = batch.column(0)
+            for one in lang.unique().to_pylist():
+                for _, _, data, off in slices(batch.column(1).filter(pc.equal(lang, one)), SLICE):
+                    (phrase, h, f), total = count(data, off)
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(f), pa.string()), phrase.cast(pa.string()), pa.array(signed(h)), pa.array(f.astype(np.int64))], names)
+                    if n == 1:
+                        yield pa.RecordBatch.from_arrays([pa.array([one], pa.string()), pa.array([None], pa.string()), pa.array([0]), pa.array([total])], names)
+
+    return run
+
+
+def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """lang, phrase, f of all runs of 1 to max_words words within a piece with a count of least or more; and lang, n, all words of it."""
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    frequent, total, parts = None, None, None
+    for n in range(1, max_words + 1):
+        counts = texts.mapInArrow(_grams(n, parts), "lang string, phrase string, h long, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.any_value("h").alias("h"))
+        counts = materialize(counts.filter((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{n}")
+        if parts:
+            parts.destroy()
+        else:
+            total = counts.filter("phrase is null and f > 0").select("lang", F.col("f").alias("n"))
+            counts = counts.filter("phrase is not null")
+        if n < max_words:
+            parts = bitmap(counts, "h", bits)
+        counts = counts.select("lang", "phrase", "f")
+        frequent = counts if frequent is None else frequent.unionByName(counts)
+    return frequent, total
 
 
 def scored_phrases(frequent: DataFrame) -> DataFrame:
@@ -87,12 +153,13 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     as often as they stand there. An empty table, or one without a phrase of enough counts, gives no rows. Columns besides
     text and lang are not read.
     """
-    frequent = materialize(phrase_counts(docs, max_words).filter(F.col("f") >= least), "phrases")
+    frequent, total = phrase_counts(docs, max_words, least)
     scored = without_parts(scored_phrases(frequent), frequent, share)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.join(word_totals(docs), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "k", "l", "r", "n", "score")
+    return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "k", "l", "r", "n", "score")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
