@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
+from ..functions.ordered import ewm_means, trailing_rank
 
 
 def ma_distance(df: DataFrame, x: str, w: WindowSpec, windows: tuple[int, ...], z_window: int) -> DataFrame:
@@ -17,22 +18,24 @@ def ma_distance(df: DataFrame, x: str, w: WindowSpec, windows: tuple[int, ...],
     return df.withColumns({f"{x}_ma_dist_z_{n}": R.zscore(F.col(f"_d{n}"), w, z_window) for n in windows}).drop(*[f"_d{n}" for n in windows])
 
 
-def ma_momentum(df: DataFrame, x: str, w: WindowSpec, fast: int, slow: int, above: int, z_window: int, spans: tuple[int, int] = (12, 26)) -> DataFrame:
+def ma_momentum(df: DataFrame, x: str, series: str, order: str, fast: int, slow: int, above: int, z_window: int, spans: tuple[int, int] = (12, 26)) -> DataFrame:
     """z-scores of the fast average less the slow one and of the difference of exponential means; share of rows above the average.
 
     A row without an average counts as not above.
     """
-    v = F.col(x)
-    df = df.withColumns({"_cross": R.rolling(F.avg, v, w, fast) - R.rolling(F.avg, v, w, slow), "_macd": R.ewm_mean(v, w, spans[0]) - R.ewm_mean(v, w, spans[1]), "_above": F.coalesce(v > R.rolling(F.avg, v, w, above), F.lit(False)).cast("double")})
+    v, w = F.col(x), R.over(series, order)
+    df = ewm_means(df, series, order, x, {"_fast": spans[0], "_slow": spans[1]})
+    df = df.withColumns({"_cross": R.rolling(F.avg, v, w, fast) - R.rolling(F.avg, v, w, slow), "_macd": F.col("_fast") - F.col("_slow"), "_above": F.coalesce(v > R.rolling(F.avg, v, w, above), F.lit(False)).cast("double")})
     out = {"ma_cross_z": R.zscore(F.col("_cross"), w, z_window), "macd_z": R.zscore(F.col("_macd"), w, z_window), "above_ma": R.rolling(F.avg, F.col("_above"), w, above)}
-    return df.withColumns(out).drop("_cross", "_macd", "_above")
+    return df.withColumns(out).drop("_cross", "_macd", "_above", "_fast", "_slow")
 
 
-def vol_regime(df: DataFrame, x: str, w: WindowSpec, windows: tuple[int, ...], rank_window: int) -> DataFrame:
+def vol_regime(df: DataFrame, x: str, series: str, order: str, windows: tuple[int, ...], rank_window: int) -> DataFrame:
     """Rolling deviation of the changes, and the trailing percent rank of the last window's, ranked to 9 decimals."""
+    w = R.over(series, order)
     df = df.withColumn("_d", F.col(x) - F.lag(x).over(w))
     df = df.withColumns({f"vol_{n}": F.round(R.rolling(F.stddev_samp, F.col("_d"), w, n), 9) for n in windows})
-    return df.withColumn("vol_rank", R.pct_rank(F.col(f"vol_{windows[-1]}"), w, rank_window)).drop("_d")
+    return trailing_rank(df.drop("_d"), series, order, f"vol_{windows[-1]}", "vol_rank", rank_window)
 
 
 def volume_ratios(df: DataFrame, x: str, w: WindowSpec, ratio: int = 20, short: int = 5, long: int = 20) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
+from ..functions.ordered import quantiles
 
 
 def sample_skew(x: str) -> Column:
@@ -105,22 +106,24 @@ def ohlcv_wide(df: DataFrame, dt: str, name: str, names: list[str], fields: tupl
 
 def quantile_buckets(df: DataFrame, x: str, n: int, by: str | None = None) -> DataFrame:
     """df with bucket Q1..Qn of x by linearly interpolated edges, right-closed, the least value included; ties stay together."""
-    shares = F.array(*[F.lit(k / n) for k in range(1, n)])
-    edges = df.groupBy(*([by] if by else [])).agg(F.percentile(x, shares).alias("_e"))
-    df = df.join(edges, by) if by else df.join(F.broadcast(edges), F.size("_e") == n - 1, "left")
+    one = by or "_one"
+    df = df if by else df.withColumn(one, F.lit(0))
+    df = df.join(quantiles(df, [one], x, tuple(k / n for k in range(1, n))).withColumnRenamed("q", "_e"), one, "left")
     place = F.size(F.filter("_e", lambda e: e < F.col(x))) + 1
-    return df.withColumn("bucket", F.when(F.col(x).isNotNull(), F.concat(F.lit("Q"), place.cast("string")))).drop("_e")
+    return df.withColumn("bucket", F.when(F.col(x).isNotNull(), F.concat(F.lit("Q"), place.cast("string")))).drop("_e", "_one")
 
 
 def conditional_response(df: DataFrame, key: list[str], level: str, change: str, forward: str, horizon: int, threshold: float) -> DataFrame:
     """Per key: mean level, forward mean, deviation, overlap-adjusted t, 10th and 90th percentile, shares beyond the threshold."""
     f = F.col(forward)
     n, sd = F.count(f), F.stddev_samp(f)
-    return df.na.drop(subset=key).groupBy(*key).agg(
+    df = df.na.drop(subset=key)
+    tails = quantiles(df, key, forward, (0.1, 0.9)).select(*key, F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))
+    return df.groupBy(*key).agg(
         F.count("*").alias("n"), F.avg(level).alias("level_mean"), F.corr(level, change).alias("level_change_corr"), F.avg(f).alias("fwd_mean"), sd.alias("fwd_sd"),
         (F.avg(f) / F.nullif(sd, F.lit(0.0)) * F.sqrt(n.cast("double")) / F.sqrt(F.lit(float(horizon)))).alias("t_adj"),
-        F.percentile(f, F.lit(0.1)).alias("p10"), F.percentile(f, F.lit(0.9)).alias("p90"), F.avg((f > threshold).cast("double")).alias("share_above"), F.avg((f < -threshold).cast("double")).alias("share_below"), F.max(f).alias("fwd_max"), F.min(f).alias("fwd_min"),
-    )
+        F.avg((f > threshold).cast("double")).alias("share_above"), F.avg((f < -threshold).cast("double")).alias("share_below"), F.max(f).alias("fwd_max"), F.min(f).alias("fwd_min"),
+    ).join(tails, key, "left")
 
 
 def regime_profile(df: DataFrame, label: str, ret: str, dt: str, series: str, periods: int = 252) -> DataFrame:
@@ -155,13 +158,17 @@ def occupancy(df: DataFrame, series: str, dt: str, label: str) -> DataFrame:
 
 def describe(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """Per key and column: n, mean, std, min, quartiles, max."""
-    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).alias("max")) for c in columns])
-    out = df.groupBy(key).agg(parts.alias("_p")).select(key, F.inline("_p"))
+    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([key], list(columns), "column", "x")
+    out = long.groupBy(key, "column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = out.join(quantiles(long, [key, "column"], "x", (0.25, 0.5, 0.75)), [key, "column"], "left")
     return out.select(key, "column", "n", "mean", "std", "min", *[F.col("q")[k].alias(f"q{q}") for k, q in enumerate((25, 50, 75))], "max")
 
 
 def group_medians(df: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.median(c).alias(f"{c}_median") for c in columns])
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, list(columns), "_column", "_v")
+    middle = quantiles(long, [*keys, "_column"], "_v", (0.5,))
+    found = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("_column") == c, F.col("q")[0])).alias(f"{c}_median") for c in columns])
+    return df.select(*keys).distinct().join(found, keys, "left")
 
 
 def spread_by_key(df: DataFrame, keys: list[str], x: str) -> DataFrame:

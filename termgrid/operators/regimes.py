@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
+from ..functions.ordered import trailing_rank
 from ..functions.kernels import adjusted_rand, assign, gmm, kmeans, n_params, silhouette, ward
 
 FEATURES = ("log_vol", "vol_ratio", "trend_z", "var_ratio", "level_pctl", "leg_corr")
@@ -40,12 +41,14 @@ def regime_features(df: DataFrame, series: str, order: str, level: str, leg: str
         "vol_ratio": lambda: R.ln(R.ratio(fast, sd)),
         "trend_z": lambda: R.rolling(F.sum, F.col("_d"), w, trend) / (sd * float(np.sqrt(trend))),
         "var_ratio": lambda: R.rolling(F.var_samp, F.col("_k"), w, vol) / (R.rolling(F.var_samp, F.col("_d"), w, vol) * vr_lag),
-        "level_pctl": lambda: R.pct_rank(F.round(level, 9), w, rank, rank // 3),
         "leg_corr": lambda: R.pair(F.corr, F.col("_d"), F.col("_e"), w, vol),
         "oi_trend": lambda: R.zscore(F.col("_o"), w, year),
         "drawdown_z": lambda: (F.col("_c") - R.rolling(F.max, F.col("_c"), w, high)) / (sd * float(np.sqrt(vol))),
     }
-    d = d.withColumns({c: made[c]() for c in include}).select(series, order, *include)
+    d = d.withColumns({c: made[c]() for c in include if c in made} | {"_l": F.round(level, 9)})
+    if "level_pctl" in include:
+        d = trailing_rank(d.select(series, order, "_l", *[c for c in include if c in made]), series, order, "_l", "level_pctl", rank, rank // 3)
+    d = d.select(series, order, *include)
     for c in include:
         d = d.filter(F.col(c).isNotNull() & (F.abs(c) < float("inf")))
     return d

@@ -5,10 +5,9 @@ A difference across a roll is a calendar spread, not a market move, so every lag
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions.rolling import expanding, ln, over
 
@@ -25,29 +24,35 @@ def eligible(panel: DataFrame, months: tuple[int, ...] = (), exit_day: int = 20,
     return df.filter((F.col("dt") <= F.date_add(F.add_months(first, -1), exit_day - 1)) & F.col("oi_lag").isNotNull())
 
 
+@udtf(returnType="contract string, dt date, expiry string")
+class HeldExpiry:
+    """The expiry held on each day, from rows (contract, dt, expiries by rising claim) in order of dt."""
+
+    def __init__(self):
+        self.held = ""
+
+    def eval(self, row: Row):
+        expiries = row["expiries"]
+        may = [e for e in expiries if e >= self.held] if self.held in expiries else expiries
+        self.held = may[-1]
+        yield row["contract"], row["dt"], self.held
+
+
 def roll_spine(panel: DataFrame, months: tuple[int, ...] = (), exit_day: int = 20, monotonic: bool = True) -> DataFrame:
     """contract, dt, expiry, expiry_month, oi: the expiry with the largest lagged open interest, never an earlier one than held.
 
-    Ties go to the later expiry. If the held expiry is not eligible on a date, any may be chosen. The state runs through
-    the dates of a contract, of which there are as many as trading days: one contract is one task's group.
+    Ties go to the later expiry. If the held expiry is not eligible on a date, any may be chosen. The days of a contract stream
+    through a table function in order; all that it keeps is the held expiry, and a day is one row with its eligible expiries.
     """
     ok = eligible(panel, months, exit_day)
     if not monotonic:
         best = ok.groupBy("contract", "dt").agg(F.max(F.struct("oi_lag", "expiry", "expiry_month", "oi")).alias("c"))
         return best.select("contract", "dt", *[F.col("c")[x].alias(x) for x in ("expiry", "expiry_month", "oi")])
 
-    def hold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["dt", "oi_lag", "expiry"])
-        held, rows = "", []
-        for _, day in t.groupby("dt", sort=True):
-            expiry = day["expiry"].to_numpy()
-            fits = np.flatnonzero(expiry >= held) if held in expiry else np.arange(len(expiry))
-            rows.append(day.index[fits[-1]])
-            held = expiry[fits[-1]]
-        return t.loc[rows, ["contract", "dt", "expiry", "expiry_month", "oi"]]
-
-    chosen = ok.select("contract", "dt", "expiry", "expiry_month", "oi", "oi_lag")
-    return chosen.groupBy("contract").applyInPandas(hold, "contract string, dt date, expiry string, expiry_month int, oi double")
+    days = ok.groupBy("contract", "dt").agg(F.array_sort(F.collect_list(F.struct("oi_lag", "expiry"))).alias("c"))
+    days = days.select("contract", "dt", F.transform("c", lambda s: s.expiry).alias("expiries"))
+    chosen = HeldExpiry(days.asTable().partitionBy("contract").orderBy("dt"))
+    return chosen.join(ok.select("contract", "dt", "expiry", "expiry_month", "oi"), ["contract", "dt", "expiry"]).select("contract", "dt", "expiry", "expiry_month", "oi")
 
 
 def within_contract_returns(panel: DataFrame, price: str, keys: tuple[str, ...] = ("contract", "expiry")) -> DataFrame:

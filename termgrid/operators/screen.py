@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import in_blocks, weigh
+from ..functions.storage import materialize
 from ..functions.special import correlation_p, normal_two_sided
 
 
@@ -16,16 +18,15 @@ def long_form(df: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], na
     return df.unpivot(list(keys), list(columns), name, value)
 
 
-def average_rank(df: DataFrame, keys: tuple[str, ...], x: str, out: str) -> DataFrame:
-    """Average-tie rank of x within the keys."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2)
+def average_rank(df: DataFrame, keys: tuple[str, ...], order: str, x: str, out: str) -> DataFrame:
+    """Average-tie rank of x, which is not null, within the keys; rows are dealt out by ranges of x, not by key."""
+    return weigh(df, list(keys), x, [order]).withColumn(out, F.col("less") + (F.col("same") + 1) / 2).drop("less", "same")
 
 
 def rank_ic(df: DataFrame, key: str, order: str, features: tuple[str, ...], targets: tuple[str, ...]) -> DataFrame:
     """key, feature, target, ic, n: Spearman correlation over a key's rows that have both, ranked to 9 decimals."""
     pairs, g = _pairs(df, key, order, features, targets), (key, "feature", "target")
-    ranked = average_rank(average_rank(pairs, g, "x", "rx"), g, "y", "ry")
+    ranked = average_rank(average_rank(pairs, g, order, "x", "rx"), g, order, "y", "ry")
     return ranked.groupBy(*g).agg(F.corr("rx", "ry").alias("ic"), F.count("*").alias("n"))
 
 
@@ -53,13 +54,14 @@ def nw_t(df: DataFrame, key: str, order: str, features: tuple[str, ...], targets
     Lags count rows after those without a pair are dropped; no correction for small samples.
     """
     pairs = _pairs(df, key, order, features, targets)
-    g = (key, "feature", "target")
-    ranked = average_rank(average_rank(pairs, g, "x", "rx"), g, "y", "ry")
-    w = Window.partitionBy(*g)
-    z = ranked.withColumns({c: (F.col(r) - F.avg(r).over(w)) / F.stddev_samp(r).over(w) for c, r in (("zx", "rx"), ("zy", "ry"))})
-    e = z.withColumn("b", F.sum(F.col("zx") * F.col("zy")).over(w) / F.sum(F.col("zx") * F.col("zx")).over(w)).withColumn("u", (F.col("zy") - F.col("b") * F.col("zx")) * F.col("zx"))
-    o = w.orderBy(order)
-    e = e.withColumns({f"u{k}": F.lag("u", k).over(o) for k in range(1, lags + 1)})
+    g = [key, "feature", "target"]
+    ranked = materialize(average_rank(average_rank(pairs, g, order, "x", "rx"), g, order, "y", "ry"), "ranks")
+    both = [x for r in ("rx", "ry") for x in (F.avg(r).alias(f"m{r}"), F.stddev_samp(r).alias(f"s{r}"))]
+    e = ranked.join(ranked.groupBy(*g).agg(*both, F.corr("rx", "ry").alias("b")), g)
+    e = e.withColumns({c: (F.col(r) - F.col(f"m{r}")) / F.nullif(F.col(f"s{r}"), F.lit(0.0)) for c, r in (("zx", "rx"), ("zy", "ry"))})
+    e = e.select(*g, order, "zx", "b", ((F.col("zy") - F.col("b") * F.col("zx")) * F.col("zx")).alias("u"))
+    o = Window.partitionBy(*g, "_block").orderBy(order)
+    e = in_blocks(e, g, order, lags).withColumns({f"u{k}": F.lag("u", k).over(o) for k in range(1, lags + 1)}).filter("_own")
     # the mean of zx is 0, so the slope's part of the sandwich stands alone
     meat = sum((F.sum(F.col("u") * F.col(f"u{k}")) * (2 * (1 - k / (lags + 1))) for k in range(1, lags + 1)), F.sum(F.col("u") * F.col("u")))
     out = e.groupBy(*g).agg(F.first("b").alias("slope"), F.count("*").alias("n"), meat.alias("_m"), F.sum(F.col("zx") * F.col("zx")).alias("_s"))

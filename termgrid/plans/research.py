@@ -41,8 +41,8 @@ def feature_frame(held: DataFrame) -> DataFrame:
     """Roll-safe levels of a held series with momentum, volatility, calendar features and targets."""
     w = R.over("contract", "dt")
     df = roll.continuous(held, ("usd", "cbot"), ("spread",))
-    df = features.ma_momentum(df, "clog_usd", w, 10, 40, 20, 60)
-    df = features.vol_regime(df, "clog_usd", w, (20,), 252)
+    df = features.ma_momentum(df, "clog_usd", "contract", "dt", 10, 40, 20, 60)
+    df = features.vol_regime(df, "clog_usd", "contract", "dt", (20,), 252)
     df = features.spread_state(df, "c_spread", w)
     df = features.cross_legs(df, "clog_usd", "clog_cbot", w)
     df = features.calendar(df, "dt")

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import ordered
 from .functions import rolling as R
+from .functions.storage import materialize
 from .operators import backtest, econometrics, features, model, panel, profile, regimes, roll, screen
 from .sources import roles
 
@@ -206,12 +208,12 @@ def _ewm_sql(x: str, span: int) -> str:
 
 @query("+ m AS (SELECT series, dt, level, " + roll_sql("avg", "level", 10) + " - " + roll_sql("avg", "level", 40) + " AS c, " + _ewm_sql("level", 12) + " - " + _ewm_sql("level", 26) + " AS macd, CASE WHEN coalesce(level > " + roll_sql("avg", "level", 20) + ", false) THEN 1.0 ELSE 0.0 END AS ab FROM daily) SELECT series, dt, round(" + z_sql("c", 60) + ", 5) AS ma_cross_z, round(" + z_sql("macd", 60) + ", 5) AS macd_z, round(" + roll_sql("avg", "ab", 20) + ", 6) AS above_ma FROM m")
 def ma_cross_macd_above(spark, d):
-    return rounded(features.ma_momentum(roles.daily(spark, d), "level", W(), 10, 40, 20, 60).select("series", "dt", "ma_cross_z", "macd_z", "above_ma"), ma_cross_z=5, macd_z=5)
+    return rounded(features.ma_momentum(roles.daily(spark, d), "level", "series", "dt", 10, 40, 20, 60).select("series", "dt", "ma_cross_z", "macd_z", "above_ma"), ma_cross_z=5, macd_z=5)
 
 
 @query("+ c AS (SELECT series, dt, level - lag(level) OVER (PARTITION BY series ORDER BY dt) AS dd FROM daily), v AS (SELECT series, dt, round(" + roll_sql("stddev_samp", "dd", 20) + ", 9) AS v20 FROM c), a AS (SELECT series, dt, v20, list(v20) FILTER (v20 IS NOT NULL) " + FRAME.format(251) + " AS a FROM v) SELECT series, dt, round(v20, 6) AS vol_20, round(CASE WHEN v20 IS NOT NULL AND len(a) >= 252 THEN (len(list_filter(a, lambda x: x < v20)) + (len(list_filter(a, lambda x: x = v20)) + 1) / 2) / len(a) END, 6) AS vol_rank FROM a")
 def vol_regime_rank(spark, d):
-    return rounded(features.vol_regime(roles.daily(spark, d), "level", W(), (20,), 252).select("series", "dt", "vol_20", "vol_rank"))
+    return rounded(features.vol_regime(roles.daily(spark, d), "level", "series", "dt", (20,), 252).select("series", "dt", "vol_20", "vol_rank"))
 
 
 @query("SELECT series, dt, round(volume / nullif(" + roll_sql("avg", "volume", 20) + ", 0), 6) AS volume_ratio, round(" + roll_sql("avg", "volume", 5) + " / nullif(" + roll_sql("avg", "volume", 20) + ", 0), 6) AS volume_trend, round(" + roll_sql("avg", "volume", 20) + ", 6) AS volume_ma_20, round(" + z_sql("volume", 20) + ", 6) AS volume_z_20 FROM daily")
@@ -365,17 +367,18 @@ def _rank_sql(frame: str, least: int) -> str:
 
 
 def _buckets(ranked):
-    return rounded(profile.conditional_response(profile.quantile_buckets(ranked.withColumn("rk", F.round("rk", 9)), "rk", 5, "series"), ["series", "bucket"], "level", "ch", "fwd", 20, 100), **_FIVE)
+    ranked = materialize(ranked.withColumn("rk", F.round("rk", 9)), "ranked")  # read by four plans
+    return rounded(profile.conditional_response(profile.quantile_buckets(ranked, "rk", 5, "series"), ["series", "bucket"], "level", "ch", "fwd", 20, 100), **_FIVE)
 
 
 @query(_bucket_sql(_rank_sql(FRAME.format(251), 84)))
 def level_quintiles(spark, d):
-    return _buckets(_forward(spark, d).withColumn("rk", R.pct_rank(F.round("level", 9), W(), 252, 84)))
+    return _buckets(ordered.trailing_rank(_forward(spark, d).withColumn("lv", F.round("level", 9)), "series", "dt", "lv", "rk", 252, 84))
 
 
 @query(_bucket_sql(_rank_sql(FRAME.format("UNBOUNDED"), 252)))
 def expanding_quintiles(spark, d):
-    return _buckets(R.expanding_rank(_forward(spark, d).withColumn("lv", F.round("level", 9)), "series", "dt", "lv", "rk", 252))
+    return _buckets(ordered.expanding_rank(_forward(spark, d).withColumn("lv", F.round("level", 9)), "series", "dt", "lv", "rk", 252))
 
 
 @query("+ l AS (SELECT series, dt, " + _LABEL + " AS state, coalesce(ln(level) - lag(ln(level)) OVER (PARTITION BY series ORDER BY dt), 0) / 100 AS ret FROM daily), e AS (SELECT *, exp(sum(ret) OVER (PARTITION BY series, state ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS eq FROM l), g AS (SELECT *, eq / max(eq) OVER (PARTITION BY series, state ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e), t AS (SELECT series, state, count(*) AS n, avg(ret) * 252 AS ann_ret, stddev_samp(ret) * sqrt(252) AS ann_vol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, skewness(ret) AS skew, kurtosis(ret) AS kurt, min(dd) AS max_drawdown FROM g GROUP BY 1, 2) SELECT series, state, n, round(ann_ret, 5) AS ann_ret, round(ann_vol, 5) AS ann_vol, round(sharpe, 5) AS sharpe, round(hit_rate, 6) AS hit_rate, round(skew, 4) AS skew, round(kurt, 4) AS kurt, round(max_drawdown, 5) AS max_drawdown, round(n / sum(n) OVER (PARTITION BY series), 6) AS share FROM t")

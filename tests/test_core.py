@@ -42,7 +42,7 @@ def test_rolling_matches_pandas(series):
     px, py = pdf.x, pdf.y
     pairs = [
         (R.rolling(F.avg, x, W(), 10), px.rolling(10).mean()), (R.rolling(F.stddev_samp, x, W(), 10), px.rolling(10).std()), (R.rolling(F.avg, x, W(), 10, 3), px.rolling(10, min_periods=3).mean()),
-        (R.zscore(x, W(), 12), (px - px.rolling(12).mean()) / px.rolling(12).std()), (R.pct_rank(y, W(), 15), py.rolling(15).rank(pct=True)), (R.pct_rank(y, W(), None, 20), py.expanding(20).rank(pct=True)),
+        (R.zscore(x, W(), 12), (px - px.rolling(12).mean()) / px.rolling(12).std()),
         (R.pair(F.corr, x, y, W(), 10), px.where(py.notna()).rolling(10).corr(py.where(px.notna()))), (R.running_sum(y, W()), py.cumsum()), (R.fill_forward(x, W()), px.ffill()),
         (R.forward_sum(y, W(), 4), py.rolling(4).sum().shift(-3)),
     ]
@@ -50,12 +50,6 @@ def test_rolling_matches_pandas(series):
         np.testing.assert_allclose(column(df, got), want.to_numpy(dtype=float), rtol=1e-8, atol=1e-8, err_msg=str(k))
 
 
-def test_ewm_matches_pandas(series):
-    pdf, df = series
-    full = df.filter("x is not null")
-    np.testing.assert_allclose(column(full, R.ewm_mean(F.col("x"), W(), 12)), pdf.x.dropna().ewm(span=12).mean().to_numpy(), rtol=1e-10)
-
-
 def test_rebalanced_holds_between(spark):
     df = spark.createDataFrame([("s", i, float(i) if i != 4 else None) for i in range(9)], "series string, dt int, x double")
     assert column(df, R.rebalanced(F.col("x"), W(), 2)).tolist() == [0, 0, 2, 2, 2, 2, 6, 6, 8]
@@ -229,15 +223,6 @@ def test_unknown_regime_features_are_refused(spark):
         regimes.regime_features(spark.range(1), "s", "t", "x", "y", include=("log_vol", "nothing"))
 
 
-def test_expanding_rank_is_that_of_pandas(spark):
-    rng = np.random.default_rng(3)
-    pdf = pd.DataFrame({"s": "a", "t": range(200), "x": rng.integers(0, 30, 200).astype(float)})
-    pdf.loc[::9, "x"] = np.nan
-    got = R.expanding_rank(spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "s string, t int, x double"), "s", "t", "x", "r", 20).toPandas().sort_values("t")
-    want = pdf["x"].expanding(20).rank(pct=True).where(pdf["x"].notna())
-    assert np.allclose(got["r"].to_numpy(dtype=float), want, equal_nan=True)
-
-
 def test_p_values(spark):
     ic = spark.createDataFrame([(0.5, 12), (0.0, 30), (None, 5)], "ic double, n long")
     assert [None if r.p is None or r.p != r.p else round(r.p, 4) for r in screen.with_p(ic).collect()] == [0.0979, 1.0, None]
