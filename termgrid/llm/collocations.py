@@ -19,6 +19,8 @@ from .common import bitmap, gram_hashes, has_bit, lookup, materialize, pieces, s
 
 #: Words of a phrase, its least count, percent of a phrase's count from which a longer one takes its place, phrases a language.
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
+#: Parts in which the phrases of a language are ranked first.
+PARTS = 16
 #: Bits of the set of frequent n-grams: 16 MB on each worker. Bytes of text that are counted at once.
 BITS, SLICE = 27, 1 << 22
 #: Counts below 10**15 keep every product within 38 digits; a corpus of 100 TB holds fewer words.
@@ -155,8 +157,10 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     """
     frequent, total = phrase_counts(docs, max_words, least)
     scored = without_parts(scored_phrases(frequent), frequent, share)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best_first = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    first = Window.partitionBy("lang", "part").orderBy(*best_first)  # so that one language is not one task's
+    scored = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).filter(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "k", "l", "r", "n", "score")
 
 
