@@ -51,20 +51,22 @@ def coint(y: np.ndarray, x: np.ndarray) -> tuple[float, float] | None:
 # ---------------------------------------------------------------- mixtures
 
 
-def _log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    out, d = np.empty((len(x), len(means))), x.shape[1]
-    for j, (m, c) in enumerate(zip(means, covs, strict=True)):
-        low = np.linalg.cholesky(c)
-        z = np.linalg.solve(low, (x - m).T)
-        out[:, j] = -0.5 * (d * np.log(2 * np.pi) + (z * z).sum(axis=0)) - np.log(np.diag(low)).sum()
-    return out
-
-
-def _covariances(x: np.ndarray, r: np.ndarray, means: np.ndarray, kind: str, floor: float) -> np.ndarray:
-    d, n = x.shape[1], r.sum(axis=0) + 1e-12
-    full = np.stack([((x - m).T * r[:, j]) @ (x - m) / n[j] for j, m in enumerate(means)])
+def log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """Of each row and component the log of the density: all components' whitened rows come from one product."""
+    k, d = means.shape
+    low = np.linalg.cholesky(covs)
+    white = np.linalg.inv(low)
+    z = x @ white.reshape(k * d, d).T - np.einsum("kij,kj->ki", white, means).ravel()
+    np.multiply(z, z, out=z)
+    scale = np.log(np.diagonal(low, axis1=1, axis2=2)).sum(axis=1) + 0.5 * d * np.log(2 * np.pi)
+    return -0.5 * z.reshape(len(x), k, d).sum(axis=2) - scale
+
+
+def covariances_of(full: np.ndarray, n: np.ndarray, kind: str, floor: float) -> np.ndarray:
+    """Covariances of a kind from the components' own full ones and their weights n."""
+    d = full.shape[1]
     if kind == "tied":
-        full = np.repeat((full * n[:, None, None]).sum(axis=0, keepdims=True) / n.sum(), len(means), axis=0)
+        full = np.repeat((full * n[:, None, None]).sum(axis=0, keepdims=True) / n.sum(), len(full), axis=0)
     elif kind == "diag":
         full = np.stack([np.diag(np.diag(c)) for c in full])
     elif kind == "spherical":
@@ -79,26 +81,29 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50) ->
         centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
     label = None
     for _ in range(rounds):
-        new = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
         if label is not None and (new == label).all():
             break
         label = new
-        centres = np.stack([x[label == j].mean(axis=0) if (label == j).any() else centres[j] for j in range(k)])
+        of = np.eye(k)[label]
+        n = of.sum(axis=0)
+        centres = np.where(n[:, None] > 0, (of.T @ x) / np.maximum(n, 1)[:, None], centres)
     return label
 
 
-def gmm(x: np.ndarray, k: int, kind: str = "full", seed: int = 0, starts: int = 3, rounds: int = 100, floor: float = 1e-6) -> dict:
-    """The best of several EM fits: loglik, weights, means, covs, post."""
-    best = None
-    for s in range(starts):
+def gmm(x: np.ndarray, k: int, kind: str = "full", seed: int = 0, starts: int = 10, rounds: int = 100, floor: float = 1e-5, labels: list[np.ndarray] | None = None) -> dict:
+    """The best of several EM fits, from k-means clusterings or from given labels: loglik, weights, means, covs, post."""
+    best, products = None, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+    for s in range(len(labels) if labels else starts):
         rng = np.random.default_rng([seed, s])
-        r = np.eye(k)[kmeans(x, k, rng)]
+        r = np.eye(k)[labels[s] if labels else kmeans(x, k, rng)]
         before = -np.inf
         for _ in range(rounds):
             n = r.sum(axis=0) + 1e-12
             weights, means = n / len(x), (r.T @ x) / n[:, None]
-            covs = _covariances(x, r, means, kind, floor)
-            joint = _log_density(x, means, covs) + np.log(weights)
+            own = (r.T @ products).reshape(k, x.shape[1], -1) / n[:, None, None] - means[:, :, None] * means[:, None, :]
+            covs = covariances_of(own, n, kind, floor)
+            joint = log_density(x, means, covs) + np.log(weights)
             top = joint.max(axis=1, keepdims=True)
             total = top[:, 0] + np.log(np.exp(joint - top).sum(axis=1))
             r = np.exp(joint - total[:, None])
@@ -110,8 +115,14 @@ def gmm(x: np.ndarray, k: int, kind: str = "full", seed: int = 0, starts: int =
     return best
 
 
+def posteriors(fit: dict, x: np.ndarray) -> np.ndarray:
+    joint = log_density(x, fit["means"], fit["covs"]) + np.log(fit["weights"])
+    r = np.exp(joint - joint.max(axis=1, keepdims=True))
+    return r / r.sum(axis=1, keepdims=True)
+
+
 def assign(fit: dict, x: np.ndarray) -> np.ndarray:
-    return (_log_density(x, fit["means"], fit["covs"]) + np.log(fit["weights"])).argmax(axis=1)
+    return (log_density(x, fit["means"], fit["covs"]) + np.log(fit["weights"])).argmax(axis=1)
 
 
 def n_params(k: int, d: int, kind: str) -> int:

@@ -86,6 +86,15 @@ def _units(df: DataFrame, keys: list[str], halo: int, rows: int) -> DataFrame:
     return n.select(*keys, "_unit", "_mine", F.concat(F.array("_mine"), later).alias("_in"))
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """df with the number of each row in its key's order, from 0: the rows of the units before it and its place in its own unit."""
+    units = in_blocks(df, keys, order, 0, 1)  # a block is one unit
+    size = units.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    before = size.select(*keys, "_block", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order)) - 1
+    return units.join(before, [*keys, "_block"]).withColumn(out, F.col("_before") + place).select(*df.columns, out)
+
+
 def by_block(df: DataFrame, keys: list[str], order: str, made: dict[str, T.DataType], run, keep_block: bool = False) -> DataFrame:
     """The own rows of df, as in_blocks gives it, with the columns that run(table in order of time) makes, in one task for each block."""
     keep = [c for c in df.columns if c not in ("_block", "_own") or (keep_block and c == "_block")]

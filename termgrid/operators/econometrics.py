@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..functions.kernels import adf, coint, ols
+from ..functions.kernels import adf, coint
+from ..functions.ordered import in_blocks
 from ..functions.special import chi2_sf
+from ..functions.storage import materialize
 
 
 def adf_by_key(df: DataFrame, key: str, order: str, x: str, least_rows: int = 150) -> DataFrame:
@@ -134,21 +137,46 @@ def autoregression(df: DataFrame, series: str, order: str, x: str, lags: int) ->
 
 
 def hac_regression(df: DataFrame, key: str, order: str, y: str, xs: tuple[str, ...], lags: int) -> DataFrame:
-    """key, term, coef, t of a regression with a constant and Bartlett-weighted covariances."""
+    """key, term, coef, t of a regression with a constant and Bartlett-weighted covariances; rows with a null are left out first.
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    Rows only go into sums: the normal equations first, then the products of the scores and their lags, taken within blocks
+    of time. A key's few sums are solved in one task.
+    """
+    terms = ["const", *xs]
+    value = {"const": F.lit(1.0), **{c: F.col(c).cast("double") for c in xs}}
+    rows = materialize(df.select(key, order, F.col(y).cast("double").alias("_y"), *[value[c].alias(c) for c in xs]).na.drop(), "regression")
+    m = len(terms)
+    squares = [F.sum(value[terms[i]] * value[terms[j]]).alias(f"_a{i}_{j}") for i in range(m) for j in range(i, m)]
+    sums = rows.groupBy(key).agg(*squares, *[F.sum(value[c] * F.col("_y")).alias(f"_c{i}") for i, c in enumerate(terms)])
 
-        t = t.sort_values(order)
-        x = np.column_stack([np.ones(len(t)), *[t[c].to_numpy() for c in xs]])
-        beta, _, e = ols(x, t[y].to_numpy())
-        u = x * e[:, None]
-        meat = u.T @ u
-        for k in range(1, min(lags, len(t) - 1) + 1):
-            g = u[k:].T @ u[:-k]
-            meat += (1 - k / (lags + 1)) * (g + g.T)
-        inv = np.linalg.pinv(x.T @ x)
-        se = np.sqrt(np.maximum(np.diag(inv @ meat @ inv), 1e-300))
-        return pd.DataFrame({key: t[key].iloc[0], "term": ["const", *xs], "coef": beta, "t": beta / se})
-
-    return df.select(key, order, y, *xs).na.drop().groupBy(key).applyInPandas(run, f"{key} string, term string, coef double, t double")
+    def matrix(r, name: str) -> np.ndarray:
+        return np.array([[r[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)], dtype=float)
+
+    def solve(batches):
+        for t in batches:
+            rows = []
+            for _, r in t.iterrows():
+                inv = np.linalg.pinv(matrix(r, "_a"), hermitian=True)
+                rows.append((r[key], (inv @ [r[f"_c{i}"] for i in range(m)]).tolist(), inv.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=[key, "_beta", "_inv"])
+
+    solved = materialize(sums.mapInPandas(solve, f"{key} string, _beta array<double>, _inv array<double>"), "solved")
+    e = F.col("_y") - sum((F.col("_beta")[i] * value[c] for i, c in enumerate(terms)), F.lit(0.0))
+    scored = rows.join(solved.select(key, "_beta"), key).withColumn("_e", e).select(key, order, *[(F.col("_e") * value[c]).alias(f"_u{i}") for i, c in enumerate(terms)])
+    w = Window.partitionBy(key, "_block").orderBy(order)
+    past = {f"_u{i}_{k}": F.lag(f"_u{i}", k).over(w) for i in range(m) for k in range(1, lags + 1)}
+    laid = in_blocks(scored, [key], order, lags).withColumns(past).filter("_own")
+    u = lambda i, k=0: F.col(f"_u{i}_{k}" if k else f"_u{i}")
+    cell = lambda i, j: F.sum(u(i) * u(j)) + sum((F.coalesce(F.sum(u(i) * u(j, k)) + F.sum(u(i, k) * u(j)), F.lit(0.0)) * (1 - k / (lags + 1)) for k in range(1, lags + 1)), F.lit(0.0))
+    meat = laid.groupBy(key).agg(*[cell(i, j).alias(f"_m{i}_{j}") for i in range(m) for j in range(i, m)])
+
+    def finish(batches):
+        for t in batches:
+            rows = []
+            for _, r in t.iterrows():
+                inv = np.array(r["_inv"]).reshape(m, m)
+                se = np.sqrt(np.maximum(np.diag(inv @ matrix(r, "_m") @ inv), 1e-300))
+                rows += [(r[key], c, float(b), float(b / s)) for c, b, s in zip(terms, r["_beta"], se, strict=True)]
+            yield pd.DataFrame(rows, columns=[key, "term", "coef", "t"])
+
+    return solved.join(meat, key).mapInPandas(finish, f"{key} string, term string, coef double, t double")

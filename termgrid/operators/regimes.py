@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..functions.ordered import trailing_rank
-from ..functions.kernels import adjusted_rand, assign, gmm, kmeans, n_params, silhouette, ward
+from ..functions.kernels import adjusted_rand, assign, gmm, kmeans, n_params, posteriors, silhouette, ward
+from ..functions.ordered import numbered, trailing_rank
+from ..functions.storage import materialize
+from .mixture import SERIES, Fit, assign_all, best_fits, fit_all, in_order, silhouettes
 
 FEATURES = ("log_vol", "vol_ratio", "trend_z", "var_ratio", "level_pctl", "leg_corr")
 
@@ -56,14 +59,14 @@ def regime_features(df: DataFrame, series: str, order: str, level: str, leg: str
 
 def standardized(df: DataFrame, series: str, columns: tuple[str, ...]) -> DataFrame:
     """Columns less their mean over their population deviation; 0 for a constant."""
-    w = Window.partitionBy(series)
-    return df.withColumns({c: F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(0.0)) for c in columns})
+    of = df.groupBy(series).agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.nullif(F.stddev_pop(c), F.lit(0.0)).alias(f"_s_{c}"))])
+    return df.join(of, series).withColumns({c: F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"), F.lit(0.0)) for c in columns}).select(*df.columns)
 
 
-def correlation_matrix(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """a, b, rho for each pair of columns."""
+def correlation_matrix(df: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, a, b, rho for each pair of columns, each over the rows of a key."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    return df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")) for a, b in pairs]).alias("p")).select(F.inline("p"))
+    return df.groupBy(*keys).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")) for a, b in pairs]).alias("p")).select(*keys, F.inline("p"))
 
 
 def inflation_factors(matrix: list[tuple[str, str, float]], columns: tuple[str, ...]) -> dict[str, float]:
@@ -94,111 +97,132 @@ def effective_size(df: DataFrame, series: str, order: str, x: str, max_lag: int
     return df.filter(F.col(x).isNotNull()).select(series, order, x).groupBy(series).applyInPandas(run, f"{series} string, n long, tau double, n_eff double")
 
 
-def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n and the adjusted Rand index of two labelings, from their contingency counts."""
-    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("c"))
+def effective_rows(df: DataFrame, series: str, order: str, columns: tuple[str, ...], max_lag: int = 500) -> DataFrame:
+    """series, n, tau, n_eff: rows over the mean of the columns' autocorrelation times, as effective_size gives them."""
+    long = df.select(series, order, *columns).unpivot([series, order], list(columns), "_column", "_x")
+    one = effective_size(long.withColumn("_of", F.to_json(F.struct(series, "_column"))), "_of", order, "_x", max_lag)
+    one = one.withColumn(series, F.get_json_object("_of", f"$.{series}"))
+    return one.groupBy(series).agg(F.max("n").alias("n"), F.avg("tau").alias("tau")).withColumn("n_eff", F.col("n") / F.col("tau"))
+
+
+def adjusted_rand_index(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n and the adjusted Rand index of two labelings, from their contingency counts; one row without keys."""
+    ones = [*keys] or ["_one"]
+    df = df if keys else df.withColumn("_one", F.lit(0))
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*ones, a, b).agg(F.count("*").alias("c"))
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    both = cells.agg(pairs("c").alias("s"), F.sum("c").alias("n"))
-    rows, cols = (cells.groupBy(k).agg(F.sum("c").alias("c")).agg(pairs("c").alias(n)) for k, n in ((a, "r"), (b, "k")))
-    joined = both.join(rows).join(cols)
+    both = cells.groupBy(*ones).agg(pairs("c").alias("s"), F.sum("c").alias("n"))
+    rows, cols = (cells.groupBy(*ones, k).agg(F.sum("c").alias("c")).groupBy(*ones).agg(pairs("c").alias(n)) for k, n in ((a, "r"), (b, "k")))
+    joined = both.join(rows, ones).join(cols, ones)
     expected, top = F.col("r") * F.col("k") / F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0)), (F.col("r") + F.col("k")) / 2
-    return joined.select("n", F.coalesce((F.col("s") - expected) / F.nullif(top - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
-
+    return joined.select(*keys, "n", F.coalesce((F.col("s") - expected) / F.nullif(top - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
-def compare_labels(df: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
-    """Of two labelings: one row with n, their agreement and adjusted Rand index; and the confusion as a, b, n and share of a."""
-    from .profile import crosstab
 
+def compare_labels(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Of two labelings: keys, n, their adjusted Rand index and agreement; and the confusion as keys, a, b, n and share of a."""
+    ones = [*keys] or ["_one"]
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    same = both.agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
-    return adjusted_rand_index(both, a, b).join(same), crosstab(both, a, b)
+    both = both if keys else both.withColumn("_one", F.lit(0))
+    same = both.groupBy(*ones).agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
+    ari = adjusted_rand_index(both, a, b, tuple(ones)).join(same, ones).select(*keys, "n", "ari", "agreement")
+    cells = both.groupBy(*ones, a, b).agg(F.count("*").alias("n"))
+    total = cells.groupBy(*ones, a).agg(F.sum("n").alias("_t"))
+    return ari, cells.join(total, [*ones, a]).withColumn("share", F.col("n") / F.col("_t")).select(*keys, a, b, "n", "share")
+
+
+def diagnostics(df: DataFrame, columns: tuple[str, ...], series: str) -> DataFrame:
+    """series, column, vif, worst_with, worst_rho: variance inflation and the pair of the largest absolute correlation.
 
+    A series' few correlations are one task's group; the rows only go into those.
+    """
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        pairs = [(a, b, None if r != r else r) for a, b, r in zip(t["a"], t["b"], t["rho"].astype(float), strict=True)]
+        vif = inflation_factors([(a, b, r or 0.0) for a, b, r in pairs], columns)
+        rows = []
+        for c in columns:
+            mine = [(b if a == c else a, rho) for a, b, rho in pairs if c in (a, b) and rho is not None]
+            rows.append((t[series].iloc[0], c, vif[c], *max(mine, key=lambda x: (abs(round(x[1], 9)), x[0]), default=(None, None))))
+        return pd.DataFrame(rows, columns=[series, "column", "vif", "worst_with", "worst_rho"])
 
-def diagnostics(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """column, vif, worst_with, worst_rho: variance inflation and the pair of the largest absolute correlation, for a few columns."""
-    pairs = [tuple(r) for r in correlation_matrix(df, columns).collect()]
-    vif = inflation_factors(pairs, columns)
-    rows = []
-    for c in columns:
-        mine = [(b if a == c else a, rho) for a, b, rho in pairs if c in (a, b) and rho is not None]
-        rows.append((c, vif[c], *max(mine, key=lambda x: (abs(round(x[1], 9)), x[0]), default=(None, None))))
-    return df.sparkSession.createDataFrame(rows, "column string, vif double, worst_with string, worst_rho double")
+    return correlation_matrix(df, columns, (series,)).groupBy(series).applyInPandas(run, f"{series} string, column string, vif double, worst_with string, worst_rho double")
 
 
-def confidence(df: DataFrame, posteriors: list[str], threshold: float = 0.8) -> DataFrame:
-    """One row: mean and median of the largest posterior, the share above the threshold, mean entropy over its maximum."""
+def confidence(df: DataFrame, posteriors: list[str], threshold: float = 0.8, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, mean and median of the largest posterior, the share above the threshold, mean entropy over its maximum."""
     top = F.greatest(*posteriors)
     entropy = sum((F.when(F.col(p) > 0, -F.col(p) * F.log(p)).otherwise(0.0) for p in posteriors), F.lit(0.0)) / float(np.log(len(posteriors)))
-    return df.agg(F.count("*").alias("n"), F.avg(top).alias("mean_top"), F.median(top).alias("median_top"), F.avg((top >= threshold).cast("double")).alias("share_confident"), F.avg(entropy).alias("mean_entropy"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(top).alias("mean_top"), F.median(top).alias("median_top"), F.avg((top >= threshold).cast("double")).alias("share_confident"), F.avg(entropy).alias("mean_entropy"))
 
 
-def _per_task(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], tasks: list[dict], schema: str, run) -> DataFrame:
-    """run(matrix in order of time, task) in a group for each task.
+def _per_task(features: DataFrame, series: str, order: str, columns: tuple[str, ...], tasks: list[dict], schema: str, run) -> DataFrame:
+    """run(matrix in order of time, task, times) in a group for each series and task; series comes first in the result.
 
-    The sample is one series of features: trading days by a handful of columns. Tasks, not rows, are dealt out.
+    For batteries of many small fits of one series: each group holds the series' rows, trading days by a handful of columns.
+    A single fit of long series is fit_regimes', which no task holds a series for.
     """
-    t = spark.createDataFrame(pd.DataFrame(tasks).assign(task=range(len(tasks))))
-    rows = features.select(order, *columns).join(F.broadcast(t))
+    t = features.sparkSession.createDataFrame(pd.DataFrame(tasks).assign(task=range(len(tasks))))
+    rows = features.select(series, order, *columns).join(F.broadcast(t))
     names = list(tasks[0])
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order)
         x = g[list(columns)].to_numpy(dtype=float)
         x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        return run(x, {k: g[k].iloc[0] for k in names}, g[order])
-
-    return rows.groupBy("task").applyInPandas(one, schema)
-
+        out = run(x, {k: g[k].iloc[0] for k in names}, g[order])
+        out.insert(0, series, g[series].iloc[0])
+        return out
 
-def select_components(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], ks=(1, 2, 3, 4), kinds=("full", "diag", "tied", "spherical"), n_effective: float | None = None) -> DataFrame:
-    """k, kind, loglik, params, bic, aic, bic_eff, silhouette, min_weight of a mixture for each pair."""
-
-    def run(x, task, _):
-        f = gmm(x, int(task["k"]), task["kind"])
-        p, n = n_params(int(task["k"]), x.shape[1], task["kind"]), len(x)
-        e = n_effective or n
-        label = f["post"].argmax(axis=1)
-        return pd.DataFrame([(int(task["k"]), task["kind"], f["loglik"], p, p * np.log(n) - 2 * f["loglik"], 2 * p - 2 * f["loglik"], p * np.log(e) - 2 * f["loglik"] * e / n, silhouette(x, label), float(f["weights"].min()))], columns=["k", "kind", "loglik", "params", "bic", "aic", "bic_eff", "silhouette", "min_weight"])
-
-    return _per_task(spark, features, order, columns, [{"k": k, "kind": c} for k in ks for c in kinds], "k int, kind string, loglik double, params int, bic double, aic double, bic_eff double, silhouette double, min_weight double", run)
-
-
-def _ordered(label: np.ndarray, x: np.ndarray, column: int) -> np.ndarray:
-    """Labels renumbered by the rising mean of one column."""
-    names = np.unique(label)
-    rank = {a: i for i, a in enumerate(sorted(names, key=lambda a: x[label == a, column].mean()))}
-    return np.array([rank[a] for a in label])
+    return rows.groupBy(series, "task").applyInPandas(one, f"{series} string, {schema}")
 
 
-def _ordered_fit(x: np.ndarray, k: int, kind: str, column: int, seed: int = 0, starts: int = 3) -> dict:
-    """A mixture whose components are numbered by the rising centre of one column."""
-    f = gmm(x, k, kind, seed, starts)
-    order = np.argsort(f["means"][:, column], kind="stable")
-    return {"means": f["means"][order], "weights": f["weights"][order], "post": f["post"][:, order]}
-
-
-def fit_regimes(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full", order_by: str | None = None) -> DataFrame:
-    """order, regime, top, p0 to p<k-1>: each row's regime, numbered by the rising centre of order_by (the first column), its
-    largest posterior and all of them."""
-    at = columns.index(order_by or columns[0])
-
-    def run(x, task, dates):
-        f = _ordered_fit(x, k, kind, at)
-        out = pd.DataFrame({order: dates.to_numpy(), "regime": f["post"].argmax(axis=1), "top": f["post"].max(axis=1)})
-        return out.assign(**{f"p{j}": f["post"][:, j] for j in range(k)})
+def _scaled(features: DataFrame, series: str, order: str, columns: tuple[str, ...]) -> DataFrame:
+    """The standardized columns as a table, for the many passes of a fit."""
+    return materialize(standardized(features.select(series, order, *columns), series, columns), "scaled")
 
-    return _per_task(spark, features, order, columns, [{"k": k, "kind": kind}], f"{order} date, regime int, top double" + "".join(f", p{j} double" for j in range(k)), run)
 
+def select_components(features: DataFrame, series: str, order: str, columns: tuple[str, ...], ks=(1, 2, 3, 4), kinds=("full", "diag", "tied", "spherical"), n_effective: dict[str, float] | None = None, starts: int = 10) -> DataFrame:
+    """series, k, kind, loglik, params, bic, aic, bic_eff, silhouette, min_weight of a mixture for each pair, and whether it is best.
 
-def regime_centres(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full", order_by: str | None = None) -> DataFrame:
-    """regime, weight and the centre of each column in its deviations, of the fit that fit_regimes makes."""
-    at = columns.index(order_by or columns[0])
-
-    def run(x, task, dates):
-        f = _ordered_fit(x, k, kind, at)
-        return pd.DataFrame({"regime": range(k), "weight": f["weights"], **{c: f["means"][:, j] for j, c in enumerate(columns)}})
-
-    return _per_task(spark, features, order, columns, [{"k": k}], "regime int, weight double" + "".join(f", {c} double" for c in columns), run)
+    bic_eff rescales to the effective rows of n_effective (series -> rows); without it they are all rows. Best is the least
+    bic_eff of a series, the first of equal ones in the order of kinds, then ks.
+    """
+    z = _scaled(features, series, order, columns)
+    best = best_fits(fit_all(z, series, columns, [(k, kind, i) for kind in kinds for k in ks for i in range(starts)]))
+    pairs, rows, grid = [(k, kind) for kind in kinds for k in ks], [], {}
+    for (s, k, kind), f in best.items():
+        p, n = n_params(k, len(columns), kind), f.n
+        e = (n_effective or {}).get(s, n)
+        grid.setdefault(s, []).append((s, k, kind, f.loglik, p, float(p * np.log(n) - 2 * f.loglik), 2 * p - 2 * f.loglik, float(p * np.log(e) - 2 * f.loglik * e / n), float(f.weights.min()), f"l{pairs.index((k, kind))}"))
+    for found in grid.values():
+        least = min(range(len(found)), key=lambda i: (found[i][7], pairs.index(found[i][1:3])))
+        rows += [(*r, i == least) for i, r in enumerate(found)]
+    labelled = assign_all(z, series, columns, {s: [best[s, k, kind] for k, kind in pairs] for s in grid})
+    scored = silhouettes(labelled, series, columns, [f"l{i}" for i in range(len(pairs))])
+    table = features.sparkSession.createDataFrame(rows, f"{series} string, k int, kind string, loglik double, params int, bic double, aic double, bic_eff double, min_weight double, labelling string, best boolean")
+    return table.join(scored, [series, "labelling"], "left").select(series, "k", "kind", "loglik", "params", "bic", "aic", "bic_eff", "silhouette", "min_weight", "best")
+
+
+def _fits(z: DataFrame, series: str, columns: tuple[str, ...], k: int, kind: str, order_by: str | None, starts: int) -> dict[str, Fit]:
+    """Each series' best fit, its components numbered by the rising centre of order_by (the first column)."""
+    best = best_fits(fit_all(z, series, columns, [(k, kind, i) for i in range(starts)]))
+    return {s: in_order(f, columns.index(order_by or columns[0])) for (s, _, _), f in best.items()}
+
+
+def fit_regimes(features: DataFrame, series: str, order: str, columns: tuple[str, ...], k: int, kind: str = "full", order_by: str | None = None, starts: int = 20) -> DataFrame:
+    """series, order, regime, top, p0 to p<k-1>: each row's regime, numbered by the rising centre of order_by (the first column), its
+    largest posterior and all of them. Each series has a fit of its own; all are fitted together by aggregates over the rows."""
+    z = _scaled(features, series, order, columns)
+    fits = _fits(z, series, columns, k, kind, order_by, starts)
+    out = assign_all(z, series, columns, {s: [f] for s, f in fits.items()}, posterior=True)
+    return out.select(series, order, F.col("l0").alias("regime"), "top", *[f"p{j}" for j in range(k)])
+
+
+def regime_centres(features: DataFrame, series: str, order: str, columns: tuple[str, ...], k: int, kind: str = "full", order_by: str | None = None, starts: int = 20) -> DataFrame:
+    """series, regime, weight and the centre of each column in its deviations, of the fit that fit_regimes makes."""
+    fits = _fits(_scaled(features, series, order, columns), series, columns, k, kind, order_by, starts)
+    rows = [(s, j, float(f.weights[j]), *f.means[j].tolist()) for s, f in fits.items() for j in range(k)]
+    return features.sparkSession.createDataFrame(rows, f"{series} string, regime int, weight double" + "".join(f", {c} double" for c in columns))
 
 
 def stability_summary(draws: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -206,8 +230,8 @@ def stability_summary(draws: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     return draws.groupBy(*keys, "way").agg(F.count("*").alias("n"), F.avg("ari").alias("mean_ari"), F.min("ari").alias("min_ari"), F.median("ari").alias("median_ari"), F.percentile("ari", F.lit(0.1)).alias("p10_ari"))
 
 
-def reliability_battery(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], ks: tuple[int, ...] = (2, 3, 4, 5), kind: str = "full", seeds: int = 15, samples: int = 25, block: int = 63, share: float = 0.8, threshold: float = 0.8) -> DataFrame:
-    """One row for each k: silhouette, share_confident, seed_ari (mean), block_ari (median), xalgo_ari (least), run lengths, switch_rate.
+def reliability_battery(features: DataFrame, series: str, order: str, columns: tuple[str, ...], ks: tuple[int, ...] = (2, 3, 4, 5), kind: str = "full", seeds: int = 15, samples: int = 25, block: int = 63, share: float = 0.8, threshold: float = 0.8, starts: int = 10) -> DataFrame:
+    """One row for each series and k: silhouette, share_confident, seed_ari (mean), block_ari (median), xalgo_ari (least), run lengths, switch_rate.
 
     Six perturbations of a k share a task and its reference fit; their results are combined by one aggregate.
     """
@@ -216,15 +240,15 @@ def reliability_battery(spark: SparkSession, features: DataFrame, order: str, co
 
     def run(x, task, _):
         k, first, rows = int(task["k"]), int(task["first"]), []
-        f = gmm(x, k, kind)
+        f = gmm(x, k, kind, starts=2 * starts)
         label, blocks = f["post"].argmax(axis=1), np.arange(-(-len(x) // block))
         for way, draw in draws[first : first + 6]:
             if way == "seed":
-                ari = adjusted_rand(label, gmm(x, k, kind, seed=draw)["post"].argmax(axis=1))
+                ari = adjusted_rand(label, gmm(x, k, kind, draw, starts)["post"].argmax(axis=1))
             else:
                 chosen = np.random.default_rng(draw).choice(blocks, max(1, int(len(blocks) * share)), replace=False)
                 some = np.flatnonzero(np.isin(np.arange(len(x)) // block, chosen))
-                ari = adjusted_rand(label[some], assign(gmm(x[some], k, kind), x[some]))
+                ari = adjusted_rand(label[some], assign(gmm(x[some], k, kind, 0, starts), x[some]))
             rows.append((k, way, ari, *[None] * 5))
         if not first:
             others = [label, kmeans(x, k, np.random.default_rng(0)), ward(x, k)]
@@ -233,12 +257,13 @@ def reliability_battery(spark: SparkSession, features: DataFrame, order: str, co
             rows.append((k, "fit", least, silhouette(x, label), float((f["post"].max(axis=1) >= threshold).mean()), float(np.median(runs)), float(runs.mean()), (len(runs) - 1) / max(len(label) - 1, 1)))
         return pd.DataFrame(rows, columns=names)
 
-    each = _per_task(spark, features, order, columns, tasks, "k int, way string, value double, silhouette double, share_confident double, median_run double, mean_run double, switch_rate double", run)
+    each = _per_task(features, series, order, columns, tasks, "k int, way string, value double, silhouette double, share_confident double, median_run double, mean_run double, switch_rate double", run)
     of = lambda way: F.when(F.col("way") == way, F.col("value"))
-    return each.groupBy("k").agg(F.max("silhouette").alias("silhouette"), F.max("share_confident").alias("share_confident"), F.avg(of("seed")).alias("seed_ari"), F.median(of("block")).alias("block_ari"), F.min(of("fit")).alias("xalgo_ari"), F.max("median_run").alias("median_run"), F.max("mean_run").alias("mean_run"), F.max("switch_rate").alias("switch_rate"))
+    return each.groupBy(series, "k").agg(F.max("silhouette").alias("silhouette"), F.max("share_confident").alias("share_confident"), F.avg(of("seed")).alias("seed_ari"), F.median(of("block")).alias("block_ari"), F.min(of("fit")).alias("xalgo_ari"), F.max("median_run").alias("median_run"), F.max("mean_run").alias("mean_run"), F.max("switch_rate").alias("switch_rate"))
 
 
-#: name -> settings of regime_features: the full set, three features, the same with short windows, two, and prices only.
+#: name -> settings of regime_features. The five configurations that a sweep is compared by, so that its table has the
+#: same rows as the study that it repeats; other ones are given by the caller.
 SWEEP = {
     "six, 63 rows": {},
     "three, 63 rows": {"include": ("log_vol", "var_ratio", "level_pctl")},
@@ -248,80 +273,112 @@ SWEEP = {
 }
 
 
-def configuration_sweep(spark: SparkSession, df: DataFrame, series: str, order: str, level: str, leg: str, configurations: dict[str, dict] | None = None, ks: tuple[int, ...] = (2, 3, 4), seeds: int = 6, samples: int = 12) -> DataFrame:
-    """configuration, d (columns), n_rows, then reliability_battery's columns, for each configuration of features and each k."""
+def configuration_sweep(df: DataFrame, series: str, order: str, level: str, leg: str, configurations: dict[str, dict] | None = None, ks: tuple[int, ...] = (2, 3, 4), seeds: int = 6, samples: int = 12, starts: int = 10) -> DataFrame:
+    """configuration, d (columns), n_rows, n_eff, best_k (by bic_eff over all kinds, 1 included), then reliability_battery's columns.
+
+    n_eff is effective_rows' figure, one number a series; those numbers pass through the driver.
+    """
     out = None
     for name, settings in (configurations or SWEEP).items():
-        made = regime_features(df, series, order, level, leg, **settings)
-        columns = settings.get("include", FEATURES)
-        one = reliability_battery(spark, made, order, columns, ks, seeds=seeds, samples=samples)
-        one = one.select(F.lit(name).alias("configuration"), F.lit(len(columns)).alias("d"), "*").join(made.agg(F.count("*").alias("n_rows")))
+        made, columns = regime_features(df, series, order, level, leg, **settings), settings.get("include", FEATURES)
+        made = materialize(made, "features")
+        size = effective_rows(made, series, order, columns)
+        grid = select_components(made, series, order, columns, (1, *ks), n_effective={r[series]: r["n_eff"] for r in size.limit(SERIES).collect()}, starts=starts)
+        chosen = grid.filter("best").select(series, F.col("k").alias("best_k"))
+        one = reliability_battery(made, series, order, columns, ks, seeds=seeds, samples=samples, starts=starts)
+        one = one.join(size.select(series, F.col("n").alias("n_rows"), "n_eff"), series).join(chosen, series).select(F.lit(name).alias("configuration"), F.lit(len(columns)).alias("d"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def label_stability(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full", seeds: int = 5, samples: int = 5, block: int = 63, share: float = 0.8) -> DataFrame:
-    """kind_of, draw, ari: agreement of refits by seed and by sampled blocks of time with the reference fit."""
+def label_stability(features: DataFrame, series: str, order: str, columns: tuple[str, ...], k: int, kind: str = "full", seeds: int = 5, samples: int = 5, block: int = 63, share: float = 0.8, starts: int = 10) -> DataFrame:
+    """series, way, draw, ari: agreement of refits by seed and by sampled blocks of time with the reference fit."""
 
     def run(x, task, _):
-        reference = gmm(x, k, kind)["post"].argmax(axis=1)
+        reference = gmm(x, k, kind, 0, 2 * starts)["post"].argmax(axis=1)
         if task["way"] == "seed":
-            other, rows = gmm(x, k, kind, seed=int(task["draw"]))["post"].argmax(axis=1), np.arange(len(x))
+            other, rows = gmm(x, k, kind, int(task["draw"]), starts)["post"].argmax(axis=1), np.arange(len(x))
         else:
             rng, blocks = np.random.default_rng(int(task["draw"])), np.arange(-(-len(x) // block))
             chosen = rng.choice(blocks, max(1, int(len(blocks) * share)), replace=False)
             rows = np.flatnonzero(np.isin(np.arange(len(x)) // block, chosen))
-            other = assign(gmm(x[rows], k, kind), x[rows])
+            other = assign(gmm(x[rows], k, kind, 0, starts), x[rows])
         return pd.DataFrame([(task["way"], int(task["draw"]), adjusted_rand(reference[rows], other))], columns=["way", "draw", "ari"])
 
     tasks = [{"way": "seed", "draw": i} for i in range(1, seeds + 1)] + [{"way": "block", "draw": i} for i in range(1, samples + 1)]
-    return _per_task(spark, features, order, columns, tasks, "way string, draw int, ari double", run)
+    return _per_task(features, series, order, columns, tasks, "way string, draw int, ari double", run)
 
 
-def algorithm_agreement(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full") -> DataFrame:
-    """a, b, ari for a mixture, k-means and Ward clustering of one sample."""
+def algorithm_agreement(features: DataFrame, series: str, order: str, columns: tuple[str, ...], k: int, kind: str = "full", starts: int = 10) -> DataFrame:
+    """series, a, b, ari for a mixture, k-means and Ward clustering of each series.
 
-    def run(x, task, _):
-        labels = {"mixture": gmm(x, k, kind)["post"].argmax(axis=1), "kmeans": kmeans(x, k, np.random.default_rng(0)), "ward": ward(x, k)}
-        names = list(labels)
-        return pd.DataFrame([(a, b, adjusted_rand(labels[a], labels[b])) for i, a in enumerate(names) for b in names[i + 1 :]], columns=["a", "b", "ari"])
-
-    return _per_task(spark, features, order, columns, [{"k": k}], "a string, b string, ari double", run)
+    The first two are fitted by aggregates. Ward's criterion merges all rows of a series step by step, so it alone takes a task for each series.
+    """
+    z = _scaled(features, series, order, columns)
+    best = best_fits(fit_all(z, series, columns, [(k, c, i) for c in (kind, "kmeans") for i in range(starts)]))
+    labels = assign_all(z, series, columns, {s: [best[s, k, kind], best[s, k, "kmeans"]] for s, _, c in best if c == kind})
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        return t.append_column("l2", pa.array(ward(np.column_stack([t[c].to_numpy() for c in columns]), k), type=pa.int32()))
+
+    labels = materialize(labels.groupBy(series).applyInArrow(add, labels.withColumn("l2", F.lit(0)).schema), "labels")
+    names, out = ("mixture", "kmeans", "ward"), None
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        one = adjusted_rand_index(labels, f"l{i}", f"l{j}", (series,)).select(series, F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), "ari")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def split_stability(spark: SparkSession, features: DataFrame, order: str, columns: tuple[str, ...], k: int, folds: int = 3, order_by: str | None = None) -> DataFrame:
-    """regime, then for each column the deviation of its centre over the folds, each fit apart, in deviations of the sample, and max_drift."""
+def fold_centres(features: DataFrame, series: str, order: str, columns: tuple[str, ...], k: int, folds: int = 3, order_by: str | None = None, starts: int = 10) -> DataFrame:
+    """series, fold, start, end, regime, weight and each column's centre, in deviations of the series, of a fit of each consecutive part."""
     at = columns.index(order_by or columns[0])
 
-    def run(x, task, _):
+    def run(x, task, dates):
         part = np.array_split(np.arange(len(x)), folds)[int(task["fold"])]
-        m = _ordered_fit(x[part], k, "full", at)["means"]
-        return pd.DataFrame({"fold": int(task["fold"]), "regime": range(k), **{c: m[:, j] for j, c in enumerate(columns)}})
+        f = gmm(x[part], k, "full", 0, starts)
+        rank = np.argsort(f["means"][:, at], kind="stable")
+        found = {"fold": int(task["fold"]), "start": dates.iloc[part[0]], "end": dates.iloc[part[-1]], "regime": range(k), "weight": f["weights"][rank]}
+        return pd.DataFrame(found | {c: f["means"][rank, j] for j, c in enumerate(columns)})
+
+    kind = features.schema[order].dataType.simpleString()
+    return _per_task(features, series, order, columns, [{"fold": i} for i in range(folds)], f"fold int, start {kind}, end {kind}, regime int, weight double" + "".join(f", {c} double" for c in columns), run)
 
-    centres = _per_task(spark, features, order, columns, [{"fold": i} for i in range(folds)], "fold int, regime int" + "".join(f", {c} double" for c in columns), run)
-    drift = centres.groupBy("regime").agg(*[F.stddev_samp(c).alias(c) for c in columns])
+
+def split_stability(features: DataFrame, series: str, order: str, columns: tuple[str, ...], k: int, folds: int = 3, order_by: str | None = None, starts: int = 10) -> DataFrame:
+    """series, regime, then for each column the deviation of its centre over the folds, in deviations of the series, and max_drift."""
+    drift = fold_centres(features, series, order, columns, k, folds, order_by, starts).groupBy(series, "regime").agg(*[F.stddev_samp(c).alias(c) for c in columns])
     return drift.withColumn("max_drift", F.greatest(*columns) if len(columns) > 1 else F.col(columns[0]))
 
 
-def walk_forward_labels(features: DataFrame, order: str, columns: tuple[str, ...], k: int, kind: str = "full", lookback: int = 756, every: int = 63) -> DataFrame:
-    """order, regime: labels of each stretch of rows by a fit on the lookback rows before it. Each refit is a group."""
-    n = features.count()
-    if lookback >= n:
+def walk_forward_labels(features: DataFrame, series: str, order: str, columns: tuple[str, ...], k: int, kind: str = "full", lookback: int = 756, every: int = 63, order_by: str | None = None, starts: int = 5) -> DataFrame:
+    """series, order, regime, top, refit: labels of each stretch of rows by a fit on the lookback rows before it, numbered by the rising
+    centre of order_by (the first column), the largest posterior and the time of the stretch's first row. A refit is one task's
+    group, of lookback + every rows; a series shorter than the lookback is refused."""
+    size = features.groupBy(series).agg(F.count("*").alias("_n"))
+    if size.filter(F.col("_n") <= lookback).limit(1).count():
         raise ValueError("the lookback is not shorter than the sample")
-    w = Window.partitionBy(F.lit("all")).orderBy(order)
-    rows = features.select(order, *columns).withColumn("_r", F.row_number().over(w) - 1)
+    rows = numbered(features.select(series, order, *columns), [series], order, "_r").join(size, series)
     first = F.greatest(F.lit(0), F.floor((F.col("_r") - lookback) / every)).cast("int")
-    last = F.least(F.lit((n - 1 - lookback) // every), F.floor(F.col("_r") / every)).cast("int")
+    last = F.least(F.floor((F.col("_n") - 1 - lookback) / every), F.floor(F.col("_r") / every)).cast("int")
     dealt = rows.withColumn("_g", F.explode(F.when(first <= last, F.sequence(first, last)))).filter((F.col("_r") >= F.col("_g") * every) & (F.col("_r") < F.col("_g") * every + lookback + every))
+    at = columns.index(order_by or columns[0])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_r")
         x = g[list(columns)].to_numpy(dtype=float)
         seen = x[:lookback]
-        spread = np.where(seen.std(axis=0) > 0, seen.std(axis=0), 1)
-        z = (x - seen.mean(axis=0)) / spread
-        f = gmm(z[:lookback], k, kind)
-        rank = np.argsort(np.argsort(f["means"][:, 0]))
-        return pd.DataFrame({order: g[order].iloc[lookback:], "regime": rank[assign(f, z[lookback:])]})
+        z = (x - seen.mean(axis=0)) / np.where(seen.std(axis=0) > 0, seen.std(axis=0), 1)
+        f = gmm(z[:lookback], k, kind, 0, starts)
+        rank = np.argsort(np.argsort(f["means"][:, at]))
+        post = posteriors(f, z[lookback:])
+        times = g[order].iloc[lookback:]
+        return pd.DataFrame({series: g[series].iloc[0], order: times, "regime": rank[post.argmax(axis=1)], "top": post.max(axis=1), "refit": times.iloc[0]})
+
+    time = features.schema[order].dataType.simpleString()
+    return dealt.groupBy(series, "_g").applyInPandas(run, f"{series} string, {order} {time}, regime int, top double, refit {time}")
+
 
-    return dealt.groupBy("_g").applyInPandas(run, f"{order} date, regime int")
+def walk_forward_summary(labels: DataFrame, series: str, order: str) -> DataFrame:
+    """series, n_labelled, n_refits, first_labelled, last_refit of walk_forward_labels."""
+    return labels.groupBy(series).agg(F.count("*").alias("n_labelled"), F.count_distinct("refit").alias("n_refits"), F.min(order).alias("first_labelled"), F.max("refit").alias("last_refit"))

@@ -134,6 +134,17 @@ def _spine(spark, d):
     return roll.roll_spine(spread_panel_of(spark, d))
 
 
+_COMBINED = _SPINE + ", own AS (SELECT dt, expiry AS series, usd, cbot, spread FROM panel WHERE contract = 'A'), oz AS (SELECT dt, series, usd, cbot, spread, " + ", ".join(f"{z_sql(x, 20)} AS {n}" for x, n in (("spread", "arb_z"), ("usd", "own_z"), ("cbot", "cbot_z"))) + ", " + ", ".join(f"lead(usd, {h}) OVER (PARTITION BY series ORDER BY dt) - usd AS fwd_{h}" for h in (1, 5, 21)) + " FROM own), gr AS (SELECT a.dt, a.expiry AS series, a.price - b.price AS grade_spread FROM panel a JOIN panel b ON a.dt = b.dt AND a.expiry = b.expiry WHERE a.contract = 'A' AND b.contract = 'N'), gz AS (SELECT dt, series, grade_spread, " + z_sql("grade_spread", 10) + " AS grade_z, grade_spread - lag(grade_spread) OVER (PARTITION BY series ORDER BY dt) AS grade_change FROM gr)"
+_HELD = ("usd", "cbot", "spread", "arb_z", "own_z", "cbot_z", "fwd_1", "fwd_5", "fwd_21", "grade_spread", "grade_z", "grade_change")
+
+
+@query("+" + _COMBINED + " SELECT s.dt, s.expiry, " + ", ".join(f"round({c}, 6) AS {c}" for c in _HELD) + " FROM spine s JOIN oz ON oz.dt = s.dt AND oz.series = s.expiry LEFT JOIN gz ON gz.dt = s.dt AND gz.series = s.expiry WHERE s.contract = 'A'")
+def combined_held_frame(spark, d):
+    from .plans.research import build_panels, combined_frame
+
+    return rounded(combined_frame(build_panels(roles.domestic(spark, d), roles.offshore(spark, d), roles.fx(spark, d)), "A", "N").select("dt", "expiry", *_HELD))
+
+
 @query("+" + _SPINE + " SELECT contract, dt, expiry, CAST(expiry_month AS INTEGER) AS expiry_month, oi FROM spine")
 def roll_spine(spark, d):
     return _spine(spark, d)
@@ -525,9 +536,52 @@ def autoregression(spark, d):
     return rounded(econometrics.autoregression(roles.daily(spark, d), "series", "dt", "level", 3))
 
 
-@query()
+def _det(m: list[list[str]]) -> str:
+    """The determinant of a small matrix of SQL terms, by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {x} * {_det([[v for c, v in enumerate(r) if c != j] for r in m[1:]])}" for j, x in enumerate(m[0])) + ")"
+
+
+def hac_sql(rows: str, y: str, xs: tuple[str, ...], lags: int, name: str = "h") -> str:
+    """Common table expressions that end in <name>_out (series, term, coef, t): normal equations by cofactors, scores, lagged products.
+
+    rows: a table with series, dt, y and xs.
+    """
+    x, m = ["1.0", *xs], len(xs) + 1
+    at = lambda i, j: f"{min(i, j)}_{max(i, j)}"
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    a = [[f"a{at(i, j)}" for j in range(m)] for i in range(m)]
+    minor = lambda i, j: [[v for c, v in enumerate(r) if c != j] for k, r in enumerate(a) if k != i]
+    inverse = ", ".join(f"{'-' if (i + j) % 2 else ''}{_det(minor(i, j))} / {_det(a)} AS v{at(i, j)}" for i, j in pairs)
+    beta = ", ".join("(" + " + ".join(f"v{at(i, j)} * c{j}" for j in range(m)) + f") AS b{i}" for i in range(m))
+    error = f"(y - ({' + '.join(f'b{i} * x{i}' for i in range(m))}))"
+    cell = lambda i, j: f"sum(u{i} * u{j})" + "".join(f" + {1 - k / (lags + 1)!r} * coalesce(sum(u{i} * u{j}_{k}) + sum(u{i}_{k} * u{j}), 0)" for k in range(1, lags + 1))
+    lagged = "".join(f", lag(u{i}, {k}) OVER (PARTITION BY series ORDER BY dt) AS u{i}_{k}" for i in range(m) for k in range(1, lags + 1))
+    se = lambda i: "sqrt(" + " + ".join(f"v{at(i, j)} * m{at(j, k)} * v{at(i, k)}" for j in range(m) for k in range(m)) + ")"
+    have = " AND ".join(f"{c} IS NOT NULL" for c in (y, *xs))
+    return (
+        f"{name}_x AS (SELECT series, dt, {y} AS y, " + ", ".join(f"{c} AS x{i}" for i, c in enumerate(x)) + f" FROM {rows} WHERE {have}), "
+        f"{name}_s AS (SELECT series, " + ", ".join([f"sum(x{i} * x{j}) AS a{at(i, j)}" for i, j in pairs] + [f"sum(x{i} * y) AS c{i}" for i in range(m)]) + f" FROM {name}_x GROUP BY 1), "
+        f"{name}_v AS (SELECT *, {inverse} FROM {name}_s), {name}_b AS (SELECT *, {beta} FROM {name}_v), "
+        f"{name}_u AS (SELECT h.series, h.dt, " + ", ".join(f"{error} * x{i} AS u{i}" for i in range(m)) + f" FROM {name}_x h JOIN {name}_b b ON h.series = b.series), "
+        f"{name}_l AS (SELECT *{lagged} FROM {name}_u), {name}_m AS (SELECT series, " + ", ".join(f"{cell(i, j)} AS m{at(i, j)}" for i, j in pairs) + f" FROM {name}_l GROUP BY 1), "
+        f"{name}_out AS (" + " UNION ALL ".join(f"SELECT b.series, '{c}' AS term, b{i} AS coef, b{i} / {se(i)} AS t FROM {name}_b b JOIN {name}_m m ON m.series = b.series" for i, c in enumerate(("const", *xs))) + ")"
+    )
+
+
+@query(_SCREEN + ", " + hac_sql("c", "t5", ("lz", "vz"), 5) + " SELECT series, term, round(coef, 6) AS coef, round(t, 5) AS t FROM h_out")
 def hac_regression(spark, d):
-    return rounded(econometrics.hac_regression(_screened(spark, d), "series", "dt", "t5", ("lz", "vz"), 5))
+    return rounded(econometrics.hac_regression(_screened(spark, d), "series", "dt", "t5", ("lz", "vz"), 5), t=5)
+
+
+@query(_SCREEN + ", g AS (SELECT *, lz * vz AS gated FROM c), " + hac_sql("g", "t5", ("lz", "vz", "gated"), 5) + ", e AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY dt) AS k FROM g), f AS (SELECT * FROM e WHERE k % 5 = 1), " + hac_sql("f", "t5", ("lz", "vz", "gated"), 0, "w") + " SELECT 'overlapping' AS sample, series, term, round(coef, 5) AS coef, round(t, 4) AS t FROM h_out UNION ALL SELECT 'every fifth', series, term, round(coef, 5), round(t, 4) FROM w_out")
+def gate_interaction(spark, d):
+    """The forward move on a score, a gate and their product, over all rows with five lags and over every fifth row with none."""
+    rows = _screened(spark, d).withColumn("gated", F.col("lz") * F.col("vz"))
+    fit = lambda t, name, lags: econometrics.hac_regression(t, "series", "dt", "t5", ("lz", "vz", "gated"), lags).select(F.lit(name).alias("sample"), "series", "term", "coef", "t")
+    fifth = ordered.numbered(rows, ["series"], "dt", "k").filter("k % 5 = 0")
+    return rounded(fit(rows, "overlapping", 5).unionByName(fit(fifth, "every fifth", 0)), coef=5, t=4)
 
 
 # ---------------------------------------------------------------- regimes and models
@@ -542,32 +596,54 @@ _COLUMNS = ("log_vol", "vol_ratio", "trend_z")
 
 @query()
 def gmm_select(spark, d):
-    return rounded(regimes.select_components(spark, _regime_features(spark, d), "dt", _COLUMNS, tuple(range(1, 9)), ("full", "diag", "tied", "spherical")))
+    return rounded(regimes.select_components(_regime_features(spark, d), "series", "dt", _COLUMNS, tuple(range(1, 9)), ("full", "diag", "tied", "spherical")))
 
 
 @query()
 def fit_regimes(spark, d):
-    return rounded(regimes.fit_regimes(spark, _regime_features(spark, d), "dt", _COLUMNS, 3))
+    return rounded(regimes.fit_regimes(_regime_features(spark, d), "series", "dt", _COLUMNS, 3))
 
 
 @query()
 def label_stability(spark, d):
-    return rounded(regimes.label_stability(spark, _regime_features(spark, d), "dt", _COLUMNS, 2, seeds=15, samples=25))
+    return rounded(regimes.label_stability(_regime_features(spark, d), "series", "dt", _COLUMNS, 2, seeds=15, samples=25))
 
 
 @query()
 def algorithm_agreement(spark, d):
-    return rounded(regimes.algorithm_agreement(spark, _regime_features(spark, d), "dt", _COLUMNS, 2))
+    return rounded(regimes.algorithm_agreement(_regime_features(spark, d), "series", "dt", _COLUMNS, 2))
 
 
 @query()
 def split_stability(spark, d):
-    return rounded(regimes.split_stability(spark, _regime_features(spark, d), "dt", _COLUMNS, 2))
+    return rounded(regimes.split_stability(_regime_features(spark, d), "series", "dt", _COLUMNS, 2))
 
 
 @query()
 def walk_forward_labels(spark, d):
-    return regimes.walk_forward_labels(_regime_features(spark, d), "dt", _COLUMNS, 2, lookback=504, every=126)
+    return rounded(_walked(spark, d))
+
+
+def _walked(spark, d):
+    return regimes.walk_forward_labels(_regime_features(spark, d), "series", "dt", _COLUMNS, 2, lookback=504, every=126)
+
+
+@query()
+def walk_forward_refits(spark, d):
+    return regimes.walk_forward_summary(_walked(spark, d), "series", "dt")
+
+
+@query()
+def fold_centres(spark, d):
+    return rounded(regimes.fold_centres(_regime_features(spark, d), "series", "dt", _COLUMNS, 2))
+
+
+@query()
+def gmm_best(spark, d):
+    """The chosen row of the grid by the penalty at the effective size of the features."""
+    f = materialize(_regime_features(spark, d), "features")
+    size = {r["series"]: r["n_eff"] for r in regimes.effective_rows(f, "series", "dt", _COLUMNS).collect()}
+    return rounded(regimes.select_components(f, "series", "dt", _COLUMNS, (1, 2, 3, 4), n_effective=size).filter("best"))
 
 
 from . import queries_study  # noqa: E402, F401  registers the rest

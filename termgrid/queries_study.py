@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from .functions import rolling as R
+from .functions.storage import materialize
 from .operators import backtest, econometrics, features, model, panel, profile, regimes, screen
 from .queries import _LABEL, _NW, _PNL, FRAME, W, _labelled, _screened, _traded, query, roll_sql, rounded, spread_panel_of, z_sql
 from .sources import roles
@@ -347,54 +348,74 @@ def regime_features_optional(spark, d):
     return rounded(_regime_features(spark, d, regimes.OPTIONAL, oi="volume"), oi_trend=5, drawdown_z=5)
 
 
-@query("+ " + _REGIME + ", g AS (SELECT * FROM rf WHERE " + _HAVE + ") " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 5) AS rho FROM g" for i, a in enumerate(regimes.FEATURES) for b in regimes.FEATURES[i + 1 :]))
+@query("+ " + _REGIME + ", g AS (SELECT * FROM rf WHERE " + _HAVE + ") " + " UNION ALL ".join(f"SELECT series, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 5) AS rho FROM g GROUP BY series" for i, a in enumerate(regimes.FEATURES) for b in regimes.FEATURES[i + 1 :]))
 def feature_diagnostics(spark, d):
-    return rounded(regimes.correlation_matrix(_regime_features(spark, d), regimes.FEATURES), rho=5)
+    return rounded(regimes.correlation_matrix(_regime_features(spark, d), regimes.FEATURES, ("series",)), rho=5)
 
 
 @query()
 def variance_inflation(spark, d):
-    return rounded(regimes.diagnostics(_regime_features(spark, d), regimes.FEATURES), vif=5)
+    return rounded(regimes.diagnostics(_regime_features(spark, d), regimes.FEATURES, "series"), vif=5)
 
 
-@query()
+@query("+ " + _REGIME + ", g AS (SELECT * FROM rf WHERE " + _HAVE + "), long AS (" + " UNION ALL ".join(f"SELECT series, '{c}' AS f, dt, {c} AS v FROM g" for c in regimes.FEATURES) + "), e AS (SELECT series, f, row_number() OVER w AS r, v - avg(v) OVER (PARTITION BY series, f) AS e FROM long WINDOW w AS (PARTITION BY series, f ORDER BY dt)), n AS (SELECT series, f, count(*) AS n, sum(e * e) AS v FROM e GROUP BY 1, 2), rho AS (SELECT a.series, a.f, b.r - a.r AS k, round(sum(a.e * b.e) / any_value(n.v), 9) AS rho FROM e a JOIN e b ON a.series = b.series AND a.f = b.f AND b.r > a.r AND b.r < a.r + 500 JOIN n ON n.series = a.series AND n.f = a.f AND b.r - a.r < n.n - 1 GROUP BY 1, 2, 3), st AS (SELECT series, f, min(k) AS stop FROM rho WHERE rho <= 0 GROUP BY 1, 2), t AS (SELECT n.series, n.f, n.n, 1 + 2 * coalesce(sum(rho.rho) FILTER (stop IS NULL OR k < stop), 0) AS t FROM n LEFT JOIN rho ON rho.series = n.series AND rho.f = n.f LEFT JOIN st ON st.series = n.series AND st.f = n.f GROUP BY 1, 2, 3) SELECT series, max(n) AS n, round(avg(t), 5) AS tau, round(max(n) / avg(t), 4) AS n_eff FROM t GROUP BY 1")
+def effective_feature_rows(spark, d):
+    return rounded(regimes.effective_rows(_regime_features(spark, d), "series", "dt", regimes.FEATURES), tau=5, n_eff=4)
+
+
+@query("+ " + _REGIME + ", g AS (SELECT * FROM rf WHERE " + _HAVE + ") SELECT series, dt, " + ", ".join(f"round(coalesce(({c} - avg({c}) OVER (PARTITION BY series)) / nullif(stddev_pop({c}) OVER (PARTITION BY series), 0), 0), 6) AS {c}" for c in regimes.FEATURES) + " FROM g")
 def standardized_features(spark, d):
     return rounded(regimes.standardized(_regime_features(spark, d), "series", regimes.FEATURES))
 
 
 @query()
 def regime_centres(spark, d):
-    return rounded(regimes.regime_centres(spark, _regime_features(spark, d), "dt", _THREE, 3))
+    return rounded(regimes.regime_centres(_regime_features(spark, d), "series", "dt", _THREE, 3))
 
 
 @query()
 def assignment_confidence(spark, d):
-    fit = regimes.fit_regimes(spark, _regime_features(spark, d), "dt", _THREE, 3)
-    return rounded(regimes.confidence(fit, ["p0", "p1", "p2"]))
+    fit = regimes.fit_regimes(_regime_features(spark, d), "series", "dt", _THREE, 3)
+    return rounded(regimes.confidence(fit, ["p0", "p1", "p2"], keys=("series",)))
 
 
 @query()
 def label_stability_summary(spark, d):
-    draws = regimes.label_stability(spark, _regime_features(spark, d), "dt", _THREE, 2, seeds=15, samples=25)
-    return rounded(regimes.stability_summary(draws))
+    draws = regimes.label_stability(_regime_features(spark, d), "series", "dt", _THREE, 2, seeds=15, samples=25)
+    return rounded(regimes.stability_summary(draws, ("series",)))
 
 
 @query()
 def reliability_battery(spark, d):
-    return rounded(regimes.reliability_battery(spark, _regime_features(spark, d), "dt", _THREE))
+    return rounded(regimes.reliability_battery(_regime_features(spark, d), "series", "dt", _THREE))
 
 
 @query()
 def configuration_sweep(spark, d):
-    return rounded(regimes.configuration_sweep(spark, roles.both_legs(spark, d), "series", "dt", "x", "y"))
+    return rounded(regimes.configuration_sweep(roles.both_legs(spark, d), "series", "dt", "x", "y"))
 
 
 @query()
 def insample_against_walk_forward(spark, d):
-    f = _regime_features(spark, d)
-    inside = regimes.fit_regimes(spark, f, "dt", _THREE, 2).select("dt", F.col("regime").alias("insample"))
-    ahead = regimes.walk_forward_labels(f, "dt", _THREE, 2, lookback=504, every=126).select("dt", F.col("regime").alias("ahead"))
-    return rounded(regimes.compare_labels(inside.join(ahead, "dt"), "insample", "ahead")[0])
+    return rounded(_both_labels(spark, d)[0])
+
+
+def _both_labels(spark, d):
+    f = materialize(_regime_features(spark, d), "features")
+    inside = regimes.fit_regimes(f, "series", "dt", _THREE, 2).select("series", "dt", F.col("regime").alias("insample"))
+    ahead = regimes.walk_forward_labels(f, "series", "dt", _THREE, 2, lookback=504, every=126).select("series", "dt", F.col("regime").alias("ahead"))
+    return regimes.compare_labels(inside.join(ahead, ["series", "dt"]), "insample", "ahead", ("series",))
+
+
+@query()
+def regime_confusion(spark, d):
+    return rounded(_both_labels(spark, d)[1])
+
+
+@query("+ " + _STATE + ", p AS (SELECT *, CASE WHEN level > avg(level) OVER (PARTITION BY series ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) THEN 'high' ELSE 'low' END AS slow FROM l), c AS (SELECT series, state, slow, count(*) AS n FROM p WHERE state IS NOT NULL GROUP BY 1, 2, 3) SELECT *, round(n / sum(n) OVER (PARTITION BY series, state), 6) AS share FROM c")
+def label_confusion(spark, d):
+    both = _states(spark, d).withColumn("slow", F.when(F.col("level") > F.avg("level").over(R.last_rows(W(), 60)), "high").otherwise("low"))
+    return rounded(regimes.compare_labels(both, "state", "slow", ("series",))[1])
 
 
 def _walk(spark, d, **settings):
