@@ -72,12 +72,20 @@ def hourly_bars_to_snap(bars: DataFrame, cutoff_hour: int = 11, reference_hour:
     return snap.select("_key.*", "dt", usd_per_tonne(F.col("close")).alias("usd_per_tonne"), "staleness_hours")
 
 
+def unique(df: DataFrame, *keys: str) -> DataFrame:
+    """df, which raises an error as it runs if two rows share the keys. Grouped by the keys, so a join on them needs no other shuffle."""
+    one = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.any_value(c).alias(c) for c in df.columns if c not in keys])
+    refused = F.raise_error(F.concat(F.lit("rows share "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return one.filter(F.when(F.col("_n") == 1, True).otherwise(refused)).select(*df.columns)
+
+
 def build_spread(domestic: DataFrame, offshore: DataFrame, fx: DataFrame) -> DataFrame:
     """The spread panel: domestic (contract, dt, expiry, price, ...) with offshore (dt, expiry, cbot) and fx (dt, rate).
 
-    Equi-joins; whether a side is broadcast is left to its measured size.
+    Equi-joins; whether a side is broadcast is left to its measured size. Two offshore rows of one date and expiry are an error,
+    as they would double the panel's.
     """
-    joined = positive_legs(domestic.join(offshore, ["dt", "expiry"]).join(fx, "dt"), "price", "cbot", "rate")
+    joined = positive_legs(domestic.join(unique(offshore, "dt", "expiry"), ["dt", "expiry"]).join(fx, "dt"), "price", "cbot", "rate")
     usd = F.col("price") / F.col("rate")
     return joined.withColumns({"usd": usd, "spread": usd - F.col("cbot"), "log_usd": F.log(usd), "log_zar": F.log("price"), "log_cbot": F.log("cbot"), "log_spread": F.log(usd) - F.log("cbot")})
 

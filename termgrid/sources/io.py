@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,20 @@ def load_workbook_rows(spark: SparkSession, paths: list[str], core: list[str] |
     return keep_first(df, keys, ["file_rank"])
 
 
+def load_workbooks(spark: SparkSession, folder: str, sheet: str, core: dict[str, str], codes: dict[str, list[str]], keys: list[str], zero_to_missing: tuple[str, ...] = ()) -> DataFrame:
+    """The core columns of a sheet of every workbook of a folder, with codes' values only, zeros of some columns as null, and of
+    each key the row of the first workbook by name. Adds source_file. A column that a workbook lacks is null."""
+    from ..operators.panel import keep_first, zero_to_null
+    from .files import register
+
+    register(spark)
+    schema = ", ".join(f"`{c}` {t}" for c, t in (core | {"source_file": "string"}).items())
+    df = spark.read.format("workbook").schema(schema).option("path", folder).option("sheet", sheet).load()
+    for column, values in codes.items():
+        df = df.filter(F.col(column).isin(*values))
+    return keep_first(zero_to_null(df, *zero_to_missing) if zero_to_missing else df, keys, ["source_file"])
+
+
 def data_path(root: str, product: str, layer: str) -> str:
     if layer not in LAYERS:
         raise ValueError(f"the layer is one of {LAYERS}")
@@ -65,9 +80,22 @@ def load_layer(spark: SparkSession, root: str, product: str, name: str, layer: s
     return spark.read.parquet(f"{data_path(root, product, layer)}/{name}.parquet")
 
 
-def cached_layer(spark: SparkSession, root: str, product: str, name: str, build, layer: str = "processed", fingerprint: str | None = None) -> DataFrame:
-    """The stored table, or build()'s result stored first. A fingerprint of what it is made from names the table, so that another
-    one is built anew; without one, whether the table is stale is the caller's to know."""
+def input_fingerprint(*inputs: DataFrame) -> str:
+    """A hash of the path, size and time of change of every file that the file-based inputs read.
+
+    The files' own metadata columns are read, no data columns, and combined by one aggregate of three numbers for each input.
+    """
+    parts = []
+    for df in inputs:
+        files = df.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct()
+        parts.append(files.agg(F.count("*"), F.bit_xor("h"), F.sum(F.shiftright("h", 20))).first())
+    return hashlib.sha256(repr([tuple(p) for p in parts]).encode()).hexdigest()[:16]
+
+
+def cached_layer(spark: SparkSession, root: str, product: str, name: str, build, layer: str = "processed", fingerprint: str | None = None, inputs: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The stored table, or build()'s result stored first. The files of inputs, or a fingerprint that the caller gives, name the
+    table, so that it is built anew once one of them has changed; without either, whether it is stale is the caller's to know."""
+    fingerprint = input_fingerprint(*inputs) if inputs else fingerprint
     name = f"{name}-{fingerprint}" if fingerprint else name
     from pyspark.errors import AnalysisException
 
