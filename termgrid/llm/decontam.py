@@ -139,10 +139,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, simi
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs less those that hold an item; rows without an id stay unless such a row holds one."""
+    """docs less those that hold an item; rows without an id stay unless such a row holds one. All columns stay, whatever their names."""
     gone = materialize(contaminated(docs, benchmark).select("doc_id").distinct().transform(few_files), "contaminated")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,16 +110,16 @@ def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple
 
     Positions are code points, end exclusive. A null or empty text has no spans. score lies between 0 and 1: the
     kind's own score, 0.1 more with a word of its context within 40 characters. Repeated rows are each answered alone;
-    other columns stay as they are (a column named pii, or one of the working names _pii_*, is replaced).
+    other columns stay as they are, whatever their names; a column named pii is replaced. An empty table gives no rows.
     """
-    out = docs.withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
+    out = docs.select(F.struct(*[c for c in docs.columns if c != "pii"]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_pii_text"))
     for k, kind in enumerate(kinds):
         pattern, sign, _, _ = KINDS[kind]
         keep = F.contains("_pii_text", F.lit(sign)) if sign else F.col("_pii_text").rlike("[0-9]")
         out = located(out, "_pii_text", pattern, keep, f"_pii_{kind}")
         out = out.withColumn(f"_pii_{kind}", _confirmed_spans(F.col(f"_pii_{kind}"), k, kind))
     names = [f"_pii_{kind}" for kind in kinds]
-    return out.withColumn("pii", F.array_sort(F.concat(*names))).drop("_pii_text", *names)
+    return out.select("_row.*", F.array_sort(F.concat(*names)).alias("pii"))
 
 
 def span_text(spans: Column) -> Column:
@@ -130,4 +130,4 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     count = lambda kind: F.size(F.filter("pii", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda x: x.kind.isin(*BASE))
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda x: F.round(x.score, 2).cast("string")), ",").alias("scores"))
