@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rolling as R
 from ..functions.kernels import adf, coint
 from ..functions.ordered import in_blocks
 from ..functions.special import chi2_sf
@@ -57,10 +56,10 @@ def residuals(df: DataFrame, fits: DataFrame, key: str, y: str, x: str) -> DataF
 
 def autocorrelation(df: DataFrame, series: str, order: str, x: str, lags: int) -> DataFrame:
     """series, lag, rho, n: sample autocorrelations of the values that are present, in order."""
-    w = R.over(series, order)
-    all_ = Window.partitionBy(series)
-    d = df.filter(F.col(x).isNotNull()).withColumn("_e", F.col(x) - F.avg(x).over(all_))
-    d = d.withColumns({f"_{k}": F.lag("_e", k).over(w) for k in range(1, lags + 1)})
+    w = Window.partitionBy(series, "_block").orderBy(order)
+    d = df.filter(F.col(x).isNotNull()).select(series, order, x)
+    d = in_blocks(d, [series], order, lags).join(d.groupBy(series).agg(F.avg(x).alias("_mean")), series).withColumn("_e", F.col(x) - F.col("_mean"))
+    d = d.withColumns({f"_{k}": F.lag("_e", k).over(w) for k in range(1, lags + 1)}).filter("_own")
     sums = d.groupBy(series).agg(F.count("*").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("_v"), F.array(*[F.sum(F.col("_e") * F.col(f"_{k}")) for k in range(1, lags + 1)]).alias("_c"))
     return sums.select(series, "n", "_v", F.posexplode("_c").alias("_p", "_x")).filter(F.col("n") > F.col("_p") + 1).select(series, (F.col("_p") + 1).alias("lag"), (F.col("_x") / F.nullif(F.col("_v"), F.lit(0.0))).alias("rho"), "n")
 
@@ -114,9 +113,10 @@ def partial_autocorrelation(rho: list[float]) -> list[float]:
 
 def autoregression(df: DataFrame, series: str, order: str, x: str, lags: int) -> DataFrame:
     """series, term, coef, se: least squares of x on a constant and its own lags, from sums that combine before the shuffle."""
-    w = R.over(series, order)
+    w = Window.partitionBy(series, "_block").orderBy(order)
     terms = ["_1", *[f"_x{k}" for k in range(1, lags + 1)]]
-    d = df.withColumns({"_1": F.lit(1.0), **{f"_x{k}": F.lag(x, k).over(w).cast("double") for k in range(1, lags + 1)}}).select(series, F.col(x).cast("double").alias("_y"), *terms).na.drop()
+    d = in_blocks(df.select(series, order, x), [series], order, lags)
+    d = d.withColumns({"_1": F.lit(1.0), **{f"_x{k}": F.lag(x, k).over(w).cast("double") for k in range(1, lags + 1)}}).filter("_own").select(series, F.col(x).cast("double").alias("_y"), *terms).na.drop()
     columns = [*terms, "_y"]
     sums = d.groupBy(series).agg(F.array(*[F.sum(F.col(a) * F.col(b)) for a in columns for b in columns]).alias("s"), F.count("*").alias("n"))
 

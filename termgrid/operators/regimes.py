@@ -111,11 +111,11 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = (
     df = df if keys else df.withColumn("_one", F.lit(0))
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*ones, a, b).agg(F.count("*").alias("c"))
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    both = cells.groupBy(*ones).agg(pairs("c").alias("s"), F.sum("c").alias("n"))
-    rows, cols = (cells.groupBy(*ones, k).agg(F.sum("c").alias("c")).groupBy(*ones).agg(pairs("c").alias(n)) for k, n in ((a, "r"), (b, "k")))
+    both = cells.groupBy(*ones).agg(pairs("c").alias("_s"), F.sum("c").alias("n"))
+    rows, cols = (cells.groupBy(*ones, k).agg(F.sum("c").alias("c")).groupBy(*ones).agg(pairs("c").alias(n)) for k, n in ((a, "_r"), (b, "_k")))
     joined = both.join(rows, ones).join(cols, ones)
-    expected, top = F.col("r") * F.col("k") / F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0)), (F.col("r") + F.col("k")) / 2
-    return joined.select(*keys, "n", F.coalesce((F.col("s") - expected) / F.nullif(top - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
+    expected, top = F.col("_r") * F.col("_k") / F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0)), (F.col("_r") + F.col("_k")) / 2
+    return joined.select(*keys, "n", F.coalesce((F.col("_s") - expected) / F.nullif(top - expected, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
 
 def compare_labels(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

@@ -531,9 +531,6 @@ def coint_by_contract(spark, d):
     return rounded(econometrics.coint_by_key(p, "key", "dt", "log_usd", "log_cbot"))
 
 
-@query()
-def autoregression(spark, d):
-    return rounded(econometrics.autoregression(roles.daily(spark, d), "series", "dt", "level", 3))
 
 
 def _det(m: list[list[str]]) -> str:
@@ -570,6 +567,28 @@ def hac_sql(rows: str, y: str, xs: tuple[str, ...], lags: int, name: str = "h")
     )
 
 
+def _ar_sql(lags: int) -> str:
+    """Least squares of level on a constant and its lags, by cofactors."""
+    m, at = lags + 1, lambda i, j: f"{min(i, j)}_{max(i, j)}"
+    a = [[f"a{at(i, j)}" for j in range(m)] for i in range(m)]
+    minor = lambda i, j: [[v for c, v in enumerate(r) if c != j] for k, r in enumerate(a) if k != i]
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    x = ["1.0", *[f"l{k}" for k in range(1, m)]]
+    return (
+        "+ l AS (SELECT series, level AS y, " + ", ".join(f"lag(level, {k}) OVER (PARTITION BY series ORDER BY dt) AS l{k}" for k in range(1, m)) + " FROM daily), "
+        "s AS (SELECT series, count(*) AS n, sum(y * y) AS yy, " + ", ".join([f"sum({x[i]} * {x[j]}) AS a{at(i, j)}" for i, j in pairs] + [f"sum({x[i]} * y) AS c{i}" for i in range(m)]) + f" FROM l WHERE l{lags} IS NOT NULL GROUP BY 1), "
+        "v AS (SELECT *, " + ", ".join(f"{'-' if (i + j) % 2 else ''}{_det(minor(i, j))} / {_det(a)} AS v{at(i, j)}" for i, j in pairs) + " FROM s), "
+        "b AS (SELECT *, " + ", ".join("(" + " + ".join(f"v{at(i, j)} * c{j}" for j in range(m)) + f") AS b{i}" for i in range(m)) + " FROM v), "
+        f"e AS (SELECT *, (yy - ({' + '.join(f'b{i} * c{i}' for i in range(m))})) / (n - {m}) AS s2 FROM b) "
+        + " UNION ALL ".join(f"SELECT series, '{'lag' + str(i) if i else 'const'}' AS term, round(b{i}, 4) AS coef, round(sqrt(v{at(i, i)} * s2), 4) AS se FROM e" for i in range(m))
+    )
+
+
+@query(_ar_sql(3))
+def autoregression(spark, d):
+    return rounded(econometrics.autoregression(roles.daily(spark, d), "series", "dt", "level", 3), coef=4, se=4)
+
+
 @query(_SCREEN + ", " + hac_sql("c", "t5", ("lz", "vz"), 5) + " SELECT series, term, round(coef, 6) AS coef, round(t, 5) AS t FROM h_out")
 def hac_regression(spark, d):
     return rounded(econometrics.hac_regression(_screened(spark, d), "series", "dt", "t5", ("lz", "vz"), 5), t=5)

@@ -292,6 +292,14 @@ def white_noise(spark, d):
     return rounded(econometrics.white_noise(r, "series", "dt", "level_ret", (10, 20)), q=4, q_squared=4)
 
 
+_ACF = 60
+
+
+@query("+ e AS (SELECT series, dt, level - avg(level) OVER (PARTITION BY series) AS e FROM daily), l AS (SELECT series, e, " + ", ".join(f"lag(e, {k}) OVER (PARTITION BY series ORDER BY dt) AS e{k}" for k in range(1, _ACF + 1)) + " FROM e), s AS (SELECT series, sum(e * e) AS v, " + ", ".join(f"sum(e * e{k}) AS c{k}" for k in range(1, _ACF + 1)) + " FROM l GROUP BY 1) " + " UNION ALL ".join(f"SELECT series, {k} AS lag, round(c{k} / v, 6) AS rho FROM s" for k in range(1, _ACF + 1)))
+def autocorrelations(spark, d):
+    return rounded(econometrics.autocorrelation(roles.daily(spark, d), "series", "dt", "level", _ACF).select("series", "lag", "rho"))
+
+
 @query()
 def correlogram(spark, d):
     return rounded(econometrics.correlogram(roles.daily(spark, d), "series", "dt", "level"))
@@ -419,8 +427,7 @@ def label_confusion(spark, d):
 
 
 def _walk(spark, d, **settings):
-    df = _screened(spark, d).filter("series = 'lineitem'")  # one series is one sample; the folds are of its rows
-    return model.run_walk_forward(df, "dt", ("lz", "vz"), "t5", 3, maxIter=20, stepSize=0.1, **settings)
+    return model.run_walk_forward(_screened(spark, d), "series", "dt", ("lz", "vz"), "t5", 3, maxIter=20, stepSize=0.1, **settings)
 
 
 @query()
@@ -432,7 +439,7 @@ def gbt_walk_forward(spark, d):
 def gbt_fold_table(spark, d):
     """Folds with parameters chosen on the tail of their training rows."""
     grid = model.param_grid({"maxIter": [5, 10], "maxDepth": [2, 3]})
-    return rounded(_walk(spark, d, grid=grid)[1].select("fold", "n_train", "n_test", "train_end", "test_start", "test_end", "oos_ic", F.to_json("params").alias("params"), F.col("importances")["lz"].alias("importance_lz"), F.col("importances")["vz"].alias("importance_vz")))
+    return rounded(_walk(spark, d, grid=grid)[1].select("series", "fold", "n_train", "n_test", "train_end", "test_start", "test_end", "oos_ic", F.to_json("params").alias("params"), F.col("importances")["lz"].alias("importance_lz"), F.col("importances")["vz"].alias("importance_vz")))
 
 
 @query()
