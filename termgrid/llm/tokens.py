@@ -14,8 +14,6 @@ from functools import cached_property
 
 import numpy as np
 
-from .common import span_hashes
-
 #: Code points of one call, and words a worker keeps before it starts afresh.
 CALL, KEEP = 1 << 17, 500_000
 #: The steps that are followed here, as tokenizer files state them; fixed values.
@@ -28,6 +26,8 @@ _SPLITTER = {
     ],
 }
 _LETTER, _DIGIT, _BLANK, _SIGN = 0, 1, 2, 3
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 _tables: dict[str, Words] = {}
 
 
@@ -44,6 +44,14 @@ def _classes() -> np.ndarray:
     return kind
 
 
+def _rolled(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span of code points, the same for equal spans; different ones may share it, so it only groups."""
+    if not _powers or len(_powers[0]) < len(c) + 1:
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(max(len(c), 2 * CALL), b, dtype=np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(c)], dtype=np.uint64)))
+    return (total[ends] - total[starts]) * _powers[1][starts]
+
+
 class Words:
     """The ids of the words met so far, by the words themselves."""
 
@@ -142,7 +150,7 @@ class Words:
         edges = np.flatnonzero(start | blank)
         first = np.flatnonzero(start[edges])
         starts, ends = edges[first], edges[first + 1]
-        h = span_hashes(c.view(np.uint8), 4 * starts, 4 * ends)
+        h = _rolled(c, starts, ends)
         _, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         # a hash only groups: each word is compared in full with the first one of its group
         size, first = ends - starts, where[inverse]
