@@ -6,17 +6,15 @@ and never loops over words in Python.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize, shared_dir  # noqa: F401  the operators' own
+
 #: Bytes of text that one kernel call works on; a single longer text is taken alone.
 SLICE_BYTES = 1 << 18
 #: Odd multiplier of the n-gram hashes, and the keys of two independent kinds of hash; any odd numbers would do.
@@ -42,31 +40,11 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Unset: a new temporary folder in local mode, an error on a cluster."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def few_files(df: DataFrame) -> DataFrame:
     """df in no more partitions than the cluster runs tasks, for a small result of a stage that follows a shuffle."""
     return df.coalesce(max(8, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
