@@ -19,7 +19,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not accept go."""
+    """Documents that the classifier does not accept go.
+
+    A null or empty text is scored like any other. Repeated rows get the same answer each; a null doc_id has no label and is
+    only scored. Columns besides those of documents are left out. Without labels every document scores 0.5 and goes.
+    """
     text_batches(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs.select(*COLUMNS), model).filter(F.col("quality_score") >= ACCEPT).select(*COLUMNS)
@@ -43,12 +47,20 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    A null or empty text holds none. Rows are named by doc_id: all rows of an id go if one of them holds an item, those without
+    an id too. Columns besides those of documents are left out. Without items or documents nothing goes.
+    """
     return without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of what is left, packed into sequences."""
+    """The token pieces of what is left, packed into sequences.
+
+    A null text is an empty one and has the closing token alone. Repeated rows are packed as often as they stand there, under the same doc_id.
+    Columns besides doc_id and text are left out. No documents give no rows.
+    """
     text_batches(spark)
     return pack_documents(docs)
 
