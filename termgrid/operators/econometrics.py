@@ -111,25 +111,40 @@ def partial_autocorrelation(rho: list[float]) -> list[float]:
     return out
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """The pseudo-inverse of a matrix of products, each column at unit length, so that no column is cut for its unit."""
+    size = np.sqrt(np.diag(a))
+    size = np.outer(*2 * [np.where(size > 0, size, 1)])
+    return np.linalg.pinv(a / size, hermitian=True) / size
+
+
 def autoregression(df: DataFrame, series: str, order: str, x: str, lags: int) -> DataFrame:
-    """series, term, coef, se: least squares of x on a constant and its own lags, from sums that combine before the shuffle."""
+    """series, term, coef, se: least squares of x on a constant and its own lags, from sums that combine before the shuffle.
+
+    The sums are of x less its mean, and not of x: of a level far from 0 the products keep too few digits of the
+    deviations. The constant and its deviation are then those of x itself. Lags of a constant series get 0.
+    """
     w = Window.partitionBy(series, "_block").orderBy(order)
     terms = ["_1", *[f"_x{k}" for k in range(1, lags + 1)]]
-    d = in_blocks(df.select(series, order, x), [series], order, lags)
-    d = d.withColumns({"_1": F.lit(1.0), **{f"_x{k}": F.lag(x, k).over(w).cast("double") for k in range(1, lags + 1)}}).filter("_own").select(series, F.col(x).cast("double").alias("_y"), *terms).na.drop()
+    value = F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))
+    rows = materialize(df.select(series, order, value.alias("_x")), "autoregression")
+    mean = rows.groupBy(series).agg(F.when(F.min("_x") == F.max("_x"), F.min("_x")).otherwise(F.avg("_x")).alias("_mean"))
+    d = in_blocks(rows, [series], order, lags).join(mean, series).withColumn("_y", F.col("_x") - F.col("_mean"))
+    d = d.withColumns({"_1": F.lit(1.0), **{f"_x{k}": F.lag("_y", k).over(w) for k in range(1, lags + 1)}}).filter("_own").select(series, "_mean", "_y", *terms).na.drop()
     columns = [*terms, "_y"]
-    sums = d.groupBy(series).agg(F.array(*[F.sum(F.col(a) * F.col(b)) for a in columns for b in columns]).alias("s"), F.count("*").alias("n"))
+    sums = d.groupBy(series, "_mean").agg(F.array(*[F.sum(F.col(a) * F.col(b)) for a in columns for b in columns]).alias("_s"), F.count("*").alias("_n"))
 
     def solve(batches):
-        import numpy as np
-
         for t in batches:
             rows = []
-            for name, s, n in zip(t[series], t["s"], t["n"], strict=True):
+            for name, mean, s, n in zip(t[series], t["_mean"], t["_s"], t["_n"], strict=True):
                 m = np.array(s).reshape(len(columns), len(columns))
-                inv = np.linalg.pinv(m[:-1, :-1])
+                inv = _inverse(m[:-1, :-1])
                 beta = inv @ m[:-1, -1]
                 s2 = max(m[-1, -1] - beta @ m[:-1, -1], 0) / max(n - len(terms), 1)
+                back = np.eye(len(terms))
+                back[0, 1:] = -mean
+                inv, beta = back @ inv @ back.T, back @ beta + np.where(np.arange(len(terms)) == 0, mean, 0)
                 rows += [(name, "const" if k == 0 else f"lag{k}", float(b), float(np.sqrt(max(inv[k, k] * s2, 0)))) for k, b in enumerate(beta)]
             yield pd.DataFrame(rows, columns=[series, "term", "coef", "se"])
 
@@ -156,7 +171,7 @@ def hac_regression(df: DataFrame, key: str, order: str, y: str, xs: tuple[str, .
         for t in batches:
             rows = []
             for _, r in t.iterrows():
-                inv = np.linalg.pinv(matrix(r, "_a"), hermitian=True)
+                inv = _inverse(matrix(r, "_a"))
                 rows.append((r[key], (inv @ [r[f"_c{i}"] for i in range(m)]).tolist(), inv.ravel().tolist()))
             yield pd.DataFrame(rows, columns=[key, "_beta", "_inv"])
 

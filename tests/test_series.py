@@ -113,3 +113,28 @@ def test_regression_of_blocks_is_that_of_the_series(frame, monkeypatch):
         t_want = beta / np.sqrt(np.diag(inv @ meat @ inv))
         got = {r[1]: (r[2], r[3]) for r in whole if r[0] == name}
         np.testing.assert_allclose([got[c] for c in ("const", *COLUMNS)], np.column_stack([beta, t_want]), atol=2e-6)
+
+
+def test_autoregression_of_levels_far_from_zero(spark):
+    """Levels about 20,000 with deviations of 1: equal to the solution in whole fractions, where products of the levels keep too few digits."""
+    from fractions import Fraction
+
+    v = (np.random.default_rng(3).normal(size=300) + 20_000).tolist()
+    series = [("far", i, x) for i, x in enumerate(v)] + [("still", i, 7.3) for i in range(30)]
+    got = {(r.name, r.term): (r.coef, r.se) for r in econometrics.autoregression(spark.createDataFrame(series, "name string, t int, x double"), "name", "t", "x", 2).collect()}
+
+    def solved(a, b):
+        m = [[*r, y] for r, y in zip(a, b, strict=True)]
+        for i in range(len(m)):
+            m = [r if j == i else [x - r[i] / m[i][i] * y for x, y in zip(r, m[i], strict=True)] for j, r in enumerate(m)]
+        return [m[i][-1] / m[i][i] for i in range(len(m))]
+
+    f = [Fraction(x) for x in v]
+    x, y = [[Fraction(1), f[i - 1], f[i - 2]] for i in range(2, len(f))], f[2:]
+    a, b = [[sum(r[i] * r[j] for r in x) for j in range(3)] for i in range(3)], [sum(r[i] * w for r, w in zip(x, y, strict=True)) for i in range(3)]
+    beta = solved(a, b)
+    s2 = sum((w - sum(p * q for p, q in zip(beta, r, strict=True))) ** 2 for r, w in zip(x, y, strict=True)) / (len(y) - 3)
+    for i, term in enumerate(("const", "lag1", "lag2")):
+        se = float(solved(a, [Fraction(int(i == j)) for j in range(3)])[i] * s2) ** 0.5
+        assert got["far", term] == pytest.approx((float(beta[i]), se), rel=1e-9)
+    assert got["still", "const"] == pytest.approx((7.3, 0), abs=1e-12) and got["still", "lag1"] == (0, 0)
