@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, materialize, slices, table, text_batches
+from ..functions.ordered import quantiles
+from .common import held_out, materialize, slices, table, text_batches
 from .tokens import _LETTER, _classes
 
 ORDER = 4
@@ -25,8 +26,8 @@ ORDER = 4
 MAX_GRAMS = 2_000_000
 #: Texts that meet the shares of their keys in one call, where the model is tables.
 BLOCK_ROWS = 500
-#: Training rows, at most, on which the rejection is calibrated, and the share of them that passes.
-CALIBRATION_ROWS, PASS = 4000, 0.995
+#: The share of a language's training rows that is not rejected.
+PASS = 0.995
 _letters: list[np.ndarray] = []
 
 
@@ -268,26 +269,25 @@ def _model(languages: list[str], counts: DataFrame, tables: bool) -> LanguageMod
     return kneser_ney(languages, [k for k, _ in parts], [c for _, c in parts])
 
 
-def _seen(sample: DataFrame, model: LanguageModel | TableModel, run) -> pa.Table:
-    """What run finds for the calibration rows; the model does not stay in the workers."""
+def _seen(rows: DataFrame, model: LanguageModel | TableModel, run) -> DataFrame:
+    """What run finds for the rows, as a table; the model does not stay in the workers."""
     schema = "k int, h double, n long"
     if isinstance(model, TableModel):
-        return model.apply(sample, run, schema).toArrow()
-    shared = sample.sparkSession.sparkContext.broadcast(model)
-    found = sample.mapInArrow(lambda batches: run(batches, shared.value.entropies), schema).toArrow()
+        return materialize(model.apply(rows, run, schema), "language-seen")
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    found = materialize(rows.mapInArrow(lambda batches: run(batches, shared.value.entropies), schema), "language-seen")
     shared.destroy()
     return found
 
 
-def fit_languages(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel | TableModel:
+def fit_languages(docs: DataFrame, max_grams: int = MAX_GRAMS) -> LanguageModel | TableModel:
     """Models of all languages in docs (text string, lang string); rows without either do not count.
 
-    max_grams decides where the model is kept, never what is in it. The rejection is calibrated by one rule at every size: the
-    rows are halved by a hash, and each calibration row is tried on the model of the other half, which has not counted it. Each repeated row counts.
+    max_grams decides where the model is kept, never what is in it. The rejection is calibrated on all rows, by one rule at every size: the
+    rows are halved by a hash, and each row is tried on the model of the other half, which has not counted it. Each repeated row counts.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    row = F.xxhash64("text", "lang")
-    known = known.select("text", "lang", row.alias("row"), F.pmod(row, F.lit(2)).cast("int").alias("half"))
+    known = known.withColumn("half", F.pmod(F.xxhash64("text", "lang"), F.lit(2)).cast("int"))
     coded = known.select("text", F.concat(F.col("half").cast("string"), "lang").alias("lang")).mapInArrow(_counted, "lang string, key long, n long")
     first = F.substring("lang", 1, 1) == "0"
     counts = coded.groupBy(F.expr("substring(lang, 2)").alias("lang"), "key").agg(F.sum("n").alias("n"), F.sum(F.when(first, F.col("n")).otherwise(0)).alias("n0"))
@@ -297,7 +297,6 @@ def fit_languages(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows:
     model, *halves = [_model(languages, counts.filter(F.col(n) > 0).select("lang", "key", F.col(n).alias("n")), sum(total.values()) > max_grams) for n in ("n", "n0", "n1")]
     for m in halves:  # a language that a half lacks is as likely as any row of letters there
         m.base = model.base
-    sample = materialize(bounded_sample(known, F.xxhash64("row"), calibration_rows).select("text", "lang", "half"), "language-sample")
 
     def tried(batches: Iterator[pa.RecordBatch], entropies) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,11 +307,14 @@ def fit_languages(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows:
                 ok = (own >= 0) & (size > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok].astype(np.int32)), pa.array(h[np.flatnonzero(ok), own[ok]]), pa.array(size[ok].astype(np.int64))], ["k", "h", "n"])
 
-    # the rows of one half on the model of the other
-    seen = pa.concat_tables([_seen(sample.filter(F.col("half") == 1 - k).select("text", "lang"), m, tried) for k, m in enumerate(halves)])
-    k, h, size = (seen[c].to_numpy() for c in ("k", "h", "n"))
-    model.mean = np.array([np.average(h[k == i], weights=size[k == i]) if (k == i).any() else np.inf for i in range(len(languages))])
-    model.pass_mark = np.array([np.quantile((h[k == i] - model.mean[i]) * np.sqrt(size[k == i]), PASS) if (k == i).any() else np.inf for i in range(len(languages))])
+    # the rows of one half on the model of the other: three numbers a row
+    tried_on = [_seen(known.filter(F.col("half") == 1 - k).select("text", "lang"), m, tried) for k, m in enumerate(halves)]
+    seen = tried_on[0].unionByName(tried_on[1])
+    mean = seen.groupBy("k").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("mean"))
+    means = {r["k"]: r["mean"] for r in mean.collect()}
+    excess = seen.join(F.broadcast(mean), "k").select(F.col("k").alias("lang"), ((F.col("h") - F.col("mean")) * F.sqrt("n")).alias("x"))
+    marks = {r["lang"]: r["q"][0] for r in quantiles(excess, ["lang"], "x", (PASS,)).collect()} if means else {}
+    model.mean, model.pass_mark = (np.array([of.get(i, np.inf) for i in range(len(languages))]) for of in (means, marks))
     return model
 
 

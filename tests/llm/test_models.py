@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -405,3 +406,26 @@ def test_language_models_keep_every_n_gram(spark):
         assert (a.doc_id, a.text, a.lang_pred, a.lang_rejected) == (b.doc_id, b.text, b.lang_pred, b.lang_rejected)
         assert (a.lang_score, a.lang_entropy) == (pytest.approx(b.lang_score, abs=1e-4), pytest.approx(b.lang_entropy, abs=1e-5))
     assert {r.lang_pred for r in got if r.doc_id in (40, 41)} == {"few"}
+
+
+def test_rejection_is_calibrated_on_every_training_row(spark):
+    """5,000 rows, of which a sample of 4,000 would see other means and marks: each row tried on the other half's model."""
+    from termgrid.llm.langid import PASS, fit_languages, keys_of, kneser_ney
+
+    rng = random.Random(4)
+    rows = [("".join(rng.choice(letters) for _ in range(rng.randint(3, 60))), lang) for lang, letters in (("one", "abcde "), ("two", "cdefgh ")) for _ in range(2500)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    got = fit_languages(df)
+    half = [(r.text, r.lang, r.half) for r in df.select("text", "lang", F.pmod(F.xxhash64("text", "lang"), F.lit(2)).alias("half")).collect()]
+    models = []
+    for k in (0, 1):
+        counted = [np.unique(keys_of([t for t, name, h in half if name == lang and h == k])[0], return_counts=True) for lang in got.languages]
+        models.append(kneser_ney(got.languages, [a for a, _ in counted], [n.astype(float) for _, n in counted]))
+        models[k].base = got.base
+    for i, lang in enumerate(got.languages):
+        tried = [models[1 - k].entropies([t for t, name, h in half if name == lang and h == k]) for k in (0, 1)]
+        h, n = np.concatenate([h[:, i] for h, _ in tried]), np.concatenate([n for _, n in tried])
+        h, n = h[n > 0], n[n > 0]
+        mean = np.average(h, weights=n)
+        assert got.mean[i] == pytest.approx(mean, abs=1e-9)
+        assert got.pass_mark[i] == pytest.approx(np.quantile((h - mean) * np.sqrt(n), PASS), abs=1e-9)
