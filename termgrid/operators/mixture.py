@@ -1,7 +1,8 @@
 """Mixtures of normals and k-means fitted by Spark: one step of all fits of all series is one aggregate over the rows.
 
 A step reads the rows where they lie, adds up each fit's weights, weighted sums and products there, and combines them by one shuffle of
-small rows. Only the parameters of the fits, about a kilobyte each, pass through the driver; no task holds a series.
+small rows. Only the parameters of the fits, about a kilobyte each, pass through the driver; no task holds a long series. Series that
+are no longer than a block are fitted by the same steps within tasks, in one job for all fits in place of one a step.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ START_ROWS = 2_000
 SERIES, AT_ONCE = 50_000, 20_000
 #: Least gain of the log-likelihood for each row that continues a fit, and what is added to variances.
 GAIN, FLOOR, ROUNDS = 1e-4, 1e-5, 100
+#: Rows of a series whose fits are made within tasks, at most; as many as a block of time has.
+WHOLE_ROWS = 100_000
 #: A row and all others meet in pairs of blocks of this size.
 PAIRS = 2_048
 
@@ -71,6 +74,12 @@ class Fit:
         self.weights, self.centres = n / self.n, first / n[:, None]
         self.covs = covariances_of(second / n[:, None, None] - self.centres[:, :, None] * self.centres[:, None, :], n, self.kind, FLOOR)
 
+    def advance(self, sums: np.ndarray) -> None:
+        """Take the sums of a step; live tells whether another one follows."""
+        self.live, self.loglik = bool(sums[0] - self.loglik >= GAIN * self.n), float(sums[0])
+        if self.live:
+            self.update(sums[1:])
+
 
 def _sums(x: np.ndarray, fit: Fit) -> np.ndarray:
     """loglik, then of each component the shares, the weighted rows and, but for k-means, their products."""
@@ -103,6 +112,38 @@ def _step(z: DataFrame, series: str, columns: tuple[str, ...], fits: list[Fit])
     return {int(fit[part[0]]): v[part] for part in np.split(order, edge) if len(part)}
 
 
+def _whole(z: DataFrame, series: str, columns: tuple[str, ...], fits: list[Fit], rounds: int) -> None:
+    """Run the fits to their ends in one job. A task holds the rows of one series, of at most WHOLE_ROWS, for some of its fits."""
+    spark, of, d = z.sparkSession, {}, len(columns)
+    for i, f in enumerate(fits):
+        of.setdefault(f.series, []).append(i)
+    parts = min(max(map(len, of.values())), -(-2 * spark.sparkContext.defaultParallelism // len(of)))
+    dealt = spark.createDataFrame([(s, p) for s in of for p in range(parts)], "_series string, _part int")
+    rows = z.select(F.col(series).alias("_series"), *columns).join(F.broadcast(dealt), "_series").repartition(2 * len(of) * parts if parts > 1 else len(of), "_series", "_part")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        x, out = np.column_stack([t[c].to_numpy() for c in columns]), []
+        x = x[np.lexsort(x.T)]  # whatever order the shuffle gave
+        for i in of[key[0].as_py()][key[1].as_py() :: parts]:
+            f = fits[i]
+            f.update(_sums(x, f)[1:])
+            for _ in range(rounds):
+                f.advance(_sums(x, f))
+                if not f.live:
+                    break
+            mine = [f.centres] if f.covs is None else [f.centres, f.weights, f.covs]
+            out.append((i, f.loglik, np.concatenate([v.ravel() for v in mine]).tolist()))
+        kinds = (("fit", pa.int32()), ("loglik", pa.float64()), ("v", pa.list_(pa.float64())))
+        return pa.table({c: pa.array([r[j] for r in out], type=t) for j, (c, t) in enumerate(kinds)})
+
+    for r in rows.groupBy("_series", "_part").applyInArrow(run, "fit int, loglik double, v array<double>").collect():
+        f, v = fits[r["fit"]], np.array(r["v"])
+        m = f.k * d
+        f.live, f.loglik, f.centres = False, r["loglik"], v[:m].reshape(f.k, d)
+        if len(v) > m:
+            f.weights, f.covs = v[m : m + f.k], v[m + f.k :].reshape(f.k, d, d)
+
+
 def by_series(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
     """(series, matrix of the columns, the rows' places in the batch) for each series of each batch."""
     for batch in batches:
@@ -136,7 +177,7 @@ def _starts(z: DataFrame, series: str, columns: tuple[str, ...], specs: list[tup
 def fit_all(z: DataFrame, series: str, columns: tuple[str, ...], specs: list[tuple[int, str, int]], seed: int = 0, centres: dict[tuple, np.ndarray] | None = None, rounds: int = ROUNDS) -> list[Fit]:
     """A fit for each series of z and each (k, kind, start) of specs, from the centres of its start or from given ones.
 
-    z: rows without nulls, read once for each round, so a stored table. The first step deals each row to its nearest
+    z: rows without nulls, read once for each round of the series longer than WHOLE_ROWS, so a stored table. The first step deals each row to its nearest
     centre; a fit ends once the log-likelihood gains less than GAIN for each row. More than SERIES series are refused.
     """
     sizes = dict(z.groupBy(series).count().limit(SERIES + 1).collect())
@@ -149,18 +190,19 @@ def fit_all(z: DataFrame, series: str, columns: tuple[str, ...], specs: list[tup
         part = names[lo : lo + turn]
         rows = z if len(part) == len(names) else z.filter(F.col(series).isin(part))
         fits = [Fit(s, k, kind, start, centres[s, k, start], n=sizes[s]) for s in part for k, kind, start in specs]
-        sums = _step(rows, series, columns, fits)
-        for i, f in enumerate(fits):
+        if short := [f for f in fits if f.n <= WHOLE_ROWS]:
+            _whole(rows, series, columns, short, rounds)
+        long = [f for f in fits if f.n > WHOLE_ROWS]
+        sums = _step(rows, series, columns, long) if long else {}
+        for i, f in enumerate(long):
             f.update(sums[i][1:])
         for _ in range(rounds):
-            live = [f for f in fits if f.live]
+            live = [f for f in long if f.live]
             if not live:
                 break
             sums = _step(rows, series, columns, live)
             for i, f in enumerate(live):
-                f.live, f.loglik = bool(sums[i][0] - f.loglik >= GAIN * f.n), float(sums[i][0])
-                if f.live:
-                    f.update(sums[i][1:])
+                f.advance(sums[i])
         out += fits
     return out
 

@@ -162,7 +162,9 @@ def _per_task(features: DataFrame, series: str, order: str, columns: tuple[str,
     A single fit of long series is fit_regimes', which no task holds a series for.
     """
     t = features.sparkSession.createDataFrame(pd.DataFrame(tasks).assign(task=range(len(tasks))))
-    rows = features.select(series, order, *columns).join(F.broadcast(t))
+    # by number, as small partitions would be put together and their groups wait for each other
+    n = max(4 * len(tasks), int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = features.select(series, order, *columns).join(F.broadcast(t)).repartition(n, series, "task")
     names = list(tasks[0])
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
@@ -276,9 +278,11 @@ SWEEP = {
 def configuration_sweep(df: DataFrame, series: str, order: str, level: str, leg: str, configurations: dict[str, dict] | None = None, ks: tuple[int, ...] = (2, 3, 4), seeds: int = 6, samples: int = 12, starts: int = 10) -> DataFrame:
     """configuration, d (columns), n_rows, n_eff, best_k (by bic_eff over all kinds, 1 included), then reliability_battery's columns.
 
-    n_eff is effective_rows' figure, one number a series; those numbers pass through the driver.
+    n_eff is effective_rows' figure, one number a series; those numbers pass through the driver. df is read once.
     """
     out = None
+    needed = {series, order, level, leg, *(s["oi"] for s in (configurations or SWEEP).values() if s.get("oi"))}
+    df = materialize(df.select(*[c for c in df.columns if c in needed]), "legs")
     for name, settings in (configurations or SWEEP).items():
         made, columns = regime_features(df, series, order, level, leg, **settings), settings.get("include", FEATURES)
         made = materialize(made, "features")

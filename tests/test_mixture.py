@@ -82,3 +82,26 @@ def test_silhouettes_equal_the_kernel(frame, spark, block):
         for name, label in zip("uvw", labels[s], strict=True):
             want = kernels.silhouette(x, label)
             assert got[s, name] is None if want is None else abs(got[s, name] - want) < 1e-9
+
+
+def test_fits_within_tasks_are_those_of_rounds(frame, monkeypatch):
+    """Series up to WHOLE_ROWS take one job; one longer, one shorter and both longer give the same fits."""
+    _, df = frame
+    specs = [(k, kind, i) for k in (1, 3) for kind in ("full", "tied", "kmeans") for i in range(2)]
+    steps, step = [], M._step
+    monkeypatch.setattr(M, "_step", lambda z, series, columns, fits: steps.append(sorted({f.series for f in fits})) or step(z, series, columns, fits))
+    got = M.fit_all(df, "s", COLUMNS, specs)
+    assert not steps and not any(f.live for f in got)
+    for rows, long in ((300, ["a"]), (0, ["a", "b"])):
+        monkeypatch.setattr(M, "WHOLE_ROWS", rows)
+        other = M.fit_all(df, "s", COLUMNS, specs)
+        assert steps and steps[0] == long
+        steps.clear()
+        for f, g in zip(got, other, strict=True):
+            assert (f.series, f.k, f.kind, f.start, f.n) == (g.series, g.k, g.kind, g.start, g.n)
+            np.testing.assert_allclose(f.loglik, g.loglik, rtol=1e-9)
+            np.testing.assert_allclose(f.centres, g.centres, rtol=1e-6, atol=1e-8)
+            assert (f.covs is None) == (g.covs is None) == (f.kind == "kmeans")
+            if f.covs is not None:
+                np.testing.assert_allclose(f.weights, g.weights, rtol=1e-6)
+                np.testing.assert_allclose(f.covs, g.covs, rtol=1e-6, atol=1e-8)
