@@ -138,3 +138,17 @@ def test_autoregression_of_levels_far_from_zero(spark):
         se = float(solved(a, [Fraction(int(i == j)) for j in range(3)])[i] * s2) ** 0.5
         assert got["far", term] == pytest.approx((float(beta[i]), se), rel=1e-9)
     assert got["still", "const"] == pytest.approx((7.3, 0), abs=1e-12) and got["still", "lag1"] == (0, 0)
+
+
+def test_a_sweep_reads_its_input_once(spark, frame):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for t in batches:
+            seen.add(len(t))
+            yield t
+
+    df = frame.select("s", "dt", "u", "v").mapInPandas(count, "s string, dt date, u double, v double")
+    two = {name: {"include": ("log_vol", "trend_z"), "vol": n, "trend": n, "short": 5} for name, n in (("wide", 20), ("narrow", 10))}
+    got = regimes.configuration_sweep(df, "s", "dt", "u", "v", two, ks=(2,), seeds=1, samples=1, starts=1).collect()
+    assert {(r.configuration, r.s, r.k) for r in got} == {(c, s, 2) for c in two for s in "ab"} and seen.value == frame.count()
